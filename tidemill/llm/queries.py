@@ -5,14 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, secret_scan, simhash_pivot
+from . import exact_dedup, lang_id, mixing, packing, quality_rules, secret_scan, simhash_pivot
+from .common import fold
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = lang_id.train(docs.where(~held_out), lang_id.default_vocabulary())
+    return lang_id.predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.score_quality(_documents(spark, sf_dir))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir))
 
@@ -41,5 +58,48 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_s
 """
 
 
+SQL_OP5 = r"""
+WITH r AS (
+  SELECT doc_id,
+    CASE WHEN regexp_matches(coalesce(source, ''), '[0-9]{1,9}$')
+      THEN 'domain' || (CAST(regexp_extract(source, '([0-9]{1,9})$', 1) AS INT) % 4) ELSE 'other' END AS domain,
+    coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
+  FROM documents
+), l AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, count(*) AS n_docs FROM r GROUP BY ALL),
+n1 AS (
+  SELECT domain, sum(tokens) * 2.0::DOUBLE AS cap, (SELECT sum(tokens) FROM l) * 0.8::DOUBLE AS budget,
+    CASE domain WHEN 'domain0' THEN 4.0 WHEN 'domain1' THEN 3.0 WHEN 'domain2' THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM l GROUP BY domain
+), s1 AS (
+  SELECT *, cap * (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) <= w * (budget - coalesce(sum(cap) OVER o, 0)) AS f
+  FROM n1 WINDOW o AS (ORDER BY cap / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), b1 AS (
+  SELECT domain, CASE WHEN f THEN cap ELSE w * (budget - sum(CASE WHEN f THEN cap ELSE 0 END) OVER ()) / sum(CASE WHEN f THEN 0 ELSE w END) OVER () END AS budget FROM s1
+), n2 AS (
+  SELECT domain, lang, sum(tokens) * 2.0::DOUBLE AS cap, any_value(b1.budget) AS budget,
+    CASE lang WHEN 'en' THEN 5.0 WHEN 'de' THEN 2.0 WHEN 'fr' THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM l JOIN b1 USING (domain) GROUP BY domain, lang
+), s2 AS (
+  SELECT *, cap * (sum(w) OVER p - coalesce(sum(w) OVER o, 0)) <= w * (budget - coalesce(sum(cap) OVER o, 0)) AS f
+  FROM n2 WINDOW p AS (PARTITION BY domain), o AS (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), b2 AS (
+  SELECT domain, lang, CASE WHEN f THEN cap ELSE w * (budget - sum(CASE WHEN f THEN cap ELSE 0 END) OVER p) / sum(CASE WHEN f THEN 0 ELSE w END) OVER p END AS budget
+  FROM s2 WINDOW p AS (PARTITION BY domain)
+), n3 AS (
+  SELECT domain, lang, source, sum(tokens) * 2.0::DOUBLE AS cap, any_value(b2.budget) AS budget, 1.0::DOUBLE AS w FROM l JOIN b2 USING (domain, lang) GROUP BY domain, lang, source
+), s3 AS (
+  SELECT *, cap * (sum(w) OVER p - coalesce(sum(w) OVER o, 0)) <= w * (budget - coalesce(sum(cap) OVER o, 0)) AS f
+  FROM n3 WINDOW p AS (PARTITION BY domain, lang), o AS (PARTITION BY domain, lang ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), b3 AS (
+  SELECT domain, lang, source,
+    floor(1e-6 + CASE WHEN f THEN cap ELSE w * (budget - sum(CASE WHEN f THEN cap ELSE 0 END) OVER p) / sum(CASE WHEN f THEN 0 ELSE w END) OVER p END)::BIGINT AS budget
+  FROM s3 WINDOW p AS (PARTITION BY domain, lang)
+), q AS (SELECT l.*, budget, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole FROM l JOIN b3 USING (domain, lang, source)),
+o AS (SELECT r.*, budget, whole, budget - whole * tokens AS rest, md5('17:' || whole || ':' || coalesce(doc_id::VARCHAR, '')) AS place FROM r JOIN q USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens, budget AS leaf_budget,
+  (whole + CASE WHEN sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place) <= rest THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": SQL_OP7}
+    return {"op5_mixing": SQL_OP5, "op7_exact_dedup": SQL_OP7}
