@@ -24,7 +24,8 @@ def normalised(text: Column) -> Column:
 
 
 def _repeated(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
+    # Merge joins at every size: their hot partitions can be split, and what is moved grows evenly.
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys).hint("merge")
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64) -> DataFrame:
@@ -42,7 +43,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     by_prefix = written(by_len.join(_repeated(by_len, ["len", "prefix"]), ["len", "prefix"], "left_semi").select("id", "len"), "dedup-prefix")
     # Only the survivors' content is read on; ids spread evenly, so this exchange has no hot key.
     left = by_prefix.where("id is not null").dropDuplicates(["id"]).select("id")
-    survivors = text.join(left, "id", "left_semi")
+    survivors = text.join(left.hint("merge"), "id", "left_semi")
     without_id = text.where("id is null")
     whole = survivors.unionByName(without_id).select("id", F.sha2("t", 256).alias("text_sha256"))
     return whole.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
@@ -67,7 +68,7 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = duplicate_groups(docs, id_col, text_col)
     digests = docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"))
     keep = F.coalesce("keep_id", "doc_id")
-    return digests.join(groups, "text_sha256", "left").select(
+    return digests.join(groups.hint("merge"), "text_sha256", "left").select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
