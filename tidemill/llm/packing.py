@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -22,54 +24,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, written
+from .common import map_arrow, texts, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 PACKED = PIECES + ", sequence_id long, offset long, home long, certified boolean, final boolean"
 
 
-class WordTokens:
-    """Ids of white-space separated words, each encoded once and then looked up.
+# The vocabulary's own splitting rule, for lower-case text of Latin-1 characters.
+_L, _N = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_L}{_N}\\x09-\\x0d\\x20\\x85\\xa0]+")
+
+
+class WordTokens(dict):
+    """Ids of white-space separated words, each worked out once and then looked up.
 
     The vocabulary collapses white space before it splits, so the ids of a text
-    are those of its words in order (checked against whole texts in the tests).
-    At most ``most`` words are remembered at a time.
+    are those of its words in order.  A word of Latin-1 characters is taken
+    apart here by the vocabulary's rule and only new parts are encoded; any
+    other word is encoded as it is.  (The tests hold both against whole texts.)
+    The dictionary numbers the words; about ``most`` are remembered at a time.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         import tokenizers
 
+        super().__init__()
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
+        spell = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: How the vocabulary writes the bytes of a character.
+        self.spelling = {c: "".join(x[0] for x in spell.pre_tokenize_str(chr(c))) for c in range(256)}
         self.most = most
-        self.clear()
+        self.forget()
 
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.starts, self.lens, self.flat = (np.zeros(0, t) for t in (np.int64, np.int64, np.uint32))
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.index]
-        if not new:
-            return
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(lens.sum()))
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
-        self.lens, self.flat = np.concatenate([self.lens, lens]), np.concatenate([self.flat, flat])
+    def forget(self) -> None:
+        self.clear()
+        self.parts: dict[str, list[int]] = {}
+        self.starts, self.lens, self.flat = array("q"), array("q"), array("I")
+
+    def __missing__(self, word: bytes) -> int:
+        text, parts, ids = word.decode(), self.parts, []
+        if text.isascii() or max(text) <= "\xff":
+            for part in LATIN_PARTS.findall(text.lower()):
+                known = parts.get(part)
+                if known is None:
+                    known = parts[part] = [t.id for t in self.tokenizer.model.tokenize(part.translate(self.spelling))]
+                ids += known
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        self[word] = number = len(self.starts)
+        self.starts.append(len(self.flat))
+        self.lens.append(len(ids))
+        self.flat.extend(ids)
+        return number
 
     def ids(self, text: str) -> np.ndarray:
+        if len(self) > self.most:
+            self.forget()
         words = text.encode().split()
-        if len(self.index) > self.most:
-            self.clear()
-        self.learn(set(words).difference(self.index))
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        lens = self.lens[at]
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        lens = np.frombuffer(self.lens, np.int64)[at] if len(at) else at
+        if not lens.sum():
+            return np.zeros(0, np.uint32)
+        starts = np.frombuffer(self.starts, np.int64)[at]
         ends = np.cumsum(lens)
-        place = np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return self.flat[place]
+        place = np.repeat(starts - (ends - lens), lens) + np.arange(int(ends[-1]))
+        return np.frombuffer(self.flat, np.uint32)[place]
 
 
 @functools.lru_cache(maxsize=1)
@@ -82,20 +103,13 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokens, out = word_tokens(vocabulary), []
-        # Words new to this batch are encoded together.
-        column = batch.column(1)
-        for lo in range(0, len(column), 500):
-            part = [(v.as_py() or "") for v in column[lo : lo + 500]]
-            if len(tokens.index) > tokens.most:
-                tokens.clear()
-            tokens.learn({w for t in part for w in t.encode().split()})
-            for k, text in enumerate(part, lo):
-                doc_id = batch.column(0)[k].as_py()
-                ids = np.append(tokens.ids(text), np.uint32(end_id)).astype("<u4")
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    cut = ids[start : start + capacity]
-                    crc = zlib.crc32(cut.tobytes())
-                    out.append((doc_id, piece, start, len(cut), crc, zlib.crc32(b"%d %d" % (crc, len(out)))))
+        for k, text in enumerate(texts(batch.column(1))):
+            doc_id = batch.column(0)[k].as_py()
+            ids = np.append(tokens.ids(text), np.uint32(end_id)).astype("<u4")
+            for piece, start in enumerate(range(0, len(ids), capacity)):
+                cut = ids[start : start + capacity]
+                crc = zlib.crc32(cut.tobytes())
+                out.append((doc_id, piece, start, len(cut), crc, zlib.crc32(b"%d %d" % (crc, len(out)))))
         columns = list(zip(*out, strict=True))
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])

@@ -236,7 +236,7 @@ def signed_prints(docs: DataFrame, id_col: str, text_col: str, words_per_shingle
                 for lo in range(0, len(hashes), 512):
                     least = np.minimum(least, (hashes[lo : lo + 512, None] * FACTORS + SHIFTS).min(axis=0))
             fps.append(bits.value())
-            signatures.append((least >> np.uint64(56)).astype(np.uint8).tobytes())
+            signatures.append((least & np.uint64(255)).astype(np.uint8).tobytes())  # of the least: its high bits are always near zero
             keys = [xxhash.xxh64_intdigest(least[ROWS * k : ROWS * (k + 1)].tobytes(), k) - 2**63 for k in range(BANDS)]
             bands.append(keys if bits.n else [])
         return pa.RecordBatch.from_arrays(
