@@ -38,19 +38,44 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered up to ``most`` words at a time."""
+class WordHashes(dict):
+    """64-bit hashes of words, each worked out once; about ``most`` words are remembered at a time."""
 
-    def __init__(self, most: int = 500_000):
-        self.most, self.known = most, {}
+    def __init__(self, most: int = 250_000):
+        super().__init__()
+        self.most = most
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w, 11)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = xxhash.xxh64_intdigest(word, 11)
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+class RunHashes:
+    """Hashes of any run of a sequence of hashes, from prefix sums of a polynomial."""
+
+    STEP = 0x9E3779B97F4A7C15
+    BACK = pow(STEP, -1, 1 << 64)
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up))
+            self.up, self.down = (np.multiply.accumulate(np.append(np.uint64(1), np.full(size - 1, x, np.uint64))) for x in (self.STEP, self.BACK))
+
+    def __call__(self, hashes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        n = len(hashes)
+        self._powers(n + 1)
+        sums = np.append(np.uint64(0), np.cumsum(hashes * self.up[:n], dtype=np.uint64))
+        run = (sums[start + size] - sums[start]) * self.down[start] + size.astype(np.uint64)
+        run ^= run >> np.uint64(32)
+        return (run * MIX).view(np.int64)
 
 
 def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -94,7 +119,7 @@ def _anchor_rows(window: int, frequent: frozenset[int]):
                 done.add(tag)  # copies within a task go once
                 if len(words) < window:
                     continue
-                first, n, anchor = anchors(word_hashes(words), window)
+                first, n, anchor = anchors(word_hashes.of(words), window)
                 anchor = anchor.view(np.int64)
                 parts.append((anchor, np.full(len(first), tag), first * 64 + n * 2 + np.isin(anchor, hot)))
             if parts:
@@ -125,48 +150,58 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tag, pos, anchor)], names=["tag", "pos", "anchor"])
 
 
-def _stretches(doc, window: int, word_hashes: WordHashes):
-    """(key, segment number, first window, windows, symbols) of a document's candidates."""
-    hashes = word_hashes(doc["text"].encode().split())
-    symbols = (hashes >> np.uint64(32)).astype(np.uint32)
-    whole = rolled(hashes, window).view(np.int64)
-    for c in doc["cands"]:
-        first, n, hot = c["pos"] >> 6, (c["pos"] & 63) >> 1, c["pos"] & 1
-        for start, count, key in ((first + i, 1, int(whole[first + i])) for i in range(n)) if hot else ((first, n, c["anchor"]),):
-            cut = symbols[start : start + count + window - 1].tobytes()
-            yield key, xxhash.xxh64_intdigest(cut, key & 0xFFFFFFFF) - (1 << 63), start, count, cut
-
-
-def _rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
-    for k in range(batch.num_rows):
-        yield {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
+def _stretches(batch: pa.RecordBatch, window: int, word_hashes: WordHashes, runs: RunHashes) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each row its word hashes and its candidates: key, segment number, first window, number of windows."""
+    lists = batch.column(3)
+    ends, inner = lists.offsets.to_numpy(), lists.values
+    pos, anchor = (inner.field(k).to_numpy() for k in ("pos", "anchor"))
+    for k, text in enumerate(texts(batch.column(2))):
+        hashes = word_hashes.of(text.encode().split())
+        p, key = pos[ends[k] : ends[k + 1]], anchor[ends[k] : ends[k + 1]]
+        first, n, hot = p >> 6, (p & 63) >> 1, p & 1 == 1
+        # Windows of a frequent anchor go one by one, each under its own number.
+        each = n[hot]
+        ones = np.repeat(first[hot] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        start, count = np.concatenate([first[~hot], ones]), np.concatenate([n[~hot], np.ones(len(ones), np.int64)])
+        segment = runs(hashes, start, count + window - 1)
+        yield hashes, np.concatenate([key[~hot], segment[len(start) - len(ones) :]]), segment, start, count
 
 
 def _index_rows(window: int):
+    """Each segment of a batch once, with the smallest document that holds it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_hashes = WordHashes()
+        word_hashes, runs = WordHashes(), RunHashes()
         for batch in batches:
-            best: dict[int, tuple[int, bytes, int]] = {}
-            for doc in _rows_of(batch):
-                for key, segment, _, _, cut in _stretches(doc, window, word_hashes):
-                    if segment not in best or best[segment][2] > doc["doc_id"]:
-                        best[segment] = key, cut, doc["doc_id"]
-            rows = list(best.values())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array(best, pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())],
-                names=["key", "segment", "cut", "owner"],
-            )
+            parts, symbols, before = [], [], 0
+            for doc_id, (hashes, key, segment, start, count) in zip(batch.column(0).to_numpy().tolist(), _stretches(batch, window, word_hashes, runs), strict=True):
+                parts.append((key, segment, start + before, count, np.full(len(key), doc_id)))
+                symbols.append((hashes >> np.uint64(32)).astype(np.uint32))
+                before += len(hashes)
+            key, segment, start, count, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((owner, segment))
+            order = order[np.append(True, segment[order][1:] != segment[order][:-1])]
+            size = count[order] + window - 1
+            ends = np.cumsum(size)
+            place = np.repeat(start[order] - (ends - size), size) + np.arange(int(ends[-1]))
+            flat = np.concatenate(symbols)[place]
+            cut = pa.Array.from_buffers(pa.binary(), len(order), [None, pa.py_buffer(np.append(0, 4 * ends).astype(np.int32)), pa.py_buffer(flat)])
+            whole = pa.record_batch([pa.array(key[order]), pa.array(segment[order]), cut, pa.array(owner[order])], names=["key", "segment", "cut", "owner"])
+            for lo in range(0, whole.num_rows, 50_000):
+                yield whole.slice(lo, 50_000)
 
     return run
 
 
 def _query_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_hashes = WordHashes()
+        word_hashes, runs = WordHashes(), RunHashes()
         for batch in batches:
-            rows = [(segment, doc["doc_id"], doc["tag"], start) for doc in _rows_of(batch) for _, segment, start, _, _ in _stretches(doc, window, word_hashes)]
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["segment", "doc_id", "tag", "first"])
+            ids, tags = batch.column(0).to_numpy().tolist(), batch.column(1).to_numpy().tolist()
+            rows = []
+            for doc_id, tag, (_, _, segment, start, _) in zip(ids, tags, _stretches(batch, window, word_hashes, runs), strict=True):
+                rows.append((segment, np.full(len(segment), doc_id), np.full(len(segment), tag), start))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["segment", "doc_id", "tag", "first"])
 
     return run
 
@@ -176,6 +211,10 @@ def _search_shard(window: int):
         got = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None  # one shard, of bounded size
         if got is None or not got.num_rows:
             return
+        # Several tasks may have sent a segment: its smallest owner counts.
+        got = got.take(np.lexsort((got["owner"].to_numpy(), got["segment"].to_numpy())))
+        segment = got["segment"].to_numpy()
+        got = got.filter(pa.array(np.append(True, segment[1:] != segment[:-1])))
         cuts = got["cut"].to_pylist()
         lens = np.fromiter((len(c) // 4 for c in cuts), np.int64, len(cuts))
         index = FmIndex(np.frombuffer(b"".join(cuts), np.uint32), lens, got["owner"].to_numpy(), window)
