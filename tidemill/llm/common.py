@@ -69,3 +69,13 @@ def hashed_sample(df: DataFrame, key: str, groups: list[str], most: int) -> Data
     share = F.lit(float(most)) / F.col("_n")
     position = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     return df.join(F.broadcast(counts), groups).where(position < share).drop("_n")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """``docs`` (id, text, ...) with a ``label``: about ``most`` rows of each label of ``labels`` (id, label).
+
+    The labels are sampled before they meet the texts, so what is broadcast is
+    bounded by ``most`` and no text is shuffled.
+    """
+    picked = hashed_sample(labels.where("label is not null"), "id", ["label"], most)
+    return docs.where("text is not null").join(F.broadcast(picked), "id")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import hashed_sample, map_arrow
+from .common import labelled_sample, map_arrow
 
 SYMBOLS, UPPER, DIGITS, SHOUT = b"#*$%&|<>~^_=@\\{}[]", bytes(range(65, 91)), b"0123456789", b"!?"
 OWN = 13
@@ -149,9 +149,9 @@ def _fit(field: LineField, xs: list[np.ndarray], ys: list[np.ndarray], weight: n
         field.transitions = field.transitions + move[FEATURES:].reshape(2, 2)
 
 
-def train(labelled: DataFrame, most_docs: int = 1200, rounds: int = 60, relabels: int = 3) -> LineField:
-    """Fit on ``id, text, label`` (1: good): about ``most_docs`` rows of either label."""
-    got = hashed_sample(labelled.where("text is not null and label is not null"), "id", ["label"], most_docs).select("id", "text", "label").toPandas().sort_values("id")
+def train(docs: DataFrame, labels: DataFrame, most_docs: int = 1200, rounds: int = 60, relabels: int = 3) -> LineField:
+    """Fit on ``docs`` (id, text) and ``labels`` (id, label; 1: good): about ``most_docs`` rows of either label."""
+    got = labelled_sample(docs, labels, most_docs).select("id", "text", "label").toPandas().sort_values("id")
     docs = [document_lines(t) for t in got["text"]]
     use = [i for i, d in enumerate(docs) if len(d[0])]
     good = got["label"].to_numpy(np.int64)[use]

@@ -22,16 +22,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str, parts: int, held: int) -> DataFrame:
-    """id, text, lang and label of the rows that may be learned from."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where((fold(F.col("doc_id"), parts) != held) & F.col(label).isNotNull())
-    labels = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("label"))
-    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "lang")
-    return docs.join(labels, "id")
+def _labelled(spark: SparkSession, sf_dir: str, label: str, parts: int, held: int) -> tuple[DataFrame, DataFrame]:
+    """(id, text, lang) of the documents and (id, label) of those that may be learned from."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(F.col("doc_id"), parts) != held)
+    return _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "lang"), labels.select(F.col("doc_id").alias("id"), F.col(label).alias("label"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.train(_labelled(spark, sf_dir, "toxic", 3, 1))
+    model = toxicity.train(*_labelled(spark, sf_dir, "toxic", 3, 1))
     held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
     return toxicity.score(_documents(spark, sf_dir), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
@@ -57,7 +55,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    field = quality_crf.train(_labelled(spark, sf_dir, "quality", 5, 0))
+    field = quality_crf.train(*_labelled(spark, sf_dir, "quality", 5, 0))
     held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
     return quality_crf.score(_documents(spark, sf_dir), field).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
