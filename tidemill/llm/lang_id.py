@@ -122,6 +122,10 @@ def stretches(text: str) -> list[str]:
     """Lower-case runs of letters, marked as word starts, in stretches of LONGEST letters."""
     out = []
     for word in LETTERS.findall(text.lower()):
+        if not word.isalpha():  # signs such as a raised two count as word characters, but are no letters
+            word = "".join(filter(str.isalpha, word))
+            if not word:
+                continue
         out.append(MARK + word[:LONGEST])
         out += [word[i : i + LONGEST] for i in range(LONGEST, len(word), LONGEST)]
     return out
