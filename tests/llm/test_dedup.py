@@ -171,3 +171,8 @@ def test_near_stage_keeps_one_of_each_group(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     kept = sorted(r.doc_id for r in simhash_pivot.near_dedup(df).collect())
     assert kept == sorted([ids[0] for ids in groups] + [len(rows) - 1])
+
+
+def test_an_id_with_two_texts_loses_only_the_copy(spark):
+    df = spark.createDataFrame([(5, "same"), (5, "other"), (9, "SAME")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in exact_dedup.exact_dedup(df).collect()) == [(5, "other"), (9, "SAME")]

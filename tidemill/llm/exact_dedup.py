@@ -28,13 +28,8 @@ def _repeated(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys).hint("merge")
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64) -> DataFrame:
-    """``text_sha256, keep_id, group_size`` of every text that two or more rows share.
-
-    Empty and null texts are equal.  ``keep_id`` is the largest id; rows whose
-    id is null count in ``group_size`` but are never kept over one with an id.
-    An empty table gives no groups.
-    """
+def survivor_digests(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> DataFrame:
+    """``id, text_sha256, tag`` of the rows whose length and prefix another row shares; tag: a short hash of the text."""
     text = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("t"))
     short = written(
         text.select("id", F.octet_length("t").alias("len"), F.xxhash64(F.substring("t", 1, prefix_chars)).alias("prefix")), "dedup-short"
@@ -45,27 +40,40 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     left = by_prefix.where("id is not null").dropDuplicates(["id"]).select("id")
     survivors = text.join(left.hint("merge"), "id", "left_semi")
     without_id = text.where("id is null")
-    whole = survivors.unionByName(without_id).select("id", F.sha2("t", 256).alias("text_sha256"))
+    return survivors.unionByName(without_id).select("id", F.sha2("t", 256).alias("text_sha256"), F.xxhash64("t").alias("tag"))
+
+
+def duplicate_groups(whole: DataFrame) -> DataFrame:
+    """``text_sha256, keep_id, group_size`` of every text that two or more rows of :func:`survivor_digests` share.
+
+    Empty and null texts are equal.  ``keep_id`` is the largest id; rows whose
+    id is null count in ``group_size`` but are never kept over one with an id.
+    An empty table gives no groups.
+    """
     return whole.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64) -> DataFrame:
     """All rows and columns of ``docs`` that stay: of equal texts the largest id.
 
     Rows without a text count as empty.  Rows that repeat both id and text are
     told apart by nothing and so share one fate; rows without an id go when
     their text has a row with one, else they stay.
     """
-    marked = dedup_digest(docs, id_col, text_col).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(marked, id_col, "left_anti").select(docs.columns)
-    groups = duplicate_groups(docs, id_col, text_col).where("keep_id is not null").select(F.col("text_sha256").alias("__sha"))
-    without_id = docs.where(F.col(id_col).isNull()).withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
-    return kept.where(F.col(id_col).isNotNull()).unionByName(without_id.join(groups, "__sha", "left_anti").select(docs.columns))
+    whole = written(survivor_digests(docs, id_col, text_col, prefix_chars), "dedup-digests")
+    groups = duplicate_groups(whole).where("keep_id is not null")
+    gone = whole.join(groups.hint("merge"), "text_sha256").where(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("__id"), F.col("tag").alias("__tag")).distinct()
+    tagged = docs.withColumn("__text_tag", F.xxhash64(normalised(F.col(text_col))))
+    with_id = tagged.where(F.col(id_col).isNotNull()).join(
+        gone.where("__id is not null").hint("merge"), (F.col(id_col) == F.col("__id")) & (F.col("__text_tag") == F.col("__tag")), "left_anti"
+    )
+    without_id = tagged.where(F.col(id_col).isNull()).join(gone.where("__id is null").hint("merge"), F.col("__text_tag") == F.col("__tag"), "left_anti")
+    return with_id.unionByName(without_id).select(docs.columns)
 
 
-def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    groups = duplicate_groups(docs, id_col, text_col)
+    groups = duplicate_groups(survivor_digests(docs, id_col, text_col, prefix_chars))
     digests = docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"))
     keep = F.coalesce("keep_id", "doc_id")
     return digests.join(groups.hint("merge"), "text_sha256", "left").select(
