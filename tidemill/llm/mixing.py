@@ -129,4 +129,4 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     taken = written(mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), "lang", "source", "copies").distinct(), "mix-taken")
     taken = taken.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     same = docs["doc_id"].eqNullSafe(taken["__id"]) & (F.coalesce(docs["lang"], F.lit("unknown")) == taken["__lang"]) & (F.coalesce(docs["source"], F.lit("unknown")) == taken["__source"])
-    return docs.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    return docs.join(taken.hint("merge"), same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)

@@ -294,4 +294,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     marks = similar_documents(docs, id_col, text_col, words_per_shingle, similarity)
     gone = marks.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), id_col, "left_anti").select(docs.columns)
