@@ -209,7 +209,10 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that are kept, with their own columns; no row moves."""
-    measured = docs.select(measures(text_col).alias("m"))
-    model = _model(fit(pattern_counts(measured, "m")).first())
-    return docs.where(let(measures(text_col), lambda m: verdict(m, model)))
+    """Rows of ``docs`` that are kept, with their own columns; no row moves.
+
+    The rows are written with their measures, so that a text is measured once.
+    """
+    measured = written(docs.withColumn("__m", measures(text_col)), "quality-measured")
+    model = _model(fit(pattern_counts(measured, "__m")).first())
+    return measured.where(verdict(F.col("__m"), model)).select(docs.columns)
