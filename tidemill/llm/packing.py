@@ -40,12 +40,13 @@ class WordTokens(dict):
 
     The vocabulary collapses white space before it splits, so the ids of a text
     are those of its words in order.  A word of Latin-1 characters is taken
-    apart here by the vocabulary's rule and only new parts are encoded; any
-    other word is encoded as it is.  (The tests hold both against whole texts.)
-    The dictionary numbers the words; about ``most`` are remembered at a time.
+    apart here by the vocabulary's rule; only parts that were not met before
+    are encoded, and any other word is encoded as it is.  (The tests hold both
+    against whole texts.)  The dictionary numbers words and parts alike; about
+    ``most`` are remembered at a time.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 700_000):
         import tokenizers
 
         super().__init__()
@@ -60,17 +61,20 @@ class WordTokens(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.parts: dict[str, list[int]] = {}
         self.starts, self.lens, self.flat = array("q"), array("q"), array("I")
 
     def __missing__(self, word: bytes) -> int:
-        text, parts, ids = word.decode(), self.parts, []
+        text = word.decode()
         if text.isascii() or max(text) <= "\xff":
-            for part in LATIN_PARTS.findall(text.lower()):
-                known = parts.get(part)
-                if known is None:
-                    known = parts[part] = [t.id for t in self.tokenizer.model.tokenize(part.translate(self.spelling))]
-                ids += known
+            low = text.lower()
+            parts = LATIN_PARTS.findall(low)
+            if len(parts) == 1 and parts[0] == text:
+                ids = [t.id for t in self.tokenizer.model.tokenize(text.translate(self.spelling))]
+            else:
+                ids = []
+                for part in parts:
+                    k = self[part.encode()]
+                    ids += self.flat[self.starts[k] : self.starts[k] + self.lens[k]]
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         self[word] = number = len(self.starts)
