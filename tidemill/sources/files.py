@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_safe, safe_url
@@ -11,11 +11,15 @@ POST = "title string, body string, url string, region string, published_at strin
 TITLE_CHARS = 200
 
 
+def _strip(value) -> Column:
+    return F.btrim(value, F.lit(" \t\r\n"))
+
+
 def _posts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Mapped posts, and the rows refused for want of a title or body."""
     rows = raw.select(
-        F.substring(F.trim("title"), 1, TITLE_CHARS).alias("title"), F.trim("body").alias("body"), safe_url(F.col("url")).alias("url"),
-        F.trim("region").alias("region"), F.trim("published_at").alias("published_at"), F.trim("published_raw").alias("published_raw"),
+        F.substring(_strip("title"), 1, TITLE_CHARS).alias("title"), _strip("body").alias("body"), safe_url(F.col("url")).alias("url"),
+        _strip("region").alias("region"), _strip("published_at").alias("published_at"), _strip("published_raw").alias("published_raw"),
     )
     whole = F.coalesce((F.col("title") != "") & (F.col("body") != ""), F.lit(False))
     return rows.where(whole), rows.where(~whole)
@@ -32,10 +36,10 @@ def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """One post a file: the first line is the title, the rest the body, or all of it if there is no rest."""
-    raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value")).where(F.length("value") >= 10)
+    raw = spark.read.text(path, wholetext=True).select(_strip("value").alias("value")).where(F.length("value") >= 10)
     lines = F.split("value", "\n", 2)
-    rest = F.trim(F.coalesce(F.get(lines, F.lit(1)), F.lit("")))
-    return raw.select(F.substring(F.trim(lines[0]), 1, 120).alias("title"), F.coalesce(F.nullif(rest, F.lit("")), F.col("value")).alias("body"))
+    rest = _strip(F.coalesce(F.get(lines, F.lit(1)), F.lit("")))
+    return raw.select(F.substring(_strip(lines[0]), 1, 120).alias("title"), F.coalesce(F.nullif(rest, F.lit("")), F.col("value")).alias("body"))
 
 
 def read_sitemap(spark: SparkSession, path: str, pattern: str = r"-([0-9a-z]+)/?$") -> DataFrame:
