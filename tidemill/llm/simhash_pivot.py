@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, texts, written
@@ -247,6 +247,13 @@ def signed_prints(docs: DataFrame, id_col: str, text_col: str, words_per_shingle
     return map_arrow(docs.select(id_col, text_col), rows, "doc_id long, fp long, signature binary, bands array<long>")
 
 
+def part_tasks(parts: Column, node: Column) -> Column:
+    """The tasks a node of a bucket in ``parts`` parts goes to: one for each two parts, so that every two nodes meet."""
+    own = F.pmod(F.xxhash64(node), parts)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), parts - 1), lambda q: q != own)
+    return F.when(parts > 1, F.transform(others, lambda q: F.least(q, own) * parts + F.greatest(q, own))).otherwise(F.array(F.lit(0).cast("long")))
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, rows_a_task: int = 200_000) -> DataFrame:
     """``doc_id, component_id`` of rows whose shingle sets resemble each other by ``similarity``.
 
@@ -256,14 +263,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     0.998); in each bucket the pivot tables discard, the fingerprints' bits
     are compared, and equal places of the signatures estimate the resemblance,
     with a standard error of 0.03 at 0.8.  Equal fingerprints and signatures
-    are merged before; a crowded bucket is dealt over tasks that search their
-    own part against a shared set of its smallest nodes.
+    are merged before; a crowded bucket is cut into parts, and every two parts
+    meet in a task of their own.
     """
     most_bits = math.ceil(64 * (1 - similarity) * 1.6)
     each = written(signed_prints(docs, id_col, text_col, words_per_shingle), "signed-prints")
     prints = written(each.where("doc_id is not null").groupBy("fp", "signature").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "signed-nodes")
     dealt = prints.select(F.posexplode("bands").alias("band", "key"), "fp", "node", "signature")
-    crowd = written(dealt.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where(F.col("n") > CROWDED), "crowds").hint("merge")
+    crowd = written(dealt.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED), "crowds").hint("merge")
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(prints.count() * BANDS / rows_a_task))
     search = _search(most_bits, math.ceil(SIGNATURE * (1 / 256 + (similarity - 0.01) * 255 / 256)))
     columns = ["band", "key", "fp", "node", "signature"]
@@ -271,12 +278,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links = calm.repartition(tasks, "band", "key").sortWithinPartitions("band", "key", "node").mapInArrow(search, "u long, v long")
     crowded = dealt.join(crowd, ["band", "key"])
     if not crowd.isEmpty():
-        # A part of a crowded bucket and, in every part, its leaders: one node in so many that each part stays small.
-        parts = F.ceil(F.col("n") / CROWDED)
-        own = F.pmod(F.xxhash64("node"), parts)
-        leads = (F.pmod(F.xxhash64("node", F.lit("lead")), F.col("n")) < CROWDED // 16) | (F.col("node") == F.col("least"))
-        split = crowded.withColumn("part", F.explode(F.when(leads, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))))
-        split = split.select("band", F.xxhash64("key", "part").alias("key"), "fp", "node", "signature")
+        split = crowded.withColumn("task", F.explode(part_tasks(F.ceil(F.col("n") / CROWDED), F.col("node"))))
+        split = split.select("band", F.xxhash64("key", "task").alias("key"), "fp", "node", "signature")
         links = links.unionByName(split.repartition(tasks, "band", "key").sortWithinPartitions("band", "key", "node").mapInArrow(search, "u long, v long"))
     joined = components(links)
     named = written(prints.join(joined, "node", "left").select("fp", "signature", F.coalesce("component", "node").alias("component_id")), "similar-components")
