@@ -113,10 +113,37 @@ class Near:
             near[near] = (self.signatures[a[near]] == self.signatures[b[near]]).sum(axis=1) >= self.least_equal
         return near
 
+    def __len__(self) -> int:
+        return len(self.fps)
 
-def bucket_links(near_pairs: Near, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+class Alike:
+    """Decides which pairs of rows resemble each other by ``similarity``: equal places of the signatures
+    discard, the sets of shingles decide."""
+
+    def __init__(self, signatures: np.ndarray, sets: list[np.ndarray], least_equal: int, similarity: float):
+        self.signatures, self.sets, self.least_equal, self.similarity = signatures, sets, least_equal, similarity
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        alike = (self.signatures[a] == self.signatures[b]).sum(axis=1) >= self.least_equal
+        for i in np.flatnonzero(alike).tolist():
+            alike[i] = resemblance(self.sets[a[i]], self.sets[b[i]]) >= self.similarity
+        return alike
+
+    def __len__(self) -> int:
+        return len(self.sets)
+
+
+def resemblance(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays of distinct hashes, neither empty."""
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def bucket_links(near_pairs: Near | Alike, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions (a, b) of links that span each bucket's components; buckets begin at ``starts``."""
-    sizes = np.diff(np.append(starts, len(near_pairs.fps)))
+    sizes = np.diff(np.append(starts, len(near_pairs)))
     out_a, out_b = [], []
     small = (sizes > 1) & (sizes <= 6)
     for d in range(1, 6):
@@ -139,15 +166,21 @@ def bucket_links(near_pairs: Near, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _search(most_bits: int, least_equal: int = 0):
-    """Links of rows ``band, key, fp, node`` (and ``signature``) sorted by bucket."""
+def _search(most_bits: int, least_equal: int = 0, similarity: float = 0.0):
+    """Links of rows ``band, key, fp, node`` (and ``signature``, and ``shingles``) sorted by bucket."""
 
     def links(part: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
         signatures = part[4].view(np.uint8).reshape(-1, SIGNATURE) if len(part) > 4 else None
-        a, b = bucket_links(Near(part[2].view(np.uint64), most_bits, signatures, least_equal), starts)
+        if len(part) > 5:
+            near_pairs = Alike(signatures, [np.frombuffer(x, "<u8") for x in part[5]], least_equal, similarity)
+        else:
+            near_pairs = Near(part[2].view(np.uint64), most_bits, signatures, least_equal)
+        a, b = bucket_links(near_pairs, starts)
         return pa.RecordBatch.from_arrays([pa.array(part[3][a]), pa.array(part[3][b])], names=["u", "v"])
 
-    def column(c: pa.Array) -> np.ndarray:
+    def column(c: pa.Array, at: int) -> np.ndarray:
+        if at == 5:
+            return np.array([*c.to_pylist(), None], object)[:-1]
         if pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type):
             return np.array(c.to_pylist(), f"V{SIGNATURE}")
         return c.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -155,7 +188,7 @@ def _search(most_bits: int, least_equal: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = []
         for batch in batches:
-            part = [column(c) for c in batch.columns]
+            part = [column(c, at) for at, c in enumerate(batch.columns)]
             part = [np.concatenate([r, p]) for r, p in zip(rest, part, strict=True)] if rest else part
             new = np.flatnonzero((np.diff(part[0]) != 0) | (np.diff(part[1]) != 0)) + 1
             if len(new):  # the last bucket may go on in the next batch
@@ -224,27 +257,51 @@ SHIFTS = _RANDOM.integers(0, 2**63, SIGNATURE, np.uint64)
 BANDS = 12
 
 
+def shingle_set(text: str, words_per_shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    blocks = list(shingle_hashes(text, words_per_shingle))
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, "<u8")
+
+
 def signed_prints(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int) -> DataFrame:
-    """``doc_id, fp, signature, bands``; a text without words has no bands."""
+    """``doc_id, tag, size, fp, signature, bands`` of each text's set of shingles; a text without words has no bands.
+
+    ``tag`` is a hash of the text and ``size`` the number of its distinct shingles.
+    """
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, signatures, bands = [], [], []
+        fps, signatures, bands, sizes = [], [], [], []
         for text in texts(batch.column(1)):
+            hashes = shingle_set(text, words_per_shingle)
             bits, least = Majority(), np.full(SIGNATURE, 2**64 - 1, np.uint64)
-            for hashes in shingle_hashes(text, words_per_shingle):
-                bits.add(hashes)
-                for lo in range(0, len(hashes), 256):
-                    least = np.minimum(least, (hashes[lo : lo + 256, None] * FACTORS + SHIFTS).min(axis=0))
+            for lo in range(0, len(hashes), 256):
+                bits.add(hashes[lo : lo + 256])
+                least = np.minimum(least, (hashes[lo : lo + 256, None] * FACTORS + SHIFTS).min(axis=0))
             fps.append(bits.value())
             signatures.append((least & np.uint64(255)).astype(np.uint8).tobytes())  # of the least: its high bits are always near zero
             keys = [xxhash.xxh64_intdigest(least[ROWS * k : ROWS * (k + 1)].tobytes(), k) - 2**63 for k in range(BANDS)]
             bands.append(keys if bits.n else [])
+            sizes.append(len(hashes))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            names=["doc_id", "fp", "signature", "bands"],
+            [
+                batch.column(0).cast(pa.int64()), batch.column(2), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)),
+                pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
+            ],
+            names=["doc_id", "tag", "size", "fp", "signature", "bands"],
         )
 
-    return map_arrow(docs.select(id_col, text_col), rows, "doc_id long, fp long, signature binary, bands array<long>")
+    source = docs.select(id_col, text_col, F.xxhash64(text_col))
+    return map_arrow(source, rows, "doc_id long, tag long, size long, fp long, signature binary, bands array<long>")
+
+
+def with_shingles(rows: DataFrame, words_per_shingle: int) -> DataFrame:
+    """``band, key, fp, node, signature, shingles`` from the same columns with a text in the last one's place."""
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_set(t, words_per_shingle).tobytes() for t in texts(batch.column(5))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, pa.binary())], names=["band", "key", "fp", "node", "signature", "shingles"])
+
+    return map_arrow(rows, sets, "band long, key array<long>, fp long, node long, signature binary, shingles binary")
 
 
 def part_tasks(parts: Column, node: Column) -> Column:
@@ -258,35 +315,52 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``doc_id, component_id`` of rows whose shingle sets resemble each other by ``similarity``.
 
     At this similarity fingerprints differ in up to a third of their bits, too
-    many for blocks of equal bits to find.  Pairs come from bands of shingle
-    minima instead (a pair at 0.8 shares one of the twelve with probability
-    0.998); in each bucket the pivot tables discard, the fingerprints' bits
-    are compared, and equal places of the signatures estimate the resemblance,
-    with a standard error of 0.03 at 0.8.  Equal fingerprints and signatures
-    are merged before; a crowded bucket is cut into parts, and every two parts
-    meet in a task of their own.
+    many for blocks of equal bits to find.  Candidates come from bands of
+    shingle minima instead (a pair at 0.8 shares one of the twelve with
+    probability 0.998); in each shared bucket pivot tables, bits and signatures
+    discard with bounds five standard errors wide.  Texts that candidate pairs
+    hold together form a group, and in a group the sets of shingles themselves
+    decide.  Equal fingerprints and signatures are merged before; a crowded
+    bucket or group is cut into parts, and every two parts meet in a task of
+    their own.
     """
-    most_bits = math.ceil(64 * (1 - similarity) * 1.6)
+    most_bits = math.ceil(64 * (1 - similarity) * 2.2)  # five standard errors, also at five shingles against four
+    least_equal = math.floor(SIGNATURE * (similarity - 0.15))
     each = written(signed_prints(docs, id_col, text_col, words_per_shingle), "signed-prints")
-    prints = written(each.where("doc_id is not null").groupBy("fp", "signature").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "signed-nodes")
-    dealt = prints.select(F.posexplode("bands").alias("band", "key"), "fp", "node", "signature")
-    crowd = written(dealt.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED), "crowds").hint("merge")
+    first = F.min(F.struct("doc_id", "tag", "size")).alias("r")
+    prints = each.where("doc_id is not null").groupBy("fp", "signature").agg(first, F.first("bands").alias("bands"))
+    prints = written(prints.select("fp", "signature", F.col("r.doc_id").alias("node"), "r.tag", "r.size", "bands"), "signed-nodes")
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(prints.count() * BANDS / rows_a_task))
-    search = _search(most_bits, math.ceil(SIGNATURE * (1 / 256 + (similarity - 0.01) * 255 / 256)))
-    columns = ["band", "key", "fp", "node", "signature"]
-    calm = dealt.join(crowd.select("band", "key"), ["band", "key"], "left_anti").select(columns)
-    links = calm.repartition(tasks, "band", "key").sortWithinPartitions("band", "key", "node").mapInArrow(search, "u long, v long")
-    crowded = dealt.join(crowd, ["band", "key"])
-    if not crowd.isEmpty():
-        split = crowded.withColumn("task", F.explode(part_tasks(F.ceil(F.col("n") / CROWDED), F.col("node"))))
-        split = split.select("band", F.xxhash64("key", "task").alias("key"), "fp", "node", "signature")
-        links = links.unionByName(split.repartition(tasks, "band", "key").sortWithinPartitions("band", "key", "node").mapInArrow(search, "u long, v long"))
-    joined = components(links)
+    # Signatures only move to buckets of two rows and more.
+    thin = prints.select(F.posexplode("bands").alias("band", "key"), "node", "tag")
+    shared = thin.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").hint("merge")
+    shared = written(thin.join(shared, ["band", "key"]), "shared-buckets")
+    dealt = shared.join(prints.select("node", "tag", "fp", "signature").hint("merge"), ["node", "tag"])
+    dealt = dealt.withColumn("task", F.explode(part_tasks(F.ceil(F.col("n") / CROWDED), F.col("node"))))
+    dealt = dealt.select("band", F.xxhash64("key", "task").alias("key"), "fp", "node", "signature")
+    links = dealt.repartition(tasks, "band", "key").sortWithinPartitions("band", "key", "node").mapInArrow(_search(most_bits, least_equal), "u long, v long")
+    joined = components(verified(docs, prints, components(links), id_col, text_col, words_per_shingle, similarity, least_equal, tasks))
     named = written(prints.join(joined, "node", "left").select("fp", "signature", F.coalesce("component", "node").alias("component_id")), "similar-components")
     return each.join(named, ["fp", "signature"], "left").select("doc_id", "component_id")
 
 
+def verified(
+    docs: DataFrame, prints: DataFrame, groups: DataFrame, id_col: str, text_col: str, words_per_shingle: int, similarity: float, least_equal: int, tasks: int
+) -> DataFrame:
+    """Links ``u, v`` that span each group's texts of ``similarity``; groups: ``node, component``."""
+    members = written(prints.drop("bands").join(groups.hint("merge"), "node"), "members")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / CROWDED, F.sum("size") / CROWDED_SHINGLES))
+    members = members.join(members.groupBy("component").agg(parts.alias("parts")).hint("merge"), "component")
+    texts_of = docs.select(F.col(id_col).cast("long").alias("node"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
+    rows = texts_of.join(members.hint("merge"), ["node", "tag"])
+    key = part_tasks(F.col("parts"), F.col("node"))
+    sets = with_shingles(rows.select(F.col("component").alias("band"), key.alias("key"), "fp", "node", "signature", "text"), words_per_shingle)
+    dealt = sets.withColumn("key", F.explode("key")).repartition(tasks, "band", "key").sortWithinPartitions("band", "key", "node")
+    return dealt.mapInArrow(_search(0, least_equal, similarity), "u long, v long")
+
+
 CROWDED = 4096
+CROWDED_SHINGLES = 4_000_000
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
