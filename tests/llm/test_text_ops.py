@@ -30,14 +30,10 @@ def test_measures_against_brute_force(docs, doc_rows):
     assert got == {r[0]: brute_measures(r[1]) for r in doc_rows}
 
 
-def test_em_against_numpy(docs):
-    """The fit of Spark's nested arrays equals the same recurrences in numpy."""
-    measured = docs.select(quality_rules.measures("text").alias("m"))
-    counts = quality_rules.pattern_counts(measured, "m").collect()
-    v, n = np.array([r.v for r in counts]), np.array([r.n for r in counts], float)
+def em_in_numpy(v, n):
+    """The same recurrences as the fit of Spark's nested arrays."""
     rates = {k: np.array(x) for k, x in quality_rules.PRIOR.items()}
-    pi = quality_rules.PRIOR_GOOD[0]
-    total = n.sum() + 1
+    pi, strength = quality_rules.PRIOR_GOOD, quality_rules.STRENGTH
 
     def odds():
         def one(x, g, b):
@@ -48,21 +44,80 @@ def test_em_against_numpy(docs):
 
     for _ in range(quality_rules.ROUNDS):
         g = n / (1 + np.exp(-odds()))
-        new = {}
-        for name in quality_rules.RATES:
-            side, strength = name.split("_")[0], quality_rules.STRENGTH[name.split("_")[0]]
-            share = g if side == "good" else n - g
-            hit = ((v == (1 if name.endswith("up") else -1)) * share[:, None]).sum(axis=0)
-            new[name] = (hit + np.array(quality_rules.PRIOR[name]) * strength * total) / (share.sum() + strength * total)
-        mean, strength = quality_rules.PRIOR_GOOD
-        pi = (g.sum() + mean * strength * total) / (total * (1 + strength))
-        rates = new
+        size = {"good": g.sum() + strength, "bad": (n - g).sum() + strength}
+        for kind, sign in (("up", 1), ("down", -1)):
+            hits = {c: ((v == sign) * w[:, None]).sum(axis=0) + np.array(quality_rules.PRIOR[f"{c}_{kind}"]) * strength for c, w in (("good", g), ("bad", n - g))}
+            x, y, both = hits["good"] / size["good"], hits["bad"] / size["bad"], (hits["good"] + hits["bad"]) / (size["good"] + size["bad"])
+            right = x >= y if kind == "up" else x <= y
+            rates[f"good_{kind}"], rates[f"bad_{kind}"] = np.where(right, x, both), np.where(right, y, both)
+        pi = (g.sum() + quality_rules.PRIOR_GOOD * strength) / (n.sum() + strength)
+    return pi, rates
+
+
+def test_em_against_numpy(docs):
+    measured = docs.select(quality_rules.measures("text").alias("m"))
+    counts = quality_rules.pattern_counts(measured, "m").collect()
+    pi, rates = em_in_numpy(np.array([r.v for r in counts]), np.array([r.n for r in counts], float))
     row = quality_rules.fit(quality_rules.pattern_counts(measured, "m")).first()
     assert row.pi == pytest.approx(pi, rel=1e-9)
     for k in quality_rules.RATES:
         assert list(row[k]) == pytest.approx(list(rates[k]), rel=1e-6, abs=1e-12)
 
 
+@pytest.fixture(scope="module")
+def pattern_rows(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", quality_rules.votes(quality_rules.measures("text")).alias("v"))
+    return documents.collect()
+
+
+def verdicts(spark, rows):
+    """The model and the posterior of each row's votes, by Spark."""
+    df = spark.createDataFrame([(r, v) for r, v in rows], "doc_id long, v array<int>").coalesce(2)
+    model = quality_rules._model(quality_rules.fit(df.groupBy("v").count().withColumnRenamed("count", "n")).first())
+    return model, {r.doc_id: r.p >= 0.5 for r in df.select("doc_id", quality_rules.posterior(df.v, model).alias("p")).collect()}
+
+
+def weight(spark, model, rule):
+    """How far an objection of one rule on its own moves the log-odds."""
+    quiet = [0] * quality_rules.RULES
+    loud = [-1 if j == rule else 0 for j in range(quality_rules.RULES)]
+    one = spark.range(1)
+    a, b = one.select(*[quality_rules._log_odds(quality_rules.F.array(*map(quality_rules.F.lit, x)), model) for x in (quiet, loud)]).first()
+    return a - b
+
+
+def test_verdicts_follow_the_data(spark, pattern_rows):
+    """A rule that objects at random loses its weight, and the texts that it alone objects to are kept."""
+    rng = np.random.default_rng(1)
+    plain = [(r.doc_id, list(r.v)) for r in pattern_rows]
+    model, _ = verdicts(spark, plain)
+    for rule in (2, 5, 7):
+        hit = rng.random(len(plain)) < 0.3
+        noisy = [(d, [-1 if j == rule and h else x for j, x in enumerate(v)]) for (d, v), h in zip(plain, hit, strict=True)]
+        noisy_model, kept = verdicts(spark, noisy)
+        assert weight(spark, noisy_model, rule) < 0.5 * weight(spark, model, rule)
+        alone = [d for (d, v), h in zip(plain, hit, strict=True) if h and -1 not in v]
+        assert len(alone) > 100 and np.mean([kept[d] for d in alone]) > 0.97
+
+
+def test_a_source_of_a_third_of_the_rows_is_not_rejected_by_one_rule(spark, pattern_rows):
+    for rule in (0, 3, 6):
+        rows = [(r.doc_id, [-1 if j == rule and r.doc_id % 3 == 0 else x for j, x in enumerate(r.v)]) for r in pattern_rows]
+        _, kept = verdicts(spark, rows)
+        clean = [r.doc_id for r in pattern_rows if -1 not in r.v]
+        assert np.mean([kept[d] for d in clean if d % 3 == 0]) > 0.97 and np.mean([kept[d] for d in clean if d % 3]) > 0.97
+
+
+def test_learned_accuracies_change_verdicts(spark, pattern_rows):
+    """Under the beliefs alone some texts are judged otherwise than under what EM makes of them."""
+    plain = [(r.doc_id, list(r.v)) for r in pattern_rows]
+    _, kept = verdicts(spark, plain)
+    df = spark.createDataFrame(plain, "doc_id long, v array<int>")
+    start = quality_rules._model({"pi": quality_rules.PRIOR_GOOD, **quality_rules.PRIOR})
+    before = {r.doc_id: r.p >= 0.5 for r in df.select("doc_id", quality_rules.posterior(df.v, start).alias("p")).collect()}
+    assert sum(before[d] != kept[d] for d in kept) > 0
+
+
 def test_verdict_follows_posterior_and_base(docs, empty):
     rows = quality_rules.score_quality(docs).collect()
     assert all(r.kept == (not r.base_failed and r.p_good >= 0.5) for r in rows)

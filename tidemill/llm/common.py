@@ -16,12 +16,14 @@ _own_root: list[str] = []
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests on one machine) is a folder
-    made here.
+    Only where the session leaves it unset and everything runs on one machine
+    (tests) is a folder made here; executors elsewhere could not read it.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="spark-"))
     return "file://" + _own_root[0]
@@ -49,9 +51,57 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], s
 
 
 def texts(column: pa.Array) -> Iterator[str]:
-    """Texts one at a time, null as empty, without a list of the whole batch."""
-    for value in column:
-        yield value.as_py() or ""
+    """Texts one at a time, null as empty, without a list of the whole batch.
+
+    Bytes that are no UTF-8 are read as U+FFFD.
+    """
+    for value in column.cast(pa.binary()):
+        yield (value.as_py() or b"").decode(errors="replace")
+
+
+def in_parts(items: Iterator, most_items: int, most_size: int) -> Iterator[list]:
+    """Lists of consecutive sized items, each of at most ``most_items`` and, but for its last, under ``most_size`` in all."""
+    part, size = [], 0
+    for item in items:
+        part.append(item)
+        size += len(item)
+        if len(part) >= most_items or size >= most_size:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def boxed(docs: DataFrame, **more: Column) -> DataFrame:
+    """``docs`` with all its columns in a struct ``row`` beside ``more``, so that no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in more.items()])
+
+
+#: Words of a bitmap of marks: what is broadcast never exceeds so many rows of two longs.
+MARK_WORDS = 1 << 19
+
+
+def _mark(keys: list[Column]) -> tuple[Column, Column]:
+    """Word and bit of the keys in a bitmap of MARK_WORDS words."""
+    place = F.pmod(F.xxhash64(*keys, F.lit("mark")), F.lit(64 * MARK_WORDS))
+    return F.floor(place / 64).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+
+
+def bitmap(keys: DataFrame) -> DataFrame:
+    """``word, bits``: a bitmap of the hashes of ``keys``' rows, at most MARK_WORDS rows whatever the input's size."""
+    word, bit = _mark([F.col(c) for c in keys.columns])
+    return keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def marked(rows: DataFrame, marks: DataFrame, *keys: Column) -> DataFrame:
+    """``rows`` with ``mark``: false where the keys are surely not among those of the bitmap.
+
+    No row moves: the bitmap is broadcast, and its size is bounded.  The fuller
+    the bitmap, the more rows are marked that need not be; none is missed.
+    """
+    word, bit = _mark(list(keys))
+    found = rows.withColumn("_word", word).join(F.broadcast(marks.withColumnsRenamed({"word": "_w", "bits": "_bits"})), F.col("_word") == F.col("_w"), "left")
+    return found.withColumn("mark", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_w", "_bits")
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -79,3 +129,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """
     picked = hashed_sample(labels.where("label is not null"), "id", ["label"], most)
     return docs.where("text is not null").join(F.broadcast(picked), "id")
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id is not in ``gone(id)``; only rows that may have to go are shuffled."""
+    gone = written(gone.select("id").distinct(), "gone")
+    marks = written(bitmap(gone), "gone-marks")
+    rows = marked(boxed(docs, id=F.col(id_col).cast(gone.schema["id"].dataType)), marks, F.col("id"))
+    stay = rows.where("mark").join(gone, "id", "left_anti")
+    return rows.where(~F.col("mark")).select("row.*").unionByName(stay.select("row.*"))

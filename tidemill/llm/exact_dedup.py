@@ -1,11 +1,12 @@
 """Exact deduplication by progressive refinement.
 
-Rows are grouped by length, then by a hash of a short prefix, and only rows
-still in a group of two or more have their whole text hashed.  The two first
-stages move only ids, lengths and prefix hashes.  Every grouping is an
-aggregate with map-side combining, so a text that a third of the rows repeat
-reaches the reducers as one row per task; the joins back are plain equi-joins
-whose hot side the adaptive planner can split.
+Lengths are counted first, then hashes of a short prefix among the rows whose
+length repeats, and only rows that still share both have their whole text
+hashed.  What one step finds reaches the next as a bitmap of bounded size, so
+no text and no row is shuffled to be told that it goes on; a row that the
+bitmap lets through by chance is hashed in vain and changes nothing.  Every
+grouping is an aggregate with map-side combining, so a text that a third of
+the rows repeat reaches the reducers as one row per task.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bitmap, boxed, marked, written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -24,23 +25,19 @@ def normalised(text: Column) -> Column:
 
 
 def _repeated(df: DataFrame, keys: list[str]) -> DataFrame:
-    # Merge joins at every size: their hot partitions can be split, and what is moved grows evenly.
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys).hint("merge")
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
 
 
 def survivor_digests(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> DataFrame:
-    """``id, text_sha256, tag`` of the rows whose length and prefix another row shares; tag: a short hash of the text."""
+    """``id, text_sha256, tag`` of all rows whose length and prefix another row shares; tag: a short hash of the text."""
     text = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("t"))
-    short = written(
-        text.select("id", F.octet_length("t").alias("len"), F.xxhash64(F.substring("t", 1, prefix_chars)).alias("prefix")), "dedup-short"
-    )
-    by_len = short.join(_repeated(short, ["len"]), "len", "left_semi")
-    by_prefix = written(by_len.join(_repeated(by_len, ["len", "prefix"]), ["len", "prefix"], "left_semi").select("id", "len"), "dedup-prefix")
-    # Only the survivors' content is read on; ids spread evenly, so this exchange has no hot key.
-    left = by_prefix.where("id is not null").dropDuplicates(["id"]).select("id")
-    survivors = text.join(left.hint("merge"), "id", "left_semi")
-    without_id = text.where("id is null")
-    return survivors.unionByName(without_id).select("id", F.sha2("t", 256).alias("text_sha256"), F.xxhash64("t").alias("tag"))
+    rows = text.select("id", "t", F.octet_length("t").alias("len"), F.xxhash64(F.substring("t", 1, prefix_chars)).alias("prefix"))
+    short = written(rows.select("len", "prefix"), "dedup-short")
+    lengths = bitmap(_repeated(short, ["len"]))
+    likely = marked(short, lengths, F.col("len")).where("mark")
+    both = written(bitmap(_repeated(likely, ["len", "prefix"])), "dedup-marks")
+    left = marked(rows, both, F.col("len"), F.col("prefix")).where("mark")
+    return left.select("id", F.sha2("t", 256).alias("text_sha256"), F.xxhash64("t").alias("tag"))
 
 
 def duplicate_groups(whole: DataFrame) -> DataFrame:
@@ -53,33 +50,53 @@ def duplicate_groups(whole: DataFrame) -> DataFrame:
     return whole.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, share: int = 1000) -> DataFrame:
+    """``rows`` (id, text_sha256, ...) with ``keep_id`` and ``group_size``, null for texts that stand alone.
+
+    Groups of more than one in ``share`` of all grouped rows are fewer than
+    ``share`` and are broadcast; their rows keep keys of their own in the join
+    with the other groups, so no task gets more than its part.
+    """
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    large = groups.where(F.col("group_size") * share > total).select("text_sha256", F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size"))
+    first = rows.join(F.broadcast(large), "text_sha256", "left")
+    own = F.when(F.col("_size").isNotNull(), F.concat(F.lit("#"), F.coalesce(F.col("id"), F.rand()).cast("string"))).otherwise(F.col("text_sha256"))
+    both = first.withColumn("_key", own).join(groups.withColumnRenamed("text_sha256", "_key"), "_key", "left")
+    in_large = F.col("_size").isNotNull()
+    return both.select(
+        *rows.columns, F.when(in_large, F.col("_keep")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("_size", "group_size").alias("group_size")
+    )
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64) -> DataFrame:
     """All rows and columns of ``docs`` that stay: of equal texts the largest id.
 
     Rows without a text count as empty.  Rows that repeat both id and text are
     told apart by nothing and so share one fate; rows without an id go when
-    their text has a row with one, else they stay.
+    their text has a row with one, else they stay.  Only rows that may have to
+    go are shuffled with their text.
     """
     whole = written(survivor_digests(docs, id_col, text_col, prefix_chars), "dedup-digests")
-    groups = duplicate_groups(whole).where("keep_id is not null")
-    gone = whole.join(groups.hint("merge"), "text_sha256").where(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("__id"), F.col("tag").alias("__tag")).distinct()
-    tagged = docs.withColumn("__text_tag", F.xxhash64(normalised(F.col(text_col))))
-    with_id = tagged.where(F.col(id_col).isNotNull()).join(
-        gone.where("__id is not null").hint("merge"), (F.col(id_col) == F.col("__id")) & (F.col("__text_tag") == F.col("__tag")), "left_anti"
-    )
-    without_id = tagged.where(F.col(id_col).isNull()).join(gone.where("__id is null").hint("merge"), F.col("__text_tag") == F.col("__tag"), "left_anti")
-    return with_id.unionByName(without_id).select(docs.columns)
+    groups = written(duplicate_groups(whole), "dedup-groups")
+    gone = with_groups(whole, groups).where(F.col("keep_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "tag").distinct()
+    gone = written(gone, "dedup-gone")
+    marks = written(bitmap(gone.select("id")), "dedup-gone-marks")
+    rows = marked(boxed(docs, id=F.col(id_col)), marks, F.col("id"))
+    doubted = rows.where("mark").withColumn("tag", F.xxhash64(normalised(F.col(f"row.`{text_col}`"))))
+    gone = gone.withColumnsRenamed({"id": "gone_id", "tag": "gone_tag"})
+    stay = doubted.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("tag") == F.col("gone_tag")), "left_anti")
+    return rows.where(~F.col("mark")).select("row.*").unionByName(stay.select("row.*"))
 
 
 def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    groups = duplicate_groups(survivor_digests(docs, id_col, text_col, prefix_chars))
-    digests = docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"))
-    keep = F.coalesce("keep_id", "doc_id")
-    return digests.join(groups.hint("merge"), "text_sha256", "left").select(
-        "doc_id",
+    groups = written(duplicate_groups(survivor_digests(docs, id_col, text_col, prefix_chars)), "dedup-groups")
+    digests = docs.select(F.col(id_col).alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"))
+    keep = F.coalesce("keep_id", "id")
+    return with_groups(digests, groups).select(
+        F.col("id").alias("doc_id"),
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        F.col("id").eqNullSafe(keep).alias("kept"),
         "text_sha256",
     )

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import boxed, written
 
 LEVELS = ("domain", "lang", "source")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -75,6 +75,43 @@ def _place(epoch: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
 
 
+def leaf_of(docs: DataFrame, text_col: str) -> dict[str, Column]:
+    """A document's leaf and its number of tokens."""
+    return {
+        "domain": default_domain(F.col("source")),
+        "lang": F.coalesce("lang", F.lit("unknown")),
+        "source": F.coalesce("source", F.lit("unknown")),
+        "n_tokens": F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long"),
+    }
+
+
+def leaf_plan(rows: DataFrame, budget_share: float, max_epochs: int, weights: dict[str, dict[str, float]] | None) -> DataFrame:
+    """``domain, lang, source, budget, whole, buckets, rest`` of every leaf: whole epochs, and the tokens left for one more."""
+    weights = {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS} if weights is None else weights
+    leaves = written(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")), "mix-leaves")
+    total = (leaves.agg(F.sum("tokens")).first()[0] or 0) * budget_share
+    plan = leaf_budgets(leaves, total, max_epochs, weights)
+    whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.greatest("tokens", F.lit(1)))).otherwise(0).cast("long")
+    columns = [*LEVELS, "budget", whole.alias("whole"), F.ceil(F.sqrt("n_docs")).alias("buckets"), (F.col("budget") - whole * F.col("tokens")).alias("rest")]
+    return written(plan.select(*columns), "mix-plan")
+
+
+def taken(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """``rows`` (doc_id, leaf, n_tokens) with ``place, whole, budget`` and ``extra``: whether the leaf's prefix reaches them."""
+    placed = rows.join(plan, list(LEVELS)).withColumn("place", _place(F.col("whole"), seed))
+    placed = placed.withColumn("bucket", F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * F.col("buckets") / F.lit(2**32)).cast("long"))
+    sums = placed.groupBy(*LEVELS, "bucket", "rest").agg(F.sum("n_tokens").alias("b_tokens"))
+    upto = F.sum("b_tokens").over(Window.partitionBy(*LEVELS).orderBy("bucket"))
+    ends = written(sums.withColumn("b_end", upto).select(*LEVELS, "bucket", "b_end", (F.col("b_end") - F.col("b_tokens")).alias("b_start")), "mix-buckets")
+    out = [*rows.columns, "place", "whole", "budget"]
+    both = placed.join(ends, [*LEVELS, "bucket"])
+    crossing = (F.col("b_start") <= F.col("rest")) & (F.col("rest") < F.col("b_end"))
+    clear = both.where(~crossing).select(*out, (F.col("b_end") <= F.col("rest")).alias("extra"))
+    order = Window.partitionBy(*LEVELS, "bucket").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = F.col("b_start") + F.sum("n_tokens").over(order) <= F.col("rest")
+    return clear.unionByName(both.where(crossing).select(*out, inside.alias("extra")))
+
+
 def mix(
     docs: DataFrame,
     budget_share: float = 0.8,
@@ -91,42 +128,33 @@ def mix(
     Rows that repeat an id have the same place and are taken together or not
     at all.  An empty table gives an empty result.
     """
-    weights = {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS} if weights is None else weights
-    named = docs.select("doc_id", F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.col(text_col).alias("__text"))
-    rows = written(
-        named.select(
-            "doc_id",
-            default_domain(F.col("__source")).alias("domain"),
-            F.coalesce("__lang", F.lit("unknown")).alias("lang"),
-            F.coalesce("__source", F.lit("unknown")).alias("source"),
-            F.regexp_count(F.coalesce("__text", F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"),
-        ),
-        "mix-rows",
-    )
-    leaves = written(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")), "mix-leaves")
-    total = (leaves.agg(F.sum("tokens")).first()[0] or 0) * budget_share
-    plan = leaf_budgets(leaves, total, max_epochs, weights)
-    whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.greatest("tokens", F.lit(1)))).otherwise(0).cast("long")
-    plan = written(
-        plan.select(*LEVELS, "budget", whole.alias("whole"), F.ceil(F.sqrt("n_docs")).alias("buckets"), (F.col("budget") - whole * F.col("tokens")).alias("rest")), "mix-plan"
-    )
-    placed = rows.join(plan, list(LEVELS)).withColumn("place", _place(F.col("whole"), seed))
-    placed = placed.withColumn("bucket", F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * F.col("buckets") / F.lit(2**32)).cast("long"))
-    sums = placed.groupBy(*LEVELS, "bucket", "rest").agg(F.sum("n_tokens").alias("b_tokens"))
-    upto = F.sum("b_tokens").over(Window.partitionBy(*LEVELS).orderBy("bucket"))
-    ends = written(sums.withColumn("b_end", upto).select(*LEVELS, "bucket", "b_end", (F.col("b_end") - F.col("b_tokens")).alias("b_start")), "mix-buckets")
-    marked = placed.join(ends, [*LEVELS, "bucket"])
-    out = ["doc_id", *LEVELS, "n_tokens", F.col("budget").alias("leaf_budget")]
-    crossing = (F.col("b_start") < F.col("rest")) & (F.col("rest") < F.col("b_end"))
-    clear = marked.where(~crossing).select(*out, (F.col("whole") + (F.col("b_end") <= F.col("rest")).cast("long")).alias("copies"))
-    order = Window.partitionBy(*LEVELS, "bucket").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = F.col("b_start") + F.sum("n_tokens").over(order) <= F.col("rest")
-    return clear.unionByName(marked.where(crossing).select(*out, (F.col("whole") + inside.cast("long")).alias("copies")))
+    leaf = leaf_of(docs, text_col)
+    rows = written(docs.select("doc_id", *[leaf[k].alias(k) for k in leaf]), "mix-rows")
+    found = taken(rows, leaf_plan(rows, budget_share, max_epochs, weights), seed)
+    return found.select("doc_id", *LEVELS, "n_tokens", F.col("budget").alias("leaf_budget"), (F.col("whole") + F.col("extra").cast("long")).alias("copies"))
+
 
+def mix_documents(
+    docs: DataFrame,
+    budget_share: float = 0.8,
+    max_epochs: int = 2,
+    seed: int = 17,
+    weights: dict[str, dict[str, float]] | None = None,
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows and columns of ``docs``, each row as often as :func:`mix` takes it.
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as :func:`mix` takes it."""
-    taken = written(mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), "lang", "source", "copies").distinct(), "mix-taken")
-    taken = taken.withColumnsRenamed({"lang": "__lang", "source": "__source"})
-    same = docs["doc_id"].eqNullSafe(taken["__id"]) & (F.coalesce(docs["lang"], F.lit("unknown")) == taken["__lang"]) & (F.coalesce(docs["source"], F.lit("unknown")) == taken["__source"])
-    return docs.join(taken.hint("merge"), same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    A leaf takes its whole epochs and every document up to the last place that
+    its prefix reaches, so the texts only meet a table with a row for each
+    leaf; none is shuffled by its id.
+    """
+    leaf = leaf_of(docs, text_col)
+    rows = written(docs.select("doc_id", *[leaf[k].alias(k) for k in leaf]), "mix-rows")
+    plan = leaf_plan(rows, budget_share, max_epochs, weights)
+    last = taken(rows, plan, seed).where("extra").groupBy(*LEVELS).agg(F.max("place").alias("last_place"))
+    cut = written(plan.join(last, list(LEVELS), "left").select(*LEVELS, "whole", "last_place"), "mix-cuts")
+    names = {k: leaf[k] for k in LEVELS}
+    placed = boxed(docs, doc_id=F.col("doc_id"), **names).join(cut, list(LEVELS))
+    extra = F.coalesce(_place(F.col("whole"), seed) <= F.col("last_place"), F.lit(False)).cast("long")
+    copies = F.sequence(F.lit(1).cast("long"), F.col("whole") + extra)
+    return placed.where(F.col("whole") + extra > 0).select("row", F.explode(copies)).select("row.*")

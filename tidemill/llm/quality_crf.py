@@ -19,12 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import labelled_sample, map_arrow
+from .common import in_parts, labelled_sample, map_arrow, texts
 
 SYMBOLS, UPPER, DIGITS, SHOUT = b"#*$%&|<>~^_=@\\{}[]", bytes(range(65, 91)), b"0123456789", b"!?"
 OWN = 13
 FEATURES = 3 * OWN
 THRESHOLD = 0.3
+CELLS = 60_000  # lines, with padding, that run side by side; a longer document runs alone
 
 
 def line_measures(line: bytes, seen: set[bytes]) -> tuple[float, ...]:
@@ -58,6 +59,16 @@ def document_lines(text: str) -> tuple[np.ndarray, np.ndarray]:
     return own, np.fromiter(map(len, lines), np.float64, len(lines))
 
 
+class MeasuredLines:
+    """A document's line measures and lengths; its size is its number of lines."""
+
+    def __init__(self, text: str):
+        self.own, self.lengths = document_lines(text)
+
+    def __len__(self) -> int:
+        return len(self.lengths)
+
+
 def with_neighbours(own: np.ndarray) -> np.ndarray:
     """Each line's measures beside those of the lines before and after it, zero at the ends."""
     x = np.zeros((len(own), FEATURES))
@@ -88,7 +99,7 @@ class LineField:
                 k += 1
                 continue
             end = k
-            while end < len(order) and len(evidence[order[end]]) <= 1.5 * len(evidence[order[k]]) + 4 and end - k < 1000:
+            while end < len(order) and len(evidence[order[end]]) <= 1.5 * len(evidence[order[k]]) + 4 and (end - k) * len(evidence[order[end]]) < CELLS:
                 end += 1
             group = order[k:end]
             lens = np.array([len(evidence[i]) for i in group])
@@ -188,11 +199,10 @@ def score(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        field, scores, column = shared.value, [], batch.column(1)
-        for lo in range(0, len(column), 500):
-            part = [document_lines(v.as_py() or "") for v in column[lo : lo + 500]]
-            bad, _, _ = field.marginals([with_neighbours(own) @ field.weights for own, _ in part])
-            scores += [field.calibrated(field.quality(b, lengths)) for b, (_, lengths) in zip(bad, part, strict=True)]
+        field, scores = shared.value, []
+        for part in in_parts(map(MeasuredLines, texts(batch.column(1))), most_items=500, most_size=CELLS):
+            bad, _, _ = field.marginals([with_neighbours(d.own) @ field.weights for d in part])
+            scores += [field.calibrated(field.quality(b, d.lengths)) for b, d in zip(bad, part, strict=True)]
         values = np.array(scores)
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(values), pa.array((values >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 

@@ -61,11 +61,8 @@ def random_spans(text: str, encode, most_chars_per_token: float) -> list[tuple[i
     for m in RUN.finditer(text):
         run = m[0]
         mixed = any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
-        # A run of megabytes is judged in pieces, so that the vocabulary's own cost stays linear.
-        if mixed and not known_identifier(run):
-            tokens = sum(len(encode(run[i : i + 4096])) for i in range(0, len(run), 4096))
-            if len(run) <= most_chars_per_token * tokens:
-                found.append((m.start(), 3, m.end()))
+        if mixed and not known_identifier(run) and len(run) <= most_chars_per_token * len(encode(run)):
+            found.append((m.start(), 3, m.end()))
     return found
 
 

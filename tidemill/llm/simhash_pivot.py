@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, texts, written
+from .common import map_arrow, texts, without_ids, written
 from .components import components
 
 PIVOTS = 24
@@ -370,5 +370,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no row of their component has one.
     """
     marks = similar_documents(docs, id_col, text_col, words_per_shingle, similarity)
-    gone = marks.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone.hint("merge"), id_col, "left_anti").select(docs.columns)
+    gone = marks.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("id"))
+    return without_ids(docs, gone, id_col)
