@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, map_arrow, texts
+from .common import hashed_sample, in_parts, map_arrow, texts
 
 MARK = "▁"  # the vocabulary's sign for the start of a word
 LETTERS = re.compile(r"[^\W\d_]+")
-LONGEST = 30  # letters scored at once; longer words are scored in stretches of it
-PIECE = 12  # letters of the longest piece in use
+CELLS = 200_000  # letters, with padding, of the words that run side by side; a longer word runs alone
+RESCALE = 16  # steps after which the forward sums are brought back to size
 UNSEEN = 1e-7  # of a letter that is no piece of its own
 BASE = np.uint64(1_000_003)
 
@@ -36,7 +37,7 @@ def letter_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if len(p) <= PIECE and p and p.removeprefix(MARK).isalpha() or p == MARK)
+    return sorted(p for p in pieces if p and p.removeprefix(MARK).isalpha() or p == MARK)
 
 
 class Lattice:
@@ -45,9 +46,9 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         hashes = np.array([self._of(p) for p in pieces], np.uint64)
         self.order = np.argsort(hashes)
-        self.sorted, self.n = hashes[self.order], len(pieces)
-        self.powers = np.ones(PIECE + 1, np.uint64)
-        for i in range(PIECE):
+        self.sorted, self.n, self.longest = hashes[self.order], len(pieces), max(map(len, pieces))
+        self.powers = np.ones(self.longest + 1, np.uint64)
+        for i in range(self.longest):
             self.powers[i + 1] = int(self.powers[i]) * int(BASE) % 2**64
 
     @staticmethod
@@ -67,7 +68,7 @@ class Lattice:
         for j in range(width):
             prefix[:, j + 1] = prefix[:, j] * BASE + codes[:, j]
         found = []
-        for size in range(1, min(PIECE, width) + 1):
+        for size in range(1, min(self.longest, width) + 1):
             h = prefix[:, size:] - prefix[:, :-size] * self.powers[size]
             at = np.minimum(np.searchsorted(self.sorted, h), self.n - 1)
             ids = np.where(self.sorted[at] == h, self.order[at], self.n)
@@ -78,17 +79,31 @@ class Lattice:
         return found, lens
 
     def forward(self, words: list[str], p: np.ndarray) -> np.ndarray:
-        """Log-probability of each word under each column of ``p`` (a row per piece, then none and unseen)."""
+        """Log-probability of each word under each column of ``p`` (a row per piece, then none and unseen).
+
+        Only the sums that a piece can still reach back to are held, scaled
+        from time to time, so words of any length are summed whole.
+        """
         edges, lens = self.edges(words)
-        width = int(lens.max())
-        alpha = np.zeros((width + 1, len(words), p.shape[1]))
-        alpha[0] = 1
-        for j in range(1, width + 1):
-            for size in range(1, min(len(edges), j) + 1):
+        reach, scale = len(edges), np.zeros((len(words), p.shape[1]))
+        sums = {0: np.ones((len(words), p.shape[1]))}  # by position, the last ``reach`` of them
+        out = np.zeros((len(words), p.shape[1]))
+        for j in range(1, int(lens.max()) + 1):
+            now = np.zeros((len(words), p.shape[1]))
+            for size in range(1, min(reach, j) + 1):
                 ids = edges[size - 1][:, j - size]
                 hit = np.flatnonzero(ids != self.n)
-                alpha[j, hit] += alpha[j - size, hit] * p[ids[hit]]
-        return np.log(alpha[lens, np.arange(len(words))])
+                now[hit] += sums[j - size][hit] * p[ids[hit]]
+            sums[j] = now
+            sums.pop(j - reach, None)
+            done = lens == j
+            out[done] = np.log(now[done]) + scale[done]
+            if j % RESCALE == 0:
+                most = np.max(list(sums.values()), axis=0)
+                most[most == 0] = 1  # past a word's end
+                scale += np.log(most)
+                sums = {k: x / most for k, x in sums.items()}
+        return out
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over the words, by forward and backward sums; p: one language."""
@@ -118,16 +133,15 @@ def lattice(path: str) -> Lattice:
     return Lattice(letter_pieces(path))
 
 
-def stretches(text: str) -> list[str]:
-    """Lower-case runs of letters, marked as word starts, in stretches of LONGEST letters."""
+def marked_words(text: str) -> list[str]:
+    """Lower-case runs of letters, marked as word starts."""
     out = []
     for word in LETTERS.findall(text.lower()):
         if not word.isalpha():  # signs such as a raised two count as word characters, but are no letters
             word = "".join(filter(str.isalpha, word))
             if not word:
                 continue
-        out.append(MARK + word[:LONGEST])
-        out += [word[i : i + LONGEST] for i in range(LONGEST, len(word), LONGEST)]
+        out.append(MARK + word)
     return out
 
 
@@ -138,15 +152,23 @@ class LanguageModel:
     p: np.ndarray  # pieces + 2 rows, a column for each language
 
 
-def _in_batches(n: int, size: int = 20_000):
-    return ((lo, min(n, lo + size)) for lo in range(0, n, size))
+def _in_batches(words: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of ``words``, sorted by length, that fill about CELLS letters with padding."""
+    lo = 0
+    while lo < len(words):
+        hi = lo + 1
+        while hi < len(words) and (hi + 1 - lo) * len(words[hi]) <= CELLS:
+            hi += 1
+        yield lo, hi
+        lo = hi
 
 
-def train(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most_docs: int = 800, rounds: int = 4) -> LanguageModel:
+def train(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most_docs: int = 800, most_letters: int = 36, rounds: int = 4) -> LanguageModel:
     """Fit on about ``most_docs`` rows of each language, chosen by a hash of the id.
 
     Words are counted by Spark; the driver gets one row for each language and
-    distinct word of the sample.
+    distinct word of the sample.  Only words of up to ``most_letters`` teach;
+    their sums cannot underflow.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sample = hashed_sample(labelled, "id", ["lang"], most_docs)
@@ -154,7 +176,7 @@ def train(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: st
     def words(batch: pa.RecordBatch) -> pa.RecordBatch:
         count: dict[tuple[str, str], int] = {}
         for text, lang in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            for w in stretches(text):
+            for w in filter(lambda w: len(w) <= most_letters, marked_words(text)):
                 count[lang, w] = count.get((lang, w), 0) + 1
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in count], pa.string()), pa.array([k[1] for k in count], pa.string()), pa.array(count.values(), pa.int64())], names=["lang", "word", "n"])
 
@@ -163,11 +185,12 @@ def train(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: st
     languages, columns = tuple(sorted(counted["lang"].unique())), []
     for lang in languages:
         own = counted[counted["lang"] == lang].sort_values("word")
+        own = own.iloc[np.argsort(own["word"].str.len(), kind="stable")]
         ws, ns = own["word"].tolist(), own["n"].to_numpy(float)
         p = np.full(net.n + 2, 1.0 / net.n)
         p[-2:] = 0, UNSEEN
         for _ in range(rounds):
-            use = sum(net.expected(ws[a:b], ns[a:b], p) for a, b in _in_batches(len(ws)))[: net.n] + 0.05
+            use = sum(net.expected(ws[a:b], ns[a:b], p) for a, b in _in_batches(ws))[: net.n] + 0.05
             p[: net.n] = use / use.sum()
         columns.append(p)
     return LanguageModel(vocabulary, languages, np.stack(columns, axis=1) if columns else np.zeros((net.n + 2, 0)))
@@ -185,7 +208,7 @@ class WordScores:
         if len(self.index) > self.most:
             self.index, self.scores = {}, self.scores[:0]
         new = sorted(words.difference(self.index), key=len)  # words of like length share a padded matrix
-        parts = [self.net.forward(new[a:b], self.model.p) for a, b in _in_batches(len(new))]
+        parts = [self.net.forward(new[a:b], self.model.p) for a, b in _in_batches(new)]
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
         self.scores = np.concatenate([self.scores, *parts])
 
@@ -217,9 +240,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = shared.value
         scorer, langs, scores = _scorer(id(model), model), [], []
-        column = batch.column(1)
-        for lo in range(0, len(column), 500):
-            part = [stretches(v.as_py() or "") for v in column[lo : lo + 500]]
+        for part in in_parts(map(marked_words, texts(batch.column(1))), most_items=500, most_size=200_000):
             scorer.learn(set().union(*part))
             for words in part:
                 if not words or not model.languages:

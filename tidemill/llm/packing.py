@@ -7,12 +7,15 @@ and dual-feasible functions give a lower bound on its bin count.  A group that
 reaches its bound is certified and final.  A group with a gap hands the
 documents of its emptiest bins on; those are dealt over fewer groups and packed
 again, keeping the earlier arrangement wherever a rerun would not need fewer
-bins.  The number of groups falls geometrically until one is left.
+bins.  Rounds go on until every group is certified, one group is left, or a
+round saves not one bin.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import math
 import re
 import zlib
@@ -27,10 +30,13 @@ from pyspark.sql import functions as F
 from .common import map_arrow, texts, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
-PACKED = PIECES + ", sequence_id long, offset long, home long, certified boolean, final boolean"
+PACKED = PIECES + ", sequence_id long, offset long, home long, certified boolean, final boolean, saved long"
 
 
-# The vocabulary's own splitting rule, for lower-case text of Latin-1 characters.
+# The splitting rule that the shortcut below follows, as vocabulary files state it.
+NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+# The same rule for lower-case text of Latin-1 characters.
 _L, _N = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 LATIN_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_L}{_N}\\x09-\\x0d\\x20\\x85\\xa0]+")
 
@@ -43,7 +49,8 @@ class WordTokens(dict):
     apart here by the vocabulary's rule; only parts that were not met before
     are encoded, and any other word is encoded as it is.  (The tests hold both
     against whole texts.)  The dictionary numbers words and parts alike; about
-    ``most`` are remembered at a time.
+    ``most`` are remembered at a time.  A vocabulary with any other rule encodes
+    whole texts by itself.
     """
 
     def __init__(self, path: str, most: int = 700_000):
@@ -53,6 +60,10 @@ class WordTokens(dict):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
+        with open(path, encoding="utf-8") as f:
+            rule = json.load(f)
+        splits = (rule.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_words = (rule.get("normalizer") or {}).get("normalizers") == NORMALISERS and splits[0].get("pattern") == {"Regex": SPLIT} and splits[0].get("behavior") == "Removed"
         spell = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         #: How the vocabulary writes the bytes of a character.
         self.spelling = {c: "".join(x[0] for x in spell.pre_tokenize_str(chr(c))) for c in range(256)}
@@ -84,6 +95,8 @@ class WordTokens(dict):
         return number
 
     def ids(self, text: str) -> np.ndarray:
+        if not self.by_words:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(self) > self.most:
             self.forget()
         words = text.encode().split()
@@ -173,9 +186,10 @@ def _pack_group(round_no: int, capacity: int, last: bool):
         bound = lower_bound(lengths, capacity)
         bin_of, offset, bins = best_fit_decreasing(lengths, capacity)
         group = int(pdf["grp"].iloc[0])
-        ids = (np.int64(round_no) << 58) | (np.int64(group) << 26) | bin_of
-        if round_no and bins >= pdf["sequence_id"].nunique():
-            ids, offset, bins = pdf["sequence_id"].to_numpy(np.int64), pdf["offset"].to_numpy(np.int64), pdf["sequence_id"].nunique()
+        ids = (np.int64(round_no) << 56) | (np.int64(group) << 24) | bin_of
+        before = pdf["sequence_id"].nunique() if round_no else bins
+        if round_no and bins >= before:
+            ids, offset, bins = pdf["sequence_id"].to_numpy(np.int64), pdf["offset"].to_numpy(np.int64), before
             bin_of = pd.factorize(ids)[0]
         certified = bins == bound
         final = np.ones(len(pdf), bool)
@@ -184,28 +198,33 @@ def _pack_group(round_no: int, capacity: int, last: bool):
             loose = used < capacity * 15 // 16
             loose[np.argsort(used, kind="stable")[:2]] = True
             final = ~loose[bin_of]
-        return pdf.assign(sequence_id=ids, offset=offset, home=group, certified=certified, final=final)[[x.split()[0] for x in PACKED.split(", ")]]
+        saved = np.zeros(len(pdf), np.int64)
+        saved[0] = before - bins
+        return pdf.assign(sequence_id=ids, offset=offset, home=group, certified=certified, final=final, saved=saved)[[x.split()[0] for x in PACKED.split(", ")]]
 
     return pack
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, group_pieces: int = 5000, rounds: int = 4) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, group_pieces: int = 5000) -> DataFrame:
     """Assign a sequence and an offset to every piece; see the module's text.
 
     An empty table packs into no sequences; equal pieces are packed each for
     itself.  ``certified`` tells whether a piece's group met its lower bound.
+    A group of ``group_pieces`` pieces on average is packed in one task.
     """
     left = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "home": F.col("salt")})
     done: list[DataFrame] = []
-    for r in range(rounds):
+    for r in itertools.count():
         groups = max(1, math.ceil(left.count() / group_pieces))
-        last = groups == 1 or r == rounds - 1
-        dealt = left.withColumn("grp", F.pmod(F.xxhash64("home", F.lit(r)), F.lit(groups)))
-        packed = written(dealt.groupBy("grp").applyInPandas(_pack_group(r, capacity, last), PACKED), f"packed-{r}")
-        done.append(packed.where("final"))
-        if last:
+        # After the first round whole bins move, so that a group may keep its arrangement.
+        dealt = left.withColumn("grp", F.pmod(F.xxhash64("home" if r == 0 else "sequence_id", F.lit(r)), F.lit(groups)))
+        packed = written(dealt.groupBy("grp").applyInPandas(_pack_group(r, capacity, groups == 1), PACKED), f"packed-{r}")
+        saved, going = packed.agg(F.sum("saved"), F.count_if(~F.col("final"))).first()
+        if groups == 1 or not going or (r and not saved):
+            done.append(packed)
             break
-        left = packed.where("not final").drop("certified", "final")
+        done.append(packed.where("final"))
+        left = packed.where("not final").drop("certified", "final", "saved")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
