@@ -6,7 +6,7 @@ which has had no daylight saving since 1988, so its offset is a fixed nine hours
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +18,11 @@ def at(now: datetime | str | Column) -> Column:
     return now if isinstance(now, Column) else F.lit(str(now)).cast("timestamp_ntz")
 
 
+def utc(at: datetime) -> datetime:
+    """A time with an offset as the UTC time without one; any other is UTC already."""
+    return at if at.tzinfo is None else at.astimezone(UTC).replace(tzinfo=None)
+
+
 def local(ts: Column) -> Column:
     """Wall-clock time in the business zone."""
     return ts + F.expr(f"INTERVAL {ZONE_HOURS} HOURS")
@@ -83,10 +88,9 @@ def relative_time(raw: Column, now: Column) -> Column:
 def parse_iso(value: Column) -> Column:
     """``(at, precision, raw)``: a date is a local midnight of precision day, an offset makes it exact, else unknown."""
     text = F.trim(value)
-    day = F.expr("INTERVAL 0 HOURS")
     is_day = text.rlike(r"^\d{4}-\d{2}-\d{2}$")
     has_zone = text.rlike(r"T.*(?:Z|[+-]\d{2}:?\d{2})$")
-    date_at = F.try_to_timestamp(F.when(is_day, text), F.lit("yyyy-MM-dd")) - F.expr(f"INTERVAL {ZONE_HOURS} HOURS") + day
+    date_at = F.try_to_timestamp(F.when(is_day, text), F.lit("yyyy-MM-dd")) - F.expr(f"INTERVAL {ZONE_HOURS} HOURS")
     exact_at = F.try_to_timestamp(F.when(has_zone, text))
     found = F.coalesce(date_at, exact_at)
     precision = F.when(date_at.isNotNull(), "day").when(exact_at.isNotNull(), "exact").otherwise("unknown")

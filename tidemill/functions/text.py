@@ -12,11 +12,13 @@ def title_key(title: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct character trigrams of the text without white space; none below three characters."""
-    bare = F.regexp_replace(text, r"(?U)\s+", "")
-    return F.when(F.length(bare) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(bare) - 2), lambda i: F.substr(bare, i, F.lit(3))))).otherwise(
-        F.array().cast("array<string>")
-    )
+    """Distinct character trigrams of the text without white space; none below three characters.
+
+    A look-ahead takes the three characters at every place, so a long text is
+    read once; a place inside a surrogate pair takes none.
+    """
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", "")
+    return F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(?s)(?=([^\uDC00-\uDFFF]..))"), F.lit(1)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -50,7 +52,7 @@ MASKS = (
 
 def mask_personal(text: Column) -> Column:
     for pattern, name in MASKS:
-        text = F.regexp_replace(text, pattern if pattern.startswith("(?<!") else "(?U)" + pattern, name)
+        text = F.regexp_replace(text, "(?U)" + pattern, name)
     return text
 
 
@@ -62,8 +64,7 @@ def csv_safe(value: Column) -> Column:
 def safe_url(url: Column) -> Column:
     """The trimmed URL if it is http(s) with a host, else null."""
     u = F.trim(url)
-    ok = F.lower(F.try_parse_url(u, F.lit("PROTOCOL"))).isin("http", "https") & (F.coalesce(F.try_parse_url(u, F.lit("HOST")), F.lit("")) != "")
-    return F.when(ok, u)
+    return F.when(u.rlike("^(?i:https?)://[^/?#]"), u)
 
 
 def canonical_url(url: Column) -> Column:
@@ -74,18 +75,33 @@ def canonical_url(url: Column) -> Column:
 
 
 def first_sentence(text: Column, limit: int = 90) -> Column:
-    """The first sentence of six characters or more, cut at ``limit`` with an ellipsis."""
-    parts = F.filter(F.transform(F.split(text, r"[.!?\n]+"), F.trim), lambda x: F.length(x) >= 6)
-    found = F.get(parts, F.lit(0))
-    return F.when(F.length(found) > limit, F.concat(F.substring(found, 1, limit), F.lit("…"))).otherwise(found)
+    """The first sentence of the first line of six characters or more, mark included, cut to ``limit`` with an ellipsis; null without one."""
+    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.btrim(x, F.lit(" -•*\t")))
+
+    def sentence(line: Column) -> Column:
+        head = F.regexp_extract(line, r"(?U)^(.+?[.!?])(?:\s|$)", 1)
+        found = F.when(head != "", head).otherwise(line)
+        return F.when(F.length(found) > limit, F.concat(F.substring(found, 1, limit - 1), F.lit("…"))).otherwise(found)
+
+    return sentence(F.get(F.filter(lines, lambda x: F.length(x) >= 6), F.lit(0)))
+
+
+# The named character references that plain texts still carry.
+ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
+
+
+def unescape(text: Column) -> Column:
+    """The common character references; the HTML reader resolves all of them."""
+    for name, char in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
 
 
 def normalize_text(text: Column) -> Column:
-    """Unix line ends, single blanks, at most one empty line in a row, trimmed."""
-    t = F.regexp_replace(text, r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"[ \t ]+", " ")
-    t = F.regexp_replace(t, r" ?\n ?", "\n")
-    return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    """Unix line ends, single blanks, trimmed lines, at most one empty line in a row."""
+    t = F.replace(F.replace(unescape(text), F.lit("\r\n"), F.lit("\n")), F.lit("\u00a0"), F.lit(" "))
+    t = F.array_join(F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, "[ \t]+", " "), r"(?U)^\s+|\s+$", "")), "\n")
+    return F.btrim(F.regexp_replace(t, r"\n{3,}", "\n\n"), F.lit(" \n\t\r"))
 
 
 def matches_all(text: Column, keyword: str, most: int = 5) -> Column:
@@ -96,13 +112,6 @@ def matches_all(text: Column, keyword: str, most: int = 5) -> Column:
     return found
 
 
-def evidence_span(text: Column, pattern: str) -> Column:
-    """``quote, start, end`` of the first match in code points, null without one."""
-    quote = F.regexp_extract(text, f"({pattern})", 1)
-    start = F.instr(text, quote) - 1
-    return F.when(text.rlike(pattern), F.struct(quote.alias("quote"), start.alias("start"), (start + F.length(quote)).alias("end")))
-
-
 def grounded(quotes: Column, *sources: Column) -> Column:
     """Whether every quote occurs in one of the sources."""
 
@@ -113,3 +122,38 @@ def grounded(quotes: Column, *sources: Column) -> Column:
         return found
 
     return F.forall(quotes, anywhere)
+
+
+def post_slug(title: Column) -> Column:
+    """Lower-case runs of Latin letters, digits and Hangul joined by hyphens."""
+    return F.btrim(F.regexp_replace(F.lower(title), "[^0-9a-z가-힣]+", "-"), F.lit("-"))
+
+
+# What a log line must not show, in this order, and by what it is replaced.
+LOG_MASKS = (
+    (r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [masked]"),
+    (r"(?i)(token|api[_-]?key|authorization)(\"?\s*[:=]\s*\"?)[^\s\",]+", "$1$2[masked]"),
+    (r"01[016789][-\s]?\d{3,4}[-\s]?\d{4}", "[phone]"),
+    (r"[\w.+-]+@[\w-]+\.[\w.]+", "[email]"),
+    (r"(?<!\d)0(?:2|[3-6][1-5])[-\s]\d{3,4}[-\s]\d{4}(?!\d)", "[phone]"),
+    (r"(?<!\d)\d{6}[-\s]?[1-4]\d{6}(?!\d)", "[identity]"),
+)
+
+
+def redact_log(line: Column, secrets: tuple[str, ...] = ()) -> Column:
+    for secret in filter(None, secrets):
+        line = F.replace(line, F.lit(secret), F.lit("[masked]"))
+    for pattern, name in LOG_MASKS:
+        line = F.regexp_replace(line, "(?U)" + pattern, name)
+    return line
+
+
+def public_post_id(url: Column, host: str, path: str) -> Column:
+    """The number of a link with exactly this https host and path; null for any other link."""
+    found = F.regexp_extract(url, rf"^https://{host.replace('.', '[.]')}{path}/([0-9]+)/?(?:[?#].*)?$", 1)
+    return F.nullif(found, F.lit(""))
+
+
+def template_lines(body: Column, filler: str = "\u3164") -> Column:
+    """A template's lines; a line of the filler character alone counts as empty."""
+    return F.transform(F.split(F.replace(body, F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: F.when(x == filler, "").otherwise(x))

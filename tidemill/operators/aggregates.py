@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import seconds_between
@@ -19,22 +19,33 @@ def money_by(outcomes: DataFrame, by: str, kinds: Iterable[str]) -> DataFrame:
     return outcomes.groupBy(by).agg(*out)
 
 
-def discovery_delays(records: DataFrame) -> DataFrame:
+def discovery_delays(records: DataFrame, now: Column | None = None, days: int = 7) -> DataFrame:
     """Per source: records, valid samples, median and nearest-rank 95th percentile in seconds, and early shares.
 
     A sample counts if its publication is exact and not after its discovery.
+    With ``now``, only records discovered in the last ``days``.  Delays are
+    counted by value first; sums of those counts place the percentiles, so no
+    source's delays are held together.
     """
+    if now is not None:
+        records = records.where(F.col("first_seen_at").between(now - F.expr(f"INTERVAL {int(days)} DAYS"), now))
     delay = seconds_between(F.col("published_at"), F.col("first_seen_at"))
     sample = F.when((F.col("published_precision") == "exact") & (F.col("published_at") <= F.col("first_seen_at")), delay)
-    rows = records.withColumn("delay", sample)
-    return rows.groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("records"),
-        F.count("delay").alias("samples"),
-        (F.count(F.lit(1)) - F.count("delay")).alias("unavailable"),
-        F.bround(F.median("delay"), 3).alias("median_seconds"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY delay)").alias("p95_seconds"),
-        F.count_if(F.col("delay") <= 900).alias("within_15_minutes"),
-        F.count_if(F.col("delay") <= 3600).alias("within_1_hour"),
+    by_value = records.groupBy("source_id", sample.alias("delay")).agg(F.count(F.lit(1)).alias("n"))
+    known = F.when(F.col("delay").isNotNull(), F.col("n")).otherwise(0)
+    w = Window.partitionBy("source_id")
+    placed = by_value.withColumns({"samples": F.sum(known).over(w), "upto": F.sum(known).over(w.orderBy(F.col("delay").asc_nulls_first()))})
+    at = lambda place: F.min(F.when(F.col("delay").isNotNull() & (F.col("upto") > place), F.col("delay")))
+    n = F.col("samples")
+    count = lambda limit: F.coalesce(F.sum(F.when(F.col("delay") <= limit, F.col("n"))), F.lit(0))
+    return placed.groupBy("source_id").agg(
+        F.sum("n").alias("records"),
+        F.max("samples").alias("samples"),
+        (F.sum("n") - F.max("samples")).alias("unavailable"),
+        F.bround((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2, 3).alias("median_seconds"),
+        F.bround(at(F.ceil(n * 0.95) - 1), 3).alias("p95_seconds"),
+        count(900).alias("within_15_minutes"),
+        count(3600).alias("within_1_hour"),
     )
 
 
@@ -75,5 +86,16 @@ def latest_feedback(feedback: DataFrame) -> DataFrame:
 
 
 def ordered_digest(key: str) -> Column:
-    """sha256 over a group's sorted keys, one a line.  For groups of bounded size."""
+    """sha256 over a group's sorted keys, one a line; an exact contract that needs them together, so for groups of bounded size."""
     return F.sha2(F.array_join(F.array_sort(F.collect_list(key)), "\n"), 256)
+
+
+def set_digest(rows: DataFrame, by: list[str], key: str) -> DataFrame:
+    """A digest of each group's set of keys that needs no order: count and sum of 128 bits of every distinct key's hash.
+
+    For groups of any size; equal sets give equal digests.
+    """
+    h = F.sha2(F.col(key).cast("string"), 256)
+    part = lambda at: F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(38,0)")
+    sums = rows.select(*by, key).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(part(1)).alias("a"), F.sum(part(16)).alias("b"))
+    return sums.select(*by, "n", F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("digest"))

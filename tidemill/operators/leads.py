@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -51,7 +51,6 @@ class LeadFilter:
     pay_unit: tuple[str, ...] = ()
     recommendation: tuple[str, ...] = ()
     checked_since: datetime | None = None
-    _: None = field(default=None, repr=False)
 
     def __post_init__(self):
         for name, allowed in (("remote", REMOTE), ("recruit", RECRUIT), ("intent", INTENT)):
@@ -150,7 +149,10 @@ def filters(f: LeadFilter, now: datetime | str, ttl_hours: int) -> Column:
         found.append(F.col("source_id") == f.source_id)
     if f.category:
         found.append(F.array_contains("categories", f.category))
-    found += [remote[f.remote]] * (f.remote != "any") + [recruit[f.recruit]] * (f.recruit != "any")
+    if f.remote != "any":
+        found.append(remote[f.remote])
+    if f.recruit != "any":
+        found.append(recruit[f.recruit])
     if f.intent != "any":
         found.append(F.col("demand_intent").isin(*intent[f.intent]))
     for column, values in (("work_mode", f.work_mode), ("effective_status", f.source_status), ("sales_stage", f.sales_stage), ("pay_unit", f.pay_unit), ("effective_recommendation", f.recommendation)):
@@ -177,23 +179,41 @@ def sort_key(sort: str) -> Column:
 
 
 def filter_hash(queue_name: str, f: LeadFilter) -> str:
-    return hashlib.sha256(json.dumps({"queue": queue_name, **asdict(f)}, sort_keys=True, default=str).encode()).hexdigest()[:12]
+    """Twelve hex digits of the request without its cursor; a page belongs to one request."""
+    asked = {"q": queue_name, **asdict(f)}
+    return hashlib.sha1(json.dumps(asked, sort_keys=True, default=str).encode()).hexdigest()[:12]
 
 
 def encode_cursor(sort: str, value: object, lead_id: object, request: str) -> str:
-    stamp = value.isoformat(timespec="microseconds") if isinstance(value, datetime) else value
-    return base64.urlsafe_b64encode(json.dumps({"v": 2, "s": sort, "k": stamp, "i": lead_id, "f": request}).encode()).decode()
+    """URL-safe text of the last row shown; dates carry version 2 and microseconds."""
+    dated = sort in ("published", "checked")
+    key = {"s": sort, "v": value.isoformat(timespec="microseconds") if isinstance(value, datetime) else value, "id": str(lead_id), "h": request} | ({"cv": 2} if dated else {})
+    return base64.urlsafe_b64encode(json.dumps(key, separators=(",", ":")).encode()).decode().rstrip("=")
 
 
-def decode_cursor(cursor: str, sort: str, request: str) -> tuple[object, object]:
+def decode_cursor(cursor: str, sort: str, request: str) -> tuple[object, str]:
+    """The ``(key, id)`` to go on after; refuses another sort or filter, old versions, and dates without an offset."""
     try:
-        c = json.loads(base64.urlsafe_b64decode(cursor.encode()))
-        version, s, key, lead_id, f = (c[k] for k in "vskif")
-    except (ValueError, KeyError, TypeError) as e:
+        c = json.loads(base64.urlsafe_b64decode(cursor + "=" * (-len(cursor) % 4)))
+    except ValueError as e:
         raise CursorError("the cursor cannot be read") from e
-    if version != 2 or s != sort or f != request:
+    if not isinstance(c, dict):
+        raise CursorError("the cursor cannot be read")
+    if c.get("h") != request or c.get("s") != sort:
         raise CursorError("the cursor belongs to another sort or filter")
-    return (datetime.fromisoformat(key) if key is not None and sort != "priority" else key), lead_id
+    if "v" not in c or not isinstance(c.get("id"), str) or not c["id"]:
+        raise CursorError("the cursor has no place")
+    if sort == "priority" or c["v"] is None and c.get("cv") == 2:
+        return c["v"], c["id"]
+    if c.get("cv") != 2:
+        raise CursorError("the cursor is of an older version")
+    try:
+        at = datetime.fromisoformat(c["v"])
+    except (TypeError, ValueError) as e:
+        raise CursorError("the cursor holds no date") from e
+    if at.tzinfo is None:
+        raise CursorError("the cursor's date has no offset")
+    return at, c["id"]
 
 
 def page(leads: DataFrame, queue_name: str, now: datetime | str, ttl_hours: int, f: LeadFilter | None = None, sort: str | None = None, after: tuple[object, object] | None = None, limit: int = 50) -> DataFrame:
@@ -212,7 +232,7 @@ def page(leads: DataFrame, queue_name: str, now: datetime | str, ttl_hours: int,
         if key is None:
             rows = rows.where(k.isNull() & (F.col("id") < last))
         else:
-            value = clock.at(key) if isinstance(key, datetime) else F.lit(key)
+            value = clock.at(clock.utc(key)) if isinstance(key, datetime) else F.lit(key)
             rows = rows.where((k < value) | ((k == value) & (F.col("id") < last)) | k.isNull())
     return rows.orderBy(F.desc_nulls_last("sort_key"), F.desc("id")).limit(limit + 1)
 
@@ -221,11 +241,12 @@ def summary(leads: DataFrame, now: datetime | str, ttl_hours: int) -> DataFrame:
     """List projection: effective columns, up to three reasons led by what changed them, discovery delay."""
     rows = with_effective(leads, now, ttl_hours)
     lead_in = F.when(F.col("expired"), F.array(F.lit("deadline passed"))).when(F.col("recheck_due"), F.array(F.lit("recheck due"))).otherwise(F.array().cast("array<string>"))
-    valid = (F.col("published_precision") == "exact") & (F.col("record_published_at") <= F.col("first_seen_at"))
+    published = F.col("record_published_at")
+    valid = (F.col("published_precision") == "exact") & (published <= F.col("first_seen_at")) & (published <= clock.at(now))
     return rows.withColumns(
         {
             "reasons": F.slice(F.concat(lead_in, F.coalesce("reasons", F.array().cast("array<string>"))), 1, 3),
-            "discovery_seconds": F.when(valid, clock.seconds_between(F.col("record_published_at"), F.col("first_seen_at"))),
+            "discovery_seconds": F.when(valid, clock.seconds_between(published, F.col("first_seen_at"))),
         }
     )
 
@@ -242,3 +263,82 @@ def recruit_class() -> Column:
 def review_alert(now: datetime | str, ttl_hours: int) -> Column:
     """Whether a lead may raise an alert: in the fresh queue and not yet marked."""
     return queue("fresh", now, ttl_hours) & F.col("user_mark").isNull()
+
+
+# --- projections ---------------------------------------------------------------
+
+
+def fuzzy(at: Column, precision: Column, raw: Column) -> Column:
+    """``at, precision, raw`` of a date; without a value its precision is unknown."""
+    return F.struct(at.alias("at"), F.when(at.isNotNull(), precision).otherwise("unknown").alias("precision"), raw.alias("raw"))
+
+
+def span(start: Column, end: Column) -> Column:
+    """``start, end``, null unless both are known."""
+    return F.when(start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+
+
+def remote_class() -> Column:
+    """Display class: confirmed, inferred, partial, negotiable, onsite or unknown."""
+    mode, sure = F.col("work_mode"), F.coalesce(F.col("work_mode_basis").isin("explicit", "user_confirmed"), F.lit(False))
+    return F.when(mode == "fully_remote", F.when(sure, "confirmed").otherwise("inferred")).when(mode == "hybrid", "partial").when(mode.isin("negotiable", "onsite"), mode).otherwise("unknown")
+
+
+def intent_class() -> Column:
+    intent = F.col("demand_intent")
+    return F.when(intent.isin(*BUYERS), "buyer").when(intent == "employee_hiring", "hiring").when(intent == "seller_service", "seller").otherwise("other")
+
+
+def detail(leads: DataFrame, children: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Leads with each child table (``lead_id``, ...) as a sorted array of structs, empty without rows.
+
+    Children are gathered by lead: what one page shows, of a lead's own size.
+    """
+    for name, (rows, order) in children.items():
+        fields = order + [c for c in rows.columns if c != "lead_id" and c not in order]
+        nested = rows.groupBy("lead_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name)).withColumnRenamed("lead_id", "id")
+        leads = leads.join(nested, "id", "left").withColumn(name, F.coalesce(name, F.array().cast(nested.schema[name].dataType)))
+    return leads
+
+
+def candidate() -> Column:
+    """Whether an application may be prepared: an open, accessible project of a buyer that nobody has dealt with."""
+    mark = F.col("user_mark")
+    return (
+        F.col("recommendation").isin("recommended", "needs_review") & F.col("demand_intent").isin(*BUYERS) & (F.col("engagement_type") == "project") & (F.col("pay_unit") == "project")
+        & (F.col("source_status") == "open") & (F.col("access_status") == "accessible") & F.col("sales_stage").isin(*PRE_STAGES) & (mark.isNull() | (mark != "dismissed"))
+    )
+
+
+def holds(now: datetime | str, ttl_hours: int) -> Column:
+    """Codes of all that keeps an application from being sent, in a fixed order; each at most once."""
+    n = clock.at(now)
+    checked, published = F.col("last_checked_at"), F.col("record_published_at")
+    fits = {
+        "source_body_missing": F.coalesce(F.col("body"), F.lit("")) == "",
+        "recheck_required": checked.isNull() | (checked > n) | (checked < clock.hours_before(n, ttl_hours)),
+        "publication_not_recent": (F.col("published_precision") != "exact") | published.isNull() | (published > n) | (published < clock.hours_before(n, 24)),
+        "remote_unconfirmed": F.col("work_mode") != "fully_remote",
+        "meeting_unconfirmed": F.col("collaboration_mode") != "online_only",
+        "draft_only": F.lit(True),
+    }
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in fits.items()]))
+
+
+def in_collection_scope() -> Column:
+    """Communities that are read: approved ones, and those only collected from once joined for certain."""
+    return F.col("status").isin("eligible", "approved") | ((F.col("status") == "collect_only") & collectable())
+
+
+def collectable() -> Column:
+    return F.col("joined").eqNullSafe(True)
+
+
+def coherent() -> Column:
+    """Whether an observation's count is there exactly while it watches."""
+    return F.col("count").isNotNull() == F.col("watching")
+
+
+def public_events(events: DataFrame, private: str = "native_delivery") -> DataFrame:
+    """Events without the private key of their payload map."""
+    return events.withColumn("payload", F.map_filter("payload", lambda k, _: k != private))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, title_key, trigrams
+from ..storage import settled
 
 
 def mark(left: DataFrame, right: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -25,10 +26,16 @@ def without_any(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
 
 
 def first_after(left: DataFrame, events: DataFrame, key: str, since: str, at: str, until: Column) -> DataFrame:
-    """Add ``first_at``: each left row's earliest event at or after ``since`` and not after ``until``."""
-    bounds = left.groupBy(key).agg(F.min(since).alias("_since"))
-    found = events.join(bounds, key).where((F.col(at) >= F.col("_since")) & (F.col(at) <= until)).groupBy(key).agg(F.min(at).alias("first_at"))
-    return left.join(found, key, "left")
+    """Add ``first_at``: for each left row its key's earliest event at or after its own ``since`` and not after ``until``.
+
+    Bounds and events are laid in one order of time; a window looks ahead from
+    every bound, so a key with many bounds and events costs their sum.
+    """
+    bounds = left.select(F.col(key).alias("_k"), F.col(since).alias("_t"), F.struct(*left.columns).alias("_row"))
+    happened = events.where(F.col(at) <= until).select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(None).cast(bounds.schema["_row"].dataType).alias("_row"))
+    ahead = Window.partitionBy("_k").orderBy("_t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    found = bounds.unionByName(happened).withColumn("first_at", F.min(F.when(F.col("_row").isNull(), F.col("_t"))).over(ahead))
+    return found.where(F.col("_row").isNotNull()).select("_row.*", "first_at")
 
 
 def pair_key(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -52,21 +59,37 @@ def dedup_key(source: Column, post_id: Column, url: Column, digest: Column) -> C
     return F.when(post_id.isNotNull(), F.concat_ws("|", F.lit("id"), source, post_id)).when(url.isNotNull(), F.concat_ws("|", F.lit("url"), source, url)).otherwise(F.concat_ws("|", F.lit("hash"), source, digest))
 
 
-def candidate_links(records: DataFrame, least: float = 0.6) -> DataFrame:
+def existing(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """``new`` with ``existing_id``: the stored record of the same identity; both have source_id, post_id, url, digest."""
+    key = dedup_key(F.col("source_id"), F.col("post_id"), F.col("url"), F.col("digest"))
+    known = stored.select(key.alias("_key"), F.col("id").alias("existing_id")).groupBy("_key").agg(F.min("existing_id").alias("existing_id"))
+    return new.withColumn("_key", key).join(known, "_key", "left").drop("_key")
+
+
+def candidate_links(records: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """Possible duplicates among ``id, title, body, digest``: equal content, or equal title and similar body.
 
-    Every record is linked to the earliest record of its content, and to the
-    earliest record of its title when the bodies share ``least`` of their
-    trigrams, so a title that a third of the records carry makes one link a
-    record, not one for each pair.
+    Gives members ``id, other`` - each record beside the first one of its title
+    and content - and links ``low, high, similarity`` between such first ones
+    whose bodies share ``least`` of their trigrams.  Sets that alike share one
+    of their rarest trigrams, so only bodies that do are compared, and every
+    such pair is.
     """
     rows = records.withColumn("key", title_key(F.col("title")))
-    by_hash = rows.groupBy("digest").agg(F.min("id").alias("other"))
-    same = rows.join(by_hash, "digest").where("id <> other").select("id", "other", F.lit("duplicate").alias("relation"))
-    by_title = rows.where("key <> ''").groupBy("key").agg(F.min_by(F.struct("id", "body", "digest"), "id").alias("first"))
-    near = rows.join(by_title, "key").where((F.col("id") != F.col("first.id")) & (F.col("digest") != F.col("first.digest")))
-    near = near.where(jaccard(trigrams(F.col("body")), trigrams(F.col("first.body"))) >= least).select("id", F.col("first.id").alias("other"), F.lit("similar").alias("relation"))
-    return same.unionByName(near)
+    first = settled(rows.groupBy("key", "digest").agg(F.min("id").alias("first_id"), F.min_by("body", "id").alias("body")))
+    members = rows.join(first.select("key", "digest", "first_id"), ["key", "digest"]).where("id <> first_id").select("id", F.col("first_id").alias("other"))
+    sets = settled(first.where("key <> ''").select("key", F.col("first_id").alias("id"), trigrams(F.col("body")).alias("grams")).where(F.size("grams") > 0))
+    grams = sets.select("key", "id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    counts = grams.groupBy("key", "gram").agg(F.count(F.lit(1)).alias("df"))
+    rarest = F.row_number().over(Window.partitionBy("key", "id").orderBy("df", "gram"))
+    prefix = grams.join(counts, ["key", "gram"]).withColumn("place", rarest).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1).where("df > 1").select("key", "gram", "id", "n")
+    a, b = prefix.alias("a"), prefix.alias("b")
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id"))
+    close = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least)
+    pairs = a.join(b, same).where(close).select(F.col("a.id").alias("low"), F.col("b.id").alias("high")).distinct()
+    held = pairs.join(sets.select(F.col("id").alias("low"), F.col("grams").alias("_a")), "low").join(sets.select(F.col("id").alias("high"), F.col("grams").alias("_b")), "high")
+    links = held.select("low", "high", jaccard(F.col("_a"), F.col("_b")).alias("similarity")).where(F.col("similarity") >= least)
+    return members, links
 
 
 def uncooled(queued: DataFrame, runs: DataFrame, now: Column) -> DataFrame:

@@ -81,10 +81,11 @@ def recruit_class(spark, sf_dir):
     return leads.with_effective(lead_rows(spark, sf_dir), NOW, TTL_HOURS).select("id", leads.recruit_class().alias("recruit"))
 
 
-@query(f"""WITH {EFFECTIVE} SELECT id, CASE WHEN published_precision = 'exact' THEN epoch_us(first_seen_at) / 1e6 - epoch_us(record_published_at) / 1e6 END AS discovery_seconds,
+@query(f"""WITH {EFFECTIVE} SELECT id, CASE WHEN published_precision = 'exact' AND id % 7 <> 0 AND record_published_at <= TIMESTAMP '{NOW}' THEN epoch_us(first_seen_at) / 1e6 - epoch_us(record_published_at) / 1e6 END AS discovery_seconds,
   CASE WHEN expired THEN 'deadline passed' WHEN recheck_due THEN 'recheck due' ELSE '' END AS reasons FROM leads""")
 def lead_summary(spark, sf_dir):
     rows = lead_rows(spark, sf_dir).withColumn("reasons", F.array().cast("array<string>"))
+    rows = rows.withColumn("first_seen_at", F.when(F.col("id") % 7 == 0, F.col("first_seen_at") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("first_seen_at")))  # seen before it was published
     return leads.summary(rows, NOW, TTL_HOURS).select("id", "discovery_seconds", F.array_join("reasons", ",").alias("reasons"))
 
 
@@ -105,20 +106,21 @@ def money_totals(spark, sf_dir):
     return out.withColumns({f"{k}_{n}": F.col(f"{k}_{n}").cast("string") for k in "OF" for n in ("amount", "known_amount")})
 
 
-@query("""WITH r AS (SELECT o_orderpriority AS source_id, CASE WHEN l_shipdate >= o_orderdate AND l_linenumber <> 7 THEN epoch_us(l_shipdate) / 1e6 - epoch_us(o_orderdate) / 1e6 END AS delay FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-SELECT source_id, count(*) AS records, count(delay) AS samples, count(*) - count(delay) AS unavailable, median(delay) AS median_seconds, quantile_disc(delay, 0.95) AS p95_seconds,
+@query("""WITH r AS (SELECT o_orderpriority AS source_id, CASE WHEN l_shipdate >= o_orderdate AND l_linenumber <> 7 THEN epoch_us(l_shipdate) / 1e6 - epoch_us(o_orderdate) / 1e6 END AS delay FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate BETWEEN TIMESTAMP '1997-12-31' - INTERVAL 2500 DAY AND TIMESTAMP '1997-12-31')
+SELECT source_id, CAST(count(*) AS BIGINT) AS records, count(delay) AS samples, count(*) - count(delay) AS unavailable, median(delay) AS median_seconds, quantile_disc(delay, 0.95) AS p95_seconds,
   count(*) FILTER (WHERE delay <= 900) AS within_15_minutes, count(*) FILTER (WHERE delay <= 3600) AS within_1_hour FROM r GROUP BY source_id""")
 def discovery_delays(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     precision = F.when(F.col("l_linenumber") == 7, "day").otherwise("exact")
-    return aggregates.discovery_delays(rows.select(F.col("o_orderpriority").alias("source_id"), F.col("o_orderdate").alias("published_at"), F.col("l_shipdate").alias("first_seen_at"), precision.alias("published_precision")))
+    return aggregates.discovery_delays(rows.select(F.col("o_orderpriority").alias("source_id"), F.col("o_orderdate").alias("published_at"), F.col("l_shipdate").alias("first_seen_at"), precision.alias("published_precision")), clock.at("1997-12-31 00:00:00"), 2500)
 
 
-@query("""SELECT l_suppkey AS unit, CASE WHEN bool_or(l_returnflag = 'R' AND l_discount > 0.09) THEN 'blocked' WHEN bool_or(l_returnflag = 'A' AND l_tax > 0.07) THEN 'failed' WHEN bool_and(false) THEN 'done' ELSE 'pending' END AS unit_state, count(*) AS tasks
-FROM lineitem GROUP BY l_suppkey""")
+@query("""SELECT l_suppkey AS unit, l_linenumber AS line, l_orderkey % 20 AS part, CASE WHEN bool_or(l_returnflag = 'R' AND l_discount > 0.09) THEN 'blocked' WHEN bool_or(l_returnflag = 'A' AND l_tax > 0.07) THEN 'failed' WHEN bool_and(l_quantity > 1) THEN 'done' ELSE 'pending' END AS unit_state, count(*) AS tasks
+FROM lineitem GROUP BY l_suppkey, l_linenumber, l_orderkey % 20""")
 def unit_states(spark, sf_dir):
-    state = F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.09), "blocked").when((F.col("l_returnflag") == "A") & (F.col("l_tax") > 0.07), "failed").otherwise("pending")
-    return aggregates.unit_states(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("unit"), state.alias("state")), ["unit"])
+    state = F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.09), "blocked").when((F.col("l_returnflag") == "A") & (F.col("l_tax") > 0.07), "failed").when(F.col("l_quantity") > 1, "done").otherwise("pending")
+    unit = [F.col("l_suppkey").alias("unit"), F.col("l_linenumber").alias("line"), (F.col("l_orderkey") % 20).alias("part")]
+    return aggregates.unit_states(table(spark, sf_dir, "lineitem").select(*unit, state.alias("state")), ["unit", "line", "part"])
 
 
 ATTEMPTS = "SELECT CAST(ts AS DATE) AS day, CASE user_id % 3 WHEN 0 THEN 'settled' WHEN 1 THEN 'reserved' ELSE 'uncertain' END AS state, CAST(round(value * 100) AS BIGINT) AS cost FROM events"
@@ -133,10 +135,13 @@ def ledger_periods(spark, sf_dir):
     return aggregates.ledger_periods(rows)
 
 
-@query("""SELECT CAST(coalesce(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)), 0) AS BIGINT) AS k, CAST(0 AS BIGINT) AS missing FROM events""")
+@query("""SELECT CAST(coalesce(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)), 0) AS BIGINT) AS k, CAST(coalesce(sum(CASE WHEN event_type = 'view' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END), 0) AS BIGINT) AS views, CAST(0 AS BIGINT) AS missing FROM events""")
 def counter_sums(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.from_json("props", "map<string,bigint>").alias("counts"))
-    return aggregates.counter_sums(rows, ["k", "missing"]).select(*[F.col(c).cast("long").alias(c) for c in ("k", "missing")])
+    """Counters by key; most rows lack some, and no row has one of them."""
+    counts = F.from_json("props", "map<string,bigint>")
+    views = F.when(F.col("event_type") == "view", F.create_map(F.lit("views"), F.try_element_at(counts, F.lit("k")))).otherwise(F.create_map().cast("map<string,bigint>"))
+    rows = table(spark, sf_dir, "events").select(F.map_concat(counts, views).alias("counts"))
+    return aggregates.counter_sums(rows, ["k", "views", "missing"]).select(*[F.col(c).cast("long").alias(c) for c in ("k", "views", "missing")])
 
 
 @query("""SELECT event_type, CASE WHEN value < 10 THEN '<10' WHEN value < 100 THEN '<100' WHEN value < 1000 THEN '<1000' ELSE '>=1000' END AS bucket, count(*) AS n FROM events GROUP BY ALL""")
@@ -168,19 +173,20 @@ def mark_join(spark, sf_dir):
     return marked.select("c_custkey", (F.col("pending") | (F.col("c_acctbal") > 9000)).alias("picked"))
 
 
-@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_linenumber = 1 AND (l_partkey = p_partkey OR l_suppkey = p_size))")
+@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R' AND (l_partkey = p_partkey OR l_orderkey = p_size))")
 def without_any(spark, sf_dir):
-    seen = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").cast("int").alias("p_size"))
+    seen = table(spark, sf_dir, "lineitem").where("l_quantity > 45 AND l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"), F.col("l_orderkey").cast("int").alias("p_size"))
     return relations.without_any(table(spark, sf_dir, "part").select("p_partkey", "p_size"), seen, "p_partkey", "p_size").select("p_partkey")
 
 
-@query("""SELECT u AS user_id, since, (SELECT min(ts) FROM events e WHERE e.user_id = u AND e.ts >= since AND e.event_type = 'click' AND e.ts <= TIMESTAMP '2024-01-20') AS first_at
-FROM (SELECT user_id AS u, min(ts) + INTERVAL 6 HOUR AS since FROM events GROUP BY user_id)""")
+@query("""SELECT b.event_id, b.ts AS since, (SELECT min(e.ts) FROM events e WHERE e.user_id = b.user_id AND e.ts >= b.ts AND e.event_type = 'click' AND e.ts <= TIMESTAMP '2024-01-20') AS first_at
+FROM events b WHERE b.event_type IN ('view', 'click')""")
 def first_after(spark, sf_dir):
-    """Forward as-of join."""
+    """Forward as-of join with many bounds a key, some of them at an event's own time."""
     events = table(spark, sf_dir, "events")
-    left = events.groupBy("user_id").agg((F.min("ts") + F.expr("INTERVAL 6 HOURS")).alias("since"))
-    return relations.first_after(left, events.where("event_type = 'click'").select("user_id", "ts"), "user_id", "since", "ts", clock.at("2024-01-20 00:00:00"))
+    left = events.where("event_type IN ('view', 'click')").select("user_id", "event_id", F.col("ts").alias("since"))
+    clicks = events.where("event_type = 'click'").select("user_id", "ts")
+    return relations.first_after(left, clicks, "user_id", "since", "ts", clock.at("2024-01-20 00:00:00")).select("event_id", "since", "first_at")
 
 
 @query("""WITH e AS (SELECT l_orderkey % 50 AS a, l_suppkey % 50 AS b, l_linenumber AS revision, l_returnflag = 'R' AS dismissed, l_returnflag = 'A' AS confirmed, l_shipdate AS created_at, l_orderkey * 10 + l_linenumber AS id, l_quantity FROM lineitem),
@@ -222,19 +228,20 @@ def top_per_key(spark, sf_dir):
     return windows.top_per(table(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 5).select("user_id", "event_id", "rank")
 
 
-@query("""WITH r AS (SELECT p_partkey, CASE WHEN p_size < 30 THEN 'core' ELSE 'explore' END AS kind, p_size FROM part WHERE p_partkey < 5000),
+@query("""WITH r AS (SELECT p_partkey, CASE WHEN p_size < 30 THEN 'core' ELSE 'explore' END AS kind, p_size FROM part),
 i AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY p_size, p_partkey) - 1 AS i FROM r) SELECT p_partkey, CAST(CASE WHEN kind = 'core' THEN i // 3 * 4 + i % 3 ELSE i * 4 + 3 END AS BIGINT) AS slot FROM i""")
 def interleave(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").where("p_partkey < 5000").withColumn("kind", F.when(F.col("p_size") < 30, "core").otherwise("explore"))
+    rows = table(spark, sf_dir, "part").withColumn("kind", F.when(F.col("p_size") < 30, "core").otherwise("explore"))
     return windows.interleave(rows, "kind", [F.col("p_size"), F.col("p_partkey")], "core").select("p_partkey", "slot")
 
 
-@query("SELECT event_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) / 1e6 AS gap_seconds FROM events")
+@query("""WITH r AS (SELECT event_id, user_id, ts AS started_at, ts + INTERVAL 40 MINUTE + (CAST(floor(value) AS INT) || ' minutes')::INTERVAL AS finished_at FROM events)
+SELECT event_id, greatest(0.0, (epoch_us(started_at) - epoch_us(lag(finished_at) OVER w)) / 1e6) + CASE WHEN lag(finished_at) OVER w IS NULL THEN NULL ELSE 0 END AS gap_seconds FROM r WINDOW w AS (PARTITION BY user_id ORDER BY started_at, event_id)""")
 def run_gaps(spark, sf_dir):
-    gaps = windows.gap_since(table(spark, sf_dir, "events"), ["user_id"], "ts")
-    has_before = F.col("gap_seconds").isNotNull()
-    first = F.row_number().over(windows.Window.partitionBy("user_id").orderBy("ts")) == 1
-    return gaps.select("event_id", F.when(has_before & ~first, F.col("gap_seconds")).alias("gap_seconds"))
+    """From the end of a source's previous run to the start; overlapping runs have no gap."""
+    ended = F.col("ts") + F.make_dt_interval(mins=F.lit(40) + F.floor("value").cast("int"))
+    runs = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").alias("started_at"), ended.alias("finished_at"))
+    return windows.gap_since(runs, ["user_id"], "started_at", "finished_at", ["started_at", "event_id"]).select("event_id", "gap_seconds")
 
 
 @query("SELECT event_id, value, before AS previous FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE value > before")
@@ -254,12 +261,6 @@ def version_diff(spark, sf_dir):
     return out.select("o_orderkey", F.array_join("changed", ",").alias("changed"))
 
 
-@query("""SELECT event_id, running FROM (SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM events) WHERE running <= 20000""")
-def budget_reservations(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", "ts", F.to_date("ts").alias("day"), F.round(F.col("value") * 100).cast("long").alias("cost"))
-    return windows.running_within(rows, ["day"], [F.col("ts"), F.col("event_id")], "cost", 20000).select("event_id", "running")
-
-
 @query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 21600000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
 SELECT event_id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g""")
 def sessions(spark, sf_dir):
@@ -344,18 +345,24 @@ def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text"), F.col("source")).alias("digest"))
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_replace(substr(text, 1, 400), '\\s+', '', 'g') AS s, regexp_replace(substr(text, 201, 400), '\\s+', '', 'g') AS u FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')),
-g AS (SELECT doc_id, list_distinct([substr(s, i, 3) FOR i IN range(1, length(s) - 1)]) AS a, list_distinct([substr(u, i, 3) FOR i IN range(1, length(u) - 1)]) AS b FROM t)
-SELECT doc_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE, 9) END AS similarity FROM g""")
+@query("""WITH t AS (SELECT doc_id, lang, source, string_split(regexp_replace(coalesce(text, ''), '\\s+', '', 'g'), '') AS s FROM documents),
+g AS (SELECT doc_id, lang, source, CASE WHEN len(s) < 3 THEN [] ELSE list_distinct([s[i] || s[i + 1] || s[i + 2] FOR i IN range(1, len(s) - 1)]) END AS b FROM t),
+p AS (SELECT doc_id, b, lag(b) OVER (PARTITION BY lang, source ORDER BY doc_id) AS a FROM g)
+SELECT doc_id, CASE WHEN a IS NULL THEN NULL WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE, 9) END AS similarity FROM p""")
 def trigram_similarity(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    a, b = text.trigrams(F.substring("text", 1, 400)), text.trigrams(F.substring("text", 201, 400))
-    return rows.select("doc_id", F.round(text.jaccard(a, b), 9).alias("similarity"))
+    """Whole texts of all documents, each beside the one before it of its language and source."""
+    before = F.lag("grams").over(windows.Window.partitionBy("lang", "source").orderBy("doc_id"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", text.trigrams(F.col("text")).alias("grams")).withColumn("before", before)
+    return rows.select("doc_id", F.when(F.col("before").isNotNull(), F.round(text.jaccard(F.col("before"), F.col("grams")), 9)).alias("similarity"))
 
 
-@query(r"SELECT page_id, regexp_replace(url, '#.*$', '') AS canonical, CASE WHEN regexp_matches(url, '^https?://[^/]') THEN url END AS safe FROM pages")
+@query(r"""WITH u AS (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN 'HTTPS://WWW.' || upper(regexp_extract(url, '^https?://([^/]+)', 1)) || '/A?q=B#c' WHEN 1 THEN url || '#part' ELSE 'ftp://x.example/' END AS given FROM pages)
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://www.' || lower(regexp_extract(url, '^https?://([^/]+)', 1)) || '/A?q=B' WHEN 1 THEN regexp_replace(url, '#.*$', '') ELSE given END AS canonical, CASE WHEN page_id % 3 < 2 THEN given END AS safe FROM u""")
 def page_urls(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.canonical_url(F.col("url")).alias("canonical"), text.safe_url(F.col("url")).alias("safe"))
+    """Addresses in upper case, with fragments, and of another scheme."""
+    host = F.upper(F.regexp_extract("url", "^https?://([^/]+)", 1))
+    given = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("HTTPS://WWW."), host, F.lit("/A?q=B#c"))).when(F.col("page_id") % 3 == 1, F.concat("url", F.lit("#part"))).otherwise("ftp://x.example/")
+    return table(spark, sf_dir, "pages").select("page_id", text.canonical_url(given).alias("canonical"), text.safe_url(given).alias("safe"))
 
 
 @query(r"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '^[=+@\t\r-]') THEN '''' || text ELSE text END AS cell FROM conversations")

@@ -21,11 +21,16 @@ def tail(spark, path: str, schema: str, files_a_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
-def once_per_key(events: DataFrame, key: str, at: str, within: str) -> DataFrame:
-    """First event of each key among those not later than ``within`` behind; events without a key all pass."""
-    late = events.withWatermark(at, within)
+def once_per_key(events: DataFrame, key: str, at: str | None = None, within: str | None = None) -> DataFrame:
+    """First event of each key; events without a key all pass.
+
+    Without ``within`` keys are remembered for ever, as an outbox must; with it
+    only among events not later than ``within`` behind, so that state is bounded.
+    """
     same = F.coalesce(F.col(key), F.concat(F.lit("\0"), F.col("seq").cast("string")))
-    return late.withColumn("_same", same).dropDuplicatesWithinWatermark(["_same"]).drop("_same")
+    if within is None:
+        return events.withColumn("_same", same).dropDuplicates(["_same"]).drop("_same")
+    return events.withWatermark(at, within).withColumn("_same", same).dropDuplicatesWithinWatermark(["_same"]).drop("_same")
 
 
 def daily_counts(events: DataFrame, key: str, at: str, within: str, local_days: bool = False) -> DataFrame:
