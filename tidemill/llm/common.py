@@ -35,7 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor costs a re-read, not a recomputation.
     """
     path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -138,3 +138,22 @@ def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     rows = marked(boxed(docs, id=F.col(id_col).cast(gone.schema["id"].dataType)), marks, F.col("id"))
     stay = rows.where("mark").join(gone, "id", "left_anti")
     return rows.where(~F.col("mark")).select("row.*").unionByName(stay.select("row.*"))
+
+
+def group_join(rows: DataFrame, groups: DataFrame, key: str, size: str, by: str, share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``groups`` (one row a key, ``size`` rows each), null where the key has none.
+
+    Groups of more than one in ``share`` of all grouped rows are fewer than
+    ``share`` and are broadcast; their rows keep keys of their own, dealt by
+    the column ``by``, in the join with the other groups.  So no task gets more
+    than its part, and the plan is the same at every size.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    values = [c for c in groups.columns if c != key]
+    struct = F.struct(*values)
+    large = groups.where(F.col(size) * share > total).select(key, struct.alias("_large"))
+    first = rows.join(F.broadcast(large), key, "left")
+    kind = rows.schema[key].dataType
+    own = F.when(F.col("_large").isNotNull(), F.concat(F.lit("#"), F.xxhash64(by).cast("string")).cast(kind)).otherwise(F.col(key))
+    both = first.withColumn("_key", own).join(groups.select(F.col(key).alias("_key"), struct.alias("_other")), "_key", "left")
+    return both.withColumn("_got", F.coalesce("_large", "_other")).select(*rows.columns, *[F.col(f"_got.{c}").alias(c) for c in values])

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, boxed, marked, written
+from .common import bitmap, boxed, group_join, marked, written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -50,24 +50,6 @@ def duplicate_groups(whole: DataFrame) -> DataFrame:
     return whole.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
 
 
-def with_groups(rows: DataFrame, groups: DataFrame, share: int = 1000) -> DataFrame:
-    """``rows`` (id, text_sha256, ...) with ``keep_id`` and ``group_size``, null for texts that stand alone.
-
-    Groups of more than one in ``share`` of all grouped rows are fewer than
-    ``share`` and are broadcast; their rows keep keys of their own in the join
-    with the other groups, so no task gets more than its part.
-    """
-    total = groups.agg(F.sum("group_size")).first()[0] or 0
-    large = groups.where(F.col("group_size") * share > total).select("text_sha256", F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size"))
-    first = rows.join(F.broadcast(large), "text_sha256", "left")
-    own = F.when(F.col("_size").isNotNull(), F.concat(F.lit("#"), F.coalesce(F.col("id"), F.rand()).cast("string"))).otherwise(F.col("text_sha256"))
-    both = first.withColumn("_key", own).join(groups.withColumnRenamed("text_sha256", "_key"), "_key", "left")
-    in_large = F.col("_size").isNotNull()
-    return both.select(
-        *rows.columns, F.when(in_large, F.col("_keep")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("_size", "group_size").alias("group_size")
-    )
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64) -> DataFrame:
     """All rows and columns of ``docs`` that stay: of equal texts the largest id.
 
@@ -78,7 +60,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     whole = written(survivor_digests(docs, id_col, text_col, prefix_chars), "dedup-digests")
     groups = written(duplicate_groups(whole), "dedup-groups")
-    gone = with_groups(whole, groups).where(F.col("keep_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "tag").distinct()
+    gone = group_join(whole, groups, "text_sha256", "group_size", "id").where(F.col("keep_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "tag").distinct()
     gone = written(gone, "dedup-gone")
     marks = written(bitmap(gone.select("id")), "dedup-gone-marks")
     rows = marked(boxed(docs, id=F.col(id_col)), marks, F.col("id"))
@@ -93,7 +75,7 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = written(duplicate_groups(survivor_digests(docs, id_col, text_col, prefix_chars)), "dedup-groups")
     digests = docs.select(F.col(id_col).alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"))
     keep = F.coalesce("keep_id", "id")
-    return with_groups(digests, groups).select(
+    return group_join(digests, groups, "text_sha256", "group_size", "id").select(
         F.col("id").alias("doc_id"),
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),

@@ -2,11 +2,11 @@
 
 The Burrows-Wheeler transform of the sequences is kept as a wavelet matrix:
 one bit vector a level with counts every 64 bits.  Backward search runs for
-many queries side by side, a word at a time.  ``window_minima`` streams
-sequences through the index and reports, for every window of ``size`` words,
-the smallest owner of an equal window anywhere in the index - matching
-statistics cut at the threshold, by stepping to the longer match and widening
-the interval again to the shorter context's.
+many streamed sequences side by side, a word at a time, and keeps each one's
+matching statistic: the length, up to ``size``, of the longest match that
+begins at its place.  Where the next word does not fit, the match gives up
+words at its far end until it does.  ``window_minima`` reports the intervals
+where the statistic reaches ``size``, with the smallest owner of the match.
 """
 
 from __future__ import annotations
@@ -59,6 +59,7 @@ class FmIndex:
             raise ValueError("windows of 9 to 16 words are supported")
         self.size = size
         alphabet, dense = np.unique(symbols, return_inverse=True)
+        self.alphabet = alphabet
         ends = np.cumsum(lens + 1)
         self.starts = ends - lens - 1
         n = int(ends[-1])
@@ -79,37 +80,68 @@ class FmIndex:
         self.bwt = WaveletMatrix(text[order - 1], levels)
         self.origin = self.bwt.descend(np.arange(len(alphabet) + 1), np.zeros(len(alphabet) + 1, np.int64))
 
-        def classes(depth: int) -> tuple[np.ndarray, np.ndarray]:
-            a, b = r8[order], ahead(r8, depth - 8)[order]
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            return np.cumsum(new) - 1, np.flatnonzero(new)
-
-        self.full_class, full_starts = classes(size)
-        self.context_class, self.context_starts = classes(size - 1)
-        self.context_ends = np.append(self.context_starts[1:], n)
-        self.minima = np.minimum.reduceat(owner[order], full_starts)
+        # Common words of neighbours in the order, up to 15.
+        same = np.zeros(n, np.int64)
+        for width, ranks in ((8, r8), (4, r4), (2, r2), (1, r1)):
+            at = np.minimum(order + same, n - 1)
+            before = np.minimum(np.roll(order, 1) + same, n - 1)
+            same += width * (ranks[at] == ranks[before])
+        same[0] = 0
+        self.same, self.n, self._starts = same, n, {}
+        self.minima = np.minimum.reduceat(owner[order], self.starts_at(size))
+
+    def starts_at(self, depth: int) -> np.ndarray:
+        """Where the intervals of sequences with ``depth`` equal first words begin."""
+        if depth not in self._starts:
+            cut = self.same < depth
+            cut[0] = True
+            self._starts[depth] = np.flatnonzero(cut)
+        return self._starts[depth]
+
+    def widen(self, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals around positions that share their first ``depth`` words."""
+        if depth == 0:
+            return np.zeros(len(at), np.int64), np.full(len(at), self.n)
+        starts = self.starts_at(depth)
+        k = np.searchsorted(starts, at, "right")
+        return starts[k - 1], np.append(starts, self.n)[k]
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: intervals of the matches with ``symbol`` put before them."""
         base = self.counts[symbol] - self.origin[symbol]
         return base + self.bwt.descend(symbol, lo), base + self.bwt.descend(symbol, hi)
 
-    def window_minima(self, lens: np.ndarray) -> np.ndarray:
-        """For the indexed sequences, streamed again: each window's smallest owner, -1 past the last window.
+    def window_minima(self, symbols: np.ndarray, lens: np.ndarray, nowhere: int = -1) -> np.ndarray:
+        """For streamed sequences of ``lens``: the smallest owner of each window of ``size`` words, ``nowhere`` where it has none.
 
         A row per sequence, a column per window.
         """
         q = len(lens)
-        windows = lens - self.size + 1
-        out = np.full((q, int(windows.max())), -1, np.int64)
-        lo, hi = np.zeros(q, np.int64), np.full(q, len(self.text))
+        out = np.full((q, max(0, int((lens - self.size + 1).max()))), nowhere, np.int64)
+        place = np.searchsorted(self.alphabet, symbols)
+        known = self.alphabet[np.minimum(place, len(self.alphabet) - 1)] == symbols
+        dense = np.where(known, place + 1, 0)
+        first = np.cumsum(lens) - lens
+        lo, hi, depth = np.zeros(q, np.int64), np.full(q, self.n), np.zeros(q, np.int64)
         for back in range(1, int(lens.max()) + 1):
             live = np.flatnonzero(lens >= back)
-            symbol = self.text[self.starts[live] + lens[live] - back]
-            a, b = self.step(symbol, lo[live], hi[live])
-            if back >= self.size:
-                out[live, lens[live] - back] = self.minima[self.full_class[a]]
-                context = self.context_class[a]
-                a, b = self.context_starts[context], self.context_ends[context]
-            lo[live], hi[live] = a, b
+            symbol = dense[first[live] + lens[live] - back]
+            lost = live[symbol == 0]  # a word of no indexed sequence ends every match
+            lo[lost], hi[lost], depth[lost] = 0, self.n, 0
+            live, symbol = live[symbol != 0], symbol[symbol != 0]
+            while len(live):
+                a, b = self.step(symbol, lo[live], hi[live])
+                fits = a < b
+                done = live[fits]
+                lo[done], hi[done], depth[done] = a[fits], b[fits], depth[done] + 1
+                full = done[depth[done] == self.size]
+                if len(full):
+                    out[full, lens[full] - back] = self.minima[np.searchsorted(self.starts_at(self.size), lo[full], "right") - 1]
+                    lo[full], hi[full] = self.widen(lo[full], self.size - 1)
+                    depth[full] = self.size - 1
+                live, symbol = live[~fits], symbol[~fits]
+                for d in np.unique(depth[live]).tolist():  # give up the last word and try again
+                    some = live[depth[live] == d]
+                    lo[some], hi[some] = self.widen(lo[some], d - 1)
+                depth[live] -= 1
         return out
