@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 _own_root: list[str] = []
 
@@ -153,7 +154,8 @@ def group_join(rows: DataFrame, groups: DataFrame, key: str, size: str, by: str,
     struct = F.struct(*values)
     large = groups.where(F.col(size) * share > total).select(key, struct.alias("_large"))
     first = rows.join(F.broadcast(large), key, "left")
-    kind = rows.schema[key].dataType
-    own = F.when(F.col("_large").isNotNull(), F.concat(F.lit("#"), F.xxhash64(by).cast("string")).cast(kind)).otherwise(F.col(key))
-    both = first.withColumn("_key", own).join(groups.select(F.col(key).alias("_key"), struct.alias("_other")), "_key", "left")
+    kind = "binary" if rows.schema[key].dataType == BinaryType() else "string"
+    named = F.col(key).cast(kind)
+    own = F.when(F.col("_large").isNotNull(), F.concat(F.lit("#"), F.xxhash64(by).cast("string")).cast(kind)).otherwise(named)
+    both = first.withColumn("_key", own).join(groups.select(named.alias("_key"), struct.alias("_other")), "_key", "left")
     return both.withColumn("_got", F.coalesce("_large", "_other")).select(*rows.columns, *[F.col(f"_got.{c}").alias(c) for c in values])

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, texts, without_ids, written
+from .common import group_join, map_arrow, texts, without_ids, written
 from .components import components
 
 PIVOTS = 24
@@ -113,6 +113,16 @@ class Near:
             near[near] = (self.signatures[a[near]] == self.signatures[b[near]]).sum(axis=1) >= self.least_equal
         return near
 
+    def sorted(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows in the order of their distance to the first pivot, and that distance."""
+        order = np.argsort(self.table[rows, 0], kind="stable")
+        return rows[order], self.table[rows[order], 0]
+
+    def reach(self, at: int, place: np.ndarray) -> tuple[int, int]:
+        """The part of the order that may lie near a row: no other can, by the triangle inequality."""
+        own = int(self.table[at, 0])
+        return int(np.searchsorted(place, own - self.most_bits)), int(np.searchsorted(place, own + self.most_bits, "right"))
+
     def __len__(self) -> int:
         return len(self.fps)
 
@@ -130,6 +140,17 @@ class Alike:
             alike[i] = resemblance(self.sets[a[i]], self.sets[b[i]]) >= self.similarity
         return alike
 
+    def sorted(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows in the order of the sizes of their sets, and those sizes."""
+        sizes = np.fromiter((len(self.sets[i]) for i in rows.tolist()), np.int64, len(rows))
+        order = np.argsort(sizes, kind="stable")
+        return rows[order], sizes[order]
+
+    def reach(self, at: int, place: np.ndarray) -> tuple[int, int]:
+        """The part of the order that may resemble a row: sets whose sizes differ more cannot."""
+        own = len(self.sets[at])
+        return int(np.searchsorted(place, math.ceil(own * self.similarity - 1e-9))), int(np.searchsorted(place, math.floor(own / self.similarity + 1e-9), "right"))
+
     def __len__(self) -> int:
         return len(self.sets)
 
@@ -153,13 +174,16 @@ def bucket_links(near_pairs: Near | Alike, starts: np.ndarray) -> tuple[np.ndarr
             out_a.append(a[near])
             out_b.append(a[near] + d)
     for start, size in zip(starts[sizes > 6].tolist(), sizes[sizes > 6].tolist(), strict=True):
-        left = np.arange(start, start + size)
+        left, place = near_pairs.sorted(np.arange(start, start + size))
         while len(left):
-            queue, left = [int(left[0])], left[1:]
+            queue = [int(left[0])]
+            left, place = left[1:], place[1:]
             while queue and len(left):
                 at = queue.pop()
-                near = near_pairs(np.full(len(left), at), left)
-                found, left = left[near], left[~near]
+                lo, hi = near_pairs.reach(at, place)
+                near = np.zeros(len(left), bool)
+                near[lo:hi] = near_pairs(np.full(hi - lo, at), left[lo:hi])
+                found, left, place = left[near], left[~near], place[~near]
                 out_a.append(np.full(len(found), at))
                 out_b.append(found)
                 queue += found.tolist()
@@ -350,7 +374,8 @@ def verified(
     """Links ``u, v`` that span each group's texts of ``similarity``; groups: ``node, component``."""
     members = written(prints.drop("bands").join(groups.hint("merge"), "node"), "members")
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / CROWDED, F.sum("size") / CROWDED_SHINGLES))
-    members = members.join(members.groupBy("component").agg(parts.alias("parts")).hint("merge"), "component")
+    sizes = written(members.groupBy("component").agg(parts.alias("parts"), F.count(F.lit(1)).alias("n")), "group-sizes")
+    members = group_join(members, sizes, "component", "n", "node")
     texts_of = docs.select(F.col(id_col).cast("long").alias("node"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     rows = texts_of.join(members.hint("merge"), ["node", "tag"])
     key = part_tasks(F.col("parts"), F.col("node"))
