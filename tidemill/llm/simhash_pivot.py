@@ -6,8 +6,10 @@ many of ``b`` blocks; rows are dealt by the blocks they would agree on, with
 ``b`` growing with the number of fingerprints so that chance meetings stay
 rare.  Inside a bucket each fingerprint has a table of Hamming distances to
 reference fingerprints (pivots); by the triangle inequality a pair whose
-distances to any pivot differ by more than ``most_bits`` cannot link and is
-discarded, and survivors are verified bit by bit.  Only a spanning forest of a
+distances to any pivot differ by more than ``most_bits`` cannot link.  Rows lie
+in the order of their first distance, so a row only meets the stretch that can
+be near; pairs whose largest coordinate difference is too large are discarded,
+and survivors are verified bit by bit.  Only a spanning forest of a
 bucket's links leaves the task.  A bucket above ``bucket_rows`` is not searched
 as it is: its fingerprints go through a finer set of tables, down to one whose
 buckets cannot exceed 2**16 distinct fingerprints.
@@ -391,8 +393,8 @@ CROWDED_SHINGLES = 4_000_000
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows of ``docs`` that stay: the smallest id of each component of similar texts.
 
-    Rows that repeat that id stay together; rows without an id stay only where
-    no row of their component has one.
+    Rows that repeat that id stay together, and rows without an id stay.
+    Texts without words are alike.
     """
     marks = similar_documents(docs, id_col, text_col, words_per_shingle, similarity)
     gone = marks.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("id"))
