@@ -6,8 +6,11 @@ import duckdb
 import pytest
 
 from tidemill.plans import queries as review
+from tidemill.plans import readings, records  # noqa: F401 - they register their queries
 
 SF = "/root/testdata/sf0.001"
+#: Queries that find nothing in the smallest tables.
+MAY_BE_EMPTY = {"queue_page", "application_candidates", "candidate_links", "pending_notices", "chat_batch", "summary_notices", "run_page", "lead_by_id"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -37,7 +40,7 @@ def test_query_against_oracle(spark, duck, name):
     columns = [c[0] for c in got.description]
     want = rows(columns, got.fetchall())
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == want
-    assert name == "queue_page" or want[1]
+    assert name in MAY_BE_EMPTY or want[1]
 
 
 def test_masking_leaves_no_address(spark):

@@ -304,7 +304,8 @@ def applied(posts: DataFrame, profile: Profile, now: datetime | str, ttl_hours:
     """Analyse, then again where the text itself closes the post: a closed mark, or a deadline passed by over a day."""
     marked = dates.closed_marker(both(F.col("body")), both(F.col("title"))).isNotNull()
     passed = F.coalesce(dates.parse_deadline(F.col("body"), F.col("observed_at"))["at"] < clock.at(now) - F.expr("INTERVAL 1 DAY"), F.lit(False))
-    status = F.when(F.col("source_status").isin("open", "unknown") & (marked | passed), "closed").otherwise(F.col("source_status"))
+    status = F.col("source_status")
+    status = F.when(marked & (status != "deleted"), "closed").when(status.isin("open", "unknown") & passed, "closed").otherwise(status)
     return analyze(posts.withColumn("source_status", status), profile, now, ttl_hours)
 
 

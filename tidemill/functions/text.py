@@ -129,6 +129,16 @@ def post_slug(title: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(title), "[^0-9a-z가-힣]+", "-"), F.lit("-"))
 
 
+# Fixed value: the label of the chat tab, with the number of unread messages if there are any.
+BADGE = r"^채팅(?:, 읽지 않은 메시지 ([0-9]{1,7})개)?$"
+
+
+def badge_count(label: Column) -> Column:
+    """The number of unread messages that the tab shows, 0 if none; null for any other label."""
+    shown = F.regexp_extract(label, BADGE, 1)
+    return F.when(label.rlike(BADGE), F.coalesce(shown.try_cast("int"), F.lit(0)))
+
+
 # What a log line must not show, in this order, and by what it is replaced.
 LOG_MASKS = (
     (r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [masked]"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clock, text, web
-from ..operators import folds, ingest, leads, merge, metrics, notify, relations, windows
+from ..operators import community, folds, ingest, leads, merge, metrics, notify, relations, windows
 from .proxy import EFFECTIVE, LEADS, NOW, TTL_HOURS, table
 from .proxy import leads as lead_rows
 from .queries import OPEN_EYES, query
@@ -505,3 +505,95 @@ def relative_times(spark, sf_dir):
     ts = F.col("ts")
     raw = F.when(F.col("event_id") % 2 == 0, "2개월 전").otherwise("어제")
     return table(spark, sf_dir, "events").select("event_id", clock.relative_time(F.lit("3시간 전"), ts).alias("published_at"), clock.relative_time(raw, ts).alias("written_at"), clock.parse_iso(F.lit("2024-02-29"))["at"].cast("timestamp_ntz").alias("day_at"))
+
+
+# --- communities ---------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT *, CASE WHEN turn % 2 = 0 THEN 'e' || (turn % 4) END AS ext, sha256('u' || chr(10) || '2024-01-01T00:00:00+00:00' || chr(10) || text) AS h FROM conversations WHERE role = 'user'),
+n AS (SELECT conv_id AS attempt_id, coalesce(ext, h) AS key, max_by(text, (turn, text)) AS body FROM c GROUP BY ALL), s AS (SELECT conv_id AS attempt_id, 'e0' AS key, 'old?' AS body FROM conversations WHERE turn = 0 AND conv_id % 2 = 0)
+SELECT attempt_id, key, coalesce(n.body, s.body) AS body, CASE WHEN coalesce(n.body, s.body) LIKE '%?%' THEN 'question' ELSE 'other' END AS classification, s.key IS NULL AS is_new FROM n FULL JOIN s USING (attempt_id, key)""")
+def comment_upserts(spark, sf_dir):
+    """Comments by their own id, else by post, time and text; newest text kept."""
+    rows = table(spark, sf_dir, "conversations")
+    read = rows.where("role = 'user'").select(
+        F.col("conv_id").alias("attempt_id"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("e"), (F.col("turn") % 4).cast("string"))).alias("external_id"), F.lit("u").alias("post_url"),
+        clock.at("2024-01-01 00:00:00").alias("written_at"), F.col("text").alias("body"), F.lit(False).alias("is_own"), F.col("turn").alias("read_at"),
+    )
+    stored = rows.where("turn = 0 AND conv_id % 2 = 0").select(F.col("conv_id").alias("attempt_id"), F.lit("e0").alias("key"), F.lit("old?").alias("body"))
+    return community.upsert_comments(stored, read)
+
+
+@query("""SELECT conv_id AS attempt_id, count(DISTINCT CASE WHEN turn % 2 = 0 THEN 'i' || (turn % 4) ELSE 't' || text END) AS read_count, conv_id % 3 = 0 OR conv_id % 5 > count(DISTINCT CASE WHEN turn % 2 = 0 THEN 'i' || (turn % 4) ELSE 't' || text END) AS needs_app_check FROM conversations GROUP BY conv_id""")
+def comment_coverage(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    read = rows.select(F.col("conv_id").alias("attempt_id"), F.when(F.col("turn") % 2 == 0, (F.col("turn") % 4).cast("string")).alias("external_id"), clock.at("2024-01-01 00:00:00").alias("written_at"), F.col("text").alias("body"))
+    reported = rows.select(F.col("conv_id").alias("attempt_id")).distinct().withColumn("reported_count", F.when(F.col("attempt_id") % 3 != 0, F.col("attempt_id") % 5))
+    return community.read_coverage(read, reported)
+
+
+@query("SELECT count(*) FILTER (WHERE event_type = 'view') AS unread, count(*) AS comments FROM events")
+def unread_count(spark, sf_dir):
+    return table(spark, sf_dir, "events").agg(F.count_if(F.col("event_type") == "view").alias("unread"), F.count(F.lit(1)).alias("comments"))
+
+
+@query("""SELECT o_orderkey AS attempt_id FROM orders WHERE o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '1998-07-01' - INTERVAL 600 DAY AND (o_orderkey % 3 > 0 OR o_orderdate + INTERVAL 43200 MINUTE <= TIMESTAMP '1998-07-01')""")
+def monitored_posts(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("attempt_id"), F.when(F.col("o_orderstatus") == "O", "posted").otherwise("removed").alias("status"), F.col("o_orderdate").alias("created_at"))
+    checks = rows.where("attempt_id % 3 = 0").select("attempt_id", F.col("created_at").alias("checked_at"))
+    return community.monitor_due(rows, checks, clock.at("1998-07-01 00:00:00"), 43200, 600).select("attempt_id")
+
+
+@query("""SELECT s_suppkey AS board, CASE WHEN (SELECT bool_and(l_quantity > 2) FROM lineitem WHERE l_suppkey = s_suppkey AND l_linenumber = 1 AND l_partkey % 60 = 0) THEN greatest(TIMESTAMP '1995-01-01', (SELECT max(l_shipdate) FROM lineitem WHERE l_suppkey = s_suppkey AND l_linenumber = 1 AND l_partkey % 60 = 0)) ELSE TIMESTAMP '1995-01-01' END AS checkpoint FROM supplier""")
+def board_checkpoints(spark, sf_dir):
+    """A board's checkpoint moves only after every page was read to the end."""
+    boards = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("board"), clock.at("1995-01-01 00:00:00").alias("checkpoint"))
+    read = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_partkey % 60 = 0").select(F.col("l_suppkey").alias("board"), (F.col("l_quantity") > 2).alias("complete"), F.col("l_shipdate").alias("read_at"))
+    return community.checkpoints(boards, read)
+
+
+@query("""WITH r AS (SELECT l_suppkey AS source, l_orderkey, l_linenumber, l_returnflag = 'R' AS seen FROM lineitem WHERE l_quantity > 48),
+w AS (SELECT *, least(6, 2 + count(*) FILTER (WHERE NOT seen) OVER (PARTITION BY source)) AS cap, row_number() OVER (PARTITION BY source ORDER BY seen, l_orderkey, l_linenumber) AS r, row_number() OVER (PARTITION BY source, seen ORDER BY l_orderkey, l_linenumber) AS a FROM r)
+SELECT source, l_orderkey, l_linenumber FROM w WHERE r <= cap AND (NOT seen OR a <= 1)""")
+def watch_allowance(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_suppkey").alias("source"), "l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").alias("seen"))
+    return community.allowance(rows, "source", [F.col("l_orderkey"), F.col("l_linenumber")], 6, 2).select("source", "l_orderkey", "l_linenumber")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'suppressed' WHEN o_orderkey % 5 = 0 THEN CASE o_orderkey % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'failed' ELSE 'attempted' END WHEN o_orderdate + INTERVAL 24 HOUR <= TIMESTAMP '1997-01-01' THEN 'expired' ELSE 'pending' END AS state FROM orders""")
+def delivery_states(spark, sf_dir):
+    """The first claim wins, only its token settles, and what is old expires."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    entry = lambda hours, action, token: F.struct((day + F.expr(f"INTERVAL {hours} HOURS")).alias("at"), F.lit(action).alias("action"), F.lit(token).alias("token"))
+    entries = F.array_compact(F.array(
+        entry(0, "create", ""), F.when(k % 7 == 0, entry(1, "suppress", "")), F.when(k % 5 == 0, entry(2, "claim", "a")), F.when(k % 5 == 0, entry(3, "claim", "b")), F.when(k % 5 == 0, entry(4, "accepted", "b")),
+        F.when((k % 5 == 0) & (k % 3 == 0), entry(5, "accepted", "a")), F.when((k % 5 == 0) & (k % 3 == 0), entry(6, "failed", "a")), F.when((k % 5 == 0) & (k % 3 == 1), entry(5, "failed", "a")),
+    ))
+    log = table(spark, sf_dir, "orders").select(k.alias("id"), F.explode(entries).alias("e")).select("id", "e.*")
+    return notify.delivery_states(log, clock.at("1997-01-01 00:00:00"))
+
+
+@query("""SELECT o_orderkey AS id FROM orders WHERE o_orderdate >= TIMESTAMP '1996-05-05' ORDER BY o_orderdate, o_orderkey LIMIT 10""")
+def chat_batch(spark, sf_dir):
+    return notify.chat_batch(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at")), clock.at("1996-05-05 00:00:00")).select("id")
+
+
+@query("""SELECT o_orderkey AS id FROM orders WHERE o_orderpriority LIKE '1-%' AND o_orderdate > TIMESTAMP '1998-01-01' - INTERVAL 240 HOUR AND o_orderdate <= TIMESTAMP '1998-01-01' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10""")
+def summary_notices(spark, sf_dir):
+    """The newest summaries of the last hours, by the beginning of their key."""
+    rows = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1-") & (F.col("o_orderdate") > clock.hours_before(clock.at("1998-01-01 00:00:00"), 240)) & (F.col("o_orderdate") <= clock.at("1998-01-01 00:00:00")))
+    return windows.newest(rows, ["o_orderdate", "o_orderkey"], 10).select(F.col("o_orderkey").alias("id"))
+
+
+SAMPLES = """WITH RECURSIVE s AS (SELECT user_id AS k, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_id // 4 AS seq, CAST(floor(value) AS BIGINT) AS c, ts FROM events),
+f AS (SELECT DISTINCT k, CAST(-1 AS BIGINT) AS id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS c, CAST(NULL AS TIMESTAMP) AS ts, '' AS outcome, CAST(NULL AS BIGINT) AS rise FROM s
+  UNION ALL SELECT s.k, s.id, s.n, CASE WHEN o IN ('duplicate', 'rejected') THEN f.seq ELSE s.seq END, CASE WHEN o IN ('duplicate', 'rejected') THEN f.c ELSE s.c END, CASE WHEN o IN ('duplicate', 'rejected') THEN f.ts ELSE s.ts END, o, CASE WHEN o = 'accepted' AND s.c > f.c THEN s.c - f.c END
+  FROM f JOIN s ON s.k = f.k AND s.n = f.n + 1, LATERAL (SELECT CASE WHEN f.ts IS NULL THEN 'baseline' WHEN s.seq = f.seq AND s.c = f.c THEN 'duplicate' WHEN s.seq <= f.seq THEN 'rejected' WHEN epoch_us(s.ts) - epoch_us(f.ts) <= 14400000000 THEN 'accepted' ELSE 'baseline' END AS o))
+SELECT id, outcome, rise FROM f WHERE n > 0"""
+
+
+@query(SAMPLES)
+def observation_outcomes(spark, sf_dir):
+    """Samples of a live count: duplicates, regressions, rises, and a baseline after each silence."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("id"), F.floor(F.col("event_id") / 4).alias("sequence"), F.floor("value").alias("count"), F.col("ts").alias("at"))
+    return folds.observations(rows, "k", ["at", "id"], 4 * 3600).select("id", "outcome", "rise")

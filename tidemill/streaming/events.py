@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.clock import ZONE_HOURS
+from ..operators.aggregates import set_digest
 
 
 def tail(spark, path: str, schema: str, files_a_batch: int = 100) -> DataFrame:
@@ -49,33 +51,40 @@ def live_sessions(observations: DataFrame, key: str, at: str, gap: str, within:
     )
 
 
-def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, count = state.get if state.exists else (-1, None)
-    out = []
-    for row in pd.concat(list(batches)).sort_values("sequence", kind="stable").itertuples():
-        if row.sequence <= last:
-            continue  # repeated or out of order
-        if count is not None and row.unread > count:
-            out.append((key[0], row.sequence, row.unread, count))
-        last, count = int(row.sequence), int(row.unread)
-    state.update((last, count))
-    yield pd.DataFrame(out, columns=["session", "sequence", "unread", "previous"])
+def _follow(gap_seconds: float):
+    """Rises of one session in the rows of a micro-batch, after the state of the last one."""
 
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, count, at = state.get if state.exists else (-1, None, None)
+        rows = pd.concat(list(batches)).sort_values("sequence", kind="stable").drop_duplicates("sequence")
+        rows = rows[rows["sequence"] > last]
+        if len(rows):
+            before = rows[["unread", "at"]].shift()
+            before.iloc[0] = [np.nan if count is None else count, pd.NaT if at is None else pd.Timestamp(at)]
+            silent = (rows["at"] - pd.to_datetime(before["at"])).dt.total_seconds() > gap_seconds
+            rose = (rows["unread"] > before["unread"].astype(float)) & ~silent
+            end = rows.iloc[-1]
+            state.update((int(end["sequence"]), int(end["unread"]), end["at"].to_pydatetime()))
+            found = rows[rose].assign(session=key[0], previous=before["unread"][rose].astype("int64"))
+            yield found[["session", "sequence", "unread", "previous"]]
 
-def unread_increases(observations: DataFrame) -> DataFrame:
-    """Of ``session, sequence, unread`` the rows whose count rose; a session's first is its baseline.
+    return run
 
-    A sequence number not above the last one seen is ignored.
+
+def unread_increases(observations: DataFrame, gap_seconds: float = 15.0) -> DataFrame:
+    """Of ``session, sequence, unread, at`` the rows whose count rose; a session's first is its baseline, and so is the first after a silence.
+
+    A sequence number not above the last one seen is ignored.  A micro-batch of
+    a session is held at a time, and one row of state between them.
     """
     return observations.groupBy("session").applyInPandasWithState(
-        _follow, "session string, sequence long, unread long, previous long", "last long, count long", "append", GroupStateTimeout.NoTimeout
+        _follow(gap_seconds), "session string, sequence long, unread long, previous long", "last long, count long, at timestamp", "append", GroupStateTimeout.NoTimeout
     )
 
 
 def releases(deferred: DataFrame) -> DataFrame:
-    """One summary for each kind and end of quiet hours: how many, and a digest of the member ids."""
-    members = F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), "\n"), 256)
-    return deferred.groupBy("kind", "quiet_end").agg(F.count(F.lit(1)).alias("n"), members.alias("dedupe_key"))
+    """One summary for each kind and end of quiet hours: how many, and a digest of the set of member ids."""
+    return set_digest(deferred, ["kind", "quiet_end"], "id").withColumnRenamed("digest", "dedupe_key")
 
 
 def claims(log: DataFrame) -> DataFrame:
