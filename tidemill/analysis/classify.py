@@ -19,8 +19,8 @@ def _no_quote() -> Column:
 
 def judged(value: str | Column, basis: str | Column | None, quote: Column | None = None) -> Column:
     value, basis = (x if isinstance(x, Column) else F.lit(x).cast("string") for x in (value, basis))
-    q = _no_quote() if quote is None else quote
-    return F.struct(value.alias("value"), basis.alias("basis"), q["quote"].alias("quote"), q["start"].alias("start"), q["stop"].alias("stop"))
+    whole = lambda q: F.struct(value.alias("value"), basis.alias("basis"), q["quote"].alias("quote"), q["start"].alias("start"), q["stop"].alias("stop"))
+    return whole(_no_quote()) if quote is None else let(quote, whole)
 
 
 def _chain(steps: list[tuple[Column, Column]], otherwise: Column) -> Column:
@@ -140,9 +140,9 @@ def categories(p: Post) -> Column:
     text = p.whole()
     verb = has(text, R.DEV_VERB)
     named = [F.when(has(text, *patterns) & (F.lit(alone or name == "data") | verb), F.lit(name)) for name, patterns, alone in R.CATEGORIES]
-    changed = find_first(text, R.SOFTWARE_CHANGE)["hit"]
-    from_change = F.when(has(changed, R.CHANGED_WEBSITE), F.array(F.lit("website"))).otherwise(F.array(F.lit("software")))
-    first = let(F.array_compact(F.array(*named)), lambda a: F.when((F.size(a) == 0) & changed.isNotNull(), from_change).otherwise(a))
+    none = F.array().cast("array<string>")
+    from_change = let(find_first(text, R.SOFTWARE_CHANGE), lambda m: F.when(m.isNull(), none).when(has(m["hit"], R.CHANGED_WEBSITE), F.array(F.lit("website"))).otherwise(F.array(F.lit("software"))))
+    first = let(F.array_compact(F.array(*named)), lambda a: F.when(F.size(a) == 0, from_change).otherwise(a))
     marketing = has(text, R.MARKETING_CONTEXT) & has(text, R.MARKETING_WORK) & ~has(text, R.SOFTWARE_CHANGE) & ~has(text, R.MARKETING_SOFTWARE)
     gone = F.array_compact(
         F.array(

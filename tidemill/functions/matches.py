@@ -55,12 +55,12 @@ def find_first(text: Column, pattern: str) -> Column:
     """``start, stop, hit`` of the first match, null without one."""
     whole = UNICODE + r"^((?s:.*?))(" + pattern + ")"
 
-    def placed(before: Column, hit: Column) -> Column:
-        start = F.length(before)
-        return F.struct(start.alias("start"), (start + F.length(hit)).alias("stop"), hit.alias("hit"))
+    def placed(m: Column) -> Column:
+        start = F.length(m["before"])
+        return F.struct(start.alias("start"), (start + F.length(m["hit"])).alias("stop"), m["hit"].alias("hit"))
 
     parts = F.struct(F.regexp_extract(both(text), whole, 1).alias("before"), F.regexp_extract(both(text), whole, 2).alias("hit"))
-    return F.when(both(text).rlike(UNICODE + pattern), let(parts, lambda m: placed(m["before"], m["hit"])))
+    return F.when(both(text).rlike(UNICODE + pattern), let(parts, placed))
 
 
 def before(text: Column, start: Column, most: int | None = None) -> Column:
@@ -117,6 +117,12 @@ def evidence(patterns: Iterable[str], body: Column, title: Column, widen: bool =
     patterns, b, t = list(patterns), both(body), both(title)
     nowhere = F.lit(None).cast("int")
     whole_title = F.struct(F.btrim(t).alias("quote"), nowhere.alias("start"), nowhere.alias("stop"))
-    in_body = F.coalesce(*[find_first(b, p) for p in patterns])
-    found = lambda m: sentence_around(b, m["start"], m["stop"]) if widen else F.struct(m["hit"].alias("quote"), m["start"], m["stop"])
-    return F.when(has(b, *patterns), let(in_body, found)).when(has(t, *patterns), whole_title)
+    first = F.coalesce(*[F.when(b.rlike(UNICODE + p), F.lit(UNICODE + r"^((?s:.*?))(" + p + ")")) for p in patterns])
+    part = lambda pattern, k: F.call_function("regexp_extract", b, pattern, F.lit(k))
+
+    def found(m: Column) -> Column:
+        start, stop = F.length(m["before"]), F.length(m["before"]) + F.length(m["hit"])
+        return sentence_around(b, start, stop) if widen else F.struct(m["hit"].alias("quote"), start.alias("start"), stop.alias("stop"))
+
+    in_body = lambda pattern: let(F.struct(part(pattern, 1).alias("before"), part(pattern, 2).alias("hit")), found)
+    return let(first, lambda pattern: F.when(pattern.isNotNull(), in_body(pattern)).when(has(t, *patterns), whole_title))
