@@ -112,8 +112,8 @@ def test_user_feedback_stands_above_the_text(spark):
 def test_site_pay_and_conflicts(spark):
     kind = "struct<raw:string,currency:string,min:bigint,max:bigint,unit:string,negotiable:boolean,start:int>"
     hints = [(None, "body", None), (("", "KRW", None, None, "unknown", False, None), "body", None), (("100만원", "KRW", 1000000, 1000000, "project", False, None), "site", "보수 금액 불일치 — 사이트 예산 100만원, 본문 예산 50만원"), (("40~60만원", "KRW", 400000, 600000, "project", False, None), "site", None)]
-    rows = spark.createDataFrame(hints, f"hint {kind}, want string, conflict string").withColumn("body", F.lit("예산 50만원"))
-    for r in rows.select("*", score.resolve_pay(F.col("hint"), pay.parse_pay(F.col("body"))).alias("got")).collect():
+    rows = spark.createDataFrame(hints, f"hint {kind}, want string, conflict string").withColumn("read", pay.parse_pay(F.lit("예산 50만원")))
+    for r in rows.select("*", score.resolve_pay(F.col("hint"), F.col("read")).alias("got")).collect():
         assert r.got.conflict == r.conflict and r.got.pay.raw == ("예산 50만원" if r.want == "body" else r.hint.raw)
 
 
