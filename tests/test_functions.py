@@ -103,6 +103,32 @@ def test_feeds(spark):
     assert [(p.post_id, p.title, p.closed, p.pay_unit) for p in posts] == [("1", "A", False, "HOUR"), ("2", "B", True, None)]
 
 
+def test_store_details(spark):
+    import json
+
+    def store(**post):
+        user = post.pop("user", {"webCrawlNotAllowed": False})
+        return json.dumps({
+            "client:root": {'permalinkPairByPublicId(publicId:"7")': {"__ref": "pair"}}, "pair": {"permalink": {"__ref": "link"}}, "link": {"publicId": "7", "model": {"__ref": "post"}},
+            "post": {"__typename": "JobPost", "title(masking:true)": "Build it", "content(masking:true)": "Some text", "user": {"__ref": "user"}, "closed": False} | post, "user": user,
+        })
+
+    shown = "<h1>Build it</h1><p>Some text</p>"
+    cases = [(store(), "7", shown, "ok"), (store(), "8", shown, "identity_mismatch"), (store(hidden=True), "7", shown, "hidden_or_deleted"), (store(user={"webCrawlNotAllowed": True}), "7", shown, "collection_disallowed"), (store(user={}), "7", shown, "collection_permission_unknown"),
+             (store(__typename="Other"), "7", shown, "no_posting"), (store(), "7", "<h1>Other</h1><p>Some text</p>", "page_changed"), (store(closed=True), "7", "<h1>마감 Build it</h1><p>Some text</p>", "ok"), ("no json", "7", shown, "identity_mismatch")]
+    rows = pages.read_pages(spark.createDataFrame([(k, s, i, h, "https://c.example/7") for k, (s, i, h, _) in enumerate(cases)], "k int, store string, id string, html string, url string"))
+    got = rows.select("k", pages.store_detail(F.col("store"), F.col("id")).alias("d")).orderBy("k").collect()
+    assert [r.d.outcome for r in got] == [c[3] for c in cases] and (got[7].d.title, got[7].d.source_status) == ("Build it", "closed")
+    choice = lambda x: pages.feed_choice(F.struct((x == "c").alias("core"), (x == "e").alias("explore")), F.lit(False), F.lit("MONTHLY"))
+    assert values(spark, choice, ["c", "e", "n"]) == ["explore", "listed", "listed"]
+
+
+def test_board_posts(spark):
+    page = read(spark, BOARD).withColumns({"budget": F.lit("예산 건당 최대 80만원"), "deadline": F.lit("2026-10-20")})
+    r = page.select(pages.board_post(F.col("budget"), F.col("deadline"), clock.at("2026-10-10 00:00:00")).alias("p")).first().p
+    assert (r.pay["min"], r.pay["max"], r.pay.unit, str(r.deadline_at), r.closed) == (None, 800000, "project", "2026-10-19 15:00:00", True)
+
+
 def test_cursors():
     from datetime import UTC, datetime
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..analysis.pay import budget_label, structured_salary
 from ..functions.clock import ZONE_HOURS, parse_iso
 from ..functions.clock import at as instant
-from ..functions.matches import has
+from ..functions.matches import has, let
 from ..functions.text import canonical_url, normalize_text
 
 # Elements whose content is no text, and those that begin a line.
@@ -332,3 +332,60 @@ def board_post(budget: Column, deadline: Column, observed: Column) -> Column:
     at = day - F.expr(f"INTERVAL {ZONE_HOURS} HOURS")
     closed = closed_button("btn_cash", "마감된 의뢰입니다", "user_info_contact")
     return F.struct(budget_label(budget).alias("pay"), at.alias("deadline_at"), (closed | F.coalesce(at + F.expr("INTERVAL 1 DAY") <= observed, F.lit(False))).alias("closed"))
+
+
+@dataclass(frozen=True)
+class StoreNames:
+    """How an embedded store names its parts; a survey of the site fills them in."""
+
+    root: str = "client:root"
+    pair: str = "permalinkPairByPublicId(publicId:\"{}\")"
+    link: str = "permalink"
+    public_id: str = "publicId"
+    kind: str = "JobPost"
+    title: str = "title(masking:true)"
+    body: str = "content(masking:true)"
+    refused: str = "webCrawlNotAllowed"
+    closed_badge: str = "마감 "
+
+
+def store_detail(store: Column, post_id: Column, names: StoreNames = StoreNames()) -> Column:
+    """``outcome, title, body, source_status, published`` of the post that an embedded store and its page show.
+
+    The store must name the asked id twice and a post of the right kind; hidden
+    posts and those whose writer forbids collection, or does not say, are not
+    taken; the page must show the store's title once, and its text.
+    """
+    field = lambda node, name: F.get_json_object(node, f"$['{name}']")
+    head, tail = names.pair.split("{}")
+
+    def read(table: Column) -> Column:
+        at = lambda node, name: F.try_element_at(table, F.get_json_object(field(node, name), "$.__ref"))
+        root = F.from_json(F.try_element_at(table, F.lit(names.root)), "map<string,string>")
+        pair = F.try_element_at(table, F.get_json_object(F.try_element_at(root, F.concat(F.lit(head), post_id, F.lit(tail))), "$.__ref"))
+        return let(at(pair, names.link), lambda link: let(at(link, "model"), lambda post: judge(link, post, at(post, "user"))))
+
+    def judge(link: Column, post: Column, user: Column) -> Column:
+        yes = lambda node, name: F.coalesce(field(node, name) == "true", F.lit(False))
+        masked, body = normalize_text(F.coalesce(field(post, names.title), F.lit(""))), normalize_text(F.coalesce(field(post, names.body), F.lit("")))
+        texts = lambda tag: F.transform(F.filter("nodes", lambda n: n["tag"] == tag), lambda n: n["text"])
+        shown = F.get(texts("h1"), F.lit(0))
+        title = F.when(yes(post, "closed") & (shown == F.concat(F.lit(names.closed_badge), masked)), masked).otherwise(shown)
+        outcome = (
+            F.when(post.isNull() | ~F.coalesce(field(link, names.public_id) == post_id, F.lit(False)), "identity_mismatch").when(~F.coalesce(field(post, "__typename") == names.kind, F.lit(False)), "no_posting")
+            .when(yes(post, "hidden") | yes(post, "deleted"), "hidden_or_deleted").when(yes(user, names.refused), "collection_disallowed")
+            .when(~F.coalesce(field(user, names.refused) == "false", F.lit(False)), "collection_permission_unknown")
+            .when((F.size(texts("h1")) != 1) | ~F.array_contains(texts("p"), body) | (body == "") | (title == "") | (title != masked), "page_changed").otherwise("ok")
+        )
+        closed = field(post, "closed")
+        status = F.when(closed == "true", "closed").when(closed == "false", "open")
+        return F.struct(outcome.alias("outcome"), title.alias("title"), body.alias("body"), status.alias("source_status"), parse_iso(field(post, "publishedAt")).alias("published"))
+
+    return let(F.from_json(store, "map<string,string>"), read)
+
+
+def feed_choice(match: Column, closed: Column, pay_unit: Column) -> Column:
+    """``core``, ``explore`` or ``listed`` for a feed's card: closed ones are only listed, and pay by month or year moves each one step down."""
+    steady = F.coalesce(pay_unit.isin("MONTHLY", "YEARLY"), F.lit(False))
+    core, explore = match["core"] & ~steady, (match["explore"] & ~steady) | (match["core"] & steady)
+    return F.when(F.coalesce(closed, F.lit(False)), "listed").when(core, "core").when(explore, "explore").otherwise("listed")
