@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lang_id, mixing, packing, quality_crf, quality_rules, secret_scan, simhash_pivot, substring_dedup, toxicity
+from . import align, exact_dedup, fill_middle, lang_id, mixing, packing, quality_crf, quality_rules, secret_scan, simhash_pivot, substring_dedup, toxicity
 from .common import fold
 
 
@@ -68,6 +68,16 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivot.near_duplicates(_documents(spark, sf_dir), words_per_shingle=4)
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(_documents(spark, sf_dir)).withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filled = fill_middle.restore(fill_middle.fill_in_middle(_documents(spark, sf_dir)))
+    digests = [F.sha2(F.col(c), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return filled.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
