@@ -1,15 +1,17 @@
 """Alignment, fill-in-the-middle and token files against brute force and whole texts."""
 
 import hashlib
+import io
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.llm import align, fill_middle
-from tidemill.llm.queries import op12_cross_tokenizer_alignment, op13_fill_in_middle
+from tidemill.llm import align, fill_middle, id_coder, id_files
+from tidemill.llm.queries import op11_token_id_output, op12_cross_tokenizer_alignment, op13_fill_in_middle
 from tidemill.llm.unit_tokens import byte_units, piece_units, vocabulary
 
 STRANGE = [
@@ -158,3 +160,84 @@ def test_fill_in_middle_query(spark, empty):
         assert (g.n, g.form, g.prefix_chars, g.middle_chars) == (n, form, prefix, middle)
         assert g.output_sha256 == hashlib.sha256(output.encode()).hexdigest() and g.restored_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
     assert fill_middle.restore(fill_middle.fill_in_middle(empty)).count() == 0 and align.align_documents(empty).count() == 0
+
+
+def test_blocks_come_back():
+    rng = np.random.default_rng(1)
+    cases = [rng.integers(0, 65536, (3, 700)), rng.integers(0, 3, (5, 1500)), np.zeros((1, 4096), int), np.full((2, 100), 65535), rng.zipf(1.3, (40, 900)) % 50257, rng.integers(0, 50257, (1, 1)), np.tile(np.arange(64), (4, 64))]
+    for ids in cases:
+        codes = id_coder.encode_blocks(ids)
+        assert (id_coder.decode_blocks(codes, ids.shape[1]) == ids).all()
+    # Repeats cost little, and noise costs no more than a little over its sixteen bits.
+    assert sum(map(len, id_coder.encode_blocks(cases[2]))) < 100
+    assert sum(map(len, id_coder.encode_blocks(cases[0]))) * 8 < 17.5 * cases[0].size
+
+
+def test_any_block_is_read_without_the_others():
+    rng = np.random.default_rng(2)
+    ids = rng.zipf(1.3, (30, 800)) % 50257
+    codes = id_coder.encode_blocks(ids)
+    for k in (0, 7, 29):
+        assert (id_coder.decode_blocks([codes[k]], 800)[0] == ids[k]).all()
+        assert id_coder.encode_blocks(ids[k : k + 1]) == [codes[k]]
+
+
+def test_carries_run_through_many_words():
+    """Order 0 of one id and then another keeps the low end near the top of its range."""
+    for pattern in ([0] * 3000 + [1], [5, 5, 5, 7] * 900, [1, 0] * 2000, list(range(3000))):
+        ids = np.array([pattern])
+        assert (id_coder.decode_blocks(id_coder.encode_blocks(ids), ids.shape[1]) == ids).all()
+
+
+def written_file(docs):
+    out = io.BytesIO()
+    writer = id_files.FileWriter(out)
+    for doc_id, ids in docs:
+        writer.add(doc_id, np.array(ids, np.uint16))
+    assert writer.close() == len(out.getvalue())
+    return out.getvalue()
+
+
+def test_files_round_trip_and_show_damage(monkeypatch):
+    monkeypatch.setattr(id_files, "LANES", 3)
+    monkeypatch.setattr(id_files, "BLOCK_IDS", 500)
+    rng = np.random.default_rng(3)
+    docs = [(k if k else None, (rng.zipf(1.4, n) % 50257).tolist()) for k, n in enumerate([1, 4000, 0, 1500, 1, 1, 7000, 13])]
+    data = written_file(docs)
+    read = lambda b: [(i, s, np.concatenate([*p, []]).astype(int).tolist(), c) for i, s, p, c in id_files.FileReader(io.BytesIO(b), len(b)).documents()]
+    starts = np.cumsum([0, *[len(x) for _, x in docs]]).tolist()
+    assert read(data) == [(i, s, x, zlib.crc32(np.array(x, "<u4").tobytes())) for (i, x), s in zip(docs, starts, strict=False)]
+    for at in (3, 60, len(data) // 2, len(data) - 60, len(data) - 2):
+        with pytest.raises(id_files.Damaged):
+            read(data[:at] + bytes([data[at] ^ 4]) + data[at + 1 :])
+    assert read(written_file([])) == []
+
+
+def brute_ids(rows):
+    encode = byte_units(vocabulary("byte_bpe_50k.json")).tokenizer.encode
+    ids = [(i, t or "", [*encode(t or "", add_special_tokens=False).ids, 0]) for i, t in rows]
+    return sorted(ids, key=lambda x: (x[0] is not None, x[0]))
+
+
+def test_token_files_of_odd_rows(spark, strange, doc_rows, empty, tmp_path, monkeypatch):
+    monkeypatch.setattr(id_files, "FILE_IDS", 2000)
+    rows = strange[0] + [(1000 + r[0], r[1]) for r in doc_rows]
+    df = spark.createDataFrame([(t, i, "x") for i, t in rows], "text string, doc_id long, tie string").repartition(5)
+    id_files.write_ids(df, f"{tmp_path}/ids")
+    assert len(list(tmp_path.glob("ids/*.ids"))) > 3
+    (tmp_path / "ids/part-00000-00000-left-by-a-lost-task.ids").write_bytes(b"half a file")
+    got = sorted(id_files.read_ids(spark, f"{tmp_path}/ids", with_ids=True).collect(), key=lambda r: r.start)
+    want = brute_ids(rows)
+    assert [r.doc_id for r in got] == [i for i, _, _ in want] and sorted((repr(r.doc_id), r.ids) for r in got) == sorted((repr(i), x) for i, _, x in want)
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
+    assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and r.n_tokens == len(r.ids) for r in got)
+    id_files.write_ids(empty, f"{tmp_path}/none")
+    assert id_files.read_ids(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_token_id_query(spark):
+    want, start = {}, 0
+    for i, _, ids in brute_ids([(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]):
+        want[i] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in op11_token_id_output(spark, "/root/testdata/sf0.001").collect()} == want

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, exact_dedup, fill_middle, lang_id, mixing, packing, quality_crf, quality_rules, secret_scan, simhash_pivot, substring_dedup, toxicity
-from .common import fold
+from . import align, exact_dedup, fill_middle, id_files, lang_id, mixing, packing, quality_crf, quality_rules, secret_scan, simhash_pivot, substring_dedup, toxicity
+from .common import fold, shared_root
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +69,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivot.near_duplicates(_documents(spark, sf_dir), words_per_shingle=4)
 
 
+def op11_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_root(spark)}/token-ids-{uuid.uuid4().hex}"
+    id_files.write_ids(_documents(spark, sf_dir), folder)
+    return id_files.read_ids(spark, folder)
+
+
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_documents(_documents(spark, sf_dir)).withColumnRenamed("groups", "groups_sha256")
 
