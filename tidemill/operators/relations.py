@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, title_key, trigrams
+from ..functions.text import title_key
 from ..storage import settled
+from .similar import gram_sets, similar_pairs
 
 
 def mark(left: DataFrame, right: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -71,25 +72,17 @@ def candidate_links(records: DataFrame, least: float = 0.6) -> tuple[DataFrame,
 
     Gives members ``id, other`` - each record beside the first one of its title
     and content - and links ``low, high, similarity`` between such first ones
-    whose bodies share ``least`` of their trigrams.  Sets that alike share one
-    of their rarest trigrams, so only bodies that do are compared, and every
-    such pair is.
+    whose bodies share ``least`` of their trigrams.  Titles are compared by
+    their letters and digits; a title without any, or null, is like another
+    such.  Bodies move only where a title has two different contents.
     """
-    rows = records.withColumn("key", title_key(F.col("title")))
-    first = settled(rows.groupBy("key", "digest").agg(F.min("id").alias("first_id"), F.min_by("body", "id").alias("body")))
-    members = rows.join(first.select("key", "digest", "first_id"), ["key", "digest"]).where("id <> first_id").select("id", F.col("first_id").alias("other"))
-    sets = settled(first.where("key <> ''").select("key", F.col("first_id").alias("id"), trigrams(F.col("body")).alias("grams")).where(F.size("grams") > 0))
-    grams = sets.select("key", "id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    counts = grams.groupBy("key", "gram").agg(F.count(F.lit(1)).alias("df"))
-    rarest = F.row_number().over(Window.partitionBy("key", "id").orderBy("df", "gram"))
-    prefix = grams.join(counts, ["key", "gram"]).withColumn("place", rarest).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1).where("df > 1").select("key", "gram", "id", "n")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id"))
-    close = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least)
-    pairs = a.join(b, same).where(close).select(F.col("a.id").alias("low"), F.col("b.id").alias("high")).distinct()
-    held = pairs.join(sets.select(F.col("id").alias("low"), F.col("grams").alias("_a")), "low").join(sets.select(F.col("id").alias("high"), F.col("grams").alias("_b")), "high")
-    links = held.select("low", "high", jaccard(F.col("_a"), F.col("_b")).alias("similarity")).where(F.col("similarity") >= least)
-    return members, links
+    rows = records.withColumn("key", F.coalesce(title_key(F.col("title")), F.lit("")))
+    first = settled(rows.groupBy("key", "digest").agg(F.min("id").alias("first_id")))
+    members = rows.select("key", "digest", "id").join(first, ["key", "digest"]).where("id <> first_id").select("id", F.col("first_id").alias("other"))
+    shared = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    compared = first.join(shared, "key", "left_semi").select("key", F.col("first_id").alias("id"))
+    bodies = compared.join(records.select("id", "body"), "id")
+    return members, similar_pairs(gram_sets(bodies.select("key", "id", "body")), least)
 
 
 def uncooled(queued: DataFrame, runs: DataFrame, now: Column) -> DataFrame:

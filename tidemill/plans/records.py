@@ -178,15 +178,15 @@ def related_leads(spark, sf_dir):
     return metrics.histogram(both.where("id <> other"), "id", "other").withColumnRenamed("n", "edges")
 
 
-@query("""WITH m AS (SELECT doc_id AS id, lower(regexp_replace(coalesce(regexp_extract(text, '^\\S+ \\S+'), ''), '[^a-zA-Z]', '', 'g')) AS title, regexp_replace(coalesce(text, ''), '\\s+', '', 'g') AS t, md5(coalesce(text, '')) AS h FROM documents WHERE regexp_matches(text, '^[a-zA-Z]+ [a-zA-Z]+')),
-f AS (SELECT title, h, min(id) AS id, any_value(t) AS t FROM m GROUP BY title, h), c AS (SELECT title, id, string_split(t, '') AS s FROM f),
+@query(r"""WITH m AS (SELECT doc_id AS id, lower(regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '[^\p{L}\p{N}]', '', 'g')) AS title, regexp_replace(coalesce(text, ''), '[\s\x0B\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', '', 'g') AS t, md5(coalesce(text, '')) AS h FROM documents),
+f AS (SELECT title, h, min(id) AS id, any_value(t) AS t FROM m GROUP BY title, h), c AS (SELECT title, id, string_split(t, '') AS s FROM f WHERE title IN (SELECT title FROM f GROUP BY title HAVING count(*) > 1)),
 g AS (SELECT title, id, list_distinct([s[i] || s[i + 1] || s[i + 2] FOR i IN range(1, len(s) - 1)]) AS s FROM c WHERE len(s) >= 3)
 SELECT a.id AS low, b.id AS high, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))::DOUBLE, 9) AS similarity
 FROM g a JOIN g b ON a.title = b.title AND a.id < b.id WHERE len(list_intersect(a.s, b.s)) >= 0.6 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))""")
 def candidate_links(spark, sf_dir):
-    """Every pair of texts with one title, here their first two words, whose trigrams are alike by 0.6."""
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike("^[a-zA-Z]+ [a-zA-Z]+"))
-    rows = docs.select(F.col("doc_id").alias("id"), F.regexp_replace(F.regexp_extract("text", r"^\S+ \S+", 0), "[^a-zA-Z]", "").alias("title"), F.coalesce("text", F.lit("")).alias("body"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+    """Every pair of documents with one first line, by its letters and digits, whose trigrams are alike by 0.6."""
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring_index(text, "\n", 1).alias("title"), text.alias("body"), F.md5(text.cast("binary")).alias("digest"))
     return relations.candidate_links(rows)[1].select("low", "high", F.round("similarity", 9).alias("similarity"))
 
 
