@@ -23,7 +23,9 @@ from .unit_tokens import byte_units, piece_units, vocabulary
 B_IDS = 1 << 16
 #: Pairs that are told to every task: those in more than one in so many of all (document, pair) rows, so never more.
 COMMON_PAIRS = 1 << 20
-SIDE_BY_SIDE = 4 << 20
+SIDE_BY_SIDE = 1 << 20
+#: Rows whose pairs are looked up side by side.
+ROWS = 512
 
 ALIGNED = "id {kind}, row long, n_a long, n_b long, n_groups long, n_links long, groups {groups}, pairs array<long>, times array<int>"
 
@@ -133,7 +135,7 @@ def with_counts(aligned: DataFrame, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, n, best = told.value
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             lists = [batch.column(k) for k in (batch.num_columns - 2, batch.num_columns - 1)]
             flat, times = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
             sizes = np.diff(lists[0].offsets.to_numpy())

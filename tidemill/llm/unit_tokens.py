@@ -28,7 +28,7 @@ _UNITS = re.compile(f" ?[^ {_WS}]+|[ {_WS}]+(?![^ {_WS}])|[ {_WS}]")
 class Units(dict):
     """Numbers of words; ``flat[starts[k] : starts[k] + lens[k]]`` are the ids of word ``k``.  About ``most`` are remembered at a time."""
 
-    def __init__(self, most: int = 700_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
         #: Bytes of each id's token.
@@ -77,7 +77,7 @@ class Units(dict):
 class ByteUnits(Units):
     """A byte-level vocabulary of the tokenizers library; ``lead`` is put before every text."""
 
-    def __init__(self, path: str, lead: str = "", most: int = 700_000):
+    def __init__(self, path: str, lead: str = "", most: int = 300_000):
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
@@ -117,7 +117,7 @@ class PieceUnits(Units):
     U+2581, so a text that holds that character is not spelt exactly.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 300_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
