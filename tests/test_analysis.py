@@ -5,7 +5,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.analysis import classify, dates, pay, rules, score
+from tidemill.analysis import classify, dates, incremental, pay, rules, score
+from tidemill.analysis.scan import scan
 from tidemill.functions import matches
 from tidemill.plans import posts
 
@@ -49,7 +50,7 @@ def test_evidence_rows_quote_the_text(analysed):
 
 def test_pay(spark):
     rows = spark.createDataFrame([(k, p[0]) for k, p in enumerate(posts.PAYS)], "k int, body string")
-    for r in rows.select("k", pay.parse_pay(F.col("body")).alias("p")).collect():
+    for r in rows.select("k", pay.parse_pay(scan(F.lit(None).cast("string"), F.col("body"))).alias("p")).collect():
         p = r.p
         assert (p.unit, p.min, p.max, p.negotiable, p.raw, p.currency) == posts.PAYS[r.k][1:], posts.PAYS[r.k][0]
         if p.raw:
@@ -65,7 +66,8 @@ def test_wages_by_time(spark):
 def test_dates(spark):
     rows = spark.createDataFrame([(k, *d[:2]) for k, d in enumerate(posts.DATES)], "k int, title string, body string")
     at = F.lit(posts.OBSERVED).cast("timestamp_ntz")
-    got = rows.select("k", dates.parse_deadline(F.col("body"), at).alias("d"), dates.parse_work_start(F.col("body"), at).alias("s"), dates.closed_marker(F.col("body"), F.col("title")).alias("c"))
+    rows = rows.withColumn("found", scan(F.col("title"), F.col("body")))
+    got = rows.select("k", dates.parse_deadline(F.col("found"), at).alias("d"), dates.parse_work_start(F.col("found"), at).alias("s"), dates.closed_marker(F.col("found"), F.col("title")).alias("c"))
     text = lambda x: None if x is None else x.strftime("%Y-%m-%d %H:%M:%S")
     for r in got.collect():
         assert (text(r.d.at), r.d.raw, text(r.s.at), r.s.raw, r.c.quote if r.c else None) == posts.DATES[r.k][2:], posts.DATES[r.k][:2]
@@ -77,14 +79,14 @@ def test_categories_leave_out_what_only_sounds_like_software(spark):
         "상품 포장 쇼핑몰 제작": ["shop"], "상품 제작 및 쇼핑몰 포장 진열": ["other"], "API 연동 개발": ["automation"], "자동화물 운송": ["other"],
     }
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = {r.t: r.c.names for r in rows.select("t", classify.categories(classify.Post(F.lit(""), F.col("t"))).alias("c")).collect()}
+    got = {r.t: r.c.names for r in rows.withColumn("s", scan(F.lit(""), F.col("t"))).select("t", classify.categories(classify.Post(F.lit(""), F.col("t"), F.col("s"))).alias("c")).collect()}
     assert got == texts
 
 
 def test_no_orders(spark):
     texts = [("과외 선생님 구해요", "코딩 과외를 해주실 선생님", rules.NO_TEACHING_ORDER), ("문의", "자소서 첨삭 부탁드립니다", rules.NO_ADVICE_ORDER), ("연구 보조", "연구자료 정리", rules.NO_RESEARCH_ORDER), ("홈페이지 제작 의뢰", "교육해 주실 필요 없습니다", None)]
     rows = spark.createDataFrame(texts, "title string, body string, want string")
-    assert all(r.want == r.got for r in rows.select("*", classify.non_delivery(classify.Post(F.col("title"), F.col("body"))).alias("got")).collect())
+    assert all(r.want == r.got for r in rows.withColumn("s", scan(F.col("title"), F.col("body"))).select("*", classify.non_delivery(classify.Post(F.col("title"), F.col("body"), F.col("s"))).alias("got")).collect())
 
 
 def test_evidence_is_the_first_pattern_with_its_sentence(spark):
@@ -112,7 +114,7 @@ def test_user_feedback_stands_above_the_text(spark):
 def test_site_pay_and_conflicts(spark):
     kind = "struct<raw:string,currency:string,min:bigint,max:bigint,unit:string,negotiable:boolean,start:int>"
     hints = [(None, "body", None), (("", "KRW", None, None, "unknown", False, None), "body", None), (("100만원", "KRW", 1000000, 1000000, "project", False, None), "site", "보수 금액 불일치 — 사이트 예산 100만원, 본문 예산 50만원"), (("40~60만원", "KRW", 400000, 600000, "project", False, None), "site", None)]
-    rows = spark.createDataFrame(hints, f"hint {kind}, want string, conflict string").withColumn("read", pay.parse_pay(F.lit("예산 50만원")))
+    rows = spark.createDataFrame(hints, f"hint {kind}, want string, conflict string").withColumn("read", pay.parse_pay(scan(F.lit(""), F.lit("예산 50만원"))))
     for r in rows.select("*", score.resolve_pay(F.col("hint"), F.col("read")).alias("got")).collect():
         assert r.got.conflict == r.conflict and r.got.pay.raw == ("예산 50만원" if r.want == "body" else r.hint.raw)
 
@@ -127,3 +129,54 @@ def test_structured_salary(spark):
     rows = [('{"currency":"KRW","value":{"minValue":100,"maxValue":200,"unitText":"HOUR"}}', (100, 200, "hour", "baseSalary 100~200 KRW/HOUR")), ('{"value":{"value":"5"}}', (5, 5, "unknown", "baseSalary 5~5 KRW/?")), ('{"value":7}', (7, 7, "unknown", "baseSalary 7~7 KRW/?")), ("{}", None), (None, None)]
     for r in spark.createDataFrame([(k, x[0]) for k, x in enumerate(rows)], "k int, v string").select("k", pay.structured_salary(F.col("v")).alias("s")).collect():
         assert (None if r.s is None else (r.s.min, r.s.max, r.s.unit, r.s.raw)) == rows[r.k][1]
+
+
+def test_scan_finds_what_the_expressions_find(spark):
+    """Places, sentences and groups of the matcher against the expression forms of the same."""
+    texts = [p[1] or "" for p in posts.POSTS] + [p[0] for p in posts.PAYS] + ["첫 문장입니다. • 홈페이지 제작 의뢰합니다! 끝 😀 알바", "x" * 200 + " 알바 " + "y" * 200, "", "\n\n알바"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, body string")
+    amounts = matches.find_all(F.col("body"), rules.PAY_SINGLE, 1, 2, 5)
+    both = rows.select("k", "body", scan(F.lit("제목 외주 "), F.col("body")).alias("s"), *[matches.evidence(p, F.col("body"), F.lit("제목 외주 ")).alias(k) for k, p in (("buyer", rules.BUYER), ("employment_weak", rules.EMPLOYMENT_WEAK), ("project", rules.PROJECT))], amounts.alias("m"))
+    for r in both.collect():
+        for k in ("buyer", "employment_weak", "project"):
+            assert r.s.quotes[k] == r[k], (r.body, k)
+        singles = [(m.start, m.stop, m.g1) for m in r.m if m.g2 or m.g5]
+        ranges = [(a.start, a.stop) for a in r.s.amounts if a.range]
+        assert [(a.start, a.stop, a.g1) for a in r.s.amounts if not a.range] == [m for m in singles if not any(x <= m[0] < y for x, y in ranges)]
+
+
+@pytest.fixture(scope="module")
+def kept(spark):
+    observed = F.lit(posts.OBSERVED).cast("timestamp_ntz")
+    rows = spark.createDataFrame([(k, f"글 {k}", f"홈페이지 제작 의뢰합니다. 예산 {k + 10}만원") for k in range(100)], "id long, title string, body string")
+    rows = rows.withColumns({"observed_at": observed, "last_checked_at": observed, "published_at": observed - F.expr("INTERVAL 23 HOURS"), "source_status": F.lit("open")})
+    profile = score.Profile(services=("website",))
+    return rows, profile, incremental.analysed(rows, profile, posts.OBSERVED).cache()
+
+
+def test_only_changes_are_analysed_again(kept):
+    rows, profile, stored = kept
+    later = "2026-10-10 03:10:00"
+
+    def again(posts_now, profile_now, at=later, ttl=24):
+        done = incremental.reanalysed(stored, posts_now, profile_now, at, ttl)
+        whole = incremental.analysed(posts_now, profile_now, at, ttl)
+        plain = [c for c in whole.columns if c != "analysed_at" and c != "valid_until"]
+        assert sorted(map(repr, done.select(*plain).collect())) == sorted(map(repr, whole.select(*plain).collect()))
+        return done.where(F.col("analysed_at") == F.lit(at).cast("timestamp_ntz")).count()
+
+    assert again(rows, profile) == 0
+    assert again(rows.withColumn("body", F.when(F.col("id") == 7, "알바").otherwise(F.col("body"))), profile) == 1
+    assert again(rows.where("id < 90"), profile) == 0
+    assert again(rows.unionByName(rows.where("id = 1").withColumn("id", F.lit(1000).cast("long"))), profile) == 1
+    assert again(rows, score.Profile(services=("website",), min_contract=10)) == 100
+    assert again(rows, profile, ttl=12) == 100
+    # After 24 hours of age, and where the clock goes back, every analysis has run out.
+    assert again(rows, profile, at="2026-10-10 04:00:01") == 100 and again(rows, profile, at="2026-10-10 02:59:00") == 100
+    assert incremental.reanalysed(stored.limit(0), rows, profile, later).count() == 100
+
+
+def test_rules_version_follows_the_tables(monkeypatch):
+    before = incremental.rules_version()
+    monkeypatch.setattr(rules, "ONGOING", (*rules.ONGOING, "x"))
+    assert incremental.rules_version() != before

@@ -1,4 +1,4 @@
-"""What a post asks for: five judgements, categories, risks and non-orders, as columns over title and body.
+"""What a post asks for: five judgements, categories, risks and non-orders, as columns over what a scan found.
 
 A judgement is ``value, basis, quote, start, stop``: basis is explicit,
 inferred or null, and the quote is the sentence that decided it, null where
@@ -10,17 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.matches import after, before, both, evidence, find_first, has, let
+from ..functions.matches import let
 from . import rules as R
 
-def _no_quote() -> Column:
-    return F.struct(F.lit(None).cast("string").alias("quote"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"))
-
 
 def judged(value: str | Column, basis: str | Column | None, quote: Column | None = None) -> Column:
     value, basis = (x if isinstance(x, Column) else F.lit(x).cast("string") for x in (value, basis))
-    whole = lambda q: F.struct(value.alias("value"), basis.alias("basis"), q["quote"].alias("quote"), q["start"].alias("start"), q["stop"].alias("stop"))
-    return whole(_no_quote()) if quote is None else let(quote, whole)
+    place = (F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("int")) if quote is None else (quote["quote"], quote["start"], quote["stop"])
+    return F.struct(value.alias("value"), basis.alias("basis"), *[c.alias(k) for c, k in zip(place, ("quote", "start", "stop"), strict=True)])
 
 
 def _chain(steps: list[tuple[Column, Column]], otherwise: Column) -> Column:
@@ -32,19 +29,19 @@ def _chain(steps: list[tuple[Column, Column]], otherwise: Column) -> Column:
 
 
 class Post:
-    """Signs and quotes of one post."""
+    """Signs and quotes of one post; ``scanned`` is a column that holds what ``scan`` found in it."""
 
-    def __init__(self, title: Column, body: Column):
-        self.title, self.body = title, body
+    def __init__(self, title: Column, body: Column, scanned: Column):
+        self.title, self.body, self.scan = title, body, scanned
 
-    def says(self, *patterns: str) -> Column:
-        return has(self.body, *patterns) | has(self.title, *patterns)
+    def says(self, group: str) -> Column:
+        return self.scan["quotes"][group].isNotNull()
 
-    def quote(self, *patterns: str) -> Column:
-        return evidence(patterns, self.body, self.title)
+    def quote(self, group: str) -> Column:
+        return self.scan["quotes"][group]
 
-    def whole(self) -> Column:
-        return F.concat_ws("\n", both(self.title), both(self.body))
+    def asked(self, name: str) -> Column:
+        return F.array_contains(self.scan["asked"], name)
 
 
 def intent(p: Post) -> Column:
@@ -53,19 +50,19 @@ def intent(p: Post) -> Column:
     Offers and job searches come first, then staff; a buyer who names wages or
     hours is hiring.
     """
-    buyer, weak = p.says(*R.BUYER), p.says(*R.EMPLOYMENT_WEAK)
-    wages = let(p.quote(*R.EMPLOYMENT_WEAK), lambda q: has(q["quote"], R.WAGE_WORDS))
+    buyer, weak = p.says("buyer"), p.says("employment_weak")
+    wages = p.asked("wage_words")
     return _chain(
         [
-            (p.says(*R.SELLER), judged("seller_service", "explicit", p.quote(*R.SELLER))),
-            (p.says(*R.JOB_SEEKER), judged("job_seeker", "explicit", p.quote(*R.JOB_SEEKER))),
-            (p.says(*R.OPERATIONAL_STAFF), judged("employee_hiring", "explicit", p.quote(*R.OPERATIONAL_STAFF))),
-            (p.says(*R.EMPLOYMENT_STRONG), judged("employee_hiring", "explicit", p.quote(*R.EMPLOYMENT_STRONG))),
-            (buyer & weak & wages, judged("employee_hiring", "inferred", p.quote(*R.EMPLOYMENT_WEAK))),
-            (buyer & p.says(*R.ONGOING), judged("buyer_ongoing", "explicit", p.quote(*R.BUYER))),
-            (buyer, judged("buyer_project", "explicit", p.quote(*R.BUYER))),
-            (weak, judged("employee_hiring", "inferred", p.quote(*R.EMPLOYMENT_WEAK))),
-            (p.says(*R.AMBIGUOUS_PERSON), judged("unknown", None, p.quote(*R.AMBIGUOUS_PERSON))),
+            (p.says("seller"), judged("seller_service", "explicit", p.quote("seller"))),
+            (p.says("job_seeker"), judged("job_seeker", "explicit", p.quote("job_seeker"))),
+            (p.says("operational_staff"), judged("employee_hiring", "explicit", p.quote("operational_staff"))),
+            (p.says("employment_strong"), judged("employee_hiring", "explicit", p.quote("employment_strong"))),
+            (buyer & weak & wages, judged("employee_hiring", "inferred", p.quote("employment_weak"))),
+            (buyer & p.says("ongoing"), judged("buyer_ongoing", "explicit", p.quote("buyer"))),
+            (buyer, judged("buyer_project", "explicit", p.quote("buyer"))),
+            (weak, judged("employee_hiring", "inferred", p.quote("employment_weak"))),
+            (p.says("ambiguous_person"), judged("unknown", None, p.quote("ambiguous_person"))),
         ],
         judged("unknown", None),
     )
@@ -76,10 +73,10 @@ def engagement(p: Post, intent_value: Column) -> Column:
     by_buyer = intent_value.startswith("buyer")
     return _chain(
         [
-            (p.says(*R.FULL_TIME), judged("full_time", "explicit", p.quote(*R.FULL_TIME))),
-            (p.says(*R.PART_TIME), judged("part_time", "explicit", p.quote(*R.PART_TIME))),
-            (p.says(*R.HOURLY_CONTRACT), judged("hourly_contract", "explicit", p.quote(*R.HOURLY_CONTRACT))),
-            (p.says(*R.PROJECT), judged("project", F.when(by_buyer, "explicit").otherwise("inferred"), p.quote(*R.PROJECT))),
+            (p.says("full_time"), judged("full_time", "explicit", p.quote("full_time"))),
+            (p.says("part_time"), judged("part_time", "explicit", p.quote("part_time"))),
+            (p.says("hourly_contract"), judged("hourly_contract", "explicit", p.quote("hourly_contract"))),
+            (p.says("project"), judged("project", F.when(by_buyer, "explicit").otherwise("inferred"), p.quote("project"))),
             (by_buyer, judged("project", "inferred")),
         ],
         judged("unknown", None),
@@ -88,20 +85,20 @@ def engagement(p: Post, intent_value: Column) -> Column:
 
 def work_mode(p: Post) -> Column:
     """onsite, hybrid, fully_remote, negotiable or unknown; remote work with days in the office is hybrid."""
-    remote, onsite = p.says(*R.REMOTE_EXPLICIT), p.says(*R.ONSITE)
-    office_days = let(p.quote(*R.ONSITE), lambda q: has(q["quote"], R.ONSITE_DAYS))
-    is_remote = judged("fully_remote", "explicit", p.quote(*R.REMOTE_EXPLICIT))
+    remote, onsite = p.says("remote_explicit"), p.says("onsite")
+    office_days = p.asked("onsite_days")
+    is_remote = judged("fully_remote", "explicit", p.quote("remote_explicit"))
     return _chain(
         [
-            (p.says(*R.REMOTE_NEG), judged("onsite", "explicit", p.quote(*R.REMOTE_NEG))),
-            (p.says(*R.HYBRID), judged("hybrid", "explicit", p.quote(*R.HYBRID))),
+            (p.says("remote_neg"), judged("onsite", "explicit", p.quote("remote_neg"))),
+            (p.says("hybrid"), judged("hybrid", "explicit", p.quote("hybrid"))),
             (remote & ~onsite, is_remote),
-            (onsite & ~remote, judged("onsite", "explicit", p.quote(*R.ONSITE))),
-            (remote & onsite & office_days, judged("hybrid", "explicit", p.quote(*R.REMOTE_EXPLICIT))),
+            (onsite & ~remote, judged("onsite", "explicit", p.quote("onsite"))),
+            (remote & onsite & office_days, judged("hybrid", "explicit", p.quote("remote_explicit"))),
             (remote, is_remote),
-            (p.says(*R.REMOTE_NEGOTIABLE), judged("negotiable", "explicit", p.quote(*R.REMOTE_NEGOTIABLE))),
-            (p.says(*R.REMOTE_WEAK), judged("fully_remote", "inferred", p.quote(*R.REMOTE_WEAK))),
-            (p.says(*R.FREELANCE_ONLY), judged("unknown", None, p.quote(*R.FREELANCE_ONLY))),
+            (p.says("remote_negotiable"), judged("negotiable", "explicit", p.quote("remote_negotiable"))),
+            (p.says("remote_weak"), judged("fully_remote", "inferred", p.quote("remote_weak"))),
+            (p.says("freelance_only"), judged("unknown", None, p.quote("freelance_only"))),
         ],
         judged("unknown", None),
     )
@@ -111,11 +108,11 @@ def collaboration(p: Post, work_value: Column) -> Column:
     """onsite_required, online_only, negotiable or unknown."""
     return _chain(
         [
-            (p.says(*R.ONSITE_REQUIRED), judged("onsite_required", "explicit", p.quote(*R.ONSITE_REQUIRED))),
+            (p.says("onsite_required"), judged("onsite_required", "explicit", p.quote("onsite_required"))),
             (work_value == "onsite", judged("onsite_required", "inferred")),
-            (p.says(*R.ONLINE_ONLY_EXPLICIT), judged("online_only", "explicit", p.quote(*R.ONLINE_ONLY_EXPLICIT))),
-            (p.says(*R.COLLAB_NEGOTIABLE), judged("negotiable", "explicit", p.quote(*R.COLLAB_NEGOTIABLE))),
-            (p.says(*R.ONLINE_ONLY_WEAK), judged("online_only", "inferred", p.quote(*R.ONLINE_ONLY_WEAK))),
+            (p.says("online_only_explicit"), judged("online_only", "explicit", p.quote("online_only_explicit"))),
+            (p.says("collab_negotiable"), judged("negotiable", "explicit", p.quote("collab_negotiable"))),
+            (p.says("online_only_weak"), judged("online_only", "inferred", p.quote("online_only_weak"))),
         ],
         judged("unknown", None),
     )
@@ -124,8 +121,8 @@ def collaboration(p: Post, work_value: Column) -> Column:
 def applicant_scope(p: Post) -> Column:
     return _chain(
         [
-            (p.says(*R.REGIONAL), judged("regional_restriction", "explicit", p.quote(*R.REGIONAL))),
-            (p.says(*R.NATIONWIDE), judged("nationwide", "explicit", p.quote(*R.NATIONWIDE))),
+            (p.says("regional"), judged("regional_restriction", "explicit", p.quote("regional"))),
+            (p.says("nationwide"), judged("nationwide", "explicit", p.quote("nationwide"))),
         ],
         judged("unknown", None),
     )
@@ -137,18 +134,16 @@ def categories(p: Post) -> Column:
     Ordinary nouns need a development verb beside them.  What only sounds like
     software - factory lines, goods packed for a shop, advertising - is taken out.
     """
-    text = p.whole()
-    verb = has(text, R.DEV_VERB)
-    named = [F.when(has(text, *patterns) & (F.lit(alone or name == "data") | verb), F.lit(name)) for name, patterns, alone in R.CATEGORIES]
-    none = F.array().cast("array<string>")
-    from_change = let(find_first(text, R.SOFTWARE_CHANGE), lambda m: F.when(m.isNull(), none).when(has(m["hit"], R.CHANGED_WEBSITE), F.array(F.lit("website"))).otherwise(F.array(F.lit("software"))))
+    verb, change = p.asked("dev_verb"), p.asked("software_change")
+    named = [F.when(p.asked(f"category {name}") & (F.lit(alone or name == "data") | verb), F.lit(name)) for name, _, alone in R.CATEGORIES]
+    from_change = F.when(~change, F.array().cast("array<string>")).when(p.asked("changed_website"), F.array(F.lit("website"))).otherwise(F.array(F.lit("software")))
     first = let(F.array_compact(F.array(*named)), lambda a: F.when(F.size(a) == 0, from_change).otherwise(a))
-    marketing = has(text, R.MARKETING_CONTEXT) & has(text, R.MARKETING_WORK) & ~has(text, R.SOFTWARE_CHANGE) & ~has(text, R.MARKETING_SOFTWARE)
+    marketing = p.asked("marketing_context") & p.asked("marketing_work") & ~change & ~p.asked("marketing_software")
     gone = F.array_compact(
         F.array(
-            F.when(~has(text, R.VBA_WORDS), "vba"),
-            F.when(has(text, *R.PHYSICAL_AUTOMATION) & ~has(text, R.SOFTWARE_DELIVERY), "automation"),
-            F.when(has(text, R.PHYSICAL_SHOP) & ~has(text, R.SHOP_DELIVERY), "shop"),
+            F.when(~p.asked("vba_words"), "vba"),
+            F.when(p.asked("physical_automation") & ~p.asked("software_delivery"), "automation"),
+            F.when(p.asked("physical_shop") & ~p.asked("shop_delivery"), "shop"),
         )
     )
     development = F.array(*map(F.lit, R.DEV_CATEGORIES))
@@ -163,37 +158,21 @@ def categories(p: Post) -> Column:
 
 def risks(p: Post) -> Column:
     """Array of ``id, label, quote, start, stop``: each rule's first hit in the body; down payments to the maker are none."""
-    body = both(p.body)
-
-    def named(name: str, label: str, hit: Column) -> Column:
-        return let(hit, lambda m: F.when(m.isNotNull(), F.struct(F.lit(name).alias("id"), F.lit(label).alias("label"), m["hit"].alias("quote"), m["start"], m["stop"])))
-
-    found = []
-    for name, label, patterns in R.RISKS:
-        hits = []
-        for pattern in patterns:
-            hit = find_first(body, pattern)
-            if name == "upfront_payment":
-                around = lambda m: F.concat(before(body, m["start"], 10), m["hit"], after(body, m["stop"], 10))
-                hit = let(hit, lambda m: F.when(~has(around(m), R.DOWN_PAYMENT), m))
-            hits.append(hit)
-        found.append(named(name, label, F.coalesce(*hits)))
-    return F.array_compact(F.array(*found))
+    return p.scan["risks"]
 
 
 def non_delivery(p: Post) -> Column:
     """Why the post orders no delivery - advice, teaching, research - or null."""
-    title, ordered = p.title, p.says(*R.BUYER)
-    advice = p.says(*R.ADVICE) & ~has(p.whole(), R.SOFTWARE_CHANGE)
-    taught = p.says(*R.EDUCATION)
-    teaching = taught & has(title, R.EDUCATION_TITLE) & ~has(title, R.DELIVERY_TITLE) | taught & ~ordered & has(p.body, R.TEACHING_BODY)
-    research = has(title, R.RESEARCH_TITLE) & p.says(*R.RESEARCH) & ~ordered
+    ordered, taught = p.says("buyer"), p.says("education")
+    advice = p.says("advice") & ~p.asked("software_change")
+    teaching = taught & p.asked("education_title") & ~p.asked("delivery_title") | taught & ~ordered & p.asked("teaching_body")
+    research = p.asked("research_title") & p.says("research") & ~ordered
     return F.when(advice, R.NO_ADVICE_ORDER).when(teaching, R.NO_TEACHING_ORDER).when(research, R.NO_RESEARCH_ORDER)
 
 
 def salary_named(p: Post) -> Column:
-    return p.says(R.SALARY)
+    return p.says("salary")
 
 
 def operational_staff(p: Post) -> Column:
-    return p.says(*R.OPERATIONAL_STAFF)
+    return p.says("operational_staff")

@@ -6,33 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.clock import ZONE_HOURS, local
-from ..functions.matches import after, before, both, find_all, find_first, has, let
-from . import rules as R
+from ..functions.matches import let
 
 
-def clause_around(text: Column, m: Column) -> Column:
-    """``left, hit, right`` of the clause that holds a match."""
-    left = F.regexp_extract(before(text, m["start"]), f"[^{R.CLAUSE_END}]*\\z", 0)
-    right = F.regexp_extract(after(text, m["stop"]), f"^[^{R.CLAUSE_END}]*", 0)
-    return F.struct(left.alias("left"), m["hit"].alias("hit"), right.alias("right"))
-
-
-def _nearest(clause: Column, pattern: str) -> Column:
-    """Characters between a match and the nearest occurrence of ``pattern`` in its clause, 0 inside it; null without one."""
-    start = F.length(clause["left"])
-    stop = start + F.length(clause["hit"])
-    whole = F.concat(clause["left"], clause["hit"], clause["right"])
-    return F.array_min(F.transform(find_all(whole, pattern), lambda x: F.greatest(start - x["stop"], x["start"] - stop, F.lit(0))))
-
-
-def about_recruitment(clause: Column) -> Column:
-    """Whether a date or mark is about applying: the nearest recruiting word is nearer than any word of work dates.
+def about_recruitment(m: Column) -> Column:
+    """Whether a date or mark is about applying: the nearest recruiting word of its clause is nearer than any word of work dates.
 
     Without a recruiting word only a plain deadline label counts, and only if no work date is named.
     """
-    near = F.struct(_nearest(clause, R.RECRUITMENT).alias("recruit"), _nearest(clause, R.WORK_DATE).alias("work"))
-    bare = F.contains(clause["hit"], F.lit("마감"))
-    return let(near, lambda d: F.when(d["recruit"].isNotNull(), d["work"].isNull() | (d["recruit"] < d["work"])).otherwise(d["work"].isNull() & bare))
+    return F.when(m["recruit"].isNotNull(), m["work"].isNull() | (m["recruit"] < m["work"])).otherwise(m["work"].isNull() & F.contains(m["hit"], F.lit("마감")))
 
 
 def resolve_month_day(month: Column, day: Column, observed: Column) -> Column:
@@ -43,58 +25,49 @@ def resolve_month_day(month: Column, day: Column, observed: Column) -> Column:
     return let(stamp(F.year(here)), lambda at: F.when(at.isNull(), at).when(past(at), stamp(F.year(here) + 1)).otherwise(at)) - F.expr(f"INTERVAL {ZONE_HOURS} HOURS")
 
 
-def _date(at: Column, precision: str, m: Column) -> Column:
-    return F.struct(at.alias("at"), F.lit(precision).alias("precision"), m["hit"].alias("raw"), m["start"].cast("int").alias("start"))
+def _date(at: Column, precision: str, raw: Column, start: Column) -> Column:
+    return F.struct(at.alias("at"), F.lit(precision).alias("precision"), raw.alias("raw"), start.cast("int").alias("start"))
+
+
+def _vague(line: Column) -> Column:
+    """A date in words only."""
+    return F.when(line.isNotNull(), _date(F.lit(None).cast("timestamp_ntz"), "unknown", line["hit"], line["start"]))
 
 
 def _no_date() -> Column:
-    return F.struct(F.lit(None).cast("timestamp_ntz").alias("at"), F.lit("unknown").alias("precision"), F.lit(None).cast("string").alias("raw"), F.lit(None).cast("int").alias("start"))
+    return _date(F.lit(None).cast("timestamp_ntz"), "unknown", F.lit(None).cast("string"), F.lit(None))
 
 
-def parse_deadline(body: Column, observed: Column) -> Column:
+def parse_deadline(scanned: Column, observed: Column) -> Column:
     """``at, precision, raw, start`` of the last day to apply; patterns in their order, each in text order."""
-    body = both(body)
-    found = []
-    for pattern in R.DEADLINES:
-        fitting = F.filter(find_all(body, pattern, 1, 2), lambda m: about_recruitment(clause_around(body, m)))
-        dated = F.transform(fitting, lambda m: _date(resolve_month_day(m["g1"], m["g2"], observed), "day", m))
-        found.append(F.get(F.filter(dated, lambda d: d["at"].isNotNull()), F.lit(0)))
-    always = let(find_first(body, R.ALWAYS_OPEN), lambda m: F.when(m.isNotNull(), _date(F.lit(None).cast("timestamp_ntz"), "unknown", m)))
-    return F.coalesce(*found, always, _no_date())
+    fitting = F.filter(scanned["dates"], lambda m: m["rule"].startswith("deadline") & about_recruitment(m))
+    dated = F.transform(fitting, lambda m: _date(resolve_month_day(m["month"], m["day"], observed), "day", m["hit"], m["start"]))
+    return F.coalesce(F.get(F.filter(dated, lambda d: d["at"].isNotNull()), F.lit(0)), _vague(scanned["lines"]["always_open"]), _no_date())
 
 
-def parse_work_start(body: Column, observed: Column) -> Column:
+def parse_work_start(scanned: Column, observed: Column) -> Column:
     """``at, precision, raw, start`` of the first day of work, or the vague words for it."""
-    body = both(body)
-    first = F.get(find_all(body, R.WORK_START, 1, 2), F.lit(0))
-    dated = let(first, lambda m: F.when(m.isNotNull(), _date(resolve_month_day(m["g1"], m["g2"], observed), "day", m)))
-    vague = let(find_first(body, R.WORK_START_VAGUE), lambda m: F.when(m.isNotNull(), _date(F.lit(None).cast("timestamp_ntz"), "unknown", m)))
-    return let(dated, lambda d: F.coalesce(F.when(d["at"].isNotNull(), d), vague, _no_date()))
+    first = F.get(F.filter(scanned["dates"], lambda m: m["rule"] == "start"), F.lit(0))
+    dated = _date(resolve_month_day(first["month"], first["day"], observed), "day", first["hit"], first["start"])
+    return let(dated, lambda d: F.coalesce(F.when(d["at"].isNotNull(), d), _vague(scanned["lines"]["vague_start"]), _no_date()))
 
 
-def _closed_in(text: Column) -> Column:
-    """The first mark in a text that says it is closed now; not denied, conditional, dated or yet to come."""
-    text = both(text)
+def _closed_in(found: Column) -> Column:
+    """The first mark that says a post is closed now; not denied, conditional, dated or yet to come."""
 
     def closes(m: Column) -> Column:
-        def judge(c: Column) -> Column:
-            clause = F.concat(c["left"], c["hit"], c["right"])
-            boxed, past = F.ltrim(c["hit"]).startswith("["), has(c["hit"], R.CLOSED_PAST)
-            open_still = has(clause, R.NEGATED_CLOSE) | ~past & (has(clause, R.FUTURE_CLOSE) | has(clause, R.DATED_CLOSE))
-            return about_recruitment(c) & ~has(clause, R.CONDITIONAL_CLOSE) & (boxed | ~open_still)
-
-        return let(clause_around(text, m), judge)
-
-    def alone(m: Column) -> Column:
-        return let(clause_around(text, m), lambda c: F.regexp_replace(F.concat(c["left"], c["hit"], c["right"]), r"(?U)^\s+|\s+$", "") == c["hit"])
+        sign = lambda k: F.array_contains(m["signs"], k)
+        open_still = sign("negated") | ~sign("past") & (sign("future") | sign("dated"))
+        return about_recruitment(m) & ~sign("conditional") & (F.ltrim(m["hit"]).startswith("[") | ~open_still)
 
-    pick = lambda pattern, fits: F.get(F.filter(find_all(text, pattern), fits), F.lit(0))
-    return F.coalesce(pick(R.CLOSED, closes), pick(R.CLOSED_LABEL, alone))
+    mark = F.filter(found, lambda m: (m["rule"] == "closed") & closes(m))
+    label = F.filter(found, lambda m: (m["rule"] == "closed_label") & F.array_contains(m["signs"], "alone"))
+    return F.coalesce(F.get(mark, F.lit(0)), F.get(label, F.lit(0)))
 
 
-def closed_marker(body: Column, title: Column) -> Column:
+def closed_marker(scanned: Column, title: Column) -> Column:
     """``quote, start, stop`` of the mark in the body, else the title as a whole; null if the post is not marked closed."""
     nowhere = F.lit(None).cast("int")
-    in_body = let(_closed_in(body), lambda m: F.when(m.isNotNull(), F.struct(m["hit"].alias("quote"), m["start"], m["stop"])))
-    in_title = F.when(_closed_in(title).isNotNull(), F.struct(title.alias("quote"), nowhere.alias("start"), nowhere.alias("stop")))
+    in_body = let(_closed_in(scanned["dates"]), lambda m: F.when(m.isNotNull(), F.struct(m["hit"].alias("quote"), m["start"], m["stop"])))
+    in_title = F.when(_closed_in(scanned["title_closed"]).isNotNull(), F.struct(title.alias("quote"), nowhere.alias("start"), nowhere.alias("stop")))
     return F.coalesce(in_body, in_title)

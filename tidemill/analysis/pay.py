@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.matches import after, before, both, find_all, find_first, has, let, line_after, line_before
+from ..functions.matches import has
 from ..functions.money import won
 from . import rules as R
+from .scan import scan
 
 AMOUNT = "long"
 
@@ -19,59 +20,6 @@ def to_amount(number: Column, multiple: Column) -> Column:
     return F.bround(F.replace(number, F.lit(","), F.lit("")).try_cast("decimal(20,6)") * times, 0).cast(AMOUNT)
 
 
-def not_pay_before(head: Column) -> Column:
-    """Whether what stands before an amount makes it a fee, a deposit or a running cost."""
-    return has(F.right(head, F.lit(20)), R.NOT_PAY_BEFORE) | has(F.right(head, F.lit(40)), R.EXTERNAL_COST_BEFORE)
-
-
-def unit_of(head: Column, tail: Column) -> Column:
-    """The unit attached after an amount, else the nearest marker before it; null without one."""
-    near = F.substring(tail, 1, 8)
-    after_units = F.lit(None).cast("string")
-    for pattern, unit in reversed(R.UNIT_AFTER):
-        hit = F.regexp_extract(near, "(?U)" + pattern, 0)
-        duration = F.contains(hit, F.lit("(")) & has(F.substring(tail, F.length(hit) + 1, F.lit(12)), R.DELIVERY_DURATION_AFTER)
-        after_units = F.when((hit != "") & ~duration, unit).otherwise(after_units)
-
-    window, shift = F.right(head, F.lit(14)), F.length(head) - F.least(F.length(head), F.lit(14))
-
-    def marks(pattern: str, unit: str) -> Column:
-        found = find_all(window, pattern)
-        if unit == "month":
-            delivery = lambda m: (F.regexp_replace(m["hit"], r"(?U)\s+", "") == "한달") & has(before(head, shift + m["start"]), R.DELIVERY_DURATION_BEFORE)
-            found = F.filter(found, lambda m: ~delivery(m))
-        return F.transform(found, lambda m: F.struct(m["stop"].alias("stop"), F.lit(unit).alias("unit")))
-
-    def last(all_marks: Column) -> Column:
-        most = F.array_max(F.transform(all_marks, lambda m: m["stop"]))
-        return F.get(F.filter(all_marks, lambda m: m["stop"] == most), F.lit(0))["unit"]
-
-    return F.coalesce(after_units, let(F.concat(*[marks(p, u) for p, u in R.UNIT_BEFORE]), last))
-
-
-def _amounts(body: Column) -> Column:
-    """Array of ``start, stop, lo, hi, single`` in text order: ranges, and single amounts outside of them."""
-    ranges = F.filter(find_all(body, R.PAY_RANGE, 2, 4, 5, 1, 3), lambda m: (m["g2"] != "") | (m["g4"] != "") | (m["g5"] != ""))
-    first = lambda a, b: F.when(a != "", a).otherwise(b)
-    spans = F.transform(
-        ranges,
-        lambda m: F.struct(
-            m["start"], m["stop"], to_amount(m["g1"], first(m["g2"], m["g4"])).alias("lo"), to_amount(m["g3"], first(m["g4"], m["g2"])).alias("hi"), F.lit(False).alias("single")
-        ),
-    )
-    singles = F.filter(find_all(body, R.PAY_SINGLE, 2, 5, 1, 3, 4), lambda m: (m["g2"] != "") | (m["g5"] != ""))
-
-    def worth(m: Column) -> Column:
-        return to_amount(m["g1"], m["g2"]) + F.coalesce(F.when(m["g3"] != "", to_amount(m["g3"], m["g4"])), F.lit(0).cast(AMOUNT))
-
-    def joined(spans: Column) -> Column:
-        outside = F.filter(singles, lambda m: ~F.exists(spans, lambda s: (s["start"] <= m["start"]) & (m["start"] < s["stop"])))
-        alone = F.transform(outside, lambda m: F.struct(m["start"], m["stop"], worth(m).alias("lo"), worth(m).alias("hi"), F.lit(True).alias("single")))
-        return F.array_sort(F.concat(spans, alone))
-
-    return let(spans, joined)
-
-
 def _pay(raw: Column, lo: Column, hi: Column, unit: Column, negotiable: Column, start: Column, currency: Column | None = None) -> Column:
     return F.struct(
         raw.alias("raw"), (F.lit("KRW") if currency is None else currency).alias("currency"), lo.cast(AMOUNT).alias("min"), hi.cast(AMOUNT).alias("max"),
@@ -84,75 +32,50 @@ def _nothing() -> Column:
     return _pay(null.cast("string"), null, null, F.lit("unknown"), F.lit(False), null)
 
 
-def _line(body: Column, m: Column) -> Column:
-    """The trimmed line of a match, and where it starts."""
-    head = line_before(body, m["start"])
-    raw = F.concat(head, F.substring(body, m["start"] + 1, m["stop"] - m["start"]), line_after(body, m["stop"]))
-    bare = F.regexp_replace(raw, r"(?U)^\s+", "")
-    return F.struct(F.regexp_replace(bare, r"(?U)\s+$", "").alias("text"), (m["start"] - F.length(head) + F.length(raw) - F.length(bare)).alias("start"))
-
-
 def time_pay_unit(text: Column) -> Column:
     """The unit of wages by time that the text names anywhere; null without one.  Hours of work are no wages."""
-    text = both(text)
+    return scan(F.lit(None).cast("string"), text)["wage_body"]
 
-    def paid(found: Column) -> Column:
-        return F.exists(found, lambda m: ~not_pay_before(before(text, m["start"])))
 
-    out = F.when(paid(find_all(text, R.MONTHLY_PAYMENT)), F.lit("month"))
-    for pattern, unit in R.UNIT_BEFORE[:5]:
-        out = out.when(paid(find_all(text, rf"(?:{pattern})\s*[:：]?\s*(?:협의|조율)")), unit)
-    singles = F.filter(find_all(text, R.PAY_SINGLE, 2, 5), lambda m: (m["g2"] != "") | (m["g5"] != ""))
-    units = F.transform(singles, lambda m: let(line_before(text, m["start"]), lambda head: F.when(~not_pay_before(head), unit_of(head, line_after(text, m["stop"])))))
-    return out.otherwise(F.get(F.filter(units, lambda u: u.isin(*R.TIME_PAY)), F.lit(0)))
+def _amount(scanned: Column) -> Column:
+    """The first amount in a line about pay; null without one."""
+    sign = lambda m, k: F.array_contains(m["signs"], k)
+    return F.get(F.filter(scanned["amounts"], lambda m: sign(m, "pay") & ~sign(m, "no_pay")), F.lit(0))
 
 
-def _chosen(body: Column, c: Column) -> Column:
+def _of_amount(m: Column) -> Column:
     """The pay of the chosen amount with its bounds, unit and wording."""
-    start, stop = c["start"], c["stop"]
-    head, tail = line_before(body, start), line_after(body, stop)
-    line = F.concat(head, F.substring(body, start + 1, stop - start), tail)
-    next_to = after(body, stop, 12)
-    unit = F.coalesce(unit_of(before(body, start), next_to), F.when(has(line, R.LINE_PROJECT), "project"))
-    lo = F.when(c["single"] & ~has(next_to, R.LOWER_AFTER) & (has(next_to, R.UPPER_AFTER) | has(before(body, start, 20), R.UPPER_BEFORE)), None).otherwise(c["lo"])
-    hi = F.when(c["single"] & has(next_to, R.LOWER_AFTER), None).otherwise(c["hi"])
-    # The wording: the piece of the line between full stops, without bullets.
-    left = F.regexp_extract(head, r"(?s)(?:.*[.!?](?= ))?(.*)\z", 1)
-    right = F.regexp_extract(F.concat(tail, F.when(F.length(body) > stop + F.length(tail), "\n").otherwise("")), r"^(.*?[.](?=[ \n])|.*)", 1)
-    piece = F.concat(left, F.substring(body, start + 1, stop - start), right)
-    bare = F.ltrim(piece, F.lit(" -•*\t"))
-    begin = start - F.length(left) + F.length(piece) - F.length(bare)
-    raw = F.regexp_replace(bare, r"(?U)^\s+|\s+$", "")
-    return _pay(raw, lo, hi, F.when(unit == "year", "unknown").otherwise(unit), has(line, R.NEGOTIABLE), begin)
-
-
-def parse_pay(body: Column) -> Column:
-    """``raw, currency, min, max, unit, negotiable, start`` of a body.
+    sign = lambda k: F.array_contains(m["signs"], k)
+    first = lambda a, b: F.when(m[a] != "", m[a]).otherwise(m[b])
+    alone = to_amount(m["g1"], m["g2"]) + F.coalesce(F.when(m["g3"] != "", to_amount(m["g3"], m["g4"])), F.lit(0).cast(AMOUNT))
+    lo = F.when(m["range"], to_amount(m["g1"], first("g2", "g4"))).when(~sign("lower") & sign("upper"), None).otherwise(alone)
+    hi = F.when(m["range"], to_amount(m["g3"], first("g4", "g2"))).when(sign("lower"), None).otherwise(alone)
+    unit = F.coalesce(m["unit"], F.when(sign("project"), "project"))
+    return _pay(m["raw"], lo, hi, F.when(unit == "year", "unknown").otherwise(unit), sign("negotiable"), m["raw_start"])
+
+
+def parse_pay(scanned: Column) -> Column:
+    """``raw, currency, min, max, unit, negotiable, start`` of a scanned body.
 
     The first amount in a line about pay counts; without one, a named salary,
     then an open price, then payment by the piece.
     """
-    body = both(body)
+    amount, (salary, open_price, by_piece) = _amount(scanned), (scanned["lines"][k] for k in ("salary", "open_price", "by_piece"))
+    null = F.lit(None)
+    code = F.upper(F.regexp_extract(salary["hit"], r"(?i)\b(USD|KRW|EUR|GBP)\b", 1))
+    of_salary = _pay(salary["line"], null, null, F.lit("unknown"), F.lit(False), salary["line_start"], F.coalesce(F.nullif(code, F.lit("")), F.lit("unknown")))
+    of_open = _pay(open_price["line"], null, null, F.when(has(open_price["line"], R.LINE_PROJECT) & open_price["wage"].isNull(), "project").otherwise("negotiable"), F.lit(True), open_price["line_start"])
+    of_piece = _pay(by_piece["line"], null, null, F.lit("project"), has(by_piece["line"], R.NEGOTIABLE), by_piece["line_start"])
+    return F.when(amount.isNotNull(), _of_amount(amount)).when(salary.isNotNull(), of_salary).when(open_price.isNotNull(), of_open).when(by_piece.isNotNull(), of_piece).otherwise(_nothing())
 
-    def in_context(c: Column) -> Column:
-        line = F.concat(line_before(body, c["start"]), F.substring(body, c["start"] + 1, c["stop"] - c["start"]), line_after(body, c["stop"]))
-        return ~not_pay_before(before(body, c["start"], 40)) & has(line, R.PAY_CONTEXT)
 
-    amount = F.get(F.filter(_amounts(body), in_context), F.lit(0))
-    salary, open_price, by_piece = (find_first(body, x) for x in (R.SALARY, R.NEGOTIABLE_ONLY, R.PROJECT_PAYMENT))
-    null = F.lit(None)
-    code = lambda m: F.upper(F.regexp_extract(m["hit"], r"(?i)\b(USD|KRW|EUR|GBP)\b", 1))
-    of_salary = lambda m: let(_line(body, m), lambda q: _pay(q["text"], null, null, F.lit("unknown"), F.lit(False), q["start"], F.coalesce(F.nullif(code(m), F.lit("")), F.lit("unknown"))))
-    of_open = lambda m: let(
-        _line(body, m), lambda q: _pay(q["text"], null, null, F.when(has(q["text"], R.LINE_PROJECT) & time_pay_unit(q["text"]).isNull(), "project").otherwise("negotiable"), F.lit(True), q["start"])
-    )
-    of_piece = lambda m: let(_line(body, m), lambda q: _pay(q["text"], null, null, F.lit("project"), has(q["text"], R.NEGOTIABLE), q["start"]))
-    return let(
-        amount,
-        lambda c: F.when(c.isNotNull(), _chosen(body, c)).otherwise(
-            let(salary, lambda m: F.when(m.isNotNull(), of_salary(m)).otherwise(let(open_price, lambda n: F.when(n.isNotNull(), of_open(n)).otherwise(let(by_piece, lambda k: F.when(k.isNotNull(), of_piece(k)).otherwise(_nothing()))))))
-        ),
-    )
+def wording_wage(scanned: Column) -> Column:
+    """The unit of wages by time in the wording that ``parse_pay`` chose."""
+    amount, lines = _amount(scanned), scanned["lines"]
+    out = F.when(amount.isNotNull(), amount["wage"])
+    for k in ("salary", "open_price", "by_piece"):
+        out = out.when(lines[k].isNotNull(), lines[k]["wage"])
+    return out
 
 
 # Words of a budget field that name its unit; the first in this order counts.
@@ -169,10 +92,8 @@ def budget_label(label: Column) -> Column:
     least, most = F.contains(raw, F.lit(LEAST)), F.contains(raw, F.lit(MOST))
     open_above = least & ~most & ~raw.rlike(r"[~–-]\s*\d")
     plain = F.concat(F.lit("예산 "), F.regexp_replace(raw, rf"{LEAST}\s*|{MOST}\s*", ""))
-    return let(
-        parse_pay(plain),
-        lambda p: F.struct(raw.alias("raw"), F.when(~(most & ~least), p["min"]).alias("min"), F.when(~open_above, p["max"]).alias("max"), unit.alias("unit"), p["negotiable"].alias("negotiable")),
-    )
+    p = parse_pay(scan(F.lit(None).cast("string"), plain))
+    return F.struct(raw.alias("raw"), F.when(~(most & ~least), p["min"]).alias("min"), F.when(~open_above, p["max"]).alias("max"), unit.alias("unit"), p["negotiable"].alias("negotiable"))
 
 
 # Units of structured salaries; any other is unknown.

@@ -19,7 +19,8 @@ from ..functions.money import won
 from ..functions.text import first_sentence
 from . import classify, dates, rules as R
 from .classify import Post, judged
-from .pay import parse_pay, pay_short, time_pay_unit
+from .pay import parse_pay, pay_short, wording_wage
+from .scan import scan
 
 BUYERS = ("buyer_project", "buyer_ongoing")
 
@@ -52,13 +53,13 @@ def _texts(*pairs: tuple[Column, Column | str]) -> Column:
 
 
 def resolve_pay(hint: Column, body_pay: Column) -> Column:
-    """``pay, conflict``: the site's pay where it says anything, else the body's; conflict where their amounts exclude each other."""
+    """``pay, conflict, from_site``: the site's pay where it says anything, else the body's; conflict where their amounts exclude each other."""
     says = hint.isNotNull() & ((F.btrim(F.coalesce(hint["raw"], F.lit(""))) != "") | hint["min"].isNotNull() | hint["max"].isNotNull() | (hint["unit"] != "unknown") | hint["negotiable"])
     both_known = (hint["min"].isNotNull() | hint["max"].isNotNull()) & (body_pay["min"].isNotNull() | body_pay["max"].isNotNull())
     apart = F.coalesce(hint["max"] < body_pay["min"], F.lit(False)) | F.coalesce(body_pay["max"] < hint["min"], F.lit(False))
     text = F.concat(F.lit(R.SAY["pay_conflict"]), pay_short(hint), F.lit(R.SAY["pay_conflict_body"]), pay_short(body_pay))
     says = F.coalesce(says, F.lit(False))
-    return F.struct(F.when(says, hint).otherwise(body_pay).alias("pay"), F.when(says & both_known & (hint["currency"] == body_pay["currency"]) & apart, text).alias("conflict"))
+    return F.struct(F.when(says, hint).otherwise(body_pay).alias("pay"), F.when(says & both_known & (hint["currency"] == body_pay["currency"]) & apart, text).alias("conflict"), says.alias("from_site"))
 
 
 def excluded_hit(text: Column, profile: Profile) -> Column:
@@ -98,8 +99,8 @@ def score_freshness(now: Column, ttl_hours: int) -> Column:
     return F.when(F.col("source_status").isin("closed", "deleted"), 0).when(ref.isNull(), F.lit(None)).otherwise(F.when(stale, F.greatest(F.lit(0), points - 6)).otherwise(points))
 
 
-def score_clarity(body: Column, pay: Column) -> Column:
-    signs = sum((has(body, p).cast("int") for p in R.CLARITY), F.lit(0))
+def score_clarity(p: Post, pay: Column) -> Column:
+    signs, body = sum((p.asked(f"clarity {k}").cast("int") for k in range(len(R.CLARITY))), F.lit(0)), both(p.body)
     return F.least(F.lit(R.SCOPE_CLARITY), 2 * signs + (pay["min"].isNotNull() | pay["max"].isNotNull()).cast("int") + (F.length(body) > 120).cast("int"))
 
 
@@ -164,14 +165,27 @@ def profitability(pay: Column, names: Column, intent_value: Column, profile: Pro
     )
 
 
+#: The column that holds what the tables found in a post.
+SCANNED = "_scanned"
+
+
+def scanned(posts: DataFrame) -> DataFrame:
+    """``posts`` with what the tables find in them, read once."""
+    return posts if SCANNED in posts.columns else posts.withColumn(SCANNED, scan(F.col("title"), F.col("body"), F.col("pay_hint")["raw"]))
+
+
+def _complete(posts: DataFrame) -> DataFrame:
+    """``posts`` with the columns of OPTIONAL that they lack."""
+    assumed = {"source_status": "unknown", "access_status": "accessible", "source_kind": "site"}
+    return posts.withColumns({name: F.lit(assumed.get(name)).cast(kind) for name, kind in OPTIONAL.items() if name not in posts.columns})
+
+
 def analyze(posts: DataFrame, profile: Profile, now: datetime | str, ttl_hours: int = 24) -> DataFrame:
     """``posts`` (id, title, body, observed_at and any of OPTIONAL) with every judgement and the recommendation."""
-    for name, kind in OPTIONAL.items():
-        if name not in posts.columns:
-            posts = posts.withColumn(name, F.lit({"source_status": "unknown", "access_status": "accessible", "source_kind": "site"}.get(name)).cast(kind))
-    n, p, col = clock.at(now), Post(F.col("title"), F.col("body")), F.col
-    body, whole = both(p.body), p.whole()
-    a = posts.withColumns({"category": classify.categories(p), "not_ordered": classify.non_delivery(p), "asked": classify.intent(p), "work": classify.work_mode(p), "scope": classify.applicant_scope(p), "risks": classify.risks(p)})
+    posts = _complete(posts)
+    n, p, col = clock.at(now), Post(F.col("title"), F.col("body"), F.col(SCANNED)), F.col
+    body, whole = both(p.body), F.concat_ws("\n", both(p.title), both(p.body))
+    a = scanned(posts).withColumns({"category": classify.categories(p), "not_ordered": classify.non_delivery(p), "asked": classify.intent(p), "work": classify.work_mode(p), "scope": classify.applicant_scope(p), "risks": classify.risks(p)})
     a = a.withColumn("asked", F.when(col("not_ordered").isNotNull(), judged("unknown", None)).otherwise(col("asked")))
     a = a.withColumn("engagement", classify.engagement(p, col("asked.value"))).withColumn("collab", classify.collaboration(p, col("work.value")))
     # What the user has confirmed stands above the text.
@@ -184,14 +198,14 @@ def analyze(posts: DataFrame, profile: Profile, now: datetime | str, ttl_hours:
             "asked": F.when((real == "yes") & ~col("asked.value").startswith("buyer"), mine("buyer_project")).otherwise(col("asked")),
         }
     )
-    a = a.withColumns({"body_pay": parse_pay(body), "deadline": dates.parse_deadline(body, col("observed_at")), "work_start": dates.parse_work_start(body, col("observed_at")), "closed_mark": dates.closed_marker(body, both(p.title)), "excluded_word": excluded_hit(whole, profile)})
+    a = a.withColumns({"body_pay": parse_pay(p.scan), "deadline": dates.parse_deadline(p.scan, col("observed_at")), "work_start": dates.parse_work_start(p.scan, col("observed_at")), "closed_mark": dates.closed_marker(p.scan, both(p.title)), "excluded_word": excluded_hit(whole, profile)})
     a = a.withColumn("resolved", resolve_pay(col("pay_hint"), col("body_pay")))
     pay, conflict, names, dev = col("resolved.pay"), col("resolved.conflict"), col("category.names"), col("category.dev")
     a = a.withColumn(
         "factors",
         F.struct(
             score_work_fit(names, dev, profile, col("excluded_word")).alias("work_fit"), score_intent(col("asked"), col("engagement.value")).alias("buyer_intent"),
-            score_remote(col("work"), col("collab.value"), profile).alias("remote_fit"), score_freshness(n, ttl_hours).alias("freshness"), score_clarity(body, pay).alias("scope_clarity"),
+            score_remote(col("work"), col("collab.value"), profile).alias("remote_fit"), score_freshness(n, ttl_hours).alias("freshness"), score_clarity(p, pay).alias("scope_clarity"),
         ),
     )
     five = F.array(*[col(f"factors.{k}") for k in ("work_fit", "buyer_intent", "remote_fit", "freshness", "scope_clarity")])
@@ -203,7 +217,7 @@ def analyze(posts: DataFrame, profile: Profile, now: datetime | str, ttl_hours:
         {
             "total": F.greatest(F.lit(0), col("plain_total") + F.coalesce(col("pay_factor.score"), F.lit(0))),
             "unknown_factors": F.size(five) - F.size(F.array_compact(five)) + col("pay_factor.score").isNull().cast("int"),
-            "time_unit": F.when(pay["unit"].isin(*R.TIME_PAY), pay["unit"]).otherwise(F.coalesce(time_pay_unit(F.coalesce(pay["raw"], F.lit(""))), time_pay_unit(body), time_pay_unit(both(p.title)))),
+            "time_unit": F.when(pay["unit"].isin(*R.TIME_PAY), pay["unit"]).otherwise(F.coalesce(F.when(col("resolved.from_site"), p.scan["wage_hint"]).otherwise(wording_wage(p.scan)), p.scan["wage_body"], p.scan["wage_title"])),
             "floor_text": contract_floor(pay, profile.min_contract),
             "low_text": F.when(col("pay_factor.ratio") < 0.25, R.SAY["very_low"]),
             "profit": profitability(pay, names, col("asked.value"), profile, clarity, conflict),
@@ -288,7 +302,7 @@ def analyze(posts: DataFrame, profile: Profile, now: datetime | str, ttl_hours:
         F.when(col("recommendation") == "excluded", F.concat(F.lit(R.NEXT["none"]), F.when(F.size("risks") > 0, R.NEXT["risks"]).otherwise("")))
         .when(unclear & (access != "accessible"), R.NEXT["open_post"]).when(F.size("all_questions") > 0, R.NEXT["ask"])
     )
-    return a.withColumns({"questions": F.slice("all_questions", 1, 4), "next_action": following, "summary": first_sentence(body), "pay": pay, "pay_conflict": conflict}).drop("resolved", "body_pay", "all_questions", "plain_total")
+    return a.withColumns({"questions": F.slice("all_questions", 1, 4), "next_action": following, "summary": first_sentence(body), "pay": pay, "pay_conflict": conflict}).drop("resolved", "body_pay", "all_questions", "plain_total", SCANNED)
 
 
 def inquiry_draft(title: Column, questions: Column, reply: bool = False) -> Column:
@@ -302,8 +316,9 @@ def inquiry_draft(title: Column, questions: Column, reply: bool = False) -> Colu
 
 def applied(posts: DataFrame, profile: Profile, now: datetime | str, ttl_hours: int = 24) -> DataFrame:
     """Analyse, then again where the text itself closes the post: a closed mark, or a deadline passed by over a day."""
-    marked = dates.closed_marker(both(F.col("body")), both(F.col("title"))).isNotNull()
-    passed = F.coalesce(dates.parse_deadline(F.col("body"), F.col("observed_at"))["at"] < clock.at(now) - F.expr("INTERVAL 1 DAY"), F.lit(False))
+    posts = scanned(_complete(posts))
+    marked = dates.closed_marker(F.col(SCANNED), both(F.col("title"))).isNotNull()
+    passed = F.coalesce(dates.parse_deadline(F.col(SCANNED), F.col("observed_at"))["at"] < clock.at(now) - F.expr("INTERVAL 1 DAY"), F.lit(False))
     status = F.col("source_status")
     status = F.when(marked & (status != "deleted"), "closed").when(status.isin("open", "unknown") & passed, "closed").otherwise(status)
     return analyze(posts.withColumn("source_status", status), profile, now, ttl_hours)

@@ -73,10 +73,45 @@ DATES = (
 def dealt(spark: SparkSession, sf_dir: str, texts: list[tuple], names: str) -> DataFrame:
     """``id`` of every part with one of the texts."""
     rows = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "k int, " + names)
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % len(texts)).cast("int").alias("k"))
+    parts = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % len(texts)).cast("int").alias("k")))
     return parts.join(F.broadcast(rows), "k").drop("k")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table of fewer partitions than cores, dealt over all of them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+#: Sentences that posts are composed of; the place in a list is chosen by the key.
+ASKS = ("홈페이지 제작 의뢰합니다", "홈페이지 제작해 드립니다", "구직 중입니다", "정규직 채용합니다", "알바 가능", "안녕하세요")
+WORKS = ("완전 재택입니다", "주 3일 출근합니다", "재택 불가", "재택 협의", "메일로 전달", "감사합니다")
+PLACES = ("전국 어디나 가능", "서울 거주자만 가능", "잘 부탁드립니다")
+
+
+def composed(spark: SparkSession, sf_dir: str, shift: str = "0") -> DataFrame:
+    """A post for every part, of sentences that the key (plus ``shift``, SQL over ``id``) chooses: thousands of different texts."""
+    listed = lambda xs: "array(" + ", ".join(f"'{x}'" for x in xs) + ")"
+    choices = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))).selectExpr("id", f"id + ({shift}) AS k")
+    pay = "CASE k % 4 WHEN 0 THEN concat('예산 ', k % 97 + 3, '만원') WHEN 1 THEN concat('시급 ', k % 89 + 10, ',000원') WHEN 2 THEN '금액은 협의 후 결정합니다' ELSE '준비된 자료가 있습니다' END"
+    until = "CASE k % 3 WHEN 0 THEN concat('10월 ', k % 28 + 1, '일까지 모집') WHEN 1 THEN '상시 모집' ELSE '연락 주세요' END"
+    sentences = [f"{listed(ASKS)}[k % 6]", f"{listed(WORKS)}[k div 6 % 6]", f"{listed(PLACES)}[k div 36 % 3]", pay, until]
+    return choices.selectExpr("id", "concat('글 ', id) AS title", "concat_ws('.\n', " + ", ".join(sentences) + ") AS body")
+
+
+#: What such a post says, read off the choices: SQL over ``id`` and ``k``.
+COMPOSED_READINGS = """
+  CASE WHEN k % 6 = 1 THEN 'seller_service' WHEN k % 6 = 2 THEN 'job_seeker' WHEN k % 6 IN (3, 4) OR k % 4 = 1 THEN 'employee_hiring' WHEN k % 6 = 0 THEN 'buyer_project' ELSE 'unknown' END AS intent,
+  CASE k % 6 WHEN 3 THEN 'full_time' WHEN 4 THEN 'part_time' WHEN 0 THEN 'project' ELSE 'unknown' END AS engagement,
+  CASE k // 6 % 6 WHEN 0 THEN 'fully_remote' WHEN 1 THEN 'onsite' WHEN 2 THEN 'onsite' WHEN 3 THEN 'negotiable' WHEN 4 THEN 'fully_remote' ELSE 'unknown' END AS work_mode,
+  CASE k // 6 % 6 WHEN 4 THEN 'inferred' WHEN 5 THEN NULL ELSE 'explicit' END AS work_basis,
+  CASE k // 36 % 3 WHEN 0 THEN 'nationwide' WHEN 1 THEN 'regional_restriction' ELSE 'unknown' END AS scope,
+  CASE k % 4 WHEN 0 THEN 'project' WHEN 1 THEN 'hour' WHEN 2 THEN 'negotiable' ELSE 'unknown' END AS unit,
+  CASE k % 4 WHEN 0 THEN (k % 97 + 3) * 10000 WHEN 1 THEN (k % 89 + 10) * 1000 END::BIGINT AS pay_min,
+  CASE WHEN k % 3 = 0 THEN TIMESTAMP '2026-09-30 15:00:00' + INTERVAL 1 DAY * (k % 28) END AS deadline_at,
+  CASE k % 3 WHEN 0 THEN '10월 ' || (k % 28 + 1) || '일까지' WHEN 1 THEN '상시 모집' END AS deadline_raw"""
+
+
 def values(rows: list[tuple], columns: str, types: dict[str, str] | None = None) -> str:
     """The readings as a SELECT over ``part``, for an oracle."""
 

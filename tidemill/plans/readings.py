@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..analysis import dates, pay, score
+from ..analysis import dates, incremental, pay, score
+from ..analysis.scan import scan
 from ..sources import pages
+from ..storage import settled
 from . import posts
 from .proxy import table
 from .queries import query
@@ -24,10 +26,35 @@ def post_analysis(spark, sf_dir):
     return done.select("id", *[F.col(c).alias(k) for k, c in judged.items()], F.array_join("category.names", ",").alias("categories"), F.col("category.dev").alias("dev"), "recommendation", "total")
 
 
+def _composed(spark, sf_dir, shift="0"):
+    observed = F.lit(posts.OBSERVED).cast("timestamp_ntz")
+    hours = lambda n: observed - F.expr(f"INTERVAL {n} HOURS")
+    return posts.composed(spark, sf_dir, shift).withColumns({"observed_at": observed, "source_status": F.lit("unknown"), "last_checked_at": hours(1), "published_at": hours(7)})
+
+
+_JUDGED = {"intent": "asked.value", "engagement": "engagement.value", "work_mode": "work.value", "work_basis": "work.basis", "scope": "scope.value", "unit": "pay.unit", "pay_min": "pay.min", "deadline_at": "deadline.at", "deadline_raw": "deadline.raw"}
+
+
+@query(f"SELECT id, {posts.COMPOSED_READINGS} FROM (SELECT p_partkey AS id, p_partkey AS k FROM part)")
+def composed_posts(spark, sf_dir):
+    """Judgements of posts composed of sentences by their keys, thousands of different ones."""
+    done = score.analyze(_composed(spark, sf_dir), score.Profile(services=("website",)), posts.OBSERVED)
+    return done.select("id", *[F.col(c).alias(k) for k, c in _JUDGED.items()])
+
+
+@query(f"""SELECT id, k <> id AS again, {posts.COMPOSED_READINGS} FROM (SELECT p_partkey AS id, p_partkey + CASE WHEN p_partkey % 100 = 7 THEN 1 ELSE 0 END AS k FROM part)""")
+def reanalysed_posts(spark, sf_dir):
+    """The stored analyses of all posts carried on after one post in a hundred has changed: only those are analysed again."""
+    profile, later = score.Profile(services=("website",)), "2026-10-10 03:30:00"
+    stored = settled(incremental.analysed(_composed(spark, sf_dir), profile, posts.OBSERVED))
+    done = incremental.reanalysed(stored, _composed(spark, sf_dir, "CASE WHEN id % 100 = 7 THEN 1 ELSE 0 END"), profile, later)
+    return done.select("id", (F.col("analysed_at") == F.lit(later).cast("timestamp_ntz")).alias("again"), *[F.col(c).alias(k) for k, c in _JUDGED.items()])
+
+
 @query(posts.values([p[1:] for p in posts.PAYS], "unit min max negotiable raw currency", {"min": "BIGINT", "max": "BIGINT"}))
 def post_pay(spark, sf_dir):
     rows = posts.dealt(spark, sf_dir, [p[:1] for p in posts.PAYS], "body string")
-    return rows.select("id", pay.parse_pay(F.col("body")).alias("p")).select("id", *[F.col(f"p.{c}").alias(c) for c in ("unit", "min", "max", "negotiable", "raw", "currency")])
+    return rows.select("id", pay.parse_pay(scan(F.lit(None).cast("string"), F.col("body"))).alias("p")).select("id", *[F.col(f"p.{c}").alias(c) for c in ("unit", "min", "max", "negotiable", "raw", "currency")])
 
 
 @query(posts.values([d[2:] for d in posts.DATES], "deadline_at deadline_raw start_at start_raw closed_quote", {"deadline_at": "TIMESTAMP", "start_at": "TIMESTAMP"}))
@@ -35,7 +62,8 @@ def post_dates(spark, sf_dir):
     """Deadlines, starts of work and closed marks."""
     rows = posts.dealt(spark, sf_dir, [d[:2] for d in posts.DATES], "title string, body string")
     at = F.lit(posts.OBSERVED).cast("timestamp_ntz")
-    read = rows.select("id", dates.parse_deadline(F.col("body"), at).alias("d"), dates.parse_work_start(F.col("body"), at).alias("s"), dates.closed_marker(F.col("body"), F.col("title")).alias("c"))
+    rows = rows.withColumn("found", scan(F.col("title"), F.col("body")))
+    read = rows.select("id", dates.parse_deadline(F.col("found"), at).alias("d"), dates.parse_work_start(F.col("found"), at).alias("s"), dates.closed_marker(F.col("found"), F.col("title")).alias("c"))
     return read.select("id", F.col("d.at").alias("deadline_at"), F.col("d.raw").alias("deadline_raw"), F.col("s.at").alias("start_at"), F.col("s.raw").alias("start_raw"), F.col("c.quote").alias("closed_quote"))
 
 
