@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemill.llm import exact_dedup, lang_id, mixing, packing, quality_crf, secret_scan, simhash_pivot, toxicity
+from tidemill.llm import exact_dedup, lang_id, mixing, packing, quality_crf, quality_rules, secret_scan, simhash_pivot, substring_dedup, toxicity
 
 ODD = [(None, None), (None, ""), (None, "no id here at all"), (1, "one two three four five six"), (1, "one two three four five six"), (2, ""), (2, None), (3, " \n\t "), (4, "ONE TWO three four five six"), (5, "word " * 20_000)]
 
@@ -207,3 +207,74 @@ def test_runs_longer_than_any_cut_are_judged_whole(spark):
     run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(9000))
     got = secret_scan.scan_secrets(spark.createDataFrame([(1, f"x {run} y")], "doc_id long, text string")).first()
     assert f"random:2:{2 + len(run)}" in got.spans.split(",") and got.base_sha256 == hashlib.sha256(",".join(s for s in got.spans.split(",") if not s.startswith("random")).encode()).hexdigest()
+
+
+def test_uses_of_pieces_in_long_words():
+    """Forward and backward sums of long words, scaled, against exact fractions; words of other lengths beside them."""
+    from fractions import Fraction
+
+    pieces = sorted(["a", "ab", "b", "ba", "abab", "▁", "▁a"])
+    net = lang_id.Lattice(pieces)
+    p = np.concatenate([np.array([0.02, 0.003, 0.05, 0.001, 0.0004, 0.01, 0.002]), [0, lang_id.UNSEEN]])
+    words, counts = ["▁ab", "▁" + "abbab" * 30, "▁" + "c" * 90 + "ab", "▁b"], np.array([2.0, 1.0, 3.0, 1.0])
+    exact = [Fraction(float(x)) for x in p]
+    want = np.zeros(len(p))
+    for word, n in zip(words, counts, strict=True):
+        steps = [[(k, size) for size in range(1, 5) for k in [net.order[list(net.sorted).index(net._of(word[j : j + size]))] if j + size <= len(word) and word[j : j + size] in pieces else None] if k is not None] for j in range(len(word))]
+        for j in range(len(word)):
+            if word[j] not in pieces:
+                steps[j].append((len(p) - 1, 1))
+        ahead, back = [Fraction(0)] * (len(word) + 1), [Fraction(0)] * (len(word) + 1)
+        ahead[0] = back[-1] = Fraction(1)
+        for j in range(len(word)):
+            for k, size in steps[j]:
+                ahead[j + size] += ahead[j] * exact[k]
+        for j in reversed(range(len(word))):
+            back[j] = sum((exact[k] * back[j + size] for k, size in steps[j]), Fraction(0))
+        for j in range(len(word)):
+            for k, size in steps[j]:
+                want[k] += float(n * float(ahead[j] * exact[k] * back[j + size] / ahead[-1]))
+    assert net.expected(words, counts, p) == pytest.approx(want, rel=1e-9)
+
+
+def test_a_language_without_spaces_is_learned(spark):
+    rng = random.Random(7)
+    rows = [(k, "".join(rng.choice(["ka", "tori", "mizu", "no"]) for _ in range(150)), "xx") for k in range(8)] + [(100 + k, " ".join(rng.choice(["the", "cat", "house", "and"]) for _ in range(60)), "en") for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.train(df, lang_id.default_vocabulary())
+    assert model.languages == ("en", "xx")
+    assert {r.doc_id: r.lang_pred for r in lang_id.predict(df, model).collect()} == {i: lang for i, _, lang in rows}
+
+
+def test_samples_shrink_at_any_size(spark):
+    """A share of 800 rows in 1e10 is a share: places are many enough to tell such rows apart."""
+    from tidemill.llm.common import sample_place
+
+    places = spark.range(300_000).select(sample_place(F.col("id")).alias("p"))
+    got = places.agg(F.count_distinct("p").alias("n"), F.count_if(F.col("p") < 8e-8).alias("rare"), F.avg("p").alias("mean")).first()
+    assert got.n == 300_000 and got.rare <= 2 and abs(got.mean - 0.5) < 0.005
+    # The share of 2000 texts in 1e10 that op3's sample takes is one place or more.
+    from tidemill.llm.common import PLACES
+
+    assert PLACES * (800 / 1e10) > 1000 and PLACES * (2000 / 1e11) > 1000
+
+
+def test_letters_alone_are_judged_too(spark):
+    run = "qZkXvBnMwRtYpLsDhJfGcQzK"
+    got = secret_scan.scan_secrets(spark.createDataFrame([(1, f"see {run} here, and thequickbrownfoxjumpsoverthelazydog")], "doc_id long, text string")).first()
+    assert got.spans == f"random:4:{4 + len(run)}" and got.n_random == 1
+
+
+def test_substring_dedup_of_odd_rows(spark, odd, broken):
+    """Nulls, repeats and a long text through op3, op4, op5 and op7; bytes that are no UTF-8 too."""
+    rows = substring_dedup.repeated_windows(odd).collect()
+    assert len(rows) == len(ODD) and sorted(r.n_words for r in rows if r.doc_id is not None) == [0, 0, 0, 6, 6, 6, 20_000]
+    # One window repeats all through the long text, but within one document; nothing goes.
+    assert all(r.n_removed == 0 for r in rows)
+    assert quality_rules.score_quality(odd).count() == mixing.mix(odd).count() == len(ODD)
+    digests = exact_dedup.dedup_digest(odd).collect()
+    assert len(digests) == len(ODD) and {r.group_size for r in digests if r.doc_id == 1} == {3}
+    for operator in (substring_dedup.repeated_windows, quality_rules.score_quality, mixing.mix, exact_dedup.dedup_digest):
+        assert operator(broken).count() == 2
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, broken, "").count() <= 2

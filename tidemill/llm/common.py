@@ -110,6 +110,15 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
+#: Places that a hash may take when rows are sampled: so many that a share of one in 1e11 still means one in 1e11.
+PLACES = 1 << 40
+
+
+def sample_place(*keys: Column) -> Column:
+    """A place from 0 to 1 that depends on the keys alone."""
+    return F.pmod(F.xxhash64(*keys), F.lit(PLACES)) / F.lit(float(PLACES))
+
+
 def hashed_sample(df: DataFrame, key: str, groups: list[str], most: int) -> DataFrame:
     """About ``most`` rows of each group, chosen by a hash of ``key``.
 
@@ -118,8 +127,7 @@ def hashed_sample(df: DataFrame, key: str, groups: list[str], most: int) -> Data
     """
     counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     share = F.lit(float(most)) / F.col("_n")
-    position = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return df.join(F.broadcast(counts), groups).where(position < share).drop("_n")
+    return df.join(F.broadcast(counts), groups).where(sample_place(F.col(key), F.lit("sample")) < share).drop("_n")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:

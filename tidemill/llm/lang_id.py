@@ -109,25 +109,44 @@ class Lattice:
         """Expected uses of each piece over the words, by forward and backward sums; p: one language."""
         edges, lens = self.edges(words)
         width, rows = int(lens.max()), np.arange(len(words))
-        alpha, beta = np.zeros((width + 1, len(words))), np.zeros((width + 1, len(words)))
+        reach = len(edges)
+        # The sums at a position times exp(its scale) are the true ones.
+        alpha, beta, scale_a, scale_b = (np.zeros((width + 1, len(words))) for _ in range(4))
         alpha[0] = 1
         beta[lens, rows] = 1
         for j in range(1, width + 1):
-            for size in range(1, min(len(edges), j) + 1):
+            for size in range(1, min(reach, j) + 1):
                 alpha[j] += alpha[j - size] * p[edges[size - 1][:, j - size]]
+            scale_a[j] = scale_a[j - 1]
+            if j % RESCALE == 0:
+                _bring_back(alpha, scale_a, slice(max(0, j - reach), j + 1))
         for j in range(width - 1, -1, -1):
-            for size in range(1, min(len(edges), width - j) + 1):
+            for size in range(1, min(reach, width - j) + 1):
                 beta[j] += beta[j + size] * p[edges[size - 1][:, j]]
-        scale = counts / alpha[lens, rows]
+            scale_b[j] = np.where(j < lens, scale_b[j + 1], 0)
+            if j % RESCALE == 0:
+                _bring_back(beta, scale_b, slice(j, min(width, j + reach) + 1))
+        whole, whole_scale = counts / alpha[lens, rows], scale_a[lens, rows]
         use = np.zeros(len(p))
-        for size in range(1, len(edges) + 1):
+        for size in range(1, reach + 1):
             for j in range(width + 1 - size):
                 ids = edges[size - 1][:, j]
                 hit = np.flatnonzero(ids != self.n)
-                use += np.bincount(ids[hit], (alpha[j] * beta[j + size] * scale)[hit] * p[ids[hit]], len(p))
+                share = alpha[j, hit] * beta[j + size, hit] * whole[hit]
+                if width >= RESCALE:
+                    share *= np.exp(scale_a[j, hit] + scale_b[j + size, hit] - whole_scale[hit])
+                use += np.bincount(ids[hit], share * p[ids[hit]], len(p))
         return use
 
 
+def _bring_back(sums: np.ndarray, scale: np.ndarray, near: slice) -> None:
+    """Bring the sums that are still reached back from to size, and their scale with them."""
+    most = sums[near].max(axis=0)
+    most[most == 0] = 1  # past a word's end
+    sums[near] /= most
+    scale[near] += np.log(most)
+
+
 @functools.lru_cache(maxsize=2)
 def lattice(path: str) -> Lattice:
     return Lattice(letter_pieces(path))
@@ -163,12 +182,11 @@ def _in_batches(words: list[str]) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def train(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most_docs: int = 800, most_letters: int = 36, rounds: int = 4) -> LanguageModel:
+def train(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most_docs: int = 800, rounds: int = 4) -> LanguageModel:
     """Fit on about ``most_docs`` rows of each language, chosen by a hash of the id.
 
     Words are counted by Spark; the driver gets one row for each language and
-    distinct word of the sample.  Only words of up to ``most_letters`` teach;
-    their sums cannot underflow.
+    distinct word of the sample.  Words of any length teach whole.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sample = hashed_sample(labelled, "id", ["lang"], most_docs)
@@ -176,7 +194,7 @@ def train(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: st
     def words(batch: pa.RecordBatch) -> pa.RecordBatch:
         count: dict[tuple[str, str], int] = {}
         for text, lang in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            for w in filter(lambda w: len(w) <= most_letters, marked_words(text)):
+            for w in marked_words(text):
                 count[lang, w] = count.get((lang, w), 0) + 1
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in count], pa.string()), pa.array([k[1] for k in count], pa.string()), pa.array(count.values(), pa.int64())], names=["lang", "word", "n"])
 

@@ -60,8 +60,7 @@ def random_spans(text: str, encode, most_chars_per_token: float) -> list[tuple[i
     found = []
     for m in RUN.finditer(text):
         run = m[0]
-        mixed = any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
-        if mixed and not known_identifier(run) and len(run) <= most_chars_per_token * len(encode(run)):
+        if not known_identifier(run) and len(run) <= most_chars_per_token * len(encode(run)):
             found.append((m.start(), 3, m.end()))
     return found
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_join, texts, written
+from .common import group_join, sample_place, texts, written
 from .fm_index import FmIndex
 
 GRAM = 5
@@ -290,7 +290,7 @@ def frequent_anchors(rows: DataFrame, n_docs: int, window: int, sample_docs: int
     Bounded by the sample: at most a hundred times the anchors of a mean text.
     """
     share = min(1.0, sample_docs / max(1, n_docs))
-    sample = rows.where(F.pmod(F.col("tag"), F.lit(1_000_003)) < int(share * 1_000_003)).select("text", "tag")
+    sample = rows.where(sample_place(F.col("tag")) < share).select("text", "tag")
     counts = sample.mapInArrow(_anchor_rows(window, frozenset()), "anchor long, tag long, pos long").groupBy("anchor").agg(F.count_distinct("tag").alias("n"))
     return frozenset(r[0] for r in counts.where(F.col("n") >= max(8, 0.01 * share * n_docs)).select("anchor").collect())
 
