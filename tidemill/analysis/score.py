@@ -44,6 +44,7 @@ class Profile:
 OPTIONAL = {
     "source_status": "string", "access_status": "string", "last_checked_at": "timestamp_ntz", "published_at": "timestamp_ntz", "first_seen_at": "timestamp_ntz", "source_kind": "string",
     "collection_allowed": "boolean", "pay_hint": "struct<raw:string,currency:string,min:bigint,max:bigint,unit:string,negotiable:boolean,start:int>", "remote_feedback": "string", "request_feedback": "string",
+    "deadline_hint": "struct<at:timestamp_ntz,precision:string,raw:string,start:int>",
 }
 
 
@@ -198,7 +199,7 @@ def analyze(posts: DataFrame, profile: Profile, now: datetime | str, ttl_hours:
             "asked": F.when((real == "yes") & ~col("asked.value").startswith("buyer"), mine("buyer_project")).otherwise(col("asked")),
         }
     )
-    a = a.withColumns({"body_pay": parse_pay(p.scan), "deadline": dates.parse_deadline(p.scan, col("observed_at")), "work_start": dates.parse_work_start(p.scan, col("observed_at")), "closed_mark": dates.closed_marker(p.scan, both(p.title)), "excluded_word": excluded_hit(whole, profile)})
+    a = a.withColumns({"body_pay": parse_pay(p.scan), "deadline": F.coalesce("deadline_hint", dates.parse_deadline(p.scan, col("observed_at"))), "work_start": dates.parse_work_start(p.scan, col("observed_at")), "closed_mark": dates.closed_marker(p.scan, both(p.title)), "excluded_word": excluded_hit(whole, profile)})
     a = a.withColumn("resolved", resolve_pay(col("pay_hint"), col("body_pay")))
     pay, conflict, names, dev = col("resolved.pay"), col("resolved.conflict"), col("category.names"), col("category.dev")
     a = a.withColumn(
@@ -318,7 +319,7 @@ def applied(posts: DataFrame, profile: Profile, now: datetime | str, ttl_hours:
     """Analyse, then again where the text itself closes the post: a closed mark, or a deadline passed by over a day."""
     posts = scanned(_complete(posts))
     marked = dates.closed_marker(F.col(SCANNED), both(F.col("title"))).isNotNull()
-    passed = F.coalesce(dates.parse_deadline(F.col(SCANNED), F.col("observed_at"))["at"] < clock.at(now) - F.expr("INTERVAL 1 DAY"), F.lit(False))
+    passed = F.coalesce(F.coalesce("deadline_hint", dates.parse_deadline(F.col(SCANNED), F.col("observed_at")))["at"] < clock.at(now) - F.expr("INTERVAL 1 DAY"), F.lit(False))
     status = F.col("source_status")
     status = F.when(marked & (status != "deleted"), "closed").when(status.isin("open", "unknown") & passed, "closed").otherwise(status)
     return analyze(posts.withColumn("source_status", status), profile, now, ttl_hours)

@@ -85,7 +85,7 @@ def latest_feedback(feedback: DataFrame) -> DataFrame:
     return last.where("value <> 'clear'")
 
 
-def ordered_digest(key: str) -> Column:
+def ordered_digest(key: str | Column) -> Column:
     """sha256 over a group's sorted keys, one a line; an exact contract that needs them together, so for groups of bounded size."""
     return F.sha2(F.array_join(F.array_sort(F.collect_list(key)), "\n"), 256)
 

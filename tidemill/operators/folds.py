@@ -93,10 +93,13 @@ def observations(samples: DataFrame, key: str, order: list[str], gap_seconds: fl
     """Samples of ``sequence, count, at``: add ``outcome, rise``.
 
     A repeated sample is a duplicate, a lower sequence number or a changed
-    repeat is rejected; after a silence the next sample is a baseline again.
+    repeat is rejected, and so is a sample without a number, count or time;
+    after a silence the next sample is a baseline again.
     """
 
-    def step(state: tuple | None, row: dict) -> tuple[tuple, dict]:
+    def step(state: tuple | None, row: dict) -> tuple[tuple | None, dict]:
+        if row["sequence"] is None or row["count"] is None or row["at"] is None:
+            return state, {"outcome": "rejected", "rise": None}
         if state is not None:
             last, count, at = state
             if row["sequence"] == last and row["count"] == count:

@@ -30,12 +30,16 @@ def backoff_hours(outcome: Column, failures: Column) -> Column:
 
 
 def http_outcome(status: Column, challenged: Column) -> Column:
-    """``outcome, stop`` of a response: access refusals and challenges stop a source, too many requests halt it, the rest is the page's own fate."""
+    """``outcome, stop, halt`` of a response.
+
+    A login that is asked for, a refusal or a challenge stops the source; too
+    many requests halt the run until its retry time; the rest is the page's own fate.
+    """
     outcome = (
-        F.when(challenged | status.isin(401, 403), "blocked").when(status == 429, "rate_limited").when(status == 404, "not_found").when(status == 410, "gone")
-        .when(status >= 500, "server_error").when(status >= 400, "client_error").when(status.isNull(), "network_error").otherwise("ok")
+        F.when(status == 401, "login_required").when(status == 403, "http_403").when(status == 429, "rate_limited").when(status == 404, "not_found").when(status == 410, "gone")
+        .when(status >= 500, "server_error").when(status >= 400, "client_error").when(status.isNull(), "network_error").when(challenged, "blocked").otherwise("ok")
     )
-    return F.struct(outcome.alias("outcome"), (challenged | status.isin(401, 403)).alias("stop"))
+    return F.struct(outcome.alias("outcome"), outcome.isin("login_required", "http_403", "blocked").alias("stop"), F.coalesce(status == 429, F.lit(False)).alias("halt"))
 
 
 def retry_after(header: Column, now: Column, default_minutes: int = 30) -> Column:
@@ -53,12 +57,13 @@ def ref_changed(url: Column, title: Column, updated: Column, known_url: Column,
     return F.coalesce(moved, F.lit(False)) | F.coalesce(renamed, F.lit(False)) | F.coalesce(newer, F.lit(False))
 
 
-def needs_refresh(changed: Column, recommendation: Column, checked: Column, retry_at: Column, accessible: Column, now: Column, hours: int = 12, excluded_hours: int = 48) -> Column:
-    """Whether a detail is asked again: never before its retry time unless it changed; else when changed, unreadable so far or too old."""
+def needs_refresh(changed: Column, recommendation: Column, checked: Column, retry_at: Column, accessible: Column, now: Column, hours: int = 12, excluded_hours: int = 48, parsed_by: Column | None = None, parser: str | None = None) -> Column:
+    """Whether a detail is asked again: never before its retry time unless it changed; else when changed, unreadable so far, too old, or read by another parser than ``parser``."""
     every = F.when(recommendation == "excluded", excluded_hours).otherwise(hours)
     old = checked.isNull() | (clock.seconds_between(checked, now) >= every * 3600)
     deferred = F.coalesce(now < retry_at, F.lit(False)) & ~changed
-    return ~deferred & (changed | ~F.coalesce(accessible, F.lit(False)) | old)
+    outdated = F.lit(False) if parsed_by is None else ~parsed_by.eqNullSafe(F.lit(parser))
+    return ~deferred & (changed | ~F.coalesce(accessible, F.lit(False)) | old | outdated)
 
 
 def visits(refs: DataFrame, attempts: DataFrame, records: DataFrame) -> DataFrame:
@@ -107,27 +112,73 @@ def revalidated(status: Column, parsed_status: Column, deletion_reliable: bool)
     return F.struct(source.alias("source_status"), F.when(ok | gone & F.lit(deletion_reliable), "accessible").otherwise("error").alias("access_status"))
 
 
-# The moves that a community's status may make.
-MOVES = (("candidate", "eligible"), ("candidate", "excluded"), ("needs_join", "eligible"), ("eligible", "approved"), ("eligible", "excluded"), ("approved", "eligible"), ("approved", "excluded"), ("excluded", "candidate"))
+# The statuses that a user may ask for, and the kinds of boards that make a community worth collecting from.
+SETTABLE = ("candidate", "excluded", "approved", "collect_only")
+RELATED_KINDS = ("job_seek", "job_offer", "free")
 
 
 def transitions(rows: DataFrame, asked: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Applied and refused requests ``key, wanted``: a move must be allowed, and approval needs a joined community with an allowed board."""
-    both = asked.join(rows, key)
-    allowed = F.struct("status", "wanted").isin(*[F.struct(F.lit(a).alias("status"), F.lit(b).alias("wanted")) for a, b in MOVES])
-    ready = (F.col("wanted") != "approved") | F.coalesce(F.col("joined"), F.lit(False)) & (F.col("allowed_boards") > 0)
-    ok = (F.col("status") != F.col("wanted")) & allowed & ready
-    kept = both.where(ok).select(key, F.col("wanted").alias("status"), F.when(F.col("status") == "approved", 0).otherwise(F.col("allowed_boards")).alias("allowed_boards"))
-    return kept, both.where(~ok).select(key, "status", "wanted")
-
-
-def discovered(stored: DataFrame, seen: DataFrame, key: str) -> DataFrame:
-    """Communities after a discovery: counts and names are renewed, an approval survives only where the rules still allow it, a ban always wins."""
-    new = seen.select(key, *[F.col(c).alias(f"_{c}") for c in ("name", "members", "status")])
+    """Requests ``key, wanted`` on communities ``key, status, joined, allowed_boards, related_boards``, applied and refused.
+
+    A user may drop or exclude a community at any time.  Collecting from one
+    needs that it is joined, not excluded and has a related board; approval
+    needs that it is joined, eligible or approved by now, and has a board that
+    allows posts.  What the rules say of a community (eligible, needs_join) is
+    found, never asked for.  Applied: ``key, status, approves, withdraws`` -
+    the last says that its boards lose their approval.  Refused: ``key,
+    status, wanted, code``.
+    """
+    both = asked.join(rows, key, "left")
+    wanted, status, joined = F.col("wanted"), F.col("status"), F.col("joined").eqNullSafe(True)
+    some = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
+    code = (
+        F.when(status.isNull(), "not_found").when(~F.coalesce(wanted.isin(*SETTABLE), F.lit(False)), "invalid_transition")
+        .when((wanted == "collect_only") & ~(joined & (status != "excluded") & some("related_boards")), "collection_unverified")
+        .when((wanted == "approved") & ~(joined & status.isin("eligible", "approved") & some("allowed_boards")), "rule_unverified")
+    )
+    judged = both.select(key, "status", "wanted", code.alias("code"))
+    kept = judged.where("code is null").select(key, F.col("wanted").alias("status"), (F.col("wanted") == "approved").alias("approves"), (F.col("wanted") != "approved").alias("withdraws"))
+    return kept, judged.where("code is not null")
+
+
+def discovered(stored: DataFrame, seen: DataFrame, key: str, auto_approve: bool = False) -> DataFrame:
+    """Communities ``key, name, members, joined, status, allowed_boards`` after a survey that names any of these anew (null: not named).
+
+    A found ban always wins.  What the user chose - excluded, approved, only
+    collected from - stands against any other finding, but a community that is
+    no longer joined is not collected from, and one that is not joined or has
+    no board left that allows posts loses its approval.
+    """
+    fields = ("name", "members", "joined", "status", "allowed_boards")
+    new = seen.select(key, F.lit(True).alias("_seen"), *[F.col(c).alias(f"_{c}") for c in fields])
     both = stored.join(new, key, "full_outer")
-    found, before = F.col("_status"), F.col("status")
-    status = F.when(found.isNull(), before).when(before.isNull() | (found == "excluded"), found).when(before == "approved", F.when(found == "eligible", "approved").otherwise(found)).when(before == "excluded", before).otherwise(found)
-    return both.select(key, F.coalesce("_name", "name").alias("name"), F.coalesce("_members", "members").alias("members"), status.alias("status"))
+    merged = {c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in fields if c != "status"}
+    found, before = F.coalesce("_status", F.lit("candidate")), F.coalesce("status", F.lit("candidate"))
+    status = F.when(found == "excluded", found).when(before.isin("excluded", "approved", "collect_only"), before).otherwise(found)
+    rows = both.select(key, "_seen", F.col("status").alias("_before"), *[v.alias(c) for c, v in merged.items()], status.alias("status"))
+    joined, status = F.col("joined").eqNullSafe(True), F.col("status")
+    left = F.when(F.col("joined").eqNullSafe(False), "needs_join").otherwise("candidate")
+    unfit = ~joined | ~F.coalesce(F.col("allowed_boards") > 0, F.lit(False))
+    after = F.when((status == "collect_only") & ~joined, left).when((status == "approved") & unfit, "candidate").when((status == "eligible") & F.lit(auto_approve), "approved").otherwise(status)
+    return rows.select(key, "name", "members", "joined", F.when(F.col("_seen"), after).otherwise(F.col("_before")).alias("status"), "allowed_boards")
+
+
+def discovered_boards(stored: DataFrame, seen: DataFrame, communities: DataFrame) -> DataFrame:
+    """Boards ``url, community, name, kind, evidence, post_allowed, approved`` after a survey.
+
+    ``communities`` (community, status) are those whose boards were surveyed.
+    A board of theirs that was not seen is revoked and of kind ``other``; a seen
+    one is renewed and keeps its approval only if it allows posts and its
+    community is approved.
+    """
+    fields = ("community", "name", "kind", "evidence", "post_allowed")
+    new = seen.select("url", F.lit(True).alias("_seen"), *[F.col(c).alias(f"_{c}") for c in fields])
+    both = stored.join(new, "url", "full_outer").withColumn("community", F.coalesce("_community", "community"))
+    both = both.join(communities.select("community", F.col("status").alias("_status")), "community", "left")
+    here, gone = F.col("_seen").eqNullSafe(True), F.col("_seen").isNull() & F.col("_status").isNotNull()
+    pick = lambda c, lost: F.when(here, F.col(f"_{c}")).when(gone, lost).otherwise(F.col(c)).alias(c)
+    kept = F.coalesce(F.col("approved"), F.lit(False)) & F.when(here, F.col("_post_allowed") & (F.col("_status") == "approved")).otherwise(~gone)
+    return both.select("url", "community", pick("name", F.col("name")), pick("kind", F.lit("other")), pick("evidence", F.lit(None)), pick("post_allowed", F.lit(False)), F.coalesce(kept, F.lit(False)).alias("approved"))
 
 
 def one_approved(boards: DataFrame, community: str, order: list[Column]) -> DataFrame:
@@ -146,3 +197,22 @@ def union_first(preferred: DataFrame, others: DataFrame, key: str) -> DataFrame:
 def promoted(comments: DataFrame, leads: DataFrame) -> DataFrame:
     """Comments that become leads: only requests whose lead does not exist yet."""
     return comments.where("classification = 'request'").join(leads.select("source_post_id"), F.concat(F.lit("cafe-comment:"), F.col("id")) == F.col("source_post_id"), "left_anti")
+
+
+def synced_leads(leads: DataFrame, records: DataFrame) -> DataFrame:
+    """Leads brought in line with their primary records: title, status, access, dates, and the lower-case text that is searched."""
+    new = records.select(
+        F.col("id").alias("primary_record_id"), F.lit(True).alias("_new"), *[F.col(c).alias(f"_{c}") for c in ("title", "source_status", "access_status", "last_checked_at", "published_at")],
+        F.lower(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))).alias("_search_text"),
+    )
+    both = leads.join(new, "primary_record_id", "left")
+    renewed = {c: F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)) for c in ("title", "source_status", "access_status", "last_checked_at", "published_at", "search_text")}
+    return both.select(*[renewed[c].alias(c) if c in renewed else F.col(c) for c in leads.columns])
+
+
+def stopped_analyses(leads: DataFrame, analyses: DataFrame, engine: str) -> DataFrame:
+    """Leads whose analysis still waits for an engine that was turned off go on with the rules' own."""
+    waiting = analyses.where((F.col("engine") == engine) & (F.col("status") == "pending")).select(F.col("id").alias("analysis_id")).distinct().withColumn("_waits", F.lit(True))
+    rows = leads.join(waiting, "analysis_id", "left")
+    status = F.when(F.col("_waits") & (F.col("analysis_status") == "pending"), "rules_only").otherwise(F.col("analysis_status"))
+    return rows.withColumn("analysis_status", status).select(*leads.columns)

@@ -310,19 +310,54 @@ def candidate() -> Column:
     )
 
 
-def holds(now: datetime | str, ttl_hours: int) -> Column:
-    """Codes of all that keeps an application from being sent, in a fixed order; each at most once."""
-    n = clock.at(now)
-    checked, published = F.col("last_checked_at"), F.col("record_published_at")
-    fits = {
+def own_address(url: Column, host: str, path: str) -> Column:
+    """Whether an address is an https page of ``host`` under ``path``, on the usual port and without a user."""
+    dots = lambda x: x.replace(".", "[.]")
+    return F.coalesce(url, F.lit("")).rlike(f"^(?i:https)://(?i:{dots(host)})(?::(?:0*443)?)?{dots(path)}")
+
+
+def holds(now: datetime | str, ttl_hours: int, host: str, path: str, min_contract: int | None = None, skills: str = "") -> Column:
+    """Codes of all that keeps an application from being sent, in a fixed order; each at most once.
+
+    A row is a lead with its primary record (``record_id``, null without one)
+    and ``ra``, what an analysis of that record says now (see ``judged``).
+    Without a record only what does not ask about it is held.
+    """
+    n, ra = clock.at(now), F.col("ra")
+    checked, published, has_record = F.col("last_checked_at"), F.col("record_published_at"), F.col("record_id").isNotNull()
+    whole = has_record & candidate() & (F.col("record_source_status") == "open") & (F.col("record_access_status") == "accessible")
+    of_record = {
         "source_body_missing": F.coalesce(F.col("body"), F.lit("")) == "",
         "recheck_required": checked.isNull() | (checked > n) | (checked < clock.hours_before(n, ttl_hours)),
         "publication_not_recent": (F.col("published_precision") != "exact") | published.isNull() | (published > n) | (published < clock.hours_before(n, 24)),
-        "remote_unconfirmed": F.col("work_mode") != "fully_remote",
-        "meeting_unconfirmed": F.col("collaboration_mode") != "online_only",
-        "draft_only": F.lit(True),
+        "source_url_unverified": ~own_address(F.col("original_url"), host, path),
+        "rules_ineligible": (ra["recommendation"] == "excluded") | ~ra["dev"] | (ra["pay_unit"] != "project"),
+        "condition_review": F.exists(ra["tones"], lambda t: t.isin("caution", "negative")),
+        "remote_unconfirmed": ra["work_mode"] != "fully_remote",
+        "meeting_unconfirmed": ra["collaboration_mode"] != "online_only",
+        "budget_unconfirmed": ra["pay_min"].isNull() | (ra["currency"] != "KRW"),
+        "low_pay_review": ra["pay_score"] < 0,
+        "below_min_contract": ra["pay_min"] < F.lit(min_contract),
+        "questions_unanswered": ra["questions"] > 0,
+        "profitability_unconfirmed": ra["profit"] != "calculated",
+        "profitability_assumptions": ra["profit"] == "calculated",
+    }
+    at_all = {
+        "source_permission_unverified": ~F.col("policy").eqNullSafe("allowed"), "profile_incomplete": F.lit(not skills.strip()), "profile_not_approved": F.lit(True),
+        "submission_path_unverified": F.lit(True), "draft_only": F.lit(True),
+    }
+    codes = {"not_candidate": ~F.coalesce(whole, F.lit(False))} | {k: has_record & c for k, c in of_record.items()} | at_all
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in codes.items()]))
+
+
+def judged(analysed: DataFrame) -> DataFrame:
+    """``id, ra``: what ``holds`` asks of an analysis."""
+    fields = {
+        "recommendation": "recommendation", "dev": "category.dev", "pay_unit": "pay.unit", "pay_min": "pay.min", "currency": "pay.currency", "work_mode": "work.value",
+        "collaboration_mode": "collab.value", "pay_score": "pay_factor.score", "profit": "profit.status",
     }
-    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in fits.items()]))
+    tones = F.transform("reasons", lambda r: r["tone"]).alias("tones")
+    return analysed.select("id", F.struct(*[F.col(c).alias(k) for k, c in fields.items()], tones, F.size("questions").alias("questions")).alias("ra"))
 
 
 def in_collection_scope() -> Column:

@@ -48,6 +48,26 @@ def interleave(df: DataFrame, kind: str, order: list[Column], first: str, per_tu
     return rows.withColumn("slot", F.when(F.col(kind) == first, turn).otherwise(i * (per_turn + 1) + per_turn).cast("long")).drop("_i")
 
 
+def exploration_order(refs: DataFrame, per_turn: int = 3) -> DataFrame:
+    """Add ``place`` to ``ref_key, kind, priority, first_listed_at, updated_at, visited_at``: the order in which details are asked for.
+
+    Never visited ones first, by priority, then newest listing, newest update
+    and key; after ``per_turn`` of the kind ``core`` comes one of the other.
+    Then all that were visited, oldest visit first.
+    """
+    newest = lambda c: F.col(c).desc_nulls_last()
+    never_listed = F.when(F.col("first_listed_at").isNotNull(), -F.unix_micros(F.col("first_listed_at").cast("timestamp"))).otherwise(0)
+    fresh = interleave(refs.where("visited_at is null"), "kind", [F.desc("priority"), never_listed, newest("updated_at"), F.col("ref_key")], "core", per_turn)
+    seen = numbered(refs.where("visited_at is not null"), [F.col("visited_at"), newest("updated_at"), F.col("ref_key")], "_i")
+    ordered = fresh.withColumn("_tier", F.lit(0)).unionByName(seen.withColumnRenamed("_i", "slot").withColumn("_tier", F.lit(1)))
+    return numbered(ordered, [F.col("_tier"), F.col("slot")], "place").drop("_tier", "slot")
+
+
+def board_order(checkpoints: Column, board: Column) -> list[Column]:
+    """Boards never read first, then those read longest ago, then by id."""
+    return [F.coalesce(checkpoints.cast("string"), F.lit("")).asc(), board.asc()]
+
+
 def gap_since(df: DataFrame, keys: list[str], start: str, finish: str, order: list[str]) -> DataFrame:
     """Add ``gap_seconds``: from the finish of the key's previous row to the start, at least 0; null for the first."""
     before = F.lag(finish).over(Window.partitionBy(*keys).orderBy(*order))

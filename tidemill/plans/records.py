@@ -66,13 +66,13 @@ def display_classes(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT o_custkey AS id, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey) AS outcomes FROM orders GROUP BY ALL),
-b AS (SELECT l_suppkey AS id, count(*) AS evidence FROM lineitem WHERE l_quantity > 49 GROUP BY ALL)
+b AS (SELECT l_suppkey AS id, count(*) AS evidence FROM lineitem GROUP BY ALL)
 SELECT c_custkey AS id, c_name AS title, coalesce(a.outcomes, '') AS outcomes, coalesce(b.evidence, 0) AS evidence FROM customer LEFT JOIN a ON a.id = c_custkey LEFT JOIN b ON b.id = c_custkey""")
 def lead_detail(spark, sf_dir):
     """A lead with its children nested, each gathered once by lead."""
     base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"))
     outcomes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("lead_id"), "o_orderdate", "o_orderkey")
-    evidence = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("lead_id"), "l_orderkey", "l_linenumber")
+    evidence = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("lead_id"), "l_orderkey", "l_linenumber")
     rows = leads.detail(base, {"outcomes": (outcomes, ["o_orderdate", "o_orderkey"]), "evidence": (evidence, ["l_orderkey", "l_linenumber"])})
     return rows.select("id", "title", F.array_join(F.transform("outcomes", lambda o: o["o_orderkey"].cast("string")), ",").alias("outcomes"), F.size("evidence").cast("long").alias("evidence"))
 
@@ -80,18 +80,60 @@ def lead_detail(spark, sf_dir):
 CANDIDATE = f"recommendation IN ('recommended', 'needs_review') AND demand_intent IN ('buyer_project', 'buyer_ongoing') AND engagement_type = 'project' AND id % 7 <> 1 AND source_status = 'open' AND access_status = 'accessible' AND sales_stage IN ('new', 'reviewing') AND (user_mark IS NULL OR user_mark <> 'dismissed')"
 
 
-@query(f"""WITH l AS ({LEADS}) SELECT id, count(*) OVER () AS total, concat_ws(',', CASE WHEN id % 5 = 0 THEN 'source_body_missing' END,
-  CASE WHEN last_checked_at IS NULL OR last_checked_at > {AT} OR last_checked_at < {AT} - INTERVAL {TTL_HOURS} HOUR THEN 'recheck_required' END,
-  CASE WHEN published_precision <> 'exact' OR record_published_at > {AT} OR record_published_at < {AT} - INTERVAL 24 HOUR THEN 'publication_not_recent' END,
-  CASE WHEN work_mode <> 'fully_remote' THEN 'remote_unconfirmed' END, CASE WHEN collaboration_mode <> 'online_only' THEN 'meeting_unconfirmed' END, 'draft_only') AS holds
-FROM l WHERE {CANDIDATE} ORDER BY record_published_at DESC, id LIMIT 40""")
+#: A lead's record and what its analysis says now, by the lead's id; SQL for both engines.
+JUDGED_LEADS = f"""SELECT *, CASE WHEN id % 23 > 0 THEN id END AS record_id, source_status AS record_source_status, CASE WHEN id % 29 = 1 THEN 'error' ELSE access_status END AS record_access_status,
+  CASE WHEN id % 5 > 0 THEN search_text END AS body, CASE id % 8 WHEN 7 THEN 'http://jobs.example/posts/1' WHEN 5 THEN 'https://jobs.example.org/posts/1' WHEN 3 THEN 'HTTPS://Jobs.Example:443/posts/1' WHEN 1 THEN 'https://a@jobs.example/posts/1' ELSE 'https://jobs.example/posts/1' END AS original_url,
+  CASE WHEN id % 19 > 0 THEN 'allowed' WHEN id % 2 = 0 THEN 'restricted' END AS policy,
+  CASE WHEN id % 10 = 3 THEN 'excluded' ELSE 'needs_review' END AS ra_recommendation, id % 11 <> 4 AS ra_dev, CASE WHEN id % 13 = 5 THEN 'hour' ELSE 'project' END AS ra_pay_unit, CASE WHEN id % 4 > 0 THEN (id % 50) * 10000 END AS ra_pay_min,
+  CASE WHEN id % 17 = 2 THEN 'USD' ELSE 'KRW' END AS ra_currency, CASE WHEN id % 3 > 0 THEN 0 - id % 3 + 1 END AS ra_pay_score, id % 2 AS ra_questions, CASE WHEN id % 5 = 2 THEN 'hypothesis' ELSE 'calculated' END AS ra_profit, id % 6 AS ra_tone
+FROM l"""
+CANDIDATE = "recommendation IN ('recommended', 'needs_review') AND demand_intent IN ('buyer_project', 'buyer_ongoing') AND engagement_type = 'project' AND pay_unit = 'project' AND source_status = 'open' AND access_status = 'accessible' AND sales_stage IN ('new', 'reviewing') AND (user_mark IS NULL OR user_mark <> 'dismissed')"
+#: The hold codes of such a lead, each beside its condition, for oracles.
+HOLDS = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in {
+    "not_candidate": f"NOT coalesce(record_id IS NOT NULL AND {CANDIDATE} AND record_access_status = 'accessible', false)",
+    "source_body_missing": "record_id IS NOT NULL AND coalesce(body, '') = ''",
+    "recheck_required": f"record_id IS NOT NULL AND (last_checked_at IS NULL OR last_checked_at > {AT} OR last_checked_at < {AT} - INTERVAL {TTL_HOURS} HOUR)",
+    "publication_not_recent": f"record_id IS NOT NULL AND (published_precision <> 'exact' OR record_published_at > {AT} OR record_published_at < {AT} - INTERVAL 24 HOUR)",
+    "source_url_unverified": "record_id IS NOT NULL AND id % 8 IN (1, 5, 7)",
+    "rules_ineligible": "record_id IS NOT NULL AND (ra_recommendation = 'excluded' OR NOT ra_dev OR ra_pay_unit <> 'project')",
+    "condition_review": "record_id IS NOT NULL AND ra_tone IN (1, 2)",
+    "remote_unconfirmed": "record_id IS NOT NULL AND work_mode <> 'fully_remote'",
+    "meeting_unconfirmed": "record_id IS NOT NULL AND collaboration_mode <> 'online_only'",
+    "budget_unconfirmed": "record_id IS NOT NULL AND (ra_pay_min IS NULL OR ra_currency <> 'KRW')",
+    "low_pay_review": "record_id IS NOT NULL AND ra_pay_score < 0",
+    "below_min_contract": "record_id IS NOT NULL AND ra_pay_min < 200000",
+    "questions_unanswered": "record_id IS NOT NULL AND ra_questions > 0",
+    "profitability_unconfirmed": "record_id IS NOT NULL AND ra_profit <> 'calculated'",
+    "profitability_assumptions": "record_id IS NOT NULL AND ra_profit = 'calculated'",
+    "source_permission_unverified": "policy IS NULL OR policy <> 'allowed'",
+    "profile_incomplete": "true", "profile_not_approved": "true", "submission_path_unverified": "true", "draft_only": "true",
+}.items()) + ")"
+
+
+def _judged_leads(spark, sf_dir):
+    rows = spark.sql(JUDGED_LEADS.replace("FROM l", "FROM {l}"), l=lead_rows(spark, sf_dir))
+    tones = F.expr("CASE ra_tone WHEN 1 THEN array('positive', 'caution') WHEN 2 THEN array('negative') WHEN 3 THEN array() ELSE array('positive') END")
+    ra = [F.col(f"ra_{c}").alias(c) for c in ("recommendation", "dev", "pay_unit", "pay_min", "currency", "pay_score", "questions", "profit")]
+    return rows.withColumn("ra", F.struct(*ra, tones.alias("tones"), F.col("work_mode").alias("work_mode"), F.col("collaboration_mode").alias("collaboration_mode")))
+
+
+def _holds():
+    return F.array_join(leads.holds(NOW, TTL_HOURS, "jobs.example", "/posts/", 200_000), ",").alias("holds")
+
+
+@query(f"WITH l AS ({LEADS}), j AS ({JUDGED_LEADS}) SELECT id, {HOLDS} AS holds FROM j")
+def application_holds(spark, sf_dir):
+    """All that keeps an application for any lead from being sent."""
+    return _judged_leads(spark, sf_dir).select("id", _holds())
+
+
+@query(f"""WITH l AS ({LEADS}), j AS ({JUDGED_LEADS}) SELECT id, count(*) OVER () AS total, {HOLDS} AS holds FROM j WHERE {CANDIDATE} ORDER BY record_published_at DESC, first_seen_at DESC, id LIMIT 40""")
 def application_candidates(spark, sf_dir):
     """Candidates with what holds each back, and how many there are in all; a page is a limit of the feature."""
-    rows = lead_rows(spark, sf_dir).withColumn("pay_unit", F.when(F.col("id") % 7 != 1, "project").otherwise("month"))
-    rows = rows.where(leads.candidate()).withColumn("body", F.when(F.col("id") % 5 != 0, F.col("search_text")))
+    rows = _judged_leads(spark, sf_dir).where(leads.candidate())
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    page = rows.orderBy(F.desc("record_published_at"), "id").limit(40)
-    return page.join(F.broadcast(total)).select("id", "total", F.array_join(leads.holds(NOW, TTL_HOURS), ",").alias("holds"))  # the total is one row
+    page = rows.orderBy(F.desc("record_published_at"), F.desc("first_seen_at"), "id").limit(40)
+    return page.join(F.broadcast(total)).select("id", "total", _holds())  # the total is one row
 
 
 @query(f"WITH l AS ({LEADS}) SELECT id FROM l WHERE source_status IN ('open', 'unknown') AND (last_checked_at IS NULL OR last_checked_at < {AT} - INTERVAL {TTL_HOURS // 2} HOUR) AND first_seen_at < {AT} - INTERVAL 7 DAY AND id % 9 <> 0 ORDER BY last_checked_at NULLS FIRST, id LIMIT 25")
@@ -265,9 +307,9 @@ def covered_regions(spark, sf_dir):
     return metrics.covered(rows, "nation", table(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").cast("long").alias("nation")))
 
 
-@query("SELECT l_suppkey AS run, l_orderkey, l_linenumber, CAST(row_number() OVER w AS INT) AS place, count(*) OVER (PARTITION BY l_suppkey) AS issue_count FROM lineitem WHERE l_quantity > 40 WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) QUALIFY row_number() OVER w <= 50")
+@query("SELECT l_suppkey AS run, l_orderkey, l_linenumber, CAST(row_number() OVER w AS INT) AS place, count(*) OVER (PARTITION BY l_suppkey) AS issue_count FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) QUALIFY row_number() OVER w <= 50")
 def capped_issues(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_suppkey").alias("run"), "l_orderkey", "l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run"), "l_orderkey", "l_linenumber")
     return metrics.capped_issues(rows, "run", ["l_orderkey", "l_linenumber"])
 
 
@@ -308,14 +350,13 @@ def candidate_visits(spark, sf_dir):
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'purchase' THEN NULL WHEN 'error' THEN 24 WHEN 'view' THEN 6 ELSE CAST(least(24, pow(2, least(user_id % 9, 5))) AS INT) END AS hours,
-  CASE WHEN user_id % 11 = 0 THEN 'blocked' ELSE CASE event_id % 7 WHEN 0 THEN 'ok' WHEN 1 THEN 'not_found' WHEN 2 THEN 'gone' WHEN 3 THEN 'rate_limited' WHEN 4 THEN 'server_error' WHEN 5 THEN 'client_error' ELSE 'blocked' END END AS outcome,
-  CASE WHEN event_id % 7 = 0 THEN 'open' WHEN event_id % 7 IN (1, 2) THEN 'deleted' END AS revalidated FROM events""")
+  CASE event_id % 8 WHEN 0 THEN CASE WHEN user_id % 11 = 0 THEN 'blocked' ELSE 'ok' END WHEN 1 THEN 'not_found' WHEN 2 THEN 'gone' WHEN 3 THEN 'rate_limited' WHEN 4 THEN 'server_error' WHEN 5 THEN 'client_error' WHEN 6 THEN 'http_403' ELSE 'login_required' END AS outcome,
+  event_id % 8 IN (6, 7) OR event_id % 8 = 0 AND user_id % 11 = 0 AS stop, event_id % 8 = 3 AS halt, CASE WHEN event_id % 8 = 0 THEN 'open' WHEN event_id % 8 IN (1, 2) THEN 'deleted' END AS revalidated FROM events""")
 def response_outcomes(spark, sf_dir):
-    status = F.element_at(F.array(*map(F.lit, (200, 404, 410, 429, 503, 418, 403))), (F.col("event_id") % 7 + 1).cast("int"))
+    status = F.element_at(F.array(*map(F.lit, (200, 404, 410, 429, 503, 418, 403, 401))), (F.col("event_id") % 8 + 1).cast("int"))
     kind = F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "error", "http_404").when(F.col("event_type") == "view", "parse_error").otherwise("timeout")
-    return table(spark, sf_dir, "events").select(
-        "event_id", ingest.backoff_hours(kind, F.col("user_id") % 9 + 1).alias("hours"), ingest.http_outcome(status, F.col("user_id") % 11 == 0)["outcome"].alias("outcome"), ingest.revalidated(status, F.lit("open"), True)["source_status"].alias("revalidated")
-    )
+    answer = ingest.http_outcome(status, F.col("user_id") % 11 == 0)
+    return table(spark, sf_dir, "events").select("event_id", ingest.backoff_hours(kind, F.col("user_id") % 9 + 1).alias("hours"), *[answer[c].alias(c) for c in ("outcome", "stop", "halt")], ingest.revalidated(status, F.lit("open"), True)["source_status"].alias("revalidated"))
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN ts + INTERVAL 90 SECOND WHEN 1 THEN TIMESTAMP '2015-10-21 07:28:00' ELSE ts + INTERVAL 30 MINUTE END AS retry_at FROM events""")
@@ -366,21 +407,109 @@ def preferred_union(spark, sf_dir):
     return ingest.union_first(new.select("k", "name"), old.select("k", "name"), "k")
 
 
-@query("""SELECT s_suppkey AS id, CASE WHEN s_nationkey % 4 = 3 THEN s.status WHEN s.status IS NULL OR f.status = 'excluded' THEN f.status WHEN s.status = 'approved' THEN CASE WHEN f.status = 'eligible' THEN 'approved' ELSE f.status END WHEN s.status = 'excluded' THEN 'excluded' ELSE f.status END AS status
-FROM (SELECT *, CASE WHEN s_acctbal > 5000 THEN 'approved' WHEN s_acctbal > 0 THEN 'candidate' WHEN s_acctbal > -500 THEN 'excluded' END AS st FROM supplier) x, LATERAL (SELECT x.st AS status) s, LATERAL (SELECT CASE s_nationkey % 4 WHEN 0 THEN 'eligible' WHEN 1 THEN 'needs_join' WHEN 2 THEN 'excluded' END AS status) f WHERE NOT (s.status IS NULL AND s_nationkey % 4 = 3)""")
+#: Communities in every state, with a request and a finding for each, by the key of a customer; ``//`` divides whole numbers.
+COMMUNITIES = """SELECT c_custkey AS id, c_name AS name, c_nationkey AS members,
+  CASE c_custkey % 6 WHEN 0 THEN 'candidate' WHEN 1 THEN 'needs_join' WHEN 2 THEN 'eligible' WHEN 3 THEN 'approved' WHEN 4 THEN 'excluded' ELSE 'collect_only' END AS status,
+  CASE c_custkey // 6 % 3 WHEN 0 THEN true WHEN 1 THEN false END AS joined, c_custkey // 18 % 2 AS allowed_boards, c_custkey // 36 % 2 AS related_boards,
+  CASE c_custkey // 5 % 7 WHEN 0 THEN 'candidate' WHEN 1 THEN 'excluded' WHEN 2 THEN 'approved' WHEN 3 THEN 'collect_only' WHEN 4 THEN 'eligible' WHEN 5 THEN 'needs_join' END AS wanted,
+  CASE c_custkey // 7 % 5 WHEN 0 THEN 'candidate' WHEN 1 THEN 'needs_join' WHEN 2 THEN 'eligible' WHEN 3 THEN 'excluded' END AS found,
+  CASE c_custkey // 11 % 4 WHEN 0 THEN true WHEN 1 THEN false END AS found_joined, CASE c_custkey // 13 % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS found_boards FROM customer"""
+
+
+def _communities(spark, sf_dir):
+    return spark.sql(COMMUNITIES.replace("//", "div").replace("FROM customer", "FROM {customer}"), customer=table(spark, sf_dir, "customer"))
+
+
+@query(f"""WITH c AS ({COMMUNITIES}), j AS (SELECT *, CASE WHEN found = 'excluded' THEN 'excluded' WHEN status IN ('excluded', 'approved', 'collect_only') THEN status ELSE coalesce(found, 'candidate') END AS first,
+  coalesce(found_joined, joined) AS j2, coalesce(found_boards, allowed_boards) AS b2 FROM c WHERE id % 9 > 0)
+SELECT id, CASE WHEN first = 'collect_only' AND j2 = false THEN 'needs_join' WHEN first = 'collect_only' AND j2 IS NULL THEN 'candidate' WHEN first = 'approved' AND (j2 IS NULL OR NOT j2 OR b2 = 0) THEN 'candidate' ELSE first END AS status, j2 AS joined FROM j
+UNION ALL SELECT id, status, joined FROM c WHERE id % 9 = 0""")
 def saved_discoveries(spark, sf_dir):
-    bal = F.col("s_acctbal")
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit(1).alias("members"), F.when(bal > 5000, "approved").when(bal > 0, "candidate").when(bal > -500, "excluded").alias("status"), (F.col("s_nationkey") % 4).alias("f"))
-    found = F.when(F.col("f") == 0, "eligible").when(F.col("f") == 1, "needs_join").when(F.col("f") == 2, "excluded")
-    stored, seen = rows.where("status is not null").drop("f"), rows.where("f < 3").select("id", "name", "members", found.alias("status"))
-    return ingest.discovered(stored, seen, "id").select("id", "status")
+    """Communities of every status after a survey; one in nine was not seen."""
+    rows = _communities(spark, sf_dir)
+    seen = rows.where("id % 9 > 0").select("id", "name", "members", F.col("found_joined").alias("joined"), F.col("found").alias("status"), F.col("found_boards").alias("allowed_boards"))
+    return ingest.discovered(rows.select("id", "name", "members", "joined", "status", "allowed_boards"), seen, "id").select("id", "status", "joined")
+
+
+@query(f"""WITH c AS ({COMMUNITIES}) SELECT id, CASE WHEN wanted IS NULL OR wanted NOT IN ('candidate', 'excluded', 'approved', 'collect_only') THEN 'invalid_transition'
+  WHEN wanted = 'collect_only' AND (joined IS NULL OR NOT joined OR status = 'excluded' OR related_boards = 0) THEN 'collection_unverified'
+  WHEN wanted = 'approved' AND (joined IS NULL OR NOT joined OR status NOT IN ('eligible', 'approved') OR allowed_boards = 0) THEN 'rule_unverified' ELSE 'applied' END AS outcome FROM c""")
+def community_moves(spark, sf_dir):
+    """Every request on a community of every status, applied or refused with its code."""
+    rows = _communities(spark, sf_dir)
+    kept, refused = ingest.transitions(rows.select("id", "status", "joined", "allowed_boards", "related_boards"), rows.select("id", "wanted"), "id")
+    return kept.select("id", F.lit("applied").alias("outcome")).unionByName(refused.select("id", F.col("code").alias("outcome")))
+
+
+BOARDS = """SELECT p_partkey AS url, p_size % 20 AS community, p_name AS name, CASE p_partkey % 4 WHEN 0 THEN 'free' WHEN 1 THEN 'job_seek' ELSE 'other' END AS kind, 'old' AS evidence, p_partkey % 2 = 0 AS post_allowed, p_partkey % 2 = 0 AND p_partkey % 3 = 0 AS approved,
+  p_partkey % 5 < 3 AND p_size % 20 <> 7 AS seen, p_partkey % 7 < 5 AS allowed_now, CASE WHEN p_size % 2 = 0 THEN 'approved' ELSE 'candidate' END AS status, p_partkey % 11 > 0 AS known FROM part"""
+
+
+@query(f"""WITH b AS ({BOARDS}) SELECT url, CASE WHEN seen THEN 'free' WHEN community <> 7 THEN 'other' ELSE kind END AS kind, CASE WHEN seen THEN allowed_now ELSE community = 7 AND post_allowed END AS post_allowed,
+  known AND approved AND CASE WHEN seen THEN allowed_now AND status = 'approved' ELSE community = 7 END AS approved FROM b WHERE known OR seen""")
+def discovered_boards(spark, sf_dir):
+    """Boards after a survey of all communities but one: unseen ones are revoked, seen ones keep an approval that still stands."""
+    rows = spark.sql(BOARDS.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    stored = rows.where("known").select("url", "community", "name", "kind", "evidence", "post_allowed", "approved")
+    seen = rows.where("seen").select("url", "community", "name", F.lit("free").alias("kind"), F.lit("new").alias("evidence"), F.col("allowed_now").alias("post_allowed"))
+    surveyed = rows.where("community <> 7").select("community", "status").distinct()
+    return ingest.discovered_boards(stored, seen, surveyed).select("url", "kind", "post_allowed", "approved")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'closed' ELSE 'open' END AS source_status, CASE WHEN o_orderkey % 3 = 0 THEN lower('Title ' || o_clerk || chr(10) || coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END, '')) ELSE 'old' END AS search_text,
+  CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 2 = 0 THEN 'rules_only' WHEN o_orderkey % 2 = 0 THEN 'pending' ELSE 'complete' END AS analysis_status FROM orders""".replace("o_clerk", "o_orderstatus"))
+def synced_leads(spark, sf_dir):
+    """Leads in line with their records, and with the rules' analysis where another engine was turned off."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders")
+    kept = rows.select(k.alias("id"), k.alias("primary_record_id"), F.lit("old").alias("title"), F.lit("open").alias("source_status"), F.lit("x").alias("access_status"), F.lit(None).cast("timestamp_ntz").alias("last_checked_at"), F.lit(None).cast("timestamp_ntz").alias("published_at"), F.lit("old").alias("search_text"), k.alias("analysis_id"), F.when(k % 2 == 0, "pending").otherwise("complete").alias("analysis_status"))
+    records = rows.where("o_orderkey % 3 = 0").select(k.alias("id"), F.concat(F.lit("Title "), F.col("o_orderstatus")).alias("title"), F.when(k % 2 == 0, F.col("o_orderpriority")).alias("body"), F.lit("closed").alias("source_status"), F.lit("accessible").alias("access_status"), F.lit(None).cast("timestamp_ntz").alias("last_checked_at"), F.lit(None).cast("timestamp_ntz").alias("published_at"))
+    analyses = rows.select(k.alias("id"), F.when(k % 5 == 0, "other").otherwise("rules").alias("engine"), F.lit("pending").alias("status"))
+    return ingest.stopped_analyses(ingest.synced_leads(kept, records), analyses, "other").select("id", "source_status", "search_text", "analysis_status")
+
+
+REFS = """SELECT p_partkey AS ref_key, CASE WHEN p_size % 3 = 0 THEN 'exploration' ELSE 'core' END AS kind, p_size % 4 AS priority, CASE WHEN p_partkey % 5 > 0 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (p_partkey % 97) END AS first_listed_at,
+  CASE WHEN p_partkey % 7 > 0 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (p_partkey % 89) END AS updated_at, CASE WHEN p_partkey % 4 = 0 THEN TIMESTAMP '2024-02-01' + INTERVAL 1 HOUR * (p_partkey % 83) END AS visited_at FROM part"""
+
+
+@query(f"""WITH r AS ({REFS}), f AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY priority DESC, first_listed_at DESC NULLS LAST, updated_at DESC NULLS LAST, ref_key) - 1 AS i FROM r WHERE visited_at IS NULL),
+o AS (SELECT ref_key, 0 AS tier, CASE WHEN kind = 'core' THEN i // 3 * 4 + i % 3 ELSE i * 4 + 3 END AS slot FROM f
+  UNION ALL SELECT ref_key, 1, row_number() OVER (ORDER BY visited_at, updated_at DESC NULLS LAST, ref_key) FROM r WHERE visited_at IS NOT NULL)
+SELECT ref_key, row_number() OVER (ORDER BY tier, slot) - 1 AS place FROM o""")
+def exploration_order(spark, sf_dir):
+    """Three core details and one other in turn, newest first, then those visited before."""
+    rows = spark.sql(REFS.replace("FROM part", "FROM {part}").replace("INTERVAL 1 HOUR * (", "make_dt_interval(0, ").replace("97) END", "97, 0, 0) END").replace("89) END", "89, 0, 0) END").replace("83) END", "83, 0, 0) END"), part=table(spark, sf_dir, "part"))
+    return windows.exploration_order(rows).select("ref_key", "place")
+
+
+RUNS = """SELECT o_orderkey AS id, o_custkey % 40 AS source_id, CASE o_orderkey % 3 WHEN 0 THEN 'discovery' WHEN 1 THEN 'recheck_recent' ELSE 'recheck_stale' END AS kind, o_orderdate AS created_at,
+  CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate + INTERVAL 1 HOUR END AS finished_at, CASE o_orderkey % 4 WHEN 0 THEN 'partial' WHEN 1 THEN 'running' ELSE 'succeeded' END AS state, CASE WHEN o_orderkey % 8 = 4 THEN 'x' END AS error_code,
+  o_orderkey % 16 < 10 AS continuation_pending, CASE WHEN o_orderkey % 32 < 16 THEN o_orderkey % 200 END AS continuation_delay, CASE WHEN o_orderkey % 50 = 3 THEN o_orderdate + INTERVAL 200 DAY END AS retry_after FROM orders"""
+
+
+@query(f"""WITH r AS ({RUNS}), l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY source_id, kind ORDER BY created_at DESC, id DESC) = 1),
+c AS (SELECT source_id, max(retry_after) AS cooldown FROM r WHERE retry_after > {AT} GROUP BY source_id), s AS (SELECT n::BIGINT AS source_id, n * 7 + 30 AS minutes FROM range(50) t(n)), k AS (SELECT unnest(['discovery', 'recheck_recent', 'recheck_stale']) AS kind),
+d AS (SELECT s.source_id, k.kind, l.state, CASE k.kind WHEN 'discovery' THEN minutes * 60 WHEN 'recheck_recent' THEN 21600 ELSE 86400 END AS seconds, l.id, l.created_at, l.finished_at, l.error_code, l.continuation_pending AS goes, l.continuation_delay AS delay, cooldown
+  FROM s CROSS JOIN k LEFT JOIN l ON l.source_id = s.source_id AND l.kind = k.kind LEFT JOIN c ON c.source_id = s.source_id),
+e AS (SELECT *, CASE WHEN state IN ('queued', 'running', 'paused') THEN NULL ELSE greatest(CASE WHEN id IS NULL THEN {AT} ELSE coalesce(finished_at, created_at) + INTERVAL 1 SECOND * (CASE WHEN kind = 'discovery' AND state = 'partial' AND error_code IS NULL AND goes THEN greatest(60, coalesce(delay, 60)) ELSE seconds END) END, cooldown) END AS due_at, epoch({AT})::BIGINT // seconds AS bucket FROM d)
+SELECT source_id, kind, due_at, due_at IS NOT NULL AND due_at <= {AT} AND source_id % 4 > 0 AS made FROM e""")
+def scheduled_runs(spark, sf_dir):
+    """When every source's kinds of run are due, and which are made now: one for all that were missed, none where this period has one."""
+    runs = spark.sql(RUNS.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    sources = spark.range(50).select("id", (F.col("id") * 7 + 30).alias("interval_minutes"))
+    due = notify.next_due(sources, runs, ("discovery", "recheck_recent", "recheck_stale"), clock.at(NOW))
+    before = due.where("source_id % 4 = 0").select("source_id", "kind", "bucket")
+    made = notify.due_runs(due, before, clock.at(NOW)).select("source_id", "kind", F.lit(True).alias("made"))
+    return due.join(made, ["source_id", "kind"], "left").select("source_id", "kind", "due_at", F.coalesce("made", F.lit(False)).alias("made"))
 
 
-@query("""SELECT s_suppkey AS id, 'approved' AS status FROM supplier WHERE s_acctbal > 0 AND s_nationkey % 2 = 0 AND s_suppkey % 3 > 0""")
-def approved_moves(spark, sf_dir):
-    """Approvals that are allowed: from eligible, joined, with a board."""
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_acctbal") > 0, "eligible").otherwise("candidate").alias("status"), F.when(F.col("s_nationkey") % 2 == 0, True).alias("joined"), (F.col("s_suppkey") % 3).cast("int").alias("allowed_boards"))
-    return ingest.transitions(rows, rows.select("id", F.lit("approved").alias("wanted")), "id")[0].select("id", "status")
+@query("""WITH n AS (SELECT event_id AS id, event_type AS kind, user_id FROM events WHERE ts > TIMESTAMP '2024-01-09 23:30:00' AND ts <= TIMESTAMP '2024-01-10 23:30:00' AND event_type IN ('click', 'purchase') AND user_id % 3 = 0 AND event_id % 5 > 0 AND event_id % 7 > 0)
+SELECT kind, count(*) AS n, 'notify:quiet_summary:' || kind || ':' || sha256(string_agg(id::VARCHAR, chr(10) ORDER BY id::VARCHAR)) AS dedupe_key FROM n GROUP BY kind""")
+def quiet_summaries(spark, sf_dir):
+    """One summary a kind of what waited through the night and still concerns an eligible lead."""
+    k = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(k.alias("id"), F.col("event_type").alias("kind"), F.col("user_id").alias("lead_id"), F.col("ts").alias("at"), F.when(k % 5 > 0, "quiet_hours").alias("suppressed_reason"), F.col("ts").alias("deferred_until"), F.lit("pending").alias("state"), F.when(k % 7 == 0, "done").alias("released"))
+    return notify.quiet_summaries(rows, rows.where("lead_id % 3 = 0").select(F.col("lead_id").alias("id")), clock.at("2024-01-10 23:30:00"), {"click": True, "purchase": True, "view": False}, ("22:00", "08:00"))
 
 
 @query("""SELECT c_custkey AS id, coalesce((SELECT max_by(CASE o_orderstatus WHEN 'F' THEN 'error' WHEN 'O' THEN 'blocked' ELSE 'accessible' END, (o_orderdate, o_orderkey)) FROM orders WHERE o_custkey = c_custkey), 'accessible') AS access_status FROM customer""")
@@ -390,9 +519,9 @@ def access_propagation(spark, sf_dir):
     return ingest.with_access(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("accessible").alias("access_status")), events, "id")
 
 
-@query("""SELECT l_orderkey AS id, CASE WHEN l_shipdate < TIMESTAMP '1995-01-01' AND l_returnflag <> 'R' THEN NULL ELSE l_linestatus END AS body FROM lineitem WHERE l_linenumber = 1""")
+@query("""SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_shipdate < TIMESTAMP '1995-01-01' AND l_returnflag <> 'R' THEN NULL ELSE l_linestatus END AS body FROM lineitem""")
 def expired_bodies(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), F.col("l_linestatus").alias("body"), F.lit("T").alias("title"), F.lit("t").alias("search_text"), F.col("l_shipdate").alias("retained_until"), F.when(F.col("l_returnflag") == "R", "interested").alias("user_mark"), F.lit("new").alias("sales_stage"))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_linestatus").alias("body"), F.lit("T").alias("title"), F.lit("t").alias("search_text"), F.col("l_shipdate").alias("retained_until"), F.when(F.col("l_returnflag") == "R", "interested").alias("user_mark"), F.lit("new").alias("sales_stage"))
     return merge.expire_bodies(rows, clock.at("1995-01-01 00:00:00")).select("id", "body")
 
 
@@ -457,8 +586,8 @@ QUIET_END = "date_trunc('day', ts + INTERVAL 9 HOUR) + INTERVAL 8 HOUR + CASE WH
 TOGGLES = {"click": True, "view": False, "purchase": True}
 
 
-@query(f"""SELECT event_id AS id, CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'unsupported_kind' WHEN event_type = 'view' THEN 'type_disabled' WHEN {QUIET} THEN 'quiet_hours' END AS suppressed_reason,
-  CASE WHEN event_type IN ('click', 'purchase') AND ({QUIET}) THEN {QUIET_END} END AS deferred_until FROM events""")
+@query(f"""SELECT event_id AS id, CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'unsupported_kind' WHEN {QUIET} THEN 'quiet_hours' END AS suppressed_reason,
+  CASE WHEN event_type IN ('click', 'purchase') AND ({QUIET}) THEN {QUIET_END} END AS deferred_until FROM events WHERE event_type <> 'view'""")
 def created_notices(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("ts").alias("at"))
     return notify.created(rows, TOGGLES, ("22:00", "08:00")).select("id", "suppressed_reason", "deferred_until")
@@ -485,9 +614,9 @@ def source_monitoring(spark, sf_dir):
 # --- texts -------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '\\?') OR regexp_matches(text, '질문') THEN 'question' ELSE 'other' END AS class FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '\\?') OR regexp_matches(text, '질문') THEN 'question' ELSE 'other' END AS class FROM documents""")
 def comment_classes(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", web.comment_class(F.col("text")).alias("class"))
+    return table(spark, sf_dir, "documents").select("doc_id", web.comment_class(F.coalesce("text", F.lit(""))).alias("class"))
 
 
 @query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://x.example/private/a' WHEN 1 THEN 'https://x.example/private/open/b' WHEN 2 THEN 'https://x.example/d/a.pdf' WHEN 3 THEN 'https://x.example/d/a.pdf?v=1' WHEN 4 THEN 'https://x.example' ELSE 'https://x.example/tmp/x' END AS url,
@@ -552,11 +681,11 @@ def board_checkpoints(spark, sf_dir):
     return community.checkpoints(boards, read)
 
 
-@query("""WITH r AS (SELECT l_suppkey AS source, l_orderkey, l_linenumber, l_returnflag = 'R' AS seen FROM lineitem WHERE l_quantity > 48),
+@query("""WITH r AS (SELECT l_suppkey AS source, l_orderkey, l_linenumber, l_returnflag = 'R' AS seen FROM lineitem),
 w AS (SELECT *, least(6, 2 + count(*) FILTER (WHERE NOT seen) OVER (PARTITION BY source)) AS cap, row_number() OVER (PARTITION BY source ORDER BY seen, l_orderkey, l_linenumber) AS r, row_number() OVER (PARTITION BY source, seen ORDER BY l_orderkey, l_linenumber) AS a FROM r)
 SELECT source, l_orderkey, l_linenumber FROM w WHERE r <= cap AND (NOT seen OR a <= 1)""")
 def watch_allowance(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_suppkey").alias("source"), "l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").alias("seen"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), "l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").alias("seen"))
     return community.allowance(rows, "source", [F.col("l_orderkey"), F.col("l_linenumber")], 6, 2).select("source", "l_orderkey", "l_linenumber")
 
 
