@@ -126,7 +126,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
             for piece, start in enumerate(range(0, len(ids), capacity)):
                 cut = ids[start : start + capacity]
                 crc = zlib.crc32(cut.tobytes())
-                out.append((doc_id, piece, start, len(cut), crc, zlib.crc32(b"%d %d" % (crc, len(out)))))
+                out.append((doc_id, piece, start, len(cut), crc, zlib.crc32(b"%d %d %d" % (crc, len(out), doc_id or 0))))
         columns = list(zip(*out, strict=True))
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
