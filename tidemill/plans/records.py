@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clock, text, web
-from ..operators import community, folds, ingest, leads, merge, metrics, notify, relations, windows
+from ..operators import community, folds, ingest, leads, merge, metrics, notify, paging, relations, windows
 from .proxy import EFFECTIVE, LEADS, NOW, TTL_HOURS, table
 from .proxy import leads as lead_rows
 from .queries import OPEN_EYES, query
@@ -726,3 +726,38 @@ def observation_outcomes(spark, sf_dir):
     """Samples of a live count: duplicates, regressions, rises, and a baseline after each silence."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("id"), F.floor(F.col("event_id") / 4).alias("sequence"), F.floor("value").alias("count"), F.col("ts").alias("at"))
     return folds.observations(rows, "k", ["at", "id"], 4 * 3600).select("id", "outcome", "rise")
+
+
+# --- listings ----------------------------------------------------------------
+
+#: A board for every customer and a landed page for each of its orders, by order; some are missing, some end early, skip a number, are empty or unclear.
+BOARD_PAGES = """SELECT o_custkey AS board, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS page, o_orderkey AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)"""
+
+
+def _board_pages(spark, sf_dir):
+    rows = spark.sql(BOARD_PAGES.replace("FROM orders", "FROM {orders}").replace("FROM lineitem", "FROM {lines}"), orders=table(spark, sf_dir, "orders"), lines=table(spark, sf_dir, "lineitem")).where("k % 23 > 0")
+    cards = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: (x["l_partkey"] % 50).cast("string")).alias("cards"))  # seven lines at most
+    links = F.expr("CASE WHEN page = n OR k % 13 = 0 THEN array(page - 1) WHEN k % 17 = 0 THEN array(page, page + 2) WHEN k % 19 < 2 THEN array(1) ELSE array(page - 1, page + 2, page + 1) END")
+    none = (F.col("k") % 19 < 3) | (F.col("k") % 29 == 0)
+    return rows.join(cards, "k").select("board", "page", links.alias("links"), (F.col("k") % 19 == 2).alias("empty"), (F.col("k") % 19 == 0).alias("bare"), F.when(F.col("k") % 19 == 0, 1).otherwise(F.col("page")).alias("current"), F.when(~none, F.col("cards")).otherwise(F.array().cast("array<string>")).alias("cards"))
+
+
+PAGE_WALK = f"""WITH RECURSIVE p AS (SELECT *, k % 19 < 3 OR k % 29 = 0 AS none, CASE WHEN page = n OR k % 13 = 0 THEN NULL WHEN k % 17 = 0 THEN page + 2 WHEN k % 19 < 2 THEN NULL ELSE page + 1 END AS ahead,
+  k % 19 = 0 AND page > 1 AND (page = n OR k % 13 = 0 OR k % 17 > 0) AS back, page - 1 <= 1 AS low FROM ({BOARD_PAGES}) WHERE k % 23 > 0),
+o AS (SELECT board, page, k, CASE WHEN none AND k % 19 <> 2 THEN CASE WHEN k % 19 = 0 AND page > 1 AND CASE WHEN page = n OR k % 13 = 0 THEN low WHEN k % 17 = 0 THEN false ELSE true END THEN 'after_last' ELSE 'unclear' END
+  WHEN ahead > page + 1 THEN 'gap' WHEN ahead IS NOT NULL AND none THEN 'empty_with_next' WHEN ahead IS NOT NULL THEN 'next' ELSE 'end' END AS outcome FROM p),
+w AS (SELECT board, page, k, outcome FROM o WHERE page = 1 UNION ALL SELECT o.board, o.page, o.k, o.outcome FROM w JOIN o ON o.board = w.board AND o.page = w.page + 1 WHERE w.outcome = 'next')"""
+
+
+@query(PAGE_WALK + """ SELECT b.board, count(*) FILTER (WHERE w.outcome IN ('next', 'end', 'after_last')) AS pages, CASE WHEN max_by(w.outcome, w.page) IS NULL OR max_by(w.outcome, w.page) = 'next' THEN 'missing_page' WHEN max_by(w.outcome, w.page) IN ('end', 'after_last') THEN 'complete' ELSE max_by(w.outcome, w.page) END AS outcome
+FROM (SELECT DISTINCT board FROM o) b LEFT JOIN w ON w.board = b.board GROUP BY b.board""")
+def board_walks(spark, sf_dir):
+    """How far each board was read without a gap, and why the walk ended."""
+    return paging.walked(_board_pages(spark, sf_dir))[1]
+
+
+@query(PAGE_WALK + """ SELECT w.board, CAST(l_partkey % 50 AS VARCHAR) AS post_id, min(w.page) AS page FROM w JOIN lineitem ON l_orderkey = w.k WHERE w.outcome IN ('next', 'end') AND NOT (w.k % 19 < 3 OR w.k % 29 = 0) GROUP BY ALL""")
+def board_posts(spark, sf_dir):
+    """Every post on the pages that count as read, at its first place."""
+    pages = _board_pages(spark, sf_dir)
+    return paging.listed(pages, paging.walked(pages)[0]).select("board", "post_id", "page")
