@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.sources import files
+from tidemill.sources import files, tails
 from tidemill.streaming import events
 
 
@@ -95,3 +95,26 @@ def test_log_counts_and_settings(spark, tmp_path):
     assert got == {("INFO", "fetch", "ok", "200", "<100"): 1, ("ERROR", "fetch", "fail", "503", ">=1000"): 1}
     row = spark.createDataFrame([('{"ttl": 24, "days": 9999, "secret": "x", "n": "many"}',)], "s string")
     assert row.select(files.safe_settings(F.col("s"), {"ttl": (1, 100), "days": (1, 365), "n": (0, 9)})).first()[0] == {"ttl": "24", "days": "unknown", "n": "unknown"}
+
+
+def test_only_the_ends_of_files_are_read(spark, tmp_path):
+    spark.dataSource.register(tails.Tails)
+    lines = [f"line {k} é" for k in range(9000)]
+    text = "\n".join(lines) + "\n"
+    folder = tmp_path / "logs"
+    (folder / "deep").mkdir(parents=True)
+    (folder / "a.log").write_text(text)
+    (folder / "deep" / "b.log").write_text("short\nlast")
+    (folder / "empty.log").write_text("")
+    raw = text.encode()
+    for most in (1000, 1001, 1002, 10**9, 3):
+        got = {}
+        for r in spark.read.format("tail").option("bytes", most).load(str(folder)).collect():
+            got.setdefault(r.file.rsplit("/", 1)[-1], []).append((r.line, r.value))
+        whole = raw if most >= len(raw) else raw[-most:] if raw[-most - 1 : -most] == b"\n" else raw[-most:].split(b"\n", 1)[1]
+        assert [v for _, v in sorted(got.get("a.log", []))] == whole.decode().splitlines()
+        assert [v for _, v in sorted(got.get("b.log", []))] == (["short", "last"] if most > 10 else [])
+    with pytest.raises(Exception, match="nothing"):
+        spark.read.format("tail").load(str(tmp_path / "nothing")).collect()
+    (folder / "a.log").write_text("2024-01-01 00:00:00,1 INFO app.http event=fetch ms=1\n" * 20_000)
+    assert files.log_counts(spark, str(folder / "a.log")).first().n == (256 * 1024) // len("2024-01-01 00:00:00,1 INFO app.http event=fetch ms=1\n")

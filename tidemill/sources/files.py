@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..functions.text import csv_safe, normalize_text, safe_url
+from .tails import Tails
 
 POST = "title string, body string, url string, region string, published_at string, published_raw string"
 TITLE_CHARS, TEXT_TITLE_CHARS, LEAST_TEXT = 200, 120, 10
@@ -95,8 +96,9 @@ def read_sitemap(spark: SparkSession, path: str, pattern: str = r"-([0-9a-z]+)/?
 
 
 def log_counts(spark: SparkSession, path: str, header: str = r"^(\d{4}-\d{2}-\d{2} [\d:,.]+) (DEBUG|INFO|WARNING|ERROR|CRITICAL) ([\w.]+) (.*)$") -> DataFrame:
-    """Log lines by level, event, outcome, status and latency; lines without a header, such as a first one cut in half, do not count."""
-    lines = spark.read.text(path).where(F.col("value").rlike(header))
+    """Lines at the end of each log file by level, event, outcome, status and latency; lines without a header do not count."""
+    spark.dataSource.register(Tails)
+    lines = spark.read.format("tail").load(path).where(F.col("value").rlike(header))
     message = F.regexp_extract("value", header, 4)
     field = lambda k: F.nullif(F.regexp_extract(message, rf"\b{k}=([\w.-]+)", 1), F.lit(""))
     ms = field("ms").try_cast("double")
