@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import clock, text, web
+from ..functions import clock, text, typed, web
 from ..operators import community, folds, ingest, leads, merge, metrics, notify, paging, relations, windows
 from .proxy import EFFECTIVE, LEADS, NOW, TTL_HOURS, table
 from .proxy import leads as lead_rows
@@ -761,3 +761,25 @@ def board_posts(spark, sf_dir):
     """Every post on the pages that count as read, at its first place."""
     pages = _board_pages(spark, sf_dir)
     return paging.listed(pages, paging.walked(pages)[0]).select("board", "post_id", "page")
+
+
+# --- typed documents ---------------------------------------------------------
+
+#: What stands at ``delivery.state`` of a part's document, by its key; the last is no JSON.
+VALUES = ('"pending"', "17", "2.5", "true", "null", "{}", '["a", "b"]', None, "oops")
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN 'text' WHEN 1 THEN 'number' WHEN 2 THEN 'number' WHEN 3 THEN 'boolean' WHEN 4 THEN 'null' WHEN 5 THEN 'object' WHEN 6 THEN 'array' ELSE 'missing' END AS kind,
+  CASE WHEN p_partkey % 9 = 0 THEN 'pending' END AS state, CASE WHEN p_partkey % 9 = 8 OR p_size > 30 THEN 'unknown' ELSE CAST(p_size AS VARCHAR) END AS size, CASE WHEN p_partkey % 9 = 8 THEN 'unknown' WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END AS flag,
+  p_partkey % 9 < 8 AND p_partkey % 5 = 2 AS landing FROM part""")
+def typed_documents(spark, sf_dir):
+    """Kinds at a path, guarded settings and membership of JSON documents, one for every part."""
+    k = F.col("p_partkey")
+    states = F.array(*[F.lit(None if v is None else f', "delivery": {{"state": {v}}}') for v in VALUES])
+    state = F.coalesce(F.element_at(states, (k % 9 + 1).cast("int")), F.lit(', "delivery": {}'))
+    tags = F.when(k % 5 == 2, F.lit('["shop", "landing"]')).when(k % 5 == 3, F.lit('"landing"')).otherwise(F.lit('["landing page", 1]'))
+    body = F.concat(F.lit('{"size": '), F.col("p_size").cast("string"), F.lit(', "flag": '), (k % 2 == 0).cast("string"), F.lit(', "tags": '), tags, state, F.lit("}"))
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), typed.document(body).alias("doc"))
+    doc = F.col("doc")
+    settings = typed.guarded(doc, {"size": (0, 30)}, ("flag",))
+    return rows.select("id", typed.kind(doc, "$.delivery.state").alias("kind"), typed.text(doc, "$.delivery.state").alias("state"), settings["size"].alias("size"), settings["flag"].alias("flag"), typed.holds(doc, "$.tags", "landing").alias("landing"))
