@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from tidemill.plans import queries as review
-from tidemill.plans import readings, records  # noqa: F401 - they register their queries
+from tidemill.plans import readings, records, texts  # noqa: F401 - they register their queries
 
 SF = "/root/testdata/sf0.001"
 #: Queries that find nothing in the smallest tables.
