@@ -23,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.types import StructType
 
 SCHEMA = "generation bigint, seq bigint, payload string, reset boolean"
-NAME = re.compile(r"(\d+)-(\d+)-(\d+)\.parquet")
+NAME = re.compile(r"(\d+)-(\d+)-(\d+)\.parquet$")
 
 
 def _store(folder: str) -> tuple[Any, str]:
@@ -38,7 +38,7 @@ def stretches(folder: str) -> list[tuple[int, int, int, str]]:
 
     system, place = _store(folder)
     names = [info.path for info in system.get_file_info(fs.FileSelector(place))]
-    found = sorted((*map(int, m.groups()), n) for n in names if (m := NAME.fullmatch(n.rsplit("/", 1)[-1])))
+    found = sorted((*map(int, m.groups()), n) for n in names if (m := NAME.match(n.rsplit("/", 1)[-1])))
     return [x for x in found if x[0] == found[-1][0]]
 
 
