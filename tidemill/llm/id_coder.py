@@ -7,7 +7,7 @@ confidence, and how often every id has been seen (order 0).  Their mixing
 weights adapt for each pair of confidences.  One step of the range coder codes
 which model is right and, where it is order 0, the id by its share of the ids
 so far, or plainly where it is not among them.  Order 0 is counted anew
-whenever a block has grown by an eighth.
+whenever a block has grown by a quarter.
 
 All blocks of a group advance together, one id at a time, each with its own
 state, so a step is a few array operations over the group.  Only integers are
@@ -40,76 +40,89 @@ def _growth(steps: int) -> list[int]:
     at, out = 16, []
     while at < steps:
         out.append(at)
-        at += max(16, at // 8)
+        at += max(16, at // 4)
     return out
 
 
 class _Model:
-    """What order 2 and order 1 say and how far each is believed, for ``lanes`` blocks."""
+    """What order 1 and order 2 say and how far each is believed, for ``lanes`` blocks."""
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
-        self.base = self.lane * _SLOTS
-        self.after = [np.zeros(lanes * _SLOTS, np.int32) for _ in range(2)]  # id * 4 + confidence, by a hash of the ids before
-        self.last = np.zeros(lanes, np.int64)
-        self.at = [self.base, self.base]
-        self.shares = np.tile(_FIRST, (lanes * 32, 1))
+        self.base = self.lane * _SLOTS + np.array([[0], [lanes * _SLOTS]])
+        self.after = np.zeros(2 * lanes * _SLOTS, np.int32)  # id * 4 + confidence, by a hash of the last id, then by one of the last two
+        self.at, self.last = self.base.copy(), np.zeros(lanes, np.int64)
+        self.shares = np.tile(_FIRST.view(np.int64), lanes * 32)  # four parts' starts in one number
         self.mix_base = self.lane * 32
+        self.flat, self.place = np.zeros(4 * lanes + 1, np.int16), self.lane * 4
 
     def predict(self) -> None:
-        self.says = [table[at] for table, at in zip(self.after, self.at, strict=True)]
-        s1, s2 = self.says
-        self.mix = self.mix_base + ((s2 & 3) * 8 + (s1 & 3) * 2 + ((s1 ^ s2) < 4) * ((s1 ^ s2) >= 0))
-        self.share = self.shares[self.mix]
+        self.says = self.after.take(self.at)
+        self.sure = self.says & 3
+        one, two = self.says
+        self.mix = self.mix_base + (self.sure[1] * 8 + self.sure[0] * 2 + ((one ^ two) >> 2 == 0))
+        self.flat[:-1] = self.shares.take(self.mix).view(np.int16)
 
     def part(self, case: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of the case's part of the range."""
-        flat, place = self.share.ravel(), self.lane * 4 + case
-        start = flat[place]
+        place = self.place + case
+        start = self.flat.take(place)
         # The part after the last would begin where the next block's first does, at 0, which is the total.
-        size = (np.append(flat, np.int16(0))[place + 1] - start) & np.int16(_TOTAL - 1)
+        size = (self.flat.take(place + 1) - start) & np.int16(_TOTAL - 1)
         return start.astype(np.uint64), size.astype(np.uint64)
 
-    def learn(self, ids: np.ndarray, case: np.ndarray) -> None:
-        share = self.share
-        share += (_PULL[case] - share) >> _RATE
-        self.shares[self.mix] = share
-        for table, at, says in zip(self.after, self.at, self.says, strict=True):
-            sure = says & 3
-            right = (says >> 2) == ids
-            up, down = says + (sure < 3), np.where(sure > 1, (says & ~3) | (sure >> 1), ids << 2)
-            table[at] = np.where(right, up, down)
+    def learn(self, ids: np.ndarray, case: np.ndarray, right: np.ndarray) -> None:
+        """``right``: whether order 1 and order 2 said these ids."""
+        share = self.flat[:-1]
+        share += (_PULL64.take(case).view(np.int16) - share) >> _RATE
+        self.shares[self.mix] = share.view(np.int64)
+        says, sure = self.says, self.sure
+        self.after[self.at] = np.where(right, says + (sure < 3), np.where(sure > 1, says - sure + 1, ids << 2))
         # Contexts are only hashed: a clash costs bits, never an id.
-        self.at = [self.base + ((ids * 40503) >> 5 & (_SLOTS - 1)), self.base + ((ids * 40503 + self.last * 30011) >> 5 & (_SLOTS - 1))]
-        self.last = ids
+        mixed = ids * 40503
+        np.bitwise_and(mixed >> 5, _SLOTS - 1, out=self.at[0])
+        np.bitwise_and((mixed + self.last * 30011) >> 5, _SLOTS - 1, out=self.at[1])
+        self.at += self.base
+        self.last = ids.astype(np.int64)
+
+
+_PULL64 = _PULL.view(np.int64).ravel()
 
 
 class _Order0:
-    """Ids seen so far in order, each block's in its row, and where each id's run of equals begins and how long it is."""
+    """How often every block has seen every id so far."""
 
     def __init__(self, lanes: int):
         self.lanes, self.total = lanes, 0
 
     def count(self, seen: np.ndarray) -> None:
-        """``seen``: lanes by ids."""
+        """``seen``: lanes by ids.  ``keys`` are each block's ids in order, beside the beginning and the length of their runs of equals."""
         self.total = seen.shape[1]
-        ordered = np.sort(seen, axis=1, kind="stable")
-        edge = np.ones(ordered.shape, bool)
-        edge[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
-        begins = np.flatnonzero(edge)
-        sizes = np.diff(np.append(begins, edge.size))
-        self.ids, self.start, self.size = ordered.ravel(), np.repeat((begins % self.total).astype(np.int16), sizes), np.repeat(sizes.astype(np.int16), sizes)
-        self.keys, self.begins, self.sizes = (begins // self.total << 16) | self.ids[begins], begins % self.total, sizes
-
-    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of the runs of ``ids`` (steps by lanes); size 0 where an id was not seen."""
+        self.ids = np.sort(seen, axis=1, kind="stable").ravel()
+        edge = np.ones(self.ids.size, bool)
+        edge[1:] = self.ids[1:] != self.ids[:-1]
+        edge[:: self.total] = True
+        at = np.flatnonzero(edge).astype(np.int32)
+        self.sizes = np.diff(at, append=np.int32(edge.size))
+        lane, self.begins = np.divmod(at, np.int32(self.total))
+        self.keys = (lane << 16) | self.ids[at]
+
+    def spread(self) -> np.ndarray:
+        """For every place of every block's ids in order the beginning and the length of its run, in one number."""
+        return np.repeat(self.begins << 16 | self.sizes, self.sizes)
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, size and total of the parts of ``ids`` (steps by lanes): their runs, or their own number where they were not seen."""
+        own = ids.astype(np.uint64)
+        plain = own, np.ones(ids.shape, np.uint64), np.full(ids.shape, 1 << 16, np.uint64)
         if not self.total:
-            return np.zeros(ids.shape, np.uint64), np.zeros(ids.shape, np.uint64)
-        keys = (np.arange(self.lanes) << 16 | ids).T
-        at = np.minimum(np.searchsorted(self.keys, keys.ravel()), len(self.keys) - 1)
-        found = self.keys[at] == keys.ravel()
-        shape = keys.shape
-        return np.ascontiguousarray(self.begins[at].reshape(shape).T).astype(np.uint64), np.ascontiguousarray((self.sizes[at] * found).reshape(shape).T).astype(np.uint64)
+            return plain
+        keys = (np.arange(self.lanes, dtype=np.int32) << 16 | ids).T.ravel()
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        shape = (self.lanes, len(ids))
+        found = (self.keys.take(at) == keys).reshape(shape).T
+        runs = [x.take(at).reshape(shape).T for x in (self.begins, self.sizes)]
+        return np.where(found, runs[0], own).astype(np.uint64), np.where(found, runs[1], 1).astype(np.uint64), np.where(found, np.uint64(self.total), plain[2])
 
 
 class _Encoder:
@@ -152,24 +165,25 @@ class _Encoder:
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """The codes of the rows of ``ids``, whose ids are below 2**16."""
+    ids = np.ascontiguousarray(ids, np.uint16)
     lanes, steps = ids.shape
     model, order0, out = _Model(lanes), _Order0(lanes), _Encoder(lanes, steps)
     rows = np.ascontiguousarray(ids.T).astype(np.int32)
-    plain = np.uint64(1 << 16)
+    none, one = np.uint64(0), np.uint64(1)
     for begin, end in _stretches(steps):
-        order0.count(ids[:, :begin]) if begin else None
-        starts, sizes = order0.find(rows[begin:end])
+        if begin:
+            order0.count(ids[:, :begin])
+        starts, sizes, totals = order0.find(rows[begin:end])
+        seen = totals < 1 << 16
         for t in range(begin, end):
-            now = rows[t]
+            now, k = rows[t], t - begin
             model.predict()
-            right1, right2, seen = (model.says[0] >> 2) == now, (model.says[1] >> 2) == now, sizes[t - begin] > 0
-            case = np.where(right2, 0, np.where(right1, 1, 3 - seen))
-            known, new = case == 2, case == 3
+            right = model.says >> 2 == now
+            said = right[0] | right[1]
+            case = np.where(right[1], 0, np.where(right[0], 1, 3 - seen[k]))
             start, size = model.part(case)
-            at = np.where(known, starts[t - begin], np.where(new, now, 0).astype(np.uint64))
-            of = np.where(known, sizes[t - begin], np.uint64(1))
-            out.code(start, size, at, of, np.where(known, np.uint64(order0.total), np.where(new, plain, np.uint64(1))))
-            model.learn(now, case)
+            out.code(start, size, np.where(said, none, starts[k]), np.where(said, one, sizes[k]), np.where(said, one, totals[k]))
+            model.learn(now, case, right)
             if t % 64 == 0:
                 out.grow()
     return out.finish()
@@ -195,27 +209,34 @@ def decode_blocks(payloads: list[bytes], steps: int) -> np.ndarray:
     out = np.zeros((steps, lanes), np.uint16)
     plain = np.uint64(1 << 16)
     for begin, end in _stretches(steps):
-        order0.count(np.ascontiguousarray(out[:begin].T)) if begin else None
-        order_base = np.arange(lanes) * order0.total
+        if begin:
+            order0.count(np.ascontiguousarray(out[:begin].T))
+            runs = order0.spread()
+        order_base, total = np.arange(lanes) * order0.total, np.uint64(max(1, order0.total))
         for t in range(begin, end):
             model.predict()
             unit = span >> np.uint64(_BITS)
-            place = (value // unit).astype(np.int32)
-            share = model.share
-            case = (place >= share[:, 1]).astype(np.int64) + (place >= share[:, 2]) + (place >= share[:, 3])
+            place = value // unit
+            case = (place >= model.flat[1:-1:4]).astype(np.int64) + (place >= model.flat[2:-1:4]) + (place >= model.flat[3:-1:4])
             start, size = model.part(case)
-            known, new = case == 2, case == 3
+            known, new = np.flatnonzero(case == 2), np.flatnonzero(case == 3)
             value -= unit * start
-            inner = unit * size // np.where(known, np.uint64(max(1, order0.total)), np.where(new, plain, np.uint64(1)))
-            now = np.where(case == 0, model.says[1] >> 2, model.says[0] >> 2)
-            at, of = np.zeros(lanes, np.uint64), np.ones(lanes, np.uint64)
-            if len(k := np.flatnonzero(known)):
-                place = order_base[k] + np.minimum(value[k] // inner[k], np.uint64(order0.total - 1)).astype(np.int64)
-                now[k], at[k], of[k] = order0.ids[place], order0.start[place], order0.size[place]
-            if len(k := np.flatnonzero(new)):
-                at[k] = now[k] = np.minimum(value[k] // inner[k], plain - np.uint64(1))
-            value -= inner * at
-            span = inner * of
+            inner = unit * size
+            now = np.where(case == 0, model.says[1], model.says[0]) >> 2
+            span = inner
+            if len(known):
+                part = inner[known] // total
+                place = order_base[known] + np.minimum(value[known] // part, total - np.uint64(1)).astype(np.int64)
+                run = runs[place]
+                now[known] = order0.ids[place]
+                value[known] -= part * (run >> 16).astype(np.uint64)
+                span[known] = part * (run & 0xFFFF).astype(np.uint64)
+            if len(new):
+                part = inner[new] >> _WORD
+                own = np.minimum(value[new] // part, plain - np.uint64(1))
+                now[new] = own
+                value[new] -= part * own
+                span[new] = part
             short = np.flatnonzero(span < _TOP)
             while len(short):
                 where = taken[short]
@@ -225,7 +246,7 @@ def decode_blocks(payloads: list[bytes], steps: int) -> np.ndarray:
                 span[short] = more
                 short = short[more < _TOP]
             out[t] = now
-            model.learn(now, case)
+            model.learn(now, case, model.says >> 2 == now)
     return np.ascontiguousarray(out.T)
 
 

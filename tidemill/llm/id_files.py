@@ -162,7 +162,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, place = _open(folder)
         files.create_dir(place, recursive=True)
-        part, tokens = TaskContext.get().partitionId(), byte_units(path)
+        part, tokens = TaskContext.get().partitionId(), byte_units(path, most=700_000)
         made, writer, name, first = [], None, "", 0
         for batch in batches:
             at = 0

@@ -51,10 +51,14 @@ class Units(dict):
             new = self.encode(self.waiting)
             self.lens = np.concatenate([self.lens, np.fromiter(map(len, new), np.int64, len(new))])
             self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(new), np.uint32)])
-            spell = self.spelt.__getitem__
-            self.exact = np.concatenate([self.exact, [b"".join(map(spell, ids)) == word.encode() for word, ids in zip(self.waiting, new, strict=True)]])
+            self.exact = np.concatenate([self.exact, self.spells(self.waiting, new)])
         self.waiting = []
 
+    def spells(self, words: list[str], ids: list[list[int]]) -> np.ndarray:
+        """Which words their tokens spell byte for byte."""
+        spell = self.spelt.__getitem__
+        return np.array([b"".join(map(spell, x)) == word.encode() for word, x in zip(words, ids, strict=True)], bool)
+
     def batch(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids of the texts, the number of each text's ids, and whether its tokens spell it exactly."""
         if len(self) > self.most:
@@ -98,6 +102,10 @@ class ByteUnits(Units):
             return _LATIN_WORDS.findall(text)
         return [w for unit in _UNITS.findall(text) for w in ([unit] if _NOT_LATIN.search(unit) else _LATIN_WORDS.findall(unit))]
 
+    def spells(self, words: list[str], ids: list[list[int]]) -> np.ndarray:
+        """All: every byte has a token of its own."""
+        return np.ones(len(words), bool)
+
     def encode(self, words: list[str]) -> list[list[int]]:
         tokenize, spelling, out = self.tokenizer.model.tokenize, self.spelling, []
         for word in words:
@@ -136,8 +144,8 @@ class PieceUnits(Units):
 
 
 @functools.lru_cache(maxsize=4)
-def byte_units(path: str, lead: str = "") -> ByteUnits:
-    return ByteUnits(path, lead)
+def byte_units(path: str, lead: str = "", most: int = 300_000) -> ByteUnits:
+    return ByteUnits(path, lead, most)
 
 
 @functools.lru_cache(maxsize=2)
