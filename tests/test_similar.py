@@ -79,3 +79,29 @@ def test_candidate_links_against_brute_force(spark):
     assert {(r.id, r.other) for r in members.collect()} == {(i, first[key(t), b or ""]) for i, t, b in rows if first[key(t), b or ""] != i}
     want = {(min(i, j), max(i, j)): jaccard(grams(a), grams(b)) for ((k, a), i), ((m, b), j) in itertools.combinations(first.items(), 2) if k == m and jaccard(grams(a), grams(b)) >= 0.6}
     assert {(r.low, r.high): r.similarity for r in links.collect()} == pytest.approx(want) and len(want) > 400
+
+
+@pytest.mark.parametrize("places", [0, 1 << 40])
+def test_pairs_by_lists_and_by_products(spark, monkeypatch, places):
+    """Keys of many blocks, once by the lists of their elements and once by products of blocks, sizes from 1 to 90."""
+    monkeypatch.setattr(similar, "BLOCK", 4)
+    monkeypatch.setattr(similar, "WIDTH", 16)
+    monkeypatch.setattr(similar, "PLACES", places)
+    rng = random.Random(8)
+    rows = [("k", i, sorted(rng.sample(range(100), min(90, int(1.06 ** (i + 1)) + 1)))) for i in range(80)]
+    rows += [("k", 100 + i, sorted({*e, -7, 1 << 62})) for _, i, e in rows[::3]]
+    for least in (0.5, 0.6):
+        got = {(r.low, r.high): r.similarity for r in similar.similar_pairs(spark.createDataFrame(rows, "key string, id long, elements array<bigint>"), least).collect()}
+        want = {(i, j): s for (_, i, a), (_, j, b) in itertools.combinations(rows, 2) if (s := jaccard(set(a), set(b))) >= least}
+        assert got == pytest.approx(want) and len(want) > 30
+
+
+def test_alike_sets_store_no_pairs(spark, monkeypatch):
+    """Sets that have much in common, few of them enough: what is stored between steps grows with the sets, not with their pairs."""
+    stored = []
+    keep = similar.settled
+    monkeypatch.setattr(similar, "settled", lambda df: (out := keep(df), stored.append(out.count()))[0])
+    rng = random.Random(9)
+    rows = [("k", i, sorted(rng.sample(range(0, 3_000_000, 1000), 1800))) for i in range(120)]
+    assert similar.similar_pairs(spark.createDataFrame(rows, "key string, id long, elements array<bigint>"), 0.6).count() == 0
+    assert sum(stored) < 3 * 120
