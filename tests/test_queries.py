@@ -45,3 +45,16 @@ def test_query_against_oracle(spark, duck, name):
 
 def test_masking_leaves_no_address(spark):
     assert review.QUERIES["masked_documents"](spark, SF).where("masked rlike '[a-z0-9]+@[a-z0-9]+[.]com'").count() == 0
+
+
+def test_page_contents_of_cut_pages(spark, tmp_path):
+    """References that are cut off at the end of a title, ones without their end, and such inside addresses and scripts."""
+    titles = ["a &amp; b &amp", "x&lt", "q&quot", "it&#x27", "it&#x2", "&amp;amp;", "&amp;lt", "AT&T", "a &lt;b&gt; &quot;c&quot; &#x27;d&#x27;", "&ampx; &copy 1", "&"]
+    html = [f'<html><head><title>{t}</title><script>if (a && b) c &amp= 1</script></head><body><h1 class="t"> {t} </h1><a href="/p?a=1&amp=2&b=3">n</a></body></html>' for t in titles]
+    spark.createDataFrame([(k, "https://p.example/x", h) for k, h in enumerate(html)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(review.SQL["page_contents"])
+    expected = rows([c[0] for c in want.description], want.fetchall())
+    got = review.QUERIES["page_contents"](spark, str(tmp_path))
+    assert rows(got.columns, got.collect()) == expected

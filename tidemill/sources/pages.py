@@ -149,6 +149,15 @@ def read_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
     return pages.mapInArrow(run, shape)
 
 
+def only_escaped(markup: Column) -> Column:
+    """Markup whose only character references are the five that escaping writes, whole; any other ``&`` is text.
+
+    For pages made by escaping texts and cutting them, where ``&amp`` without
+    its end is what was left of the text and no ``&``.
+    """
+    return F.regexp_replace(markup, "&(?!(?:lt|gt|quot|#x27|amp);)", "&amp;")
+
+
 def html_text(fragment: Column) -> Column:
     """Plain text of a fragment of markup; batches travel as Arrow."""
     return F.udf(lambda x: None if x is None else read_page(f"<div>{x}</div>", None)["text"], "string", useArrow=True)(fragment)
