@@ -102,3 +102,20 @@ def test_models_without_labels(spark, docs, empty):
         got = quality_crf.score(docs, quality_crf.train(named, labels))
         assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.collect())
     assert toxicity.score(empty, toxicity.train(named, none)).count() == 0
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """More rows than a sample would hold: language words are counted in all, and what only later rounds show is learned."""
+    rows = [(k, " ".join((f"w{k % 50}", f"x{k % 37}", "vile" if k % 8 == 0 else "mild", "fine")), ("en", "de", None)[k % 3]) for k in range(9000)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string")
+    seen, fit = [], toxicity._averaged
+    monkeypatch.setattr(toxicity, "_averaged", lambda part, *more: (seen.append({r.id for r in part.select("id").collect()}), fit(part, *more))[1], raising=False)
+    m = toxicity.train(docs, docs.select("id", (F.col("id") % 8 == 0).cast("int").alias("label")))
+    counts = np.full((toxicity.LANG_BUCKETS, 2), 0.5)
+    for _, text, lang in rows:
+        if lang:
+            np.add.at(counts, ([toxicity.zlib.crc32(w.encode()) % toxicity.LANG_BUCKETS for w in set(toxicity.split_words(text))], m.languages.index(lang)), 1)
+    assert np.allclose(m.language_weights, np.log(counts / counts.sum(axis=0)))
+    assert len(seen) == 4 and sum(map(len, seen)) == len(set().union(*seen)) and 7000 < len(set().union(*seen)) < 7400
+    got = toxicity.score(docs, m, id_col="id").toPandas()
+    assert (got["predicted"] == (got["doc_id"] % 8 == 0)).all()
