@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.llm import align, fill_middle, id_coder, id_files
+from tidemill.llm import align, fill_middle, id_coder, id_files, unit_tokens
 from tidemill.llm.queries import op11_token_id_output, op12_cross_tokenizer_alignment, op13_fill_in_middle
 from tidemill.llm.unit_tokens import byte_units, piece_units, vocabulary
 
@@ -40,6 +40,20 @@ def test_words_give_the_ids_of_whole_texts(doc_rows):
     assert all(units.batch([t])[0].tolist() == whole(t)[1] for t in texts[:40])
 
 
+def test_words_cut_at_once_are_those_of_the_splitting_rule():
+    rng = np.random.default_rng(4)
+    signs = ["'", "s", "t", "re", "ve", "m", "ll", "d", " ", "  ", "\n", "\t", "a", "É", "1", "²", "!", "\xa0", "-", "’", "\x85", "\x1c", "_", "€"]
+    odd = ["".join(rng.choice(signs, n)) for n in rng.integers(0, 10, 5000)] + STRANGE + ["'", "'s", "x'", "s", "", "'r", "e"]
+    latin = [t for t in odd if not unit_tokens._NOT_LATIN.search(t)]
+    for some in (latin, [""], []):
+        words, counts = unit_tokens.latin_words(some)
+        want = [unit_tokens._LATIN_WORDS.findall(t) for t in some]
+        assert [w.decode("utf-16-le") for w in words.to_pylist()] == [w for x in want for w in x] and counts.tolist() == [len(x) for x in want]
+    units = byte_units(vocabulary("byte_bpe_50k.json"))
+    for some in (odd, ["日本", "", "a 日本"], [""], []):
+        assert all((a == b).all() for a, b in zip(units.bulk(some), units.batch(some)[:2], strict=True))
+
+
 def brute_alignment(text):
     """Groups and links of one text, token by token."""
     if not text:

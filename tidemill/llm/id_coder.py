@@ -7,7 +7,7 @@ confidence, and how often every id has been seen (order 0).  Their mixing
 weights adapt for each pair of confidences.  One step of the range coder codes
 which model is right and, where it is order 0, the id by its share of the ids
 so far, or plainly where it is not among them.  Order 0 is counted anew
-whenever a block has grown by a quarter.
+whenever a block has grown by a half.
 
 All blocks of a group advance together, one id at a time, each with its own
 state, so a step is a few array operations over the group.  Only integers are
@@ -28,7 +28,8 @@ LANES = 2048
 _BITS = 15
 _TOTAL = 1 << _BITS
 _RATE = 4
-_TOP, _LOW, _WORD = np.uint64(1 << 32), np.uint64(0xFFFFFFFF), np.uint64(16)
+#: A range is at most 2**63 and never stays below _TOP: a word of 32 bits leaves at a time, and one bit is left for carries.
+_TOP, _LOW, _HELD, _WORD, _PLAIN = np.uint64(1 << 31), np.uint64((1 << 31) - 1), np.uint64(31), np.uint64(32), np.uint64(16)
 _SLOTS = 1 << 11
 #: Where the parts of order 2, order 1, order 0 and plain ids begin: after a long run of one of them, and at first.
 _PULL = np.array([[0 if k == 0 else k * 64 if k <= case else _TOTAL - (4 - k) * 64 for k in range(4)] for case in range(4)], np.int16)
@@ -40,7 +41,7 @@ def _growth(steps: int) -> list[int]:
     at, out = 16, []
     while at < steps:
         out.append(at)
-        at += max(16, at // 4)
+        at += max(16, at // 2)
     return out
 
 
@@ -90,45 +91,63 @@ _PULL64 = _PULL.view(np.int64).ravel()
 
 
 class _Order0:
-    """How often every block has seen every id so far."""
+    """Every block's ids so far in order, for the decoder."""
 
     def __init__(self, lanes: int):
         self.lanes, self.total = lanes, 0
 
     def count(self, seen: np.ndarray) -> None:
-        """``seen``: lanes by ids.  ``keys`` are each block's ids in order, beside the beginning and the length of their runs of equals."""
+        """``seen``: lanes by ids.  ``runs`` has for every place of a block's ids in order the beginning and the length of its run of equals, in one number."""
         self.total = seen.shape[1]
         self.ids = np.sort(seen, axis=1, kind="stable").ravel()
         edge = np.ones(self.ids.size, bool)
         edge[1:] = self.ids[1:] != self.ids[:-1]
         edge[:: self.total] = True
         at = np.flatnonzero(edge).astype(np.int32)
-        self.sizes = np.diff(at, append=np.int32(edge.size))
-        lane, self.begins = np.divmod(at, np.int32(self.total))
-        self.keys = (lane << 16) | self.ids[at]
-
-    def spread(self) -> np.ndarray:
-        """For every place of every block's ids in order the beginning and the length of its run, in one number."""
-        return np.repeat(self.begins << 16 | self.sizes, self.sizes)
-
-    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, size and total of the parts of ``ids`` (steps by lanes): their runs, or their own number where they were not seen."""
-        own = ids.astype(np.uint64)
-        plain = own, np.ones(ids.shape, np.uint64), np.full(ids.shape, 1 << 16, np.uint64)
-        if not self.total:
-            return plain
-        keys = (np.arange(self.lanes, dtype=np.int32) << 16 | ids).T.ravel()
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        shape = (self.lanes, len(ids))
-        found = (self.keys.take(at) == keys).reshape(shape).T
-        runs = [x.take(at).reshape(shape).T for x in (self.begins, self.sizes)]
-        return np.where(found, runs[0], own).astype(np.uint64), np.where(found, runs[1], 1).astype(np.uint64), np.where(found, np.uint64(self.total), plain[2])
+        sizes = np.diff(at, append=np.int32(edge.size))
+        self.runs = np.repeat(at % np.int32(self.total) << 16 | sizes, sizes)
+
+
+class _Counts:
+    """How often every block has seen every id so far, for the encoder, which can number a block's ids beforehand."""
+
+    def __init__(self, ids: np.ndarray):
+        lanes, steps = ids.shape
+        self.ids, self.dense, self.total = ids, np.zeros(ids.shape, np.int32), 0
+        places = max(1, steps - 1).bit_length()
+        kind = np.uint32 if places <= 16 else np.uint64
+        for lo in range(0, lanes, 256):
+            ranked = np.sort(ids[lo : lo + 256].astype(kind) << kind(places) | np.arange(steps, dtype=kind), axis=1)
+            order, ranked = (ranked & kind((1 << places) - 1)).astype(np.int64), ranked >> kind(places)
+            number = np.zeros(ranked.shape, np.int32)
+            np.cumsum(ranked[:, 1:] != ranked[:, :-1], axis=1, out=number[:, 1:])
+            self.dense[np.arange(lo, lo + len(order))[:, None], order] = number
+        width = int(self.dense.max(initial=0)) + 1
+        self.dense += np.arange(lanes, dtype=np.int32)[:, None] * width
+        self.dense = np.ascontiguousarray(self.dense.T)
+        self.sizes = np.zeros((lanes, width), np.int64)
+
+    def count(self, begin: int) -> None:
+        """From now on the ids before ``begin`` count."""
+        self.sizes += np.bincount(self.dense[self.total : begin].ravel(), minlength=self.sizes.size).reshape(self.sizes.shape)
+        self.before = (np.cumsum(self.sizes, axis=1) - self.sizes).astype(np.uint64)
+        self.total = begin
+
+    def find(self, ids: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, size and total of the parts of ``ids`` (steps by lanes, the first at ``begin``): their runs, or their own number where they were not seen."""
+        at = self.dense[begin : begin + len(ids)]
+        size = self.sizes.view(np.uint64).take(at)
+        new = size == 0
+        start, total = self.before.take(at), np.full(at.shape, self.total, np.uint64)
+        np.copyto(start, ids, where=new, casting="unsafe")
+        size[new], total[new] = 1, 1 << 16
+        return start, size, total
 
 
 class _Encoder:
     def __init__(self, lanes: int, ids: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
-        self.words, self.count, self.room = np.zeros((lanes, ids + 256), np.uint32), np.zeros(lanes, np.int64), ids
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 63, np.uint64)
+        self.words, self.count, self.room = np.zeros((lanes, ids // 2 + 256), np.uint64), np.zeros(lanes, np.int64), ids // 2
 
     def code(self, start: np.ndarray, size: np.ndarray, at: np.ndarray, of: np.ndarray, total: np.ndarray) -> None:
         """Narrow every range to the part ``start, size``, and that to ``at, of`` in ``total``."""
@@ -136,15 +155,15 @@ class _Encoder:
         inner = unit * size // total
         self.low += unit * start + inner * at
         self.range = inner * of
+        # A step takes fewer than 32 bits, so that one word is enough.
         short = np.flatnonzero(self.range < _TOP)
-        while len(short):
+        if len(short):
             low = self.low[short]
-            self.words[short, self.count[short]] = low >> np.uint64(32)
-            self.count[short] += 1
+            count = self.count[short]
+            self.words[short, count] = low >> _HELD
+            self.count[short] = count + 1
             self.low[short] = (low & _LOW) << _WORD
-            span = self.range[short] << _WORD
-            self.range[short] = span
-            short = short[span < _TOP]
+            self.range[short] <<= _WORD
 
     def grow(self) -> None:
         """Room for the words of 64 more steps."""
@@ -155,11 +174,11 @@ class _Encoder:
     def finish(self) -> list[bytes]:
         """Every block's bytes: one last word within its range, carries added upwards, zeros at the end left out."""
         lane = np.arange(len(self.low))
-        self.words[lane, self.count] = (self.low + _LOW) >> np.uint64(32)
-        while (over := self.words >> np.uint32(16)).any():
-            self.words &= np.uint32(0xFFFF)
+        self.words[lane, self.count] = (self.low + _LOW) >> _HELD
+        while (over := self.words >> _WORD).any():
+            self.words &= np.uint64(0xFFFFFFFF)
             self.words[:, :-1] += over[:, 1:]
-        data = self.words.astype(">u2")
+        data = self.words.astype(">u4")
         return [data[k, : n + 1].tobytes().rstrip(b"\0") for k, n in enumerate(self.count.tolist())]
 
 
@@ -167,16 +186,16 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """The codes of the rows of ``ids``, whose ids are below 2**16."""
     ids = np.ascontiguousarray(ids, np.uint16)
     lanes, steps = ids.shape
-    model, order0, out = _Model(lanes), _Order0(lanes), _Encoder(lanes, steps)
+    model, order0, out = _Model(lanes), _Counts(ids), _Encoder(lanes, steps)
     rows = np.ascontiguousarray(ids.T).astype(np.int32)
     none, one = np.uint64(0), np.uint64(1)
     for begin, end in _stretches(steps):
-        if begin:
-            order0.count(ids[:, :begin])
-        starts, sizes, totals = order0.find(rows[begin:end])
-        seen = totals < 1 << 16
+        order0.count(begin)
         for t in range(begin, end):
-            now, k = rows[t], t - begin
+            now, k = rows[t], (t - begin) % 64
+            if k == 0:
+                starts, sizes, totals = order0.find(rows[t : min(t + 64, end)], t)
+                seen = totals < 1 << 16
             model.predict()
             right = model.says >> 2 == now
             said = right[0] | right[1]
@@ -199,19 +218,22 @@ def decode_blocks(payloads: list[bytes], steps: int) -> np.ndarray:
     """The ids of blocks that were coded together, a row each."""
     lanes = len(payloads)
     model, order0 = _Model(lanes), _Order0(lanes)
-    width = max(map(len, payloads), default=0) // 2 + 8
-    words = np.zeros((lanes, width), np.uint16)
+    width = max(map(len, payloads), default=0) // 4 + 4
+    words = np.zeros((lanes, width), np.uint64)
     for k, p in enumerate(payloads):
-        words[k, : (len(p) + 1) // 2] = np.frombuffer(p + b"\0" * (len(p) % 2), ">u2")
-    words, word_base = words.ravel(), np.arange(lanes) * width
-    value = sum(words[word_base + k].astype(np.uint64) << np.uint64(32 - 16 * k) for k in range(3))
-    span, taken = np.full(lanes, 1 << 48, np.uint64), np.full(lanes, 3)
+        words[k, : (len(p) + 3) // 4] = np.frombuffer(p + b"\0" * (-len(p) % 4), ">u4")
+    value = words[:, 0] << _HELD | words[:, 1] >> np.uint64(1)
+    # The first 63 bits are taken; the others come in words that begin one bit early.
+    words[:, 1:-1] = (words[:, 1:-1] & np.uint64(1)) << _HELD | words[:, 2:] >> np.uint64(1)
+    words[:, -1] = 0
+    words, taken = words.ravel(), np.arange(lanes) * width + 1
+    ends = taken + (width - 2)
+    span = np.full(lanes, 1 << 63, np.uint64)
     out = np.zeros((steps, lanes), np.uint16)
     plain = np.uint64(1 << 16)
     for begin, end in _stretches(steps):
         if begin:
             order0.count(np.ascontiguousarray(out[:begin].T))
-            runs = order0.spread()
         order_base, total = np.arange(lanes) * order0.total, np.uint64(max(1, order0.total))
         for t in range(begin, end):
             model.predict()
@@ -227,24 +249,22 @@ def decode_blocks(payloads: list[bytes], steps: int) -> np.ndarray:
             if len(known):
                 part = inner[known] // total
                 place = order_base[known] + np.minimum(value[known] // part, total - np.uint64(1)).astype(np.int64)
-                run = runs[place]
+                run = order0.runs[place]
                 now[known] = order0.ids[place]
                 value[known] -= part * (run >> 16).astype(np.uint64)
                 span[known] = part * (run & 0xFFFF).astype(np.uint64)
             if len(new):
-                part = inner[new] >> _WORD
+                part = inner[new] >> _PLAIN
                 own = np.minimum(value[new] // part, plain - np.uint64(1))
                 now[new] = own
                 value[new] -= part * own
                 span[new] = part
             short = np.flatnonzero(span < _TOP)
-            while len(short):
+            if len(short):
                 where = taken[short]
-                value[short] = (value[short] << _WORD) | words[word_base[short] + np.minimum(where, width - 1)]
-                taken[short] = where + 1
-                more = span[short] << _WORD
-                span[short] = more
-                short = short[more < _TOP]
+                value[short] = (value[short] << _WORD) | words[where]
+                taken[short] = np.minimum(where + 1, ends[short])
+                span[short] <<= _WORD
             out[t] = now
             model.learn(now, case, model.says >> 2 == now)
     return np.ascontiguousarray(out.T)

@@ -167,7 +167,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
         for batch in batches:
             at = 0
             for some in in_parts(texts(batch.column(1)), 2000, 4 << 20):
-                ids, counts, _ = tokens.batch(some)
+                ids, counts = tokens.bulk(some)
                 edges = np.concatenate([[0], np.cumsum(counts)])
                 for k in range(len(some)):
                     if writer is None:

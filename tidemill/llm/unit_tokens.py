@@ -14,6 +14,7 @@ from array import array
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 
 # Fixed value: white space but for the space itself.
 _WS = "\t-\r\x85\xa0  -     　"
@@ -25,6 +26,39 @@ _NOT_LATIN = re.compile("[^\x00-ɏ‐-‧‰-⁞€]")
 _UNITS = re.compile(f" ?[^ {_WS}]+|[ {_WS}]+(?![^ {_WS}])|[ {_WS}]")
 
 
+# The kind of every character of such texts: 0 space, 1 other white space, 2 letter, 3 digit, 4 sign.
+_KINDS = np.array([0 if c == 32 else next((k for k, x in ((1, _WS), (2, _L), (3, _N)) if re.match(f"[{x}]", chr(c))), 4) for c in range(0x2100)], np.uint8)
+
+
+def latin_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words that ``_LATIN_WORDS`` finds in texts of its letters, in UTF-16, and how many each text has; all texts at once."""
+    chars = np.frombuffer("".join(texts).encode("utf-16-le"), np.uint16)
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in texts], dtype=np.int64)])
+    edge = np.zeros(len(chars) + 4, bool)
+    edge[edges] = True
+    kind = _KINDS[chars]
+    white = kind < 2
+    run = np.maximum(kind, 1)
+    starts = edge[: len(chars)].copy()
+    starts[1:] |= run[1:] != run[:-1]
+    # A word begins with the space before it; of a longer run of white space only the last goes apart.
+    ahead = starts[1:] & ~white[1:] & ~edge[1 : len(chars)]
+    starts[1:] &= ~(ahead & (kind[:-1] == 0))
+    starts[:-1] |= ahead & white[:-1]
+    quote = np.flatnonzero(chars == ord("'"))
+    quote = quote[starts[quote] & ~edge[quote + 1]]
+    if len(quote):
+        padded = np.append(chars, np.zeros(2, np.uint16))
+        one, two = padded[quote + 1], np.where(edge[quote + 2], 0, padded[np.minimum(quote + 2, len(chars))])
+        ends = [quote[np.isin(one, [ord(c) for c in "stmd"])] + 2, *(quote[(one == ord(a)) & (two == ord(b))] + 3 for a, b in ("re", "ve", "ll"))]
+        for size, end in zip((2, 3, 3, 3), ends, strict=True):
+            starts[end - size + 1] = False
+            starts[end[end < len(chars)]] = True
+    at = np.flatnonzero(starts)
+    words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(chars)) * 2), pa.py_buffer(chars)])
+    return words, np.diff(np.searchsorted(at, edges))
+
+
 class Units(dict):
     """Numbers of words; ``flat[starts[k] : starts[k] + lens[k]]`` are the ids of word ``k``.  About ``most`` are remembered at a time."""
 
@@ -68,8 +102,12 @@ class Units(dict):
             words = self.words(text)
             numbers.extend(map(self.__getitem__, words))
             counts.append(len(words))
+        return self.spelled(np.array(numbers, np.int64), counts)
+
+    def spelled(self, at: np.ndarray, counts: list[int] | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What ``batch`` returns, by the numbers of all words and how many each text has."""
         self.learn()
-        at, starts = np.array(numbers, np.int64), np.cumsum(self.lens) - self.lens
+        starts = np.cumsum(self.lens) - self.lens
         lens = self.lens[at]
         ends = np.cumsum(lens)
         place = np.repeat(starts[at] - (ends - lens), lens) + np.arange(int(lens.sum()))
@@ -102,6 +140,26 @@ class ByteUnits(Units):
             return _LATIN_WORDS.findall(text)
         return [w for unit in _UNITS.findall(text) for w in ([unit] if _NOT_LATIN.search(unit) else _LATIN_WORDS.findall(unit))]
 
+    def bulk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The first two of ``batch``; texts of Latin letters are cut all at once, and each of their words is looked up once."""
+        if len(self) > self.most:
+            self.forget()
+        texts = [self.lead + x for x in texts]
+        others = [k for k, x in enumerate(texts) if not x.isascii() and _NOT_LATIN.search(x)]
+        apart = set(others)
+        words, counts = latin_words(["" if k in apart else x for k, x in enumerate(texts)])
+        words = words.dictionary_encode()
+        _, ends, chars = words.dictionary.buffers()
+        different = chars.to_pybytes().decode("utf-16-le") if len(words.dictionary) else ""
+        ends = (np.frombuffer(ends, np.int64, len(words.dictionary) + 1) // 2).tolist() if different else []
+        numbers = np.array([self[different[a:b]] for a, b in itertools.pairwise(ends)], np.int64)[words.indices.to_numpy()]
+        if others:
+            own = [np.array([self[w] for w in self.words(texts[k][len(self.lead) :])], np.int64) for k in others]
+            cuts = np.split(numbers, np.cumsum(counts)[others])
+            numbers = np.concatenate([*itertools.chain.from_iterable(zip(cuts, own, strict=False)), cuts[-1]])
+            counts[others] = [len(x) for x in own]
+        return self.spelled(numbers, counts)[:2]
+
     def spells(self, words: list[str], ids: list[list[int]]) -> np.ndarray:
         """All: every byte has a token of its own."""
         return np.ones(len(words), bool)
