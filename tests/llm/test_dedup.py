@@ -3,6 +3,7 @@
 import hashlib
 import string
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -188,3 +189,21 @@ def test_near_stage_keeps_one_of_each_group(spark):
 def test_an_id_with_two_texts_loses_only_the_copy(spark):
     df = spark.createDataFrame([(5, "same"), (5, "other"), (9, "SAME")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in exact_dedup.exact_dedup(df).collect()) == [(5, "other"), (9, "SAME")]
+
+
+def test_words_of_a_text_are_hashed_at_once():
+    """Words are those of ``split``, equal words have equal hashes wherever they stand, and anchors are the first smallest grams."""
+    rng = np.random.default_rng(5)
+    texts = [b"", b" ", b"a", b" a\x0bb\x1c c ", "\x85 é\xa0b ab ba".encode(), b"\x00 \x00\x00 a"] + [bytes(rng.choice(list(b"abc \n\t\x00"), n).tolist()) for n in rng.integers(0, 300, 200)]
+    of, seen = substring_dedup.WordHashes().of, {}
+    for text in texts:
+        got = of(text).tolist()
+        assert len(got) == len(text.split())
+        for word, h in zip(text.split(), got, strict=True):
+            assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen) > 500
+    hashes = rng.integers(0, 3, 400).astype(np.uint64)
+    first, n, anchor = substring_dedup.anchors(hashes, 13)
+    grams = substring_dedup.rolled(hashes, substring_dedup.GRAM)
+    at = np.array([k + grams[k : k + 9].argmin() for k in range(388)])
+    assert np.repeat(anchor, n).tolist() == grams[at].tolist() and (np.diff(at)[first[1:] - 1] != 0).all() and n.sum() == 388

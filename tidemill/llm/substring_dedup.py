@@ -31,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,23 +42,6 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, each worked out once; about ``most`` words are remembered at a time."""
-
-    def __init__(self, most: int = 250_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh64_intdigest(word, 11)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.most:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 class RunHashes:
     """Hashes of any run of a sequence of hashes, from prefix sums of a polynomial."""
 
@@ -81,6 +63,22 @@ class RunHashes:
         return (run * MIX).view(np.int64)
 
 
+class WordHashes:
+    """64-bit hashes of a text's words, all at once: runs of bytes that are no white space, each byte a number of its own."""
+
+    def __init__(self):
+        self.numbers = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
+        self.white = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+        self.runs = RunHashes(0xA24BAED4963EE407)
+
+    def of(self, text: bytes) -> np.ndarray:
+        data = np.frombuffer(text, np.uint8)
+        white = np.ones(len(data) + 2, bool)
+        self.white.take(data, out=white[1:-1], mode="clip")
+        edges = np.flatnonzero(white[1:] != white[:-1])
+        return self.runs(self.numbers.take(data), edges[::2], edges[1::2] - edges[::2]).view(np.uint64)
+
+
 def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash of every run of ``size`` entries."""
     n = len(hashes) - size + 1
@@ -94,8 +92,13 @@ def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
 def anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: first window, number of windows, anchor hash."""
     grams = rolled(hashes, GRAM)
-    n = len(hashes) - window + 1
-    at = np.arange(n) + np.lib.stride_tricks.sliding_window_view(grams, window - GRAM + 1).argmin(axis=1)
+    n, width, reach = len(hashes) - window + 1, window - GRAM + 1, 1
+    least, at = grams, np.arange(len(grams))  # the first of the smallest among ``reach`` grams, doubled
+    while reach < width:
+        step = min(reach, width - reach)
+        later = least[step:] < least[:-step]
+        least, at = (np.where(later, x[step:], x[:-step]) for x in (least, at))
+        reach += step
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     return first, np.diff(np.append(first, n)), grams[at[first]]
 
@@ -118,11 +121,11 @@ def _anchor_rows(window: int, frequent: frozenset[int]):
         for batch in batches:
             parts: list[tuple[np.ndarray, ...]] = []
             for text, tag in zip(texts(batch.column(0)), batch.column(1).to_numpy().tolist(), strict=True):
-                words = text.encode().split() if tag not in done else []
+                hashes = word_hashes.of(text.encode() if tag not in done else b"")
                 done.add(tag)  # copies within a task go once
-                if len(words) < window:
+                if len(hashes) < window:
                     continue
-                first, n, anchor = anchors(word_hashes.of(words), window)
+                first, n, anchor = anchors(hashes, window)
                 anchor = anchor.view(np.int64)
                 parts.append((anchor, np.full(len(first), tag), first * 64 + n * 2 + np.isin(anchor, hot)))
             if parts:
@@ -159,7 +162,7 @@ def _stretches(batch: pa.RecordBatch, window: int, word_hashes: WordHashes, runs
     ends, inner = lists.offsets.to_numpy(), lists.values
     pos, anchor = (inner.field(k).to_numpy() for k in ("pos", "anchor"))
     for k, text in enumerate(texts(batch.column(2))):
-        hashes = word_hashes.of(text.encode().split())
+        hashes = word_hashes.of(text.encode())
         p, key = pos[ends[k] : ends[k + 1]], anchor[ends[k] : ends[k + 1]]
         inside = (p >> 6) + ((p & 63) >> 1) + window - 1 <= len(hashes)  # a tag that two texts share may bring another's places
         p, key = p[inside], key[inside]
