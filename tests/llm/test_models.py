@@ -119,3 +119,10 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert len(seen) == 4 and sum(map(len, seen)) == len(set().union(*seen)) and 7000 < len(set().union(*seen)) < 7400
     got = toxicity.score(docs, m, id_col="id").toPandas()
     assert (got["predicted"] == (got["doc_id"] % 8 == 0)).all()
+
+
+def test_buckets_of_many_words_at_once():
+    words = ["a", "ab", "abc", "abcd", "aaaaaaaa", "abababab", "12x", "größe", "日本語日本語", "x" * 64, "Übermut", "w1"]
+    for some in (words, words[::-1], ["é"], ["a"], []):
+        flat, starts, lens = toxicity.bucket_runs(some)
+        assert [sorted(flat[s : s + n]) for s, n in zip(starts, lens, strict=True)] == [sorted(toxicity.buckets(w)) for w in some]

@@ -17,6 +17,7 @@ others hold all other rows.
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import re
 import zlib
@@ -64,30 +65,72 @@ def buckets(word: str) -> list[int]:
     return [zlib.crc32(p.encode()) % BUCKETS for p in sorted(parts)]
 
 
+_ZEROS = zlib.crc32(bytes(4))
+#: What a byte at each of four places changes in the checksum of four zeros.
+_CRC = np.array([[zlib.crc32(bytes(k) + bytes([c]) + bytes(3 - k)) ^ _ZEROS for c in range(256)] for k in range(4)], np.uint32)
+
+
+def bucket_runs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``buckets`` of many words: ``flat[starts[k] : starts[k] + lens[k]]`` are those of word ``k``, in an order that depends on the word alone."""
+    plain = [k for k, w in enumerate(words) if w.isascii()]
+    coded = [words[k].encode() for k in plain]
+    data = np.frombuffer(b"".join(coded), np.uint8)
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+    grams = np.maximum(sizes - 3, 0)
+    place = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(grams) - grams), grams) + np.arange(int(grams.sum()))
+    code = sum(data[place + k].astype(np.int64) << (24 - 8 * k) for k in range(4)) if len(place) else place
+    keys = np.unique(np.repeat(np.arange(len(coded)), grams) << 32 | code)  # a word's different 4-grams
+    four = np.bitwise_xor.reduce([_CRC[k][keys >> (24 - 8 * k) & 255] for k in range(4)]) ^ np.uint32(_ZEROS)
+    heads = [[zlib.crc32(w, _WHOLE), *[zlib.crc32(w[:k], _BEGUN) for k in range(3, min(6, len(w)) + 1)]] for w in coded]
+    n_heads, n_grams = np.fromiter(map(len, heads), np.int64, len(heads)), np.bincount(keys >> 32, minlength=len(coded))
+    owner = np.concatenate([np.repeat(np.arange(len(coded)), n_heads), keys >> 32])
+    values = np.concatenate([np.fromiter(itertools.chain.from_iterable(heads), np.int64, int(n_heads.sum())), four.astype(np.int64)]) % BUCKETS
+    other = {k: buckets(w) for k, w in enumerate(words) if not w.isascii()}
+    flat = np.concatenate([values[np.argsort(owner, kind="stable")], np.fromiter(itertools.chain.from_iterable(other.values()), np.int64)])
+    lens = np.zeros(len(words), np.int64)
+    order = np.array([*plain, *other], np.int64)
+    lens[order] = np.concatenate([n_heads + n_grams, np.fromiter(map(len, other.values()), np.int64, len(other))])
+    starts = np.zeros(len(words), np.int64)
+    starts[order] = np.cumsum(lens[order]) - lens[order]
+    return flat, starts, lens
+
+
+_WHOLE, _BEGUN = zlib.crc32(b"="), zlib.crc32(b"<")
+
+
 class Lexicon:
-    """Word numbers, their bucket lists and language buckets; remembers up to ``most`` words."""
+    """Word numbers, their buckets and language buckets; remembers up to ``most`` words."""
 
     def __init__(self, most: int = 200_000):
         self.most = most
         self.index: dict[str, int] = {}
-        self.lists: list[list[int]] = []
-        self.spoken: list[int] = []
+        self.waiting: list[str] = []
+        self.flat = self.starts = self.lens = self.spoken = np.zeros(0, np.int64)
 
     def numbers(self, words: list[str]) -> np.ndarray:
         index = self.index
         for w in set(words).difference(index):
-            index[w] = len(self.lists)
-            self.lists.append(buckets(w))
-            self.spoken.append(zlib.crc32(w.encode()) % LANG_BUCKETS)
+            index[w] = len(index)
+            self.waiting.append(w)
         return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
 
-
-def embed(lists: list[list[int]], table: np.ndarray) -> np.ndarray:
-    """A row per word: the sum of its buckets' vectors over the root of their number."""
-    lens = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((b for x in lists for b in x), np.int64, int(lens.sum()))
-    sums = np.add.reduceat(table[flat], np.cumsum(lens) - lens, axis=0) if len(lists) else np.zeros((0, DIM), np.float32)
-    return sums / np.sqrt(lens)[:, None].astype(np.float32)
+    def learn(self) -> np.ndarray:
+        """Work out the buckets of the words that were met since; their numbers."""
+        flat, starts, lens = bucket_runs(self.waiting)
+        spoken = np.fromiter((zlib.crc32(w.encode()) for w in self.waiting), np.int64, len(self.waiting)) % LANG_BUCKETS
+        new = np.arange(len(self.lens), len(self.lens) + len(lens))
+        self.starts, self.lens = np.concatenate([self.starts, starts + len(self.flat)]), np.concatenate([self.lens, lens])
+        self.flat, self.spoken, self.waiting = np.concatenate([self.flat, flat]), np.concatenate([self.spoken, spoken]), []
+        return new
+
+    def embed(self, numbers: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """A row per word: the sum of its buckets' vectors over the root of their number."""
+        if not len(numbers):
+            return np.zeros((0, DIM), np.float32)
+        lens = self.lens[numbers]
+        begin = np.cumsum(lens) - lens
+        at = self.flat[np.repeat(self.starts[numbers] - begin, lens) + np.arange(int(lens.sum()))]
+        return np.add.reduceat(table[at], begin, axis=0) / np.sqrt(lens)[:, None].astype(np.float32)
 
 
 @dataclass
@@ -184,7 +227,7 @@ def _begun(seed: int) -> State:
     return State(m, np.full(BUCKETS, 1e-3, np.float32), [np.full_like(k, 1e-3) for k in m.kernels], np.full_like(m.out, 1e-3), [np.full_like(b, 1e-3) for b in m.biases])
 
 
-def _fit(state: State, lists: list[list[int]], texts: list[np.ndarray], y: np.ndarray, weights: tuple[float, float], rates: list[float], seed: int) -> None:
+def _fit(state: State, lexicon: Lexicon, texts: list[np.ndarray], y: np.ndarray, weights: tuple[float, float], rates: list[float], seed: int) -> None:
     """Adagrad on the logistic loss, a text at a time, one walk for each rate; only the pooled positions get gradients."""
     rng = np.random.default_rng(seed)
     m, g_table, g_kernels, g_out, g_bias = state.m, state.g_table, state.g_kernels, state.g_out, state.g_bias
@@ -193,7 +236,7 @@ def _fit(state: State, lists: list[list[int]], texts: list[np.ndarray], y: np.nd
         for i in rng.permutation(len(texts)).tolist():
             numbers = texts[i]
             used, inverse = np.unique(numbers, return_inverse=True)
-            x = embed([lists[u] for u in used], m.table)[inverse] if len(numbers) else np.zeros((0, DIM), np.float32)
+            x = lexicon.embed(used, m.table)[inverse]
             h, place = m.pooled(x)
             p = 1 / (1 + np.exp(-np.clip(h @ m.out + m.offset, -40, 40)))
             d = np.float32((p - y[i]) * weight[i])
@@ -221,7 +264,7 @@ def _fit(state: State, lists: list[list[int]], texts: list[np.ndarray], y: np.nd
                 m.kernels[k] -= rate * gk / np.sqrt(g_kernels[k])
                 m.biases[k] -= rate * back[rows] / np.sqrt(g_bias[k])
             for w, g in moved.items():
-                at = np.array(lists[w])
+                at = lexicon.flat[lexicon.starts[w] : lexicon.starts[w] + lexicon.lens[w]]
                 g = g / np.float32(np.sqrt(len(at)))
                 g_table[at] += float(g @ g)
                 m.table[at] -= rate * g / np.sqrt(g_table[at])[:, None]
@@ -236,7 +279,8 @@ def _averaged(rows: DataFrame, state: State, weights: tuple[float, float], rates
         part = part.sort_by("id")
         own, lexicon = pickle.loads(pickle.dumps(shared.value)), Lexicon()
         numbers = [lexicon.numbers(split_words(x)) for x in texts(part.column("text"))]
-        _fit(own, lexicon.lists, numbers, part.column("label").to_numpy().astype(np.int64), weights, rates, seed + key[0].as_py())
+        lexicon.learn()
+        _fit(own, lexicon, numbers, part.column("label").to_numpy().astype(np.int64), weights, rates, seed + key[0].as_py())
         moved = own.g_table != shared.value.g_table
         table = np.concatenate([own.m.table - shared.value.m.table, (own.g_table - shared.value.g_table)[:, None], moved[:, None]], axis=1).astype(np.float64)
         sums = [x.tobytes() for x in table.reshape(SLICES, -1)] + [np.append(own.flat(), 1).tobytes()]
@@ -331,17 +375,16 @@ def _raw(docs: DataFrame, model: Toxicity, id_col: str, text_col: str) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: the network's size
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model, lexicon, vectors, spoken = shared.value, Lexicon(), np.zeros((0, DIM), np.float32), np.zeros(0, np.int64)
+        model, lexicon, vectors = shared.value, Lexicon(), np.zeros((0, DIM), np.float32)
         raw, language, worded = [], [], []
         for part in in_parts(map(split_words, texts(batch.column(1))), most_items=500, most_size=200_000):
             if len(lexicon.index) > lexicon.most:
-                lexicon, vectors, spoken = Lexicon(), vectors[:0], spoken[:0]
+                lexicon, vectors = Lexicon(), vectors[:0]
             numbers = [lexicon.numbers(w) for w in part]
-            vectors = np.concatenate([vectors, embed(lexicon.lists[len(vectors) :], model.table)])
-            spoken = np.concatenate([spoken, np.array(lexicon.spoken[len(spoken) :], np.int64)])
+            vectors = np.concatenate([vectors, lexicon.embed(lexicon.learn(), model.table)])
             for n in numbers:
                 raw.append(min(max(model.raw(vectors[n]), 1e-9), 1 - 1e-9))
-                language.append(model.spoken(spoken[np.unique(n)]))
+                language.append(model.spoken(lexicon.spoken[np.unique(n)]))
                 worded.append(len(n) > 0)
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(raw, pa.float64()), pa.array(language, pa.int32()), pa.array(worded, pa.bool_())], names=["id", "raw", "language", "worded"])
 
