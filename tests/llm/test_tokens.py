@@ -203,6 +203,33 @@ def test_carries_run_through_many_words():
         assert (id_coder.decode_blocks(id_coder.encode_blocks(ids), ids.shape[1]) == ids).all()
 
 
+def test_the_encoder_finds_at_once_what_every_context_said_last():
+    rng = np.random.default_rng(5)
+    for ids in (rng.zipf(1.4, (70, 300)) % 50257, rng.integers(0, 3, (2, 500)), np.arange(40)[None], np.full((1, 9), 7)):
+        for row, chunk in ((r, id_coder._Chunk(r[None].astype(np.uint16), 12)) for r in ids):
+            twice = sorted(x for x in set(row.tolist()) if (row == x).sum() > 1)
+            number = {x: k for k, x in enumerate(twice, 1)}
+            numbers = np.array([number.get(x, 0) for x in row.tolist()], np.uint16)
+            assert (chunk.numbers[0] == numbers).all() and chunk.known.tolist() == twice
+            contexts = id_coder._slot(numbers, np.roll(numbers, 1))
+            after, want = {}, []
+            for c, now in zip(contexts.tolist(), numbers.tolist(), strict=True):
+                says, sure = after.get(c, (0, 0))
+                want.append(says * 4 + sure)
+                after[c] = (now, min(sure + 1, 3) if says == now else 0)
+            assert chunk.said(contexts[None])[0].tolist() == want
+
+
+def test_ids_that_come_once_cost_their_sixteen_bits_and_little_more():
+    assert len(id_coder.encode_blocks(np.arange(3000)[None])[0]) < 2.02 * 3000
+    # Words that are taken two at a step, up to the longest block.
+    rng = np.random.default_rng(6)
+    for ids in (rng.zipf(1.2, (3, id_coder.MOST_IDS)) % 50257, np.concatenate([np.zeros(4000, int), np.repeat(np.arange(1, 49), 2)])[None]):
+        assert (id_coder.decode_blocks(id_coder.encode_blocks(ids), ids.shape[1]) == ids).all()
+    with pytest.raises(ValueError):
+        id_coder.encode_blocks(np.zeros((1, id_coder.MOST_IDS + 1), int))
+
+
 def written_file(docs):
     out = io.BytesIO()
     writer = id_files.FileWriter(out)

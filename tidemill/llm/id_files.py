@@ -1,6 +1,6 @@
 """Token ids in files: every document's ids with an end id, in ascending order of document id.
 
-A file is ``IDBLOCKS``, then groups of blocks, then the table of its documents
+A file is ``IDBLOCK2``, then groups of blocks, then the table of its documents
 and a trailer that finds it.  A group holds the number of its blocks, the ids of
 a block, and for every block its bytes, its ids and the checksums of both; then
 the blocks' codes (see ``id_coder``).  All numbers are little-endian.
@@ -30,7 +30,7 @@ from .common import in_parts, texts
 from .id_coder import BLOCK_IDS, LANES, checksum, decode_blocks, encode_blocks
 from .unit_tokens import byte_units, vocabulary
 
-MAGIC = b"IDBLOCKS"
+MAGIC = b"IDBLOCK2"
 GROUP, BLOCK, TRAILER = struct.Struct("<II"), np.dtype([("bytes", "<u4"), ("ids", "<u4"), ("code_crc", "<u4"), ("ids_crc", "<u4")]), struct.Struct("<QQQI8s")
 DOCUMENT = np.dtype([("id", "<i8"), ("no_id", "u1"), ("ids", "<u8")])
 #: A file is closed at the first document's end after so many ids.
