@@ -242,33 +242,33 @@ class _Decoder:
 
     def __init__(self, payloads: list[bytes], depth: int):
         lanes = len(payloads)
-        self.sizes, weights = np.zeros(lanes, np.int64), np.zeros((lanes, 32, 4), np.uint8)
-        weights[:, :, 3] = 255
-        known, counts, plain, codes = [], [], [], []
-        for k, p in enumerate(payloads):
-            n, n_plain, mask = _HEAD.unpack_from(p)
-            used = [j for j in range(32) if mask >> j & 1]
+        heads = np.frombuffer(b"".join(p[: _HEAD.size] for p in payloads), [("known", "<u2"), ("plain", "<u2"), ("mask", "<u4")])
+        self.sizes = heads["known"].astype(np.int64)
+        used = heads["mask"][:, None] >> np.arange(32, dtype=np.uint32) & 1 > 0
+        parts: tuple[list[bytes], ...] = ([], [], [], [], [], [])
+        for p, n, n_plain, n_used in zip(payloads, heads["known"].tolist(), heads["plain"].tolist(), np.count_nonzero(used, axis=1).tolist(), strict=True):
             at = _HEAD.size
-            weights[k, used, :3] = np.frombuffer(p, np.uint8, 3 * len(used), at).reshape(-1, 3)
-            at += 3 * len(used)
-            pairs = np.frombuffer(p, np.uint8, (n + 1) // 2, at)
-            counts.append(np.stack([pairs >> 4, pairs & 15], axis=1).ravel()[:n])
-            at += len(pairs)
-            gaps = np.frombuffer(p, np.uint8, n, at).astype(np.int64)
-            at += n
-            far = np.flatnonzero(gaps == 255)
-            gaps[far] = np.frombuffer(p, "<u2", len(far), at)
-            at += 2 * len(far)
-            known += [np.zeros(1, np.int64), np.cumsum(gaps + 1) - 1]
-            plain.append(np.frombuffer(p, "<u2", n_plain, at))
-            codes.append(p[at + 2 * n_plain :])
-            self.sizes[k] = n
-        join = lambda x, kind: np.concatenate([np.zeros(0, kind), *x]).astype(kind)
-        self.known, self.plain, self.codes = join(known, np.uint16), plain, codes
-        # Four ends in one number; taking a place from each leaves its top bit where the end lies behind the place.
-        self.ends = (_ENDS[weights] + 0x7FFF).astype("<u2").view("<i8").ravel()
-        self.shares = _shares(_COUNTS[join(counts, np.int64)], self.sizes, depth).astype(np.int32)
+            far = p.count(255, (gaps := at + 3 * n_used + (n + 1) // 2), gaps + n)
+            for part, size in zip(parts, (3 * n_used, (n + 1) // 2, n, 2 * far, 2 * n_plain, len(p)), strict=True):
+                part.append(p[at : at + size])
+                at += size
+        weights, pairs, gaps, far = (np.frombuffer(b"".join(x), k) for x, k in zip(parts[:4], (np.uint8, np.uint8, np.uint8, "<u2"), strict=True))
+        self.plain, self.codes = [np.frombuffer(x, "<u2") for x in parts[4]], parts[5]
         self.first = np.cumsum(self.sizes + 1) - self.sizes - 1
+        counts = np.stack([pairs >> 4, pairs & 15], axis=1).ravel()
+        odd = self.sizes & 1
+        counts = np.delete(counts, np.cumsum(self.sizes + odd)[odd > 0] - 1)
+        gaps = gaps.astype(np.int64)
+        gaps[gaps == 255] = far
+        ids = np.concatenate([[0], np.cumsum(gaps + 1)])
+        ids = ids[1:] - np.repeat(ids[np.cumsum(self.sizes) - self.sizes], self.sizes) - 1
+        self.known = np.zeros(len(ids) + lanes, np.uint16)
+        self.known[np.delete(np.arange(len(self.known)), self.first)] = ids
+        mixes = np.full((lanes, 32, 4), 255, np.uint8)
+        mixes[used, :3] = weights.reshape(-1, 3)
+        # Four ends in one number; taking a place from each leaves its top bit where the end lies behind the place.
+        self.ends = (_ENDS[mixes] + 0x7FFF).astype("<u2").view("<i8").ravel()
+        self.shares = _shares(_COUNTS[counts], self.sizes, depth).astype(np.int32)
         number = np.arange(len(self.shares)) - np.repeat(self.first, self.sizes + 1)
         #: The number at every place of order 0's part, a block after another.
         part = self.shares & 0x7FFF
