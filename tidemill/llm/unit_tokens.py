@@ -73,23 +73,6 @@ class Units(dict):
         self.clear()
         self.waiting: list[str] = []
         self.lens, self.flat, self.exact = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, bool)
-        self.met = np.zeros(0, np.int32)
-
-    def shed(self) -> None:
-        """Forget the words that came but once since the last time; all, where too many came again."""
-        again = np.append(self.met, np.zeros(len(self) - len(self.met), np.int32)) > 1
-        words, lens, flat, exact = list(itertools.compress(self, again.tolist())), self.lens[again], self.flat[np.repeat(again, self.lens)], self.exact[again]
-        self.forget()
-        if len(words) <= self.most // 2:
-            self.update(zip(words, range(len(words)), strict=True))
-            self.lens, self.flat, self.exact, self.met = lens, flat, exact, np.ones(len(words), np.int32)
-
-    def meet(self, numbers: np.ndarray) -> None:
-        """Note that these words came once more."""
-        met = np.zeros(len(self), np.int32)
-        met[numbers] = 1
-        met[: len(self.met)] += self.met
-        self.met = met
 
     def __missing__(self, word: str) -> int:
         self[word] = number = len(self)
@@ -142,15 +125,12 @@ class ByteUnits(Units):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
-        # Every word is asked for once, so the library's own memory of words is only in the way.
-        self.tokenizer.model._resize_cache(0)
         self.lead = lead
         # Fixed rule: visible Latin-1 bytes are written as themselves, the others as the characters from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [c for c in range(256) if c not in shown]
-        spelling = {c: c for c in shown} | {c: 256 + k for k, c in enumerate(hidden)}
-        self.shown = np.array([spelling[c] for c in range(256)], "<u2")
-        byte_of = {chr(v): k for k, v in spelling.items()}
+        self.spelling = {c: c for c in shown} | {c: 256 + k for k, c in enumerate(hidden)}
+        byte_of = {chr(v): k for k, v in self.spelling.items()}
         self.spelt = {k: bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode() for token, k in self.tokenizer.get_vocab().items()}
         super().__init__(most)
 
@@ -163,7 +143,7 @@ class ByteUnits(Units):
     def bulk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The first two of ``batch``; texts of Latin letters are cut all at once, and each of their words is looked up once."""
         if len(self) > self.most:
-            self.shed()
+            self.forget()
         texts = [self.lead + x for x in texts]
         others = [k for k, x in enumerate(texts) if not x.isascii() and _NOT_LATIN.search(x)]
         apart = set(others)
@@ -172,47 +152,29 @@ class ByteUnits(Units):
         _, ends, chars = words.dictionary.buffers()
         different = chars.to_pybytes().decode("utf-16-le") if len(words.dictionary) else ""
         ends = (np.frombuffer(ends, np.int64, len(words.dictionary) + 1) // 2).tolist() if different else []
-        numbers = self.numbers([different[a:b] for a, b in itertools.pairwise(ends)])[words.indices.to_numpy()]
+        numbers = np.array([self[different[a:b]] for a, b in itertools.pairwise(ends)], np.int64)[words.indices.to_numpy()]
         if others:
             own = [np.array([self[w] for w in self.words(texts[k][len(self.lead) :])], np.int64) for k in others]
             cuts = np.split(numbers, np.cumsum(counts)[others])
             numbers = np.concatenate([*itertools.chain.from_iterable(zip(cuts, own, strict=False)), cuts[-1]])
             counts[others] = [len(x) for x in own]
-        self.meet(numbers)
         return self.spelled(numbers, counts)[:2]
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        """The numbers of different words; those that are new get theirs together."""
-        numbers = np.fromiter(map(self.get, words, itertools.repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(numbers < 0)
-        if len(new):
-            numbers[new] = np.arange(len(self), len(self) + len(new))
-            fresh = [words[k] for k in new.tolist()]
-            self.update(zip(fresh, numbers[new].tolist(), strict=True))
-            self.waiting += fresh
-        return numbers
-
     def spells(self, words: list[str], ids: list[list[int]]) -> np.ndarray:
         """All: every byte has a token of its own."""
         return np.ones(len(words), bool)
 
     def encode(self, words: list[str]) -> list[list[int]]:
-        tokenize = self.tokenizer.model.tokenize
-        out = [[t.id for t in tokenize(x)] for x in self.spelling_of(words)]
-        if _NOT_LATIN.search("".join(words)):
-            for k, word in enumerate(words):
-                if _NOT_LATIN.search(word):
-                    out[k] = self.tokenizer.encode(word, add_special_tokens=False).ids
+        tokenize, spelling, out = self.tokenizer.model.tokenize, self.spelling, []
+        for word in words:
+            if word.isascii():
+                out.append([t.id for t in tokenize(word.translate(spelling))])
+            elif not _NOT_LATIN.search(word):
+                out.append([t.id for t in tokenize(word.encode().decode("latin-1").translate(spelling))])
+            else:
+                out.append(self.tokenizer.encode(word, add_special_tokens=False).ids)
         return out
 
-    def spelling_of(self, words: list[str]) -> list[str]:
-        """The words as the vocabulary writes their bytes, all at once."""
-        data = np.frombuffer("".join(words).encode(), np.uint8)
-        chars = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))  # where a character begins
-        ends = chars[np.cumsum([0, *map(len, words)])].tolist()
-        shown = self.shown[data].tobytes().decode("utf-16-le")
-        return [shown[a:b] for a, b in itertools.pairwise(ends)]
-
 
 class PieceUnits(Units):
     """A sentencepiece vocabulary that adds a space before every text and keeps all others.
