@@ -4,10 +4,13 @@ import itertools
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import relations, similar
+from tidemill.plans import queries as review
+from tidemill.plans import records as plans
 
 
 def jaccard(a, b):
@@ -105,3 +108,32 @@ def test_alike_sets_store_no_pairs(spark, monkeypatch):
     rows = [("k", i, sorted(rng.sample(range(0, 3_000_000, 1000), 1800))) for i in range(120)]
     assert similar.similar_pairs(spark.createDataFrame(rows, "key string, id long, elements array<bigint>"), 0.6).count() == 0
     assert sum(stored) < 3 * 120
+
+
+def test_copies_stand_among_the_links(spark, tmp_path):
+    """Every pair of documents that brute force finds follows from the query's rows: pairs of first ones, each with its copies; SQL gives the same."""
+    base = "Home page\nwe look for somebody who builds a home page for a small bakery"
+    texts = [base, base + " soon", base, base + " soon", base, "home-page!\nsomething quite unlike it", "ab", "ab", None, "", "ab\n", base + "  soon", "другой\nтекст", "Другой\nтекст."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = plans.candidate_links(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(review.SQL["candidate_links"])
+    assert got.columns == [c[0] for c in want.description]
+    rows = got.collect()
+    assert sorted(map(tuple, rows)) == sorted(want.fetchall())
+    equal = lambda i, j: (texts[i] or "") == (texts[j] or "")
+    copies = {k: [k, *[r.high for r in rows if r.low == k and equal(k, r.high)]] for k in range(len(texts))}
+    pairs = {p for members in copies.values() for p in itertools.combinations(members, 2)}
+    pairs |= {(min(p), max(p)) for r in rows if not equal(r.low, r.high) for p in itertools.product(copies[r.low], copies[r.high])}
+    title = lambda t: "".join(c for c in (t or "").split("\n")[0].lower() if c.isalnum())
+    alike = lambda a, b: title(a) == title(b) and jaccard(grams(a), grams(b)) >= 0.6
+    assert pairs == {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if equal(i, j) or alike(texts[i], texts[j])} and len(pairs) > 15
+    assert all(r.same == equal(r.low, r.high) and r.low < r.high for r in rows)
+
+
+def test_records_without_a_digest(spark):
+    """They are no copies of each other; each is compared by its body."""
+    rows = spark.createDataFrame([(1, "t", "one text of some words", None), (2, "t", "one text of some words!", None), (3, "t", "another thing entirely", None), (4, "t", "one text of some words", "h")], "id long, title string, body string, digest string")
+    members, links = relations.candidate_links(rows)
+    assert not members.collect() and sorted((r.low, r.high) for r in links.collect()) == [(1, 2), (1, 4), (2, 4)]
